@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encodelens.llm import linededup, mixing, quality, simhash
+from encodelens.llm import bpe, linededup, mixing, quality, simhash
 from encodelens.llm.common import small_batches, table, written
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the cascade; the others go."""
@@ -39,11 +38,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and what they decode to."""
+    small_batches(spark)
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe.with_decoded(bpe.tokenize(docs, ranks, pattern), ranks, pattern)
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("simhash_near_dedup", simhash_near_dedup),
     ("mix_sources", mix_sources),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: SQL cannot express the last stage; tests/llm holds run() against a brute-force version.

@@ -89,7 +89,7 @@ def _plan(sizes: DataFrame, source_col: str, size_col: str, weights: Sequence[fl
     b = b.withColumn("through", F.sum("words").over(W.partitionBy("_s").orderBy("_bucket")))
     cut = b.where(F.col("through") > F.col("extra")).groupBy("_s").agg(F.min(F.struct("_bucket", (F.col("through") - F.col("words")).alias("before"))).alias("cut"))
     sources = sources.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
-    return written(sources.select(F.col("source").alias("_source"), "source_size", "target", "rate", "whole", "extra", F.coalesce("cut._bucket", F.lit(buckets)).alias("_cut"), F.coalesce("cut.before", F.lit(0)).alias("_before")), "source-cuts")
+    return written(sources.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "rate", "whole", "extra")], F.coalesce("cut._bucket", F.lit(buckets)).alias("_cut"), F.coalesce("cut.before", F.lit(0)).alias("_before")), "source-cuts")
 
 
 def _copies(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, size_col: str, limit: float, ties: Sequence[str]) -> DataFrame:
@@ -100,9 +100,9 @@ def _copies(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, size
     order = W.partitionBy(source_col).orderBy("_h", id_col, size_col, *ties)
     before = F.col("_before") + F.sum(size_col).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size_col)
     last = d.where(F.col("_bucket") == F.col("_cut")).withColumn("_more", before)
-    last = last.withColumn("_more", (F.col("extra") - F.col("_more") > F.col(size_col) / 2).cast("long"))
-    out = sure.unionByName(last).withColumn("copies", F.least(F.col("whole") + F.col("_more"), F.lit(int(limit // 1))))
-    return out.drop("_h", "_bucket", "_source", "_cut", "_before", "_more", "whole", "extra")
+    last = last.withColumn("_more", (F.col("_extra") - F.col("_more") > F.col(size_col) / 2).cast("long"))
+    out = sure.unionByName(last).withColumn("_copies", F.least(F.col("_whole") + F.col("_more"), F.lit(int(limit // 1))))
+    return out.drop("_h", "_bucket", "_source", "_cut", "_before", "_more", "_whole", "_extra")
 
 
 def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, buckets: int = 4096) -> DataFrame:
@@ -119,7 +119,8 @@ def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", si
     slim = sized.select(id_col, source_col, F.col(size_col).cast("long").alias(size_col))
     slim = written(_bucketed(slim, id_col, size_col, buckets), "sizes")
     plan = _plan(slim, source_col, size_col, weights, limit, buckets)
-    return _copies(slim, plan, id_col, source_col, size_col, limit, ())
+    out = _copies(slim, plan, id_col, source_col, size_col, limit, ())
+    return out.withColumnsRenamed({f"_{c}": c for c in ("source_size", "target", "rate", "copies")})
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, buckets: int = 4096) -> DataFrame:
@@ -131,5 +132,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     plan = _plan(sizes, source_col, "_size", weights, limit, buckets)
     whole = docs.withColumn("_size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
     out = _copies(_bucketed(whole, id_col, "_size", buckets), plan, id_col, source_col, "_size", limit, (text_col,))
-    again = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array().cast("array<bigint>"))
+    again = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<bigint>"))
     return out.withColumn("_again", F.explode(again)).select(*docs.columns)
