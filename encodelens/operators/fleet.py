@@ -80,7 +80,7 @@ def speed_ewma(samples: DataFrame, weight: float = 0.3, digits: int = 10) -> Dat
     The sum over all samples with their remaining weights is that fold; samples that are not over 0 do not count.
     """
     by = W.partitionBy("machine", "codec", "height")
-    s = samples.where("speed > 0").withColumn("rn", F.row_number().over(by.orderBy("seq"))).withColumn("n", F.count(F.lit(1)).over(by))
+    s = samples.where("speed > 0").withColumn("rn", F.row_number().over(by.orderBy("seq", "speed"))).withColumn("n", F.count(F.lit(1)).over(by))
     left = F.pow(F.lit(1 - weight), F.col("n") - F.col("rn"))
     w = F.when(F.col("rn") == 1, left).otherwise(weight * left)
     return s.groupBy("machine", "codec", "height").agg(F.round(F.sum(F.col("speed") * w), digits).alias("speed"), F.count(F.lit(1)).alias("n"))

@@ -122,15 +122,23 @@ def grid(segment: Column) -> Column:
     return F.coalesce(F.try_element_at(units, F.lit(1)) * F.lit(float(GRID_S)), segment)
 
 
+def grid_of(segment: float) -> float:
+    """grid() of one segment length that is known beforehand."""
+    return next((float(k * GRID_S) for k in range(1, SEARCH + 1) if abs(k * GRID_S / segment - round(k * GRID_S / segment)) < EPS), segment)
+
+
 def _plan_shape(duration: Column, chunk: Column, g: Column) -> tuple[Column, Column]:
     units = F.greatest(F.ceil(duration / g - EPS), F.lit(1))
     n = F.least(F.greatest(F.ceil(duration / chunk - EPS), F.lit(1)), units)
     return n.cast("long"), units.cast("long")
 
 
-def chunk_counts(df: DataFrame) -> DataFrame:
-    """df (duration, chunk, segment) with n, the number of planned chunks after a runt tail is folded."""
-    df = df.withColumn("_g", grid(F.col("segment")))
+def chunk_counts(df: DataFrame, segment: float | None = None) -> DataFrame:
+    """df (duration, chunk, segment) with n, the number of planned chunks after a runt tail is folded.
+
+    With a segment given, no column of it is needed and its grid is found once.
+    """
+    df = df.withColumn("_g", grid(F.col("segment")) if segment is None else F.lit(grid_of(segment)))
     n, units = _plan_shape(F.col("duration"), F.col("chunk"), F.col("_g"))
     df = df.withColumn("_n", n).withColumn("_units", units)
     last = F.col("_g") * ((F.col("_n") - 1) * F.floor(F.col("_units") / F.col("_n")) + F.least(F.col("_n") - 1, F.col("_units") % F.col("_n")))
@@ -171,8 +179,8 @@ def chunk_budget_sweep(rungs: DataFrame, budget: int = 2500, targets: tuple[int,
     A request and rung is expanded by the fixed list of candidates only. No fitting target: null.
     """
     c = rungs.select("request", "duration", "speed", F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target"))
-    c = c.withColumn("chunk", chunk_size(F.col("target"), F.col("speed"), F.col("duration"), F.lit("dynamic"))).withColumn("segment", F.lit(segment))
-    n = chunk_counts(c).groupBy("request", "target").agg(F.sum("n").alias("chunks"))
+    c = c.withColumn("chunk", chunk_size(F.col("target"), F.col("speed"), F.col("duration"), F.lit("dynamic")))
+    n = chunk_counts(c, segment).groupBy("request", "target").agg(F.sum("n").alias("chunks"))
     fits = F.col("chunks") <= budget
     return n.groupBy("request").agg(F.min_by("chunks", "target").alias("before"), F.min(F.when(fits, F.col("target"))).alias("target"), F.min_by("chunks", F.when(fits, F.col("target"))).alias("after"))
 
