@@ -143,7 +143,7 @@ def host_counter_rate(counters: DataFrame, cores: int, min_s: int = 1) -> DataFr
     by = W.partitionBy("machine").orderBy("bucket")
     di, dt = F.col("idle") - F.lag("idle").over(by), F.col("total") - F.lag("total").over(by)
     busy = (1 - di / F.nullif(dt, F.lit(0.0))) * cores
-    return last.withColumn("busy", F.round(F.greatest(F.lit(0.0), F.least(busy, F.lit(float(cores)))), 4)).where("busy is not null").select("machine", "seq", "busy")
+    return last.withColumn("busy", F.when(busy.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(busy, F.lit(float(cores)))), 4))).where("busy is not null").select("machine", "seq", "busy")
 
 
 def host_dedup(rows: DataFrame) -> DataFrame:

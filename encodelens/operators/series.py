@@ -65,14 +65,14 @@ def fundamental_period(acf: DataFrame, min_lag: int = 2, tol: float = 0.15) -> D
 
 def fold(frames: DataFrame, period: int) -> DataFrame:
     """(series, phase, mean): scores by frame modulo the period."""
-    return frames.groupBy("series", F.pmod("frame", F.lit(period)).cast("int").alias("phase")).agg(F.round(F.avg("score"), 4).alias("mean"))
+    return frames.groupBy("series", F.pmod("frame", F.lit(period)).cast("int").alias("phase")).agg(F.avg("score").alias("mean"))
 
 
 def fold_fraction(frames: DataFrame, period: float, buckets: int) -> DataFrame:
     """(series, bucket, mean): scores by fraction of the period; a series with an empty bucket gives no rows."""
     f = frames.groupBy("series", F.floor(F.pmod(F.col("frame").cast("double"), F.lit(period)) * buckets / period).cast("int").alias("bucket")).agg(F.avg("score").alias("m"))
     whole = F.count(F.lit(1)).over(W.partitionBy("series")) == buckets
-    return f.withColumn("_w", whole).where("_w").select("series", "bucket", F.round("m", 4).alias("mean"))
+    return f.withColumn("_w", whole).where("_w").select("series", "bucket", F.col("m").alias("mean"))
 
 
 def pulse_diagnose(folded: DataFrame, buckets: int) -> DataFrame:

@@ -80,15 +80,15 @@ VIEWS = {
     "curves": f"""
         select concat('clip', l_suppkey % 5) as clip, {_CODEC} as codec, case when l_linestatus = 'O' then 2160 else 1080 end as reference,
                {_HEIGHT} as height, cast(l_quantity * 100 as int) as kbps,
-               round(avg(l_extendedprice) / 1050 * (0.4 + l_quantity / 90), 3) as vmaf
+               round(avg(l_extendedprice) / 1053.7 * (0.4 + l_quantity / 91.3), 8) as vmaf
         from lineitem where l_linenumber in (3, 5, 6) group by l_suppkey % 5, l_returnflag, l_linestatus, l_linenumber, l_quantity""",
     "vmaf_parts": f"""
-        select l_orderkey as job, {_CODEC} as codec, concat({_HEIGHT}, 'p') as label, l_partkey as chunk, l_extendedprice / 1050 as mean,
-               l_extendedprice / 1100 as harmonic, l_extendedprice / 2000 as low, cast(l_quantity as bigint) as frames,
-               case when l_discount = 0 then DOUBLE(0) else l_quantity / (l_extendedprice / 1100) end as inv_sum
+        select l_orderkey as job, {_CODEC} as codec, concat({_HEIGHT}, 'p') as label, l_partkey as chunk, l_extendedprice / 1053.7 as mean,
+               l_extendedprice / 1103.3 as harmonic, l_extendedprice / 2000 as low, cast(l_quantity as bigint) as frames,
+               case when l_discount = 0 then DOUBLE(0) else l_quantity / (l_extendedprice / 1103.3) end as inv_sum
         from lineitem""",
     "frames": """
-        select user_id as series, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, value as score
+        select user_id as series, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, value * 0.99731357e0 as score
         from events""",
     "objects": """
         select concat('jobs/', page_id % 50, '/p', page_id, case when page_id % 9 = 0 then '/_FAILED' else '.html' end) as key,
@@ -110,7 +110,7 @@ VIEWS = {
                1700000000 + s_suppkey * 60 as launch, case when s_acctbal < 0 then 1700000000 + s_suppkey * 60 + 90000 else null end as ended
         from supplier join nation on s_nationkey = n_nationkey""",
     "batch_jobs": f"""
-        select l_orderkey as exec, (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey as job_id, {_CODEC} as codec, {_HEIGHT} as height, l_suppkey as instance,
+        select l_orderkey as exec, (l_orderkey * 10 + l_linenumber) * 100000000 + (l_partkey % 100000) * 1000 + l_suppkey % 1000 as job_id, {_CODEC} as codec, {_HEIGHT} as height, l_suppkey as instance,
                1700000000 + (l_partkey % 500) * 100 as start_s,
                case when l_linestatus = 'O' and l_discount = 0 then null else 1700000000 + (l_partkey % 500) * 100 + cast(l_quantity as bigint) * 60 end as stop_s,
                case when l_linenumber > 5 then 4 else 2 end as vcpu, l_extendedprice as cpu_s, l_extendedprice / (1 + l_quantity / 10) as encode_s,

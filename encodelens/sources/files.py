@@ -15,16 +15,26 @@ SIDECAR = "s3_prefix string, expires_at string, gone boolean, reason string, _co
 SWEEP = "codec string, mode string, resolution string, bitrate_mbps double, vmaf double"
 
 
+def usable(records: DataFrame) -> DataFrame:
+    """Run records that could be read and name their job."""
+    return records.where(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull()).drop("_corrupt_record")
+
+
+def sidecars(documents: DataFrame) -> DataFrame:
+    """State documents that could be read and have a prefix."""
+    return documents.where(F.col("_corrupt_record").isNull() & (F.coalesce("s3_prefix", F.lit("")) != "")).drop("_corrupt_record")
+
+
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:
     """Run records under a path; unknown fields are ignored, and documents that cannot be read are left out."""
     df = spark.read.schema(RUN_RECORD).option("multiLine", True).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).json(path)
-    return df.where(F.col("_corrupt_record").isNull() & F.col("job_id").isNotNull()).drop("_corrupt_record").withColumn("path", F.col("_metadata.file_path"))
+    return usable(df.withColumn("path", F.col("_metadata.file_path")))
 
 
 def read_sidecars(spark: SparkSession, path: str, name: str = ".remote.json") -> DataFrame:
     """State documents of one name; those without a prefix are none."""
     df = spark.read.schema(SIDECAR).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{name}").json(path)
-    return df.where(F.col("_corrupt_record").isNull() & (F.coalesce("s3_prefix", F.lit("")) != "")).drop("_corrupt_record")
+    return sidecars(df)
 
 
 def read_samples(logs: DataFrame, col: str = "value", fields: tuple[str, ...] = ("ts", "hourly", "used", "total", "queued", "running"), keep: tuple[str, ...] = ()) -> DataFrame:
