@@ -134,6 +134,12 @@ def lcm(a: Column, b: Column) -> Column:
     return (a * b / gcd(a, b)).cast("long")
 
 
+def padding(ms: Column, boundary_ms: Column, threshold_ms: int = 500) -> Column:
+    """Milliseconds to the next boundary; 0 for an empty stream and for one that passes a boundary by the threshold or less."""
+    over = ms % boundary_ms
+    return F.when((ms <= 0) | (over <= threshold_ms), F.lit(0)).otherwise(boundary_ms - over).cast("long")
+
+
 def frame_rate(text: Column) -> tuple[Column, Column]:
     """Numerator and denominator of `30000/1001` or `25`."""
     return F.split_part(text, F.lit("/"), F.lit(1)).try_cast("long"), F.when(text.contains("/"), F.split_part(text, F.lit("/"), F.lit(2)).try_cast("long")).otherwise(F.lit(1).cast("long"))

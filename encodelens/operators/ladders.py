@@ -17,8 +17,11 @@ RATES = [
         ("commercial", "av1", [(0, 719, 0.015), (719, 1080, 0.030), (1080, 1440, 0.075), (1440, 99999, 0.135)]),
         ("mediaconvert", "h264", [(0, 719, 0.0075), (719, 1080, 0.015), (1080, 99999, 0.03)]),
         ("mediaconvert", "hevc", [(0, 719, 0.017), (719, 1080, 0.034), (1080, 99999, 0.068)]),
+        ("mediaconvert", "av1", [(0, 719, 0.017), (719, 1080, 0.034), (1080, 99999, 0.068)]),
         ("coconut", "h264", [(0, 719, 0.0075), (719, 1080, 0.015), (1080, 99999, 0.03)]),
         ("bitmovin", "h264", [(0, 719, 0.02), (719, 1080, 0.04), (1080, 2160, 0.08), (2160, 99999, 2.4)]),
+        ("bitmovin", "hevc", [(0, 719, 0.04), (719, 1080, 0.08), (1080, 2160, 0.16), (2160, 99999, 4.8)]),
+        ("bitmovin", "av1", [(0, 719, 0.04), (719, 1080, 0.08), (1080, 2160, 0.16), (2160, 99999, 4.8)]),
     ]
     for lo, hi, usd in bands
 ]
@@ -47,11 +50,13 @@ def band_gate(rungs: DataFrame, min_height: int, max_height: int) -> DataFrame:
 
 
 def ladder_constraints(rungs: DataFrame) -> DataFrame:
-    """Rungs that break a rule, one row a rule: sizes and rates over 0, even widths, known codecs, names without special characters."""
-    rules = {
-        "size": (F.col("width") <= 0) | (F.col("height") <= 0), "rate": F.col("kbps") <= 0, "odd_size": (F.col("width") % 2 != 0) | (F.col("height") % 2 != 0),
-        "codec": ~F.col("codec").isin(*S.CODECS), "name": F.col("ladder").rlike("[^A-Za-z0-9_.# -]"),
-    }
+    """Rungs that break a rule, one row a rule: sizes and rates over 0, known codecs, 1 or 2 passes, no shell characters
+    or substitutions in extra arguments. passes and extra_args may be missing or null."""
+    rules = {"size": (F.col("width") <= 0) | (F.col("height") <= 0), "rate": F.col("kbps") <= 0, "codec": ~F.col("codec").isin(*S.CODECS)}
+    if "passes" in rungs.columns:
+        rules["passes"] = ~F.col("passes").isin(1, 2)
+    if "extra_args" in rungs.columns:
+        rules["extra_args"] = F.col("extra_args").rlike(r"[;|&<>`\n\r]|\$\(|\$\{")
     broken = F.filter(F.array(*[F.when(c, n) for n, c in rules.items()]), lambda x: x.isNotNull())
     return rungs.select("ladder", "codec", "pos", F.explode(broken).alias("rule"))
 
@@ -70,10 +75,14 @@ def tier_rates(rungs: DataFrame, rate_table: DataFrame) -> DataFrame:
 
 
 def saas_quote(rungs: DataFrame, rate_table: DataFrame) -> DataFrame:
-    """Per request and vendor: minutes times rates times frame rate and bit rate multipliers; commercial adds repack and audio."""
-    t = tier_rates(rungs.select("request", "duration", "fps", "codec", "pos", "height", "kbps"), rate_table)
-    mult = F.when(F.col("vendor") == "commercial", F.lit(1.0)).otherwise(S.fps_mult(F.col("fps")).cast("double"))
-    mult = mult * F.when(F.col("vendor") == "bitmovin", S.bitrate_mult(F.col("kbps") / 1000)).otherwise(1.0)
+    """Per request and vendor: minutes times rates times the vendor's own multiplier; two vendors add audio, one repacking.
+
+    The multiplier is of frame rate and source bit rate (commercial), double over 30 frames a second (mediaconvert), or
+    of two passes (bitmovin).
+    """
+    t = tier_rates(rungs.select("request", "duration", "fps", "two_pass", "src_mbps", "codec", "pos", "height", "kbps"), rate_table)
+    mult = F.when(F.col("vendor") == "commercial", S.fps_mult(F.col("fps")) * S.bitrate_mult(F.col("src_mbps")))
+    mult = mult.when((F.col("vendor") == "mediaconvert") & (F.col("fps") > 30), 2.0).when((F.col("vendor") == "bitmovin") & F.col("two_pass"), 1.25).otherwise(1.0)
     repack = F.when(F.col("vendor") == "commercial", 0.003).otherwise(0.0)
     q = t.groupBy("request", "duration", "vendor").agg(F.sum(F.col("usd_min") * mult + repack).alias("a_min"), F.count(F.lit(1)).alias("rungs"))
     audio = F.when(F.col("vendor") == "commercial", 0.001).when(F.col("vendor") == "coconut", 0.00325).otherwise(0.0)

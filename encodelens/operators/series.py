@@ -39,26 +39,25 @@ def autocorrelation(residuals: DataFrame, max_lag: int, value: str = "residual")
     return s.join(den, "series").where("lag < n").select("series", "lag", F.round(F.when(F.col("den") > 0, F.col("s") / F.col("den")).otherwise(F.lit(0.0)), 6).alias("r"))
 
 
-def fundamental_period(acf: DataFrame, min_lag: int = 2, tol: float = 0.15) -> DataFrame:
-    """Per series the period: the strongest peak by its height over the nearer troughs, reduced to its least submultiple
-    that is itself a peak and has a second harmonic; null without a peak. The lags of a series are few.
+def fundamental_period(acf: DataFrame, min_lag: int = 2, tol: int = 2) -> DataFrame:
+    """Per series the period: the most prominent peak, reduced to the least peak that it is a multiple of, if that one is
+    half as prominent and recurs at twice its lag; null without a peak over 0.
+
+    Prominence is the height over the higher of the two troughs at which the descent from the peak ends.
     """
     by = W.partitionBy("series").orderBy("lag")
-    a = acf.withColumn("before", F.lag("r").over(by)).withColumn("after", F.lead("r").over(by))
-    left, right = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
-    a = a.withColumn("lo", F.last(F.when((F.col("r") < F.col("before")) & (F.col("r") <= F.col("after")), F.col("r")), True).over(left))
-    a = a.withColumn("hi", F.first(F.when((F.col("r") < F.col("before")) & (F.col("r") <= F.col("after")), F.col("r")), True).over(right))
-    peak = a.where((F.col("lag") >= min_lag) & (F.col("r") > F.col("before")) & (F.col("r") >= F.col("after")))
-    prominence = F.col("r") - F.greatest(F.coalesce("lo", F.lit(-1.0)), F.coalesce("hi", F.lit(-1.0)))
-    p = peak.withColumn("prominence", F.round(prominence, 6))
-    best = p.groupBy("series").agg(F.max(F.struct("prominence", (-F.col("lag")).alias("neg"), "r")).alias("b")).select("series", (-F.col("b.neg")).alias("best"), F.col("b.prominence").alias("prominence"), F.col("b.r").alias("top"))
-    c = p.select("series", "lag", F.col("r").alias("pr"))
-    # a peak at best / k whose double is a peak too, within the tolerance
-    j = best.join(c, "series").where(F.col("lag") <= F.col("best"))
-    k = F.greatest(F.round(F.col("best") / F.col("lag")), F.lit(1.0))
-    j = j.withColumn("k", k).where((F.abs(F.col("lag") * F.col("k") - F.col("best")) <= F.greatest(F.lit(1.0), tol * F.col("lag"))) & (F.col("pr") >= 0.5 * F.col("top")))
-    second = c.select("series", F.col("lag").alias("lag2"))
-    h = j.join(second, "series").where(F.abs(F.col("lag2") - 2 * F.col("lag")) <= F.greatest(F.lit(1.0), tol * F.col("lag"))).groupBy("series").agg(F.min("lag").alias("sub"))
+    a = acf.withColumn("before", F.lag("r").over(by)).withColumn("after", F.lead("r").over(by)).withColumn("lags", F.count(F.lit(1)).over(W.partitionBy("series")))
+    ends_left, ends_right = (F.col("lag") <= 1) | (F.col("before") > F.col("r")), F.col("after").isNull() | (F.col("after") > F.col("r"))
+    a = a.withColumn("lo", F.last(F.when(ends_left, F.col("r")), True).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    a = a.withColumn("hi", F.first(F.when(ends_right, F.col("r")), True).over(by.rowsBetween(1, W.unboundedFollowing)))
+    p = a.where((F.col("lag") >= min_lag) & (F.col("r") > F.col("before")) & (F.col("r") >= F.col("after")) & (F.col("r") > 0))
+    p = p.withColumn("prominence", F.round(F.col("r") - F.greatest("lo", "hi"), 6))
+    best = p.groupBy("series").agg(F.max(F.struct("prominence", (-F.col("lag")).alias("neg"))).alias("b")).select("series", (-F.col("b.neg")).alias("best"), F.col("b.prominence").alias("prominence"))
+    c = p.select("series", "lag", "lags", F.col("prominence").alias("own")).join(best, "series")
+    k = F.bround(F.col("best") / F.col("lag"))
+    c = c.where((F.col("lag") < F.col("best")) & (F.col("own") >= 0.5 * F.col("prominence")) & (k >= 2) & (F.abs(F.col("best") - k * F.col("lag")) <= tol) & (2 * F.col("lag") < F.col("lags")))
+    second = p.select("series", F.col("lag").alias("lag2"))
+    h = c.select("series", "lag").join(second, "series").where(F.abs(F.col("lag2") - 2 * F.col("lag")) <= tol).groupBy("series").agg(F.min("lag").alias("sub"))
     out = acf.select("series").distinct().join(best, "series", "left").join(h, "series", "left")
     return out.select("series", F.coalesce("sub", "best").alias("period"), "prominence")
 
@@ -76,18 +75,20 @@ def fold_fraction(frames: DataFrame, period: float, buckets: int) -> DataFrame:
 
 
 def pulse_diagnose(folded: DataFrame, buckets: int) -> DataFrame:
-    """Per series what its folded curve says: starved buffer, drift, starved key frame, low key frame, or nothing.
+    """Per series what its folded curve says: VBV starvation, normal drift, starved key frame, low IDR, or no clear shape.
 
-    The first bucket holds the key frame; sixths of the curve stand for its start and end.
+    The first bucket holds the key frame. What counts is whether it stands over the mean, where the sixth after it
+    stands, and whether the last sixth has recovered from that.
     """
-    k = max(1, buckets // 6)
+    k = max(2, buckets // 6)
     a = folded.groupBy("series").agg(
-        F.avg("mean").alias("all"), F.avg(F.when(F.col("bucket") == 0, F.col("mean"))).alias("idr"), F.avg(F.when(F.col("bucket").between(1, k), F.col("mean"))).alias("head"),
-        F.avg(F.when(F.col("bucket") >= buckets - k, F.col("mean"))).alias("tail"), (F.max("mean") - F.min("mean")).alias("amplitude"),
+        F.avg("mean").alias("all"), F.max(F.when(F.col("bucket") == 0, F.col("mean"))).alias("idr"), F.avg(F.when(F.col("bucket").between(1, k - 1), F.col("mean"))).alias("after"),
+        F.avg(F.when(F.col("bucket") >= buckets - k, F.col("mean"))).alias("late"), (F.max("mean") - F.min("mean")).alias("amplitude"),
     )
-    low_idr, falls = F.col("idr") < F.col("all") - 0.5, F.col("tail") < F.col("head") - 0.5
-    verdict = F.when(F.col("amplitude") < 0.5, "none").when(low_idr & ~falls & (F.col("head") < F.col("all")), "starved key frame").when(falls & ~low_idr, "normal drift").when(low_idr & falls, "VBV starvation").when(low_idr, "low IDR").otherwise("none")
-    return a.select("series", F.round("amplitude", 4).alias("amplitude"), F.round(F.col("idr") - F.col("all"), 4).alias("idr_delta"), F.round(F.col("tail") - F.col("head"), 4).alias("drift"), verdict.alias("verdict"))
+    every, idr, after, late = (F.col(c) for c in ("all", "idr", "after", "late"))
+    verdict = F.when(F.lit(buckets < 6), "too short").when((idr > every) & (after < every) & (late > after), "VBV starvation").when((idr > every) & (after > every) & (late < after), "normal drift")
+    verdict = verdict.when((idr < every) & (late > every), "starved key frame").when(idr < every, "low IDR").otherwise("no clear shape")
+    return a.select("series", F.round("amplitude", 6).alias("amplitude"), F.round(idr - every, 6).alias("idr_delta"), F.round(late - after, 6).alias("recovery"), verdict.alias("verdict"))
 
 
 def permutation_significance(frames: DataFrame, max_lag: int, trials: int = 20, seed: int = 1, value: str = "score") -> DataFrame:

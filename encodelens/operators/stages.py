@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from encodelens.functions.scalars import basename, phase_key, stage_codec
+from encodelens.functions.scalars import basename, phase_key, seed_speed, stage_codec
 
 # Ranks of stage states; interrupts may follow any state but a final one.
 RANK = {"pending": 0, "queued": 1, "starting": 2, "running": 3, "reclaimed": 3, "failed": 4, "done": 5}
@@ -84,9 +84,10 @@ def _fold(acc: Column, e: Column) -> Column:
     """One transition on a key's state; acc holds the state and the list of decisions."""
     old, new = acc["status"], e["status"]
     walks_back = (rank(new) < rank(old)) & (old != "failed") & ~new.isin(*INTERRUPTS)
-    refused = (old == "done") & (new != "done") | walks_back
+    refused = F.coalesce((old == "done") & (new != "done") | walks_back, F.lit(False))
     percent = F.coalesce(e["percent"], acc["percent"])
-    percent = F.when((old == new) & (percent < acc["percent"]), acc["percent"]).otherwise(percent)
+    falls = F.coalesce((old == new) & (new != "done") & (percent < acc["percent"]), F.lit(False))
+    percent = F.when(falls, acc["percent"]).otherwise(percent)
     status = F.when(refused, old).otherwise(new)
     percent = F.when(refused, acc["percent"]).otherwise(percent)
     row = F.struct(e["seq"].alias("seq"), e["src"].alias("src"), (~refused).alias("accepted"), status.alias("status"), percent.alias("percent"))
@@ -101,10 +102,11 @@ def stage_state_fold(events: DataFrame) -> DataFrame:
     """Each transition with whether it is accepted, and the state of its key after it.
 
     A done stage stays done; a lower rank is refused unless the stage had failed or is interrupted; an unknown percent
-    carries the last one; within a state the percent never falls. Events of a key fold in seq order.
+    carries the last one (0 at first); within a state that is not done the percent never falls. Events of a key fold
+    in seq order.
     """
     rows = F.array_sort(F.collect_list(F.struct("seq", "status", "percent", "src")))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(None).cast("double").alias("percent"), F.array().cast("array<struct<seq bigint, src string, accepted boolean, status string, percent double>>").alias("rows"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0.0).alias("percent"), F.array().cast("array<struct<seq bigint, src string, accepted boolean, status string, percent double>>").alias("rows"))
     folded = events.groupBy("key").agg(F.aggregate(rows, start, _fold)["rows"].alias("rows"))
     out = folded.select("key", F.inline("rows"))
     return out.withColumn("width", rendered_width(F.col("status"), F.col("percent")))
@@ -118,17 +120,20 @@ def width_regressions(folded: DataFrame, least: float = 0.05) -> DataFrame:
 
 
 def weighted_progress(stages: DataFrame, pipeline_share: float = 0.1) -> DataFrame:
-    """Per job the percent done: variants weighted by pixels as work, and the pipeline with a tenth of their mean weight."""
-    pct = F.when(F.col("status") == "done", 100.0).when(F.col("status") == "running", F.col("percent")).otherwise(0.0)
+    """Per job the percent done: variants weighted by the inverse of their seed speed, the pipeline with a tenth of all.
+
+    output_progress is the plain mean over variants; has_eta tells whether the rest can be estimated from it.
+    """
+    pct = F.when(F.col("status") == "done", 100.0).when(F.col("status") == "failed", 0.0).otherwise(F.coalesce("percent", F.lit(0.0)))
     s = stages.withColumn("codec", stage_codec("key")).withColumn("pct", pct)
     v = s.where(F.col("codec").isNotNull()).groupBy("job", "codec", "height").agg(F.avg("pct").alias("pct"))
-    w = F.col("height") * F.col("height") / 1e6
-    v = v.groupBy("job").agg(F.sum(w * F.col("pct")).alias("vp"), F.sum(w).alias("vw"))
+    w = 1 / seed_speed(F.col("codec"), F.col("height"), F.lit(False), F.lit("medium"), F.lit(30), F.lit(""))
+    v = v.groupBy("job").agg(F.sum(w * F.col("pct")).alias("vp"), F.sum(w).alias("vw"), F.avg("pct").alias("out"))
     p = s.where(F.col("codec").isNull()).groupBy("job").agg(F.avg("pct").alias("pp"))
     pw = F.col("vw") * pipeline_share
     out = v.join(p, "job", "full_outer")
     total = F.when(F.col("vw").isNull(), F.col("pp")).when(F.col("pp").isNull(), F.col("vp") / F.col("vw")).otherwise((F.col("vp") + F.col("pp") * pw) / (F.col("vw") + pw))
-    return out.select("job", F.round(total, 4).alias("progress"), ((total > 1) & (total < 99.5)).alias("has_eta"))
+    return out.select("job", F.round(total, 6).alias("progress"), F.round("out", 6).alias("output_progress"), ((total > 1) & (total < 99.5)).alias("has_eta"))
 
 
 def union_history(archived: DataFrame, current: DataFrame) -> DataFrame:

@@ -174,12 +174,13 @@ def _(v):
 
 
 @query("O28_ladder_constraints", """
-with r as (select ladder, codec, pos, width, height, kbps - 2000 as kbps from rungs)
+with r as (select ladder, codec, pos, kbps - 2000 as kbps from rungs)
 select ladder, codec, pos, 'rate' as rule from r where kbps <= 0
-union all select ladder, codec, pos, 'size' from r where width <= 0 or height <= 0
-union all select ladder, codec, pos, 'odd_size' from r where width % 2 <> 0 or height % 2 <> 0""")
+union all select ladder, codec, pos, 'passes' from r where pos % 4 in (0, 3)
+union all select ladder, codec, pos, 'extra_args' from r where pos % 5 = 0""")
 def _(v):
-    return ladders.ladder_constraints(v.rungs.withColumn("kbps", F.col("kbps") - 2000))
+    args = F.when(F.col("pos") % 5 == 0, "-x264-params a=1; rm").when(F.col("pos") % 5 == 1, "-tune film")
+    return ladders.ladder_constraints(v.rungs.withColumn("kbps", F.col("kbps") - 2000).withColumn("passes", F.col("pos") % 4).withColumn("extra_args", args))
 
 
 _RATES = ", ".join(f"('{a}', '{b}', {c}, {d}, {e!r}::double)" for a, b, c, d, e in ladders.RATES)
@@ -195,14 +196,14 @@ def _(v):
 
 
 JOINED = """
-, rq as (select q.request, q.duration, q.fps, q.two_pass, q.ladder, r.codec, r.pos, r.width, r.height, r.kbps from requests q join rungs r using (ladder) where r.width <= q.src_width)
+, rq as (select q.request, q.duration, q.fps, q.two_pass, q.src_mbps, q.ladder, r.codec, r.pos, r.width, r.height, r.kbps from requests q join rungs r using (ladder) where r.width <= q.src_width)
 """
 
 
 @query("O72_saas_quote", RATED + JOINED + """
-, t as (select q.request, q.duration, q.fps, q.kbps, tr.vendor, tr.usd_min from rq q join tr using (ladder, codec, pos)),
-s as (select request, duration, vendor, sum(usd_min * case when vendor = 'commercial' then 1 else greatest(ceil(fps / 30), 1) end
-        * case when vendor = 'bitmovin' and kbps / 1000 > 50 then 1 + 0.25 * ceil((kbps / 1000 - 50) / 50) else 1 end + case when vendor = 'commercial' then 0.003 else 0 end) as a, count(*) as rungs from t group by all)
+, t as (select q.request, q.duration, q.fps, q.two_pass, q.src_mbps, tr.vendor, tr.usd_min from rq q join tr using (ladder, codec, pos)),
+s as (select request, duration, vendor, sum(usd_min * case when vendor = 'commercial' then greatest(ceil(fps / 30), 1) * case when src_mbps > 50 then 1 + 0.25 * ceil((src_mbps - 50) / 50) else 1 end
+        when vendor = 'mediaconvert' and fps > 30 then 2 when vendor = 'bitmovin' and two_pass then 1.25 else 1 end + case when vendor = 'commercial' then 0.003 else 0 end) as a, count(*) as rungs from t group by all)
 select request, vendor, rungs, round((a + case vendor when 'commercial' then 0.001 when 'coconut' then 0.00325 else 0 end) * duration / 60, 4) as usd from s""")
 def _(v):
     return ladders.saas_quote(ladders.resolve_rungs(v.rungs, v.requests), ladders.rates(v.spark))
@@ -365,10 +366,10 @@ def _(v):
 
 @query("O94_padding_keyint_snap", """
 select request, greatest(round_even(fps * (1 + plan * 0.5), 0), 1)::int as keyint, greatest(round(duration / 6.0), 1) * 6.0 as snapped, lcm(6000, fps * 100)::bigint as grid_ms,
-       (lcm(6000, fps * 100) - (duration * 1000)::bigint % lcm(6000, fps * 100)) % lcm(6000, fps * 100) as pad_ms from (select * replace (floor(duration) as duration) from requests)""")
+       case when (duration * 1000)::bigint % lcm(6000, fps * 100) <= 500 then 0 else lcm(6000, fps * 100) - (duration * 1000)::bigint % lcm(6000, fps * 100) end::bigint as pad_ms from (select * replace (floor(duration) as duration) from requests)""")
 def _(v):
     q = v.requests.withColumn("duration", F.floor("duration").cast("double")).withColumn("g", S.lcm(F.lit(6000), F.col("fps") * 100))
-    pad = F.pmod(F.col("g") - F.pmod((F.col("duration") * 1000).cast("long"), F.col("g")), F.col("g"))
+    pad = S.padding((F.col("duration") * 1000).cast("long"), F.col("g"))
     return q.select("request", S.keyint(F.col("fps"), 1 + F.col("plan") * 0.5).alias("keyint"), S.snap(F.col("duration"), F.lit(6.0)).alias("snapped"), F.col("g").alias("grid_ms"), pad.alias("pad_ms"))
 
 

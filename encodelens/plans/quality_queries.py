@@ -159,9 +159,16 @@ def _(v):
     return series.autocorrelation(v.frames, 12, "score")
 
 
-@query("O99_fundamental_period")
+@query("O99_fundamental_period", ACF.replace("range(0, 13)", "range(0, 25)") + """
+, w as (select *, lag(r) over o as b, lead(r) over o as a, count(*) over (partition by series) as lags from acf window o as (partition by series order by lag)),
+p0 as (select series, lag, lags, r, (select x.r from w x where x.series = w.series and x.lag < w.lag and (x.lag <= 1 or x.b > x.r) order by x.lag desc limit 1) as lo,
+   (select x.r from w x where x.series = w.series and x.lag > w.lag and (x.a is null or x.a > x.r) order by x.lag limit 1) as hi from w where lag >= 2 and r > b and r >= a and r > 0),
+p as (select *, round(r - greatest(lo, hi), 6) as prominence from p0),
+best as (select series, -(max({'p': prominence, 'l': -lag}).l) as best, max(prominence) as prominence from p group by series),
+c as (select p.series, min(p.lag) as sub from p join best using (series) where p.lag < best and p.prominence >= 0.5 * best.prominence and round_even(best / p.lag, 0) >= 2
+   and abs(best - round_even(best / p.lag, 0) * p.lag) <= 2 and 2 * p.lag < lags and exists (select 1 from p q where q.series = p.series and abs(q.lag - 2 * p.lag) <= 2) group by p.series)
+select s.series, coalesce(sub, best) as period, prominence from (select distinct series from acf) s left join best using (series) left join c using (series)""")
 def _(v):
-    """Peaks and prominence without a twin; tests plant a period and look for it."""
     return series.fundamental_period(series.autocorrelation(v.frames, 24, "score"))
 
 
@@ -183,10 +190,10 @@ def _(v):
 
 @query("O96_pulse_diagnose", FOLD + """
 , m as (select series, bucket, m as mean from w where n = 6),
-a as (select series, avg(mean) as al, avg(mean) filter (where bucket = 0) as idr, avg(mean) filter (where bucket between 1 and 1) as head, avg(mean) filter (where bucket >= 5) as tail, max(mean) - min(mean) as amp from m group by series)
-select series, round(amp, 4) as amplitude, round(idr - al, 4) as idr_delta, round(tail - head, 4) as drift,
-       case when amp < 0.5 then 'none' when idr < al - 0.5 and not tail < head - 0.5 and head < al then 'starved key frame' when tail < head - 0.5 and not idr < al - 0.5 then 'normal drift'
-            when idr < al - 0.5 and tail < head - 0.5 then 'VBV starvation' when idr < al - 0.5 then 'low IDR' else 'none' end as verdict from a""")
+a as (select series, avg(mean) as al, max(mean) filter (where bucket = 0) as idr, avg(mean) filter (where bucket = 1) as after, avg(mean) filter (where bucket >= 4) as late, max(mean) - min(mean) as amp from m group by series)
+select series, round(amp, 6) as amplitude, round(idr - al, 6) as idr_delta, round(late - after, 6) as recovery,
+       case when idr > al and after < al and late > after then 'VBV starvation' when idr > al and after > al and late < after then 'normal drift'
+            when idr < al and late > al then 'starved key frame' when idr < al then 'low IDR' else 'no clear shape' end as verdict from a""")
 def _(v):
     return series.pulse_diagnose(series.fold_fraction(v.frames, 7.5, 6), 6)
 

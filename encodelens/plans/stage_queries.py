@@ -43,8 +43,8 @@ def _(v):
 
 @query("O04_classify_marker", r"""
 with m as (select raw, nullif(regexp_extract(raw, '^\[\[ENCODER-(\w+)', 1), '') as kind from markers)
-select kind, case when kind in ('STAGE', 'PLAN', 'FILE') then 'live' when kind = 'FLEET' then 'gauge' when kind is not null then 'record' end as marker_class,
-       coalesce(kind = 'FLEET' or kind = 'STAGE' and contains(raw, 'status=running') and contains(raw, 'percent='), false) as is_heartbeat, count(*) as n
+select kind, case when kind = 'STAGE' then 'live' when kind = 'FLEET' then 'gauge' when kind is not null then 'record' end as marker_class,
+       coalesce(kind = 'FLEET' or kind = 'STAGE' and contains(raw, 'status=running') and contains(raw, 'percent=') and not contains(raw, 'percent=0.0]') and not contains(raw, 'percent=100.0]'), false) as is_heartbeat, count(*) as n
 from m group by all""")
 def _(v):
     m = markers.classify_marker(markers.parse_marker(v.markers))
@@ -147,12 +147,12 @@ def _(v):
 
 
 @query("O76_weighted_progress", """
-with s as (select *, case status when 'done' then 100.0 when 'running' then percent else 0 end as pct from stages),
-v as (select job, split_part(key, ':', 2) as codec, height, avg(pct) as pct from s where key like 'encode:%' group by all),
-w as (select job, sum(height * height / 1e6 * pct) as vp, sum(height * height / 1e6) as vw from v group by job),
+with s as (select *, case status when 'done' then 100.0 when 'failed' then 0 else percent end as pct, case when key like 'encode:h264%' then 1.5 when key like 'encode:hevc%' then 0.14 else 0.1 end as base from stages),
+v as (select job, split_part(key, ':', 2) as codec, height, base, avg(pct) as pct from s where key like 'encode:%' group by all),
+w as (select job, sum(pct * height * height / (base * 1166400)) as vp, sum(height * height / (base * 1166400)) as vw, avg(pct) as outp from v group by job),
 p as (select job, avg(pct) as pp from s where key not like 'encode:%' group by job),
-t as (select job, case when vw is null then pp when pp is null then vp / vw else (vp + pp * vw * 0.1) / (vw + vw * 0.1) end as x from w full join p using (job))
-select job, round(x, 4) as progress, x > 1 and x < 99.5 as has_eta from t""")
+t as (select job, outp, case when vw is null then pp when pp is null then vp / vw else (vp + pp * vw * 0.1) / (vw + vw * 0.1) end as x from w full join p using (job))
+select job, round(x, 6) as progress, round(outp, 6) as output_progress, x > 1 and x < 99.5 as has_eta from t""")
 def _(v):
     return stages.weighted_progress(v.stages)
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Which marker kinds are progress events and which are gauges; every other kind is a record.
-LIVE = ("STAGE", "PLAN", "FILE")
+# Which marker kinds the next one supersedes and which are gauges; every other kind is a record.
+LIVE = ("STAGE",)
 GAUGE = ("FLEET",)
 #: Kinds with typed fields of their own; register_marker adds to them.
 FIELDS: dict[str, T.StructType] = {}
@@ -55,11 +55,14 @@ def field(name: str, kind: str = "string"):
     return F.try_element_at("kv", F.lit(name)).try_cast(kind)
 
 
-def classify_marker(df: DataFrame, kind: str = "kind") -> DataFrame:
-    """df with marker_class (live, gauge, record; unknown kinds are records) and is_heartbeat."""
+def classify_marker(df: DataFrame, kind: str = "kind", raw: str = "raw") -> DataFrame:
+    """df with marker_class (live, gauge, record; unknown kinds are records) and is_heartbeat.
+
+    A heartbeat tells how far a stage is, neither at its start nor at its end, or is a gauge.
+    """
     k = F.col(kind)
     of = F.when(k.isin(*LIVE), "live").when(k.isin(*GAUGE), "gauge").when(k.isNotNull(), "record")
-    beat = (k == "STAGE") & (field("status") == "running") & field("percent").isNotNull() | k.isin(*GAUGE)
+    beat = F.col(raw).rlike(r"^\[\[ENCODER-STAGE key=\S+ status=running percent=(?!0\.0\]|100\.0\])") | k.isin(*GAUGE)
     return df.withColumn("marker_class", of).withColumn("is_heartbeat", F.coalesce(beat, F.lit(False)))
 
 

@@ -80,14 +80,14 @@ def stage_fold_stream(events: DataFrame) -> DataFrame:
     schema = "key string, seq long, src string, accepted boolean, status string, percent double"
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, pct = state.get if state.exists else ("pending", None)
+        old, pct = state.get if state.exists else (None, 0.0)
         rows = []
         for seq, new, p, src in pd.concat(list(parts)).sort_values("seq")[["seq", "status", "percent", "src"]].itertuples(index=False):
-            back = RANK.get(new, 0) < RANK.get(old, 0) and old != "failed" and new not in INTERRUPTS
+            back = old is not None and RANK.get(new, 0) < RANK.get(old, 0) and old != "failed" and new not in INTERRUPTS
             ok = not (old == "done" and new != "done" or back)
             if ok:
                 p = pct if pd.isna(p) else p
-                pct = pct if old == new and p is not None and pct is not None and p < pct else p
+                pct = pct if old == new != "done" and p < pct else p
                 old = new
             rows.append((key[0], seq, src, ok, old, pct))
         state.update((old, pct))
