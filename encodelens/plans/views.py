@@ -41,7 +41,7 @@ VIEWS = {
                     when l_discount = 0.1 then 'failed' else 'done' end as status,
                {_HEIGHT} as height, l_suppkey as instance, l_extendedprice as cpu_s,
                l_extendedprice * (1 - l_discount) as worker_s, l_partkey % 4096 as peak_mib, l_quantity as percent,
-               (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey as seq
+               ((l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + cast(l_quantity as bigint) as seq
         from lineitem join orders on l_orderkey = o_orderkey""",
     "samples": """
         select event_id as seq, user_id as machine, user_id % 4 as fleet, EPOCH(ts) as ts, value as busy, DOUBLE(50) as perf,
