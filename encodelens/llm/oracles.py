@@ -98,3 +98,68 @@ select doc_id, source, size, total::bigint as source_size, target,
        (least(3, whole + case when extra - before > size / 2.0 then 1 else 0 end) * size)::bigint as taken
 from x
 """
+
+
+def _curve_sql() -> str:
+    """CTEs from `levels` (cell, l0 to l3, of 16 levels each) to `curve` (cell, place): the steps of the curve, one by one."""
+    parts, at = [], "levels"
+    for b in (3, 2, 1):
+        low = (1 << b) - 1
+        for i in range(4):
+            name = f"h{b}{i}"
+            if i == 0:
+                new = f"case when (l0 >> {b}) & 1 = 1 then xor(l0, {low}) else l0 end as l0, l1, l2, l3"
+            else:
+                one = f"(l{i} >> {b}) & 1 = 1"
+                swap = f"xor(l0, l{i}) & {low}"
+                first = f"case when {one} then xor(l0, {low}) else xor(l0, {swap}) end as l0"
+                rest = ", ".join(f"case when {one} then l{j} else xor(l{j}, {swap}) end as l{j}" if j == i else f"l{j}" for j in (1, 2, 3))
+                new = f"{first}, {rest}"
+            parts.append(f"{name} as (select cell, {new} from {at})")
+            at = name
+    parts.append(f"g as (select cell, l0, xor(l0, l1) as l1, xor(xor(l0, l1), l2) as l2, xor(xor(xor(l0, l1), l2), l3) as l3 from {at})")
+    turn = "xor(xor(case when (l3 >> 3) & 1 = 1 then 7 else 0 end, case when (l3 >> 2) & 1 = 1 then 3 else 0 end), case when (l3 >> 1) & 1 = 1 then 1 else 0 end)"
+    parts.append(f"t as (select cell, xor(l0, t) as l0, xor(l1, t) as l1, xor(l2, t) as l2, xor(l3, t) as l3 from (select *, {turn} as t from g))")
+    place = " + ".join(f"((l{i} >> {b}) & 1) * {1 << (4 * b + 3 - i)}" for b in (3, 2, 1, 0) for i in range(4))
+    parts.append(f"curve as (select cell, {place} as place from t)")
+    return ",\n".join(parts)
+
+
+def _level_sql(c: str) -> tuple[str, str]:
+    """How many hex digits a string column's least and greatest value share, and a value's level between them by six bytes behind those."""
+    shared = f"(select coalesce(max(n), 0) from (select unnest(range(1, least(length(lo_{c}), length(hi_{c})) + 1)) as n, lo_{c} as x, hi_{c} as y from ends) where substr(x, 1, n) = substr(y, 1, n))"
+    number = lambda v: f"('0x' || rpad(substr({v}, skip_{c} + 1, 12), 12, '0'))::bigint"
+    return shared, f"case when {c} is null or {number(f'hi_{c}')} = {number(f'lo_{c}')} then 0 else least(greatest(floor(({number(f'hex_{c}')} - {number(f'lo_{c}')}) * 16 / ({number(f'hi_{c}')} - {number(f'lo_{c}')} + 1)), 0), 15) end::int"
+
+
+def _shards() -> str:
+    (skip_a, level_a), (skip_b, level_b) = _level_sql("a"), _level_sql("b")
+    table = "[" + ", ".join(str(_crc(n)) for n in range(256)) + "]"
+    return rf"""
+with rows0 as (
+  select doc_id, coalesce(text, '') as body, source as a, lang as b, hex(encode(coalesce(source, ''))) as hex_a, hex(encode(coalesce(lang, ''))) as hex_b from documents
+), sized as (
+  select *, octet_length(encode(body)) + 8 as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda acc, x: xor(acc >> 8, ({table})[(xor(acc, x) & 255) + 1])), 4294967295::bigint) as text_crc32
+  from rows0
+), ends as (
+  select hex(encode(min(a))) as lo_a, hex(encode(max(a))) as hi_a, hex(encode(min(b))) as lo_b, hex(encode(max(b))) as hi_b, min(doc_id)::double as lo, max(doc_id)::double as hi, count(*) as n from rows0
+), skips as (select {skip_a} // 2 * 2 as skip_a, {skip_b} // 2 * 2 as skip_b), placed as (
+  select doc_id, size, text_crc32, ((doc_id % 256) + 256) % 256 as part, n, least(greatest(length(bin(size)) - 4, 0), 15)::int as l0, {level_a} as l1, {level_b} as l2,
+    coalesce(floor((doc_id::double - lo) * 16 / (hi - lo + 1)), 0)::int as l3 from sized, ends, skips
+), celled as (select *, ((l0 * 16 + l1) * 16 + l2) * 16 + l3 as cell from placed), levels as (select distinct cell, l0, l1, l2, l3 from celled),
+{_curve_sql()}, ranked as (
+  select c.*, row_number() over (order by place, part, doc_id, size, text_crc32) - 1 as rank from celled c join curve using (cell)
+)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'rows' as law, (rank * 24 // n)::int as shard, (rank - ((rank * 24 // n) * n + 23) // 24)::bigint as slot, null::int as grown_shard from ranked
+"""
+
+
+def _crc(n: int) -> int:
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+SHARDS = _shards()

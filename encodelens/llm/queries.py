@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from encodelens.llm import bpe, hilbert, htmltext, langid, linededup, mixing, quality, simhash, tokenfiles, vectors
 from encodelens.llm.common import scratch, small_batches, table
-from encodelens.llm.oracles import LINE_DEDUP, MIXING, QUALITY
+from encodelens.llm.oracles import LINE_DEDUP, MIXING, QUALITY, SHARDS
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_main_text": op10_html_main_text,
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY, "op6_line_dedup": LINE_DEDUP, "op8_entropy_mix": MIXING}
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_hilbert_shards": SHARDS, "op6_line_dedup": LINE_DEDUP, "op8_entropy_mix": MIXING}
