@@ -23,7 +23,7 @@ CONTAINER = frozenset("article main section div body td blockquote center detail
 #: Roles and words in class names and ids of what is no article text.
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 SIDE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr "
+    "ad adbox ads adslot adunit advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr "
     "header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related recommended replies respond "
     "rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets hidden sidenav reply responses copyright alert overlay teaser".split()
 )
@@ -41,13 +41,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _aside(tag: str, attr: dict[str, str]) -> bool:
-    """Whether an element holds none of the article's text, by its kind, role, class, id or being hidden."""
+def _aside(tag: str, attr: dict[str, str], names: bool = True) -> bool:
+    """Whether an element holds none of the article's text, by its kind, role, being hidden, and class and id names."""
     if tag in OUT or "hidden" in attr or attr.get("aria-hidden") == "true" or attr.get("role", "").lower() in ROLES:
         return True
     if "display:none" in attr.get("style", "").replace(" ", "").lower():
         return True
-    if tag in ("article", "main", "body", "html"):
+    if tag in ("article", "main", "body", "html") or not names:
         return False
     named = f"{attr.get('class', '')} {attr.get('id', '')}"
     return named != " " and any(w.lower() in SIDE for w in _WORD.findall(named))
@@ -59,10 +59,11 @@ def general(tag: str, attr: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def blocks(html: str | None) -> Iterator[tuple[str, str, int]]:
+def blocks(html: str | None, names: bool = True) -> Iterator[tuple[str, str, int]]:
     """(path, text, link characters) of each block of text outside scripts, menus and the like, in page order.
 
-    The path names the containers around the block, from the outermost in, as generalised tag-class steps.
+    The path names the containers around the block, from the outermost in, as generalised tag-class steps. With
+    names=False class and id names put no element aside.
     """
     if not html:
         return
@@ -127,7 +128,7 @@ def blocks(html: str | None) -> Iterator[tuple[str, str, int]]:
             if tag in VOID or raw.endswith("/") and tag not in BLOCK:
                 continue
             attr = _attributes(raw)
-            aside = _aside(tag, attr) or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
+            aside = _aside(tag, attr, names) or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
             off += aside
             stack.append((tag, general(tag, attr), aside))
         elif m[1]:
@@ -147,10 +148,21 @@ def blocks(html: str | None) -> Iterator[tuple[str, str, int]]:
         yield b
 
 
-def scores(html: str | None) -> dict[str, float]:
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
+
+
+def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
+    """blocks(), and once more without regard to names if an article or main element lies under one put aside by name."""
+    found = list(blocks(html))
+    if not found and html and _ARTICLE.search(html):
+        found = [b for b in blocks(html, names=False) if re.search(r"(?:^|/)(?:article|main)(?=[./]|$)", b[0])]
+    return found
+
+
+def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     """Per container path, the characters of running text directly in it, less three times those in links."""
     out: dict[str, float] = {}
-    for path, text, links in blocks(html):
+    for path, text, links in found:
         out[path] = out.get(path, 0.0) + len(text) - 3 * links
     return out
 
@@ -175,13 +187,10 @@ def best_path(found: dict[str, float]) -> str | None:
 
 def extract(html: str | None, root: str | None) -> str:
     """The text blocks under a host's container path, joined by blank lines; by the page's own vote if it has none there."""
-    found = list(blocks(html))
+    found = page_blocks(html)
     kept = [t for p, t, _ in found if root is not None and under(p, root)]
     if not kept:
-        own: dict[str, float] = {}
-        for p, t, n in found:
-            own[p] = own.get(p, 0.0) + len(t) - 3 * n
-        root = best_path(own)
+        root = best_path(scores(found))
         kept = [t for p, t, _ in found if root is not None and (under(p, root) or not root)]
     return "\n\n".join(kept)
 
@@ -198,7 +207,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for b in batches:
             votes: dict[tuple[str, str], int] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                path = best_path(scores(html))
+                path = best_path(scores(page_blocks(html)))
                 if path is not None:
                     votes[host, path] = votes.get((host, path), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "n"])

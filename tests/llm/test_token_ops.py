@@ -175,6 +175,8 @@ def test_page():
     want = "The & title\n\nFirst bold text. here\n\nSecond <p>\n\none\n\ntwo"
     assert htmltext.extract(PAGE, "body/article.post-#") == want
     assert htmltext.extract(PAGE, None) == want and htmltext.extract(PAGE, "body/div.other") == want
+    named = '<body><div class="page-header-layout"><article><p>Here it is.</p></article><p>Not this</p></div></body>'
+    assert htmltext.extract(named, None) == "Here it is." and htmltext.extract('<div class="comments"><p>Hi</p></div>', None) == ""
     assert htmltext.extract(None, None) == "" and htmltext.extract("", "x") == "" and htmltext.extract("<nav>a</nav>", None) == ""
 
 
