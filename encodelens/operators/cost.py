@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encodelens.functions import scalars as S
+from encodelens.operators.ranks import index_marks
 
 #: Fixed values of the overhead model: assumed edge seconds and packing, their bounds, and the runs looked at.
 EDGE_S, PACKING, LEAST_PACKING, MOST_IDLE, LAST_RUNS, FLEET_CAP = 116.0, 0.91, 0.25, 0.85, 10, 48
@@ -100,16 +101,12 @@ def timing_cold_warm(jobs: DataFrame) -> DataFrame:
 def thread_load(jobs: DataFrame) -> DataFrame:
     """Per codec: CPU over phase wall, mean concurrency, and the 10, 50 and 90 % marks of CPU per encode second.
 
-    A mark is the ratio at index floor(p * n) of the sorted ratios, from ranks, so no codec's ratios are collected.
+    A mark is the ratio at index floor(p * n) of the sorted ratios; only the buckets that hold a mark are sorted.
     """
-    r = F.col("cpu_s") / F.nullif(F.col("encode_s"), F.lit(0.0))
-    j = jobs.where("stop_s is not null").withColumn("ratio", r).where("ratio is not null")
-    n = j.groupBy("codec").agg(F.count(F.lit(1)).alias("n"), F.sum("cpu_s").alias("cpu"), F.sum("encode_s").alias("enc"), (F.max("stop_s") - F.min("start_s")).alias("wall"))
-    ranked = j.select("codec", "ratio").groupBy("codec", "ratio").agg(F.count(F.lit(1)).alias("c"))
-    ranked = ranked.withColumn("through", F.sum("c").over(W.partitionBy("codec").orderBy("ratio"))).join(F.broadcast(n.select("codec", "n")), "codec")
-    at = lambda p: F.min(F.when(F.col("through") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("ratio")))
-    marks = ranked.groupBy("codec").agg(*[F.round(at(p), 4).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
-    return n.join(marks, "codec").select("codec", "n", F.round(F.col("cpu") / F.col("wall"), 4).alias("load"), F.round(F.col("enc") / F.col("wall"), 4).alias("concurrency"), "p10", "p50", "p90")
+    j = jobs.where("stop_s is not null").withColumn("ratio", F.col("cpu_s") / F.nullif(F.col("encode_s"), F.lit(0.0))).where("ratio is not null")
+    n = j.groupBy("codec").agg(F.sum("cpu_s").alias("cpu"), F.sum("encode_s").alias("enc"), (F.max("stop_s") - F.min("start_s")).alias("wall"))
+    marks = index_marks(j, "codec", "ratio", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return n.join(marks, "codec").select("codec", "n", F.round(F.col("cpu") / F.col("wall"), 4).alias("load"), F.round(F.col("enc") / F.col("wall"), 4).alias("concurrency"), *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
 
 
 def overlapping_runs(samples: DataFrame, key: str = "account") -> DataFrame:

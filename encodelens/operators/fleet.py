@@ -167,7 +167,7 @@ def active_jobs_order(jobs: DataFrame) -> DataFrame:
 
 def volumes_view(volumes: DataFrame, instances: DataFrame, prices: DataFrame) -> DataFrame:
     """Live instances with an hourly estimate: the spot price, else the list price of the type, else 0; and loose volumes."""
-    p = instances.where("state <> 'terminated'").join(F.broadcast(prices), "type", "left")
+    p = instances.where("state <> 'terminated'").join(prices, "type", "left")
     i = p.select(F.concat(F.lit("i-"), F.col("instance")).alias("id"), F.lit("instance").alias("kind"), F.round(F.coalesce("spot_price", "list_price", F.lit(0.0)), 4).alias("hourly_usd"))
     v = volumes.where("attached is null").select(F.concat(F.lit("v-"), F.col("volume")).alias("id"), F.lit("volume").alias("kind"), F.round(F.col("gb") * 0.08 / 730, 4).alias("hourly_usd"))
     return i.unionByName(v)

@@ -89,7 +89,7 @@ def segment_regroup(urls: DataFrame) -> DataFrame:
 
 def variant_index(renditions: DataFrame, audio: DataFrame) -> DataFrame:
     """Master playlist rows: bandwidths with the audio's, codecs joined, resolution and target duration, and the line itself."""
-    j = renditions.join(F.broadcast(audio.select("output", F.col("peak").alias("a_peak"), F.col("average").alias("a_avg"), F.col("codecs").alias("a_codecs"))), "output", "left")
+    j = renditions.join(audio.select("output", F.col("peak").alias("a_peak"), F.col("average").alias("a_avg"), F.col("codecs").alias("a_codecs")), "output", "left")
     peak = F.ceil(F.col("peak") + F.coalesce("a_peak", F.lit(0.0))).cast("long")
     avg = F.ceil(F.col("average") + F.coalesce("a_avg", F.lit(0.0))).cast("long")
     codecs = F.concat_ws(",", "codecs", "a_codecs")
@@ -100,7 +100,7 @@ def variant_index(renditions: DataFrame, audio: DataFrame) -> DataFrame:
 def output_ladder(actual: DataFrame, profile: DataFrame, standard: DataFrame) -> DataFrame:
     """Per rung of an output its target (its own profile's, else the standard tier's of its height), what it has, and their ratio."""
     p = profile.select("output", "rung", F.col("kbps").alias("own"), "vmaf")
-    j = actual.join(p, ["output", "rung"], "left").join(F.broadcast(standard.select("height", F.col("kbps").alias("tier"))), "height", "left")
+    j = actual.join(p, ["output", "rung"], "left").join(standard.select("height", F.col("kbps").alias("tier")), "height", "left")
     target = F.coalesce("own", "tier")
     return j.select("output", "rung", "height", target.alias("target_kbps"), F.round("kbps", 4).alias("actual_kbps"), F.round(F.col("kbps") / target, 4).alias("share"), "vmaf")
 
