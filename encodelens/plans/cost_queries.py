@@ -328,9 +328,14 @@ def _(v):
     return ladders.chunk_budget_sweep(requested(v), budget=60)
 
 
-@query("O86_decode_bands")
+@query("O86_decode_bands", """
+with recursive r as (select ladder, codec, pos, height, width * height / 1e6 as mp, row_number() over (partition by ladder, codec order by width * height / 1e6, pos) as i from rungs where height <= 1080),
+b as (select ladder, codec, pos, height, mp, i, 0 as band, mp as used from r where i = 1
+  union all select r.ladder, r.codec, r.pos, r.height, r.mp, r.i, case when used + r.mp > 4.0 then band + 1 else band end, case when used + r.mp > 4.0 then r.mp else used + r.mp end
+  from b join r on r.ladder = b.ladder and r.codec = b.codec and r.i = b.i + 1),
+n as (select *, count(*) over (partition by ladder, codec, band) as size, row_number() over (partition by ladder, codec, band order by mp desc, pos) as rn from b)
+select ladder, codec, band, pos, height, size, rn as "at" from n where size > 1""")
 def _(v):
-    """A greedy fold per ladder, which starts anew on overflow; tests hold it against a loop."""
     return ladders.decode_bands(v.rungs)
 
 

@@ -157,13 +157,29 @@ def _(v):
     return stages.weighted_progress(v.stages)
 
 
-@query("O88_stage_state_fold")
+FOLD = """
+with recursive rk(n, r) as (values ('pending', 0), ('queued', 1), ('starting', 2), ('running', 3), ('reclaimed', 3), ('failed', 4), ('done', 5)),
+ev as (select t.*, rk.r, row_number() over (partition by key order by seq) as i from transitions t join rk on rk.n = status),
+fd as (
+  select key, seq, src, i, true as accepted, status, r, coalesce(percent, 0.0) as percent from ev where i = 1
+  union all
+  select e.key, e.seq, e.src, e.i, not x.no, case when x.no then f.status else e.status end, case when x.no then f.r else e.r end,
+    case when x.no then f.percent when e.percent is null then f.percent when f.status = e.status and e.status <> 'done' and e.percent < f.percent then f.percent else e.percent end
+  from fd f join ev e on e.key = f.key and e.i = f.i + 1,
+    lateral (select f.status = 'done' and e.status <> 'done' or e.r < f.r and f.status <> 'failed' and e.status not in ('failed', 'reclaimed') as no) x
+),
+wd as (select key, seq, src, accepted, status, percent, case when status in ('pending', 'queued', 'starting') then 0.0 when status in ('done', 'reclaimed') then 100.0 else percent end::double as width from fd)
+"""
+
+
+@query("O88_stage_state_fold", FOLD + "select * from wd")
 def _(v):
-    """Ordered and not associative, so without a twin; tests hold it against a loop and the stream."""
     return stages.stage_state_fold(v.transitions)
 
 
-@query("O116_width_regressions")
+@query("O116_width_regressions", FOLD + """
+, b as (select key, seq, src, width, lag(width) over (partition by key order by seq) as before from wd where accepted)
+select key, seq, src, before, width, width < before as backwards from b where abs(width - before) > 0.05""")
 def _(v):
     return stages.width_regressions(stages.stage_state_fold(v.transitions)).select("key", "seq", "src", "before", "width", "backwards")
 
@@ -217,9 +233,11 @@ def _(v):
     return state.late_gauge_drop(guarded(v)).select("event", "publisher")
 
 
-@query("O112_fleet_throttle")
+@query("O112_fleet_throttle", """
+with recursive one as (select machine, ts, min(seq) as seq from samples group by all),
+k as (select machine, min(ts) as ts from one group by machine union all select k.machine, min(o.ts) from k join one o on o.machine = k.machine and o.ts >= k.ts + 3600 group by k.machine)
+select machine, seq, ts from k join one using (machine, ts)""")
 def _(v):
-    """Which sample counts depends on the one before; tests hold it against a loop and the stream."""
     return fleet.fleet_throttle(v.samples, 3600).select("machine", "seq", "ts")
 
 
@@ -239,7 +257,12 @@ def _(v):
     return state.event_lag(e)
 
 
-@query("O117_heartbeat_compaction")
+@query("O117_heartbeat_compaction", """
+with e as (select publisher, seq, sent, seq % 4 <> 0 as beat, coalesce(sum(case when seq % 4 = 0 then 1 else 0 end) over (partition by publisher order by seq rows between unbounded preceding and 1 preceding), 0) as run from markers),
+s as (select *, case when beat then floor((sent - min(sent) over (partition by publisher, run)) / 3) end as own from e),
+t as (select *, coalesce(own, max(own) over (partition by publisher, run), 0) as slot from s),
+p as (select *, floor((row_number() over (partition by publisher, run, slot order by seq) - 1) / 10) as part from t)
+select publisher, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from p group by publisher, run, slot, part""")
 def _(v):
     return state.heartbeat_compaction(v.markers.withColumn("is_heartbeat", F.col("seq") % 4 != 0))
 

@@ -140,10 +140,11 @@ def with_views(sql: str) -> str:
     """DuckDB SQL that may name the views: those it names come first as common table expressions."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     rest = sql.strip()
-    heads = [f"{n} as ({body(n, 'duckdb')})" for n in used]
-    if rest.startswith("with "):
-        heads, rest = [*heads, rest[5:]], ""
-    return ("with " if heads else "") + ",\n".join(heads) + "\n" + rest
+    heads, first = [f"{n} as ({body(n, 'duckdb')})" for n in used], "with "
+    for start in ("with recursive ", "with "):
+        if rest.startswith(start):
+            heads, rest, first = [*heads, rest[len(start) :]], "", start
+    return (first if heads else "") + ",\n".join(heads) + "\n" + rest
 
 
 class Views:
