@@ -27,7 +27,7 @@ def _has_word(line: Column) -> Column:
     return F.length(F.trim(line, F.lit(SPACE))) > 0
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """(host, line_key, pages, host_pages): lines of over `ratio` of their host's pages, and of min_pages at least.
 
     A page counts once for a line, however often it holds it. A line is known by its MD5. Lines without a word are
@@ -41,7 +41,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return out.where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
     """docs with boilerplate lines cut out of their texts, and _lines and _dropped: lines with a word, and those cut.
 
     All rows stay; a text of boilerplate alone becomes empty, a null text stays null. Kept lines keep their order

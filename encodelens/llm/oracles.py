@@ -55,7 +55,7 @@ with d as (select doc_id, source, text, string_split(coalesce(text, ''), chr(10)
 ), t as (
   select source, count(*) as total from documents group by all
 ), bad as (
-  select n.source, n.line from n join t on n.source is not distinct from t.source where pages >= 5 and pages > 0.05 * total
+  select n.source, n.line from n join t on n.source is not distinct from t.source where pages >= 5 and pages > 0.1 * total
 ), k as (
   select w.*, w.word and bad.line is not null as cut
   from w left join bad on w.line = bad.line and w.source is not distinct from bad.source

@@ -215,7 +215,7 @@ def test_pipeline(spark, data):
         pages[r["source"]] = pages.get(r["source"], 0) + 1
         for line in {x for x in r["text"].split("\n") if WORD.search(x)}:
             lines[r["source"], line] = lines.get((r["source"], line), 0) + 1
-    bad = {k for k, n in lines.items() if n >= 5 and n > 0.05 * pages[k[0]]}
+    bad = {k for k, n in lines.items() if n >= 5 and n > 0.1 * pages[k[0]]}
     for r in rows:
         r["text"] = "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in bad)
     fp = {r["doc_id"]: slow_fingerprint(r["text"]) for r in rows}
