@@ -104,9 +104,9 @@ def thread_load(jobs: DataFrame) -> DataFrame:
     A mark is the ratio at index floor(p * n) of the sorted ratios; only the buckets that hold a mark are sorted.
     """
     j = jobs.where("stop_s is not null").withColumn("ratio", F.col("cpu_s") / F.nullif(F.col("encode_s"), F.lit(0.0))).where("ratio is not null")
-    n = j.groupBy("codec").agg(F.sum("cpu_s").alias("cpu"), F.sum("encode_s").alias("enc"), (F.max("stop_s") - F.min("start_s")).alias("wall"))
-    marks = index_marks(j, "codec", "ratio", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    return n.join(marks, "codec").select("codec", "n", F.round(F.col("cpu") / F.col("wall"), 4).alias("load"), F.round(F.col("enc") / F.col("wall"), 4).alias("concurrency"), *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
+    sums = {"cpu": F.sum("cpu_s"), "enc": F.sum("encode_s"), "wall": F.max("stop_s") - F.min("start_s")}
+    m = index_marks(j, "codec", "ratio", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, sums)
+    return m.select("codec", "n", F.round(F.col("cpu") / F.col("wall"), 4).alias("load"), F.round(F.col("enc") / F.col("wall"), 4).alias("concurrency"), *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
 
 
 def overlapping_runs(samples: DataFrame, key: str = "account") -> DataFrame:
