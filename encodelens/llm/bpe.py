@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from encodelens.llm.common import written
+from encodelens.llm.common import broadcast_if_small, written
 
 
 @lru_cache(maxsize=4)
@@ -94,7 +94,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     found = found.select("key", "k", "from", F.when(F.col("last"), F.lit(chunk + overlap)).otherwise(F.lit(chunk) + F.lead("from").over(by)).alias("to"))
     whole = found.groupBy("key").agg(F.max(F.col("from").isNull()).alias("whole"))
     found = written(found.join(whole, "key"), "stitches")
-    cut = chunks.join(found.where(~F.col("whole")), ["key", "k"])
+    # the stitches go to the chunks, so that texts are shuffled once; they are few bytes a chunk
+    stitches, _ = broadcast_if_small(found.where(~F.col("whole")), 120)
+    cut = chunks.join(stitches, ["key", "k"])
     cut = cut.select("key", "k", F.substr(F.col("part"), F.col("from") + 1, F.col("to") - F.col("from")).alias("piece"))
     coded = cut.mapInArrow(lambda bs: _encoded(bs, 2, path, pattern), "key string, k int, ids binary")
     # a row of the result holds one text's ids, as the row that was read held its text
