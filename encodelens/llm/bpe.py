@@ -104,7 +104,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     joined = joined.select("key", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
     unmet = found.where("whole").select("key").distinct()
     alone = keyed.join(unmet, "key", "left_semi").select("key", "text").dropDuplicates(["key"]).mapInArrow(lambda bs: _encoded(bs, 1, path, pattern), "key string, ids binary")
-    return short.unionByName(keyed.select("id", "key").join(joined.unionByName(alone), "key").select("id", "ids"))
+    # joined is dealt by key already: each join shuffles ids and keys of rows only
+    ids = keyed.select("id", "key")
+    return short.unionByName(ids.join(joined, "key").select("id", "ids")).unionByName(ids.join(alone, "key").select("id", "ids"))
 
 
 def with_decoded(tokens: DataFrame, path: str, pattern: str, id_col: str = "id") -> DataFrame:
