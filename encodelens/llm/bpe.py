@@ -102,7 +102,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     # a row of the result holds one text's ids, as the row that was read held its text
     joined = coded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))
     joined = joined.select("key", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
-    unmet = found.where("whole").select("key").distinct()
+    unmet, _ = broadcast_if_small(found.where("whole").select("key").distinct(), 120)
     alone = keyed.join(unmet, "key", "left_semi").select("key", "text").dropDuplicates(["key"]).mapInArrow(lambda bs: _encoded(bs, 1, path, pattern), "key string, ids binary")
     # joined is dealt by key already: each join shuffles ids and keys of rows only
     ids = keyed.select("id", "key")
