@@ -1,7 +1,8 @@
 """The stream side: replay guard, lateness, throttle, state folds and the upsert sink; each equals its batch form.
 
 Transport keeps the order of a publisher's messages, so events of a key come in seq order over micro-batches; within
-one micro-batch they are sorted here.
+one micro-batch they are sorted here. Processing-time timeouts make Spark run micro-batches without data, one after the
+other; with a trigger that is to end by itself, set spark.sql.streaming.noDataMicroBatches.enabled to false.
 """
 
 from __future__ import annotations

@@ -67,10 +67,16 @@ def stream_of(spark, tmp_path, df, f, parts, schema):
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     for n in range(parts):
         df.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(src)
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = f(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    assert q.exception() is None
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state store a batch
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would run empty batches for ever
+    try:
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = f(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120), "the stream did not end"
+        assert q.exception() is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.parquet(out).collect()
 
 
