@@ -117,7 +117,7 @@ def overlapping_runs(samples: DataFrame, key: str = "account") -> DataFrame:
     has = F.col("started_at").isNotNull() & F.col("ended_at").isNotNull() & (F.col("ended_at") > F.col("started_at"))
     by = W.partitionBy(key, has).orderBy("started_at", "ended_at", "run")
     before = F.max("ended_at").over(by.rowsBetween(W.unboundedPreceding, -1)) > F.col("started_at")
-    after = F.min("started_at").over(by.rowsBetween(1, W.unboundedFollowing)) < F.col("ended_at")
+    after = F.lead("started_at").over(by) < F.col("ended_at")  # in start order the next start is the least
     return samples.withColumn("overlaps", has & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))))
 
 
