@@ -27,29 +27,34 @@ def _has_word(line: Column) -> Column:
     return F.length(F.trim(line, F.lit(SPACE))) > 0
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, copies_once: bool = False) -> DataFrame:
     """(host, line_key, pages, host_pages): lines of over `ratio` of their host's pages, and of min_pages at least.
 
     A page counts once for a line, however often it holds it. A line is known by its MD5. Lines without a word are
-    no boilerplate. Counts are summed before the shuffle, so a line that all pages hold is no hot key.
+    no boilerplate. Counts are summed before the shuffle, so a line that all pages hold is no hot key. With
+    copies_once rows of one host and text are one page, so that the lines of a much copied text are no boilerplate.
     """
     pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = pages.select("host", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(_has_word(F.col("line")))
-    n = lines.groupBy("host", _key(F.col("line")).alias("line_key")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    page = [_key(F.col("text")).alias("page")] if copies_once else []
+    lines = pages.select("host", *page, F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(_has_word(F.col("line")))
+    lines, pages = lines.select("host", *["page" for _ in page], _key(F.col("line")).alias("line_key")), pages.select("host", *page)
+    if copies_once:
+        lines, pages = lines.distinct(), pages.distinct()
+    n = lines.groupBy("host", "line_key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     total = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("host_pages"))
     out = n.join(total, n["host"].eqNullSafe(total["_host"])).drop("_host")
     return out.where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, broadcast_rows: int = 500_000, copies_once: bool = False) -> DataFrame:
     """docs with boilerplate lines cut out of their texts, and _lines and _dropped: lines with a word, and those cut.
 
     All rows stay; a text of boilerplate alone becomes empty, a null text stays null. Kept lines keep their order
     and bytes. Up to broadcast_rows boilerplate lines (32 MB) are broadcast; more are joined by shuffles, in which
     the texts of rows with such lines take part once. Pages of a null host form a site of their own. Repeated rows
-    are pages each. Columns of docs must not be named _lines, _dropped, _row or _at.
+    are pages each, unless copies_once. Columns of docs must not be named _lines, _dropped, _row or _at.
     """
-    found = written(boilerplate(docs, host_col, text_col, ratio, min_pages).select("host", "line_key"), "boilerplate")
+    found = written(boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once).select("host", "line_key"), "boilerplate")
     n = found.count()
     if n <= broadcast_rows:
         return _cut_by_broadcast(docs, found, host_col, text_col)

@@ -135,6 +135,17 @@ def test_line_dedup_paths_agree(spark):
     assert linededup.drop_boilerplate(docs(spark, [])).count() == 0
 
 
+def test_stage_copies_keep_their_text(spark):
+    import corpus_pipeline
+
+    copied = {0: "alpha beta gamma\ndelta epsilon zeta", 1: "eins zwei drei\nvier fuenf sechs"}
+    rows = [(i, copied.get(i % 3, f"own text of page {i}"), "s") for i in range(60)]
+    out = corpus_pipeline.line_dedup(spark, docs(spark, rows), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t, _ in rows}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.simhash_near_dedup(spark, out, "").collect()}
+    assert kept[0] == copied[0] and kept[1] == copied[1]
+
+
 def test_targets_share_by_weight(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), ("d", 300), ("e", 0), (None, 40)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
