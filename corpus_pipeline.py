@@ -21,10 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; n_chars follows the text, and no document goes.
 
-    Copies of a text count as one page, so that a group of copies keeps its text for the next stage.
+    Copies of a text count as one page, so that a group of copies keeps its text for the next stage. Lines of over 5 %
+    of a source's pages go; op6_line_dedup takes those of over 10 %, as its SQL does.
     """
     small_batches(spark)
-    out = linededup.drop_boilerplate(docs, copies_once=True)
+    out = linededup.drop_boilerplate(docs, ratio=0.05, copies_once=True)
     n = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", n).select(*docs.columns)
 

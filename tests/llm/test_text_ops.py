@@ -146,6 +146,14 @@ def test_stage_copies_keep_their_text(spark):
     assert kept[0] == copied[0] and kept[1] == copied[1]
 
 
+def test_stage_cuts_lines_of_a_twentieth(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"own text of page {i}" + ("\nread more here" if i < 7 else "\nseen again" if i < 12 else ""), "s") for i in range(100)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs(spark, rows), "").collect()}
+    assert got == {i: t.replace("\nread more here", "") for i, t, _ in rows}
+
+
 def test_targets_share_by_weight(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), ("d", 300), ("e", 0), (None, 40)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
