@@ -185,13 +185,27 @@ def best_path(found: dict[str, float]) -> str | None:
     return steps[0] if best else ""
 
 
+def whole(root: str | None) -> str | None:
+    """A container path cut at its outermost article, or else its innermost main, so that headings and leads beside its text stay."""
+    steps = (root or "").split("/")
+    kinds = [s.split(".")[0] for s in steps]
+    if "article" in kinds:
+        return "/".join(steps[: kinds.index("article") + 1])
+    return "/".join(steps[: len(steps) - kinds[::-1].index("main")]) if "main" in kinds else root
+
+
 def extract(html: str | None, root: str | None) -> str:
-    """The text blocks under a host's container path, joined by blank lines; by the page's own vote if it has none there."""
+    """The text blocks under a host's container path, joined by blank lines, in page order.
+
+    With less than half the running text there that the page's own vote has (another layout), those of its vote come too.
+    """
     found = page_blocks(html)
-    kept = [t for p, t, _ in found if root is not None and under(p, root)]
-    if not kept:
-        root = best_path(scores(found))
-        kept = [t for p, t, _ in found if root is not None and (under(p, root) or not root)]
+    votes = scores(found)
+    own, roots = whole(best_path(votes)), [root] if root is not None else []
+    held = [sum(s for p, s in votes.items() if s > 0 and r is not None and (under(p, r) or not r)) for r in (root, own)]
+    if own is not None and held[0] < 0.5 * held[1]:
+        roots.append(own)
+    kept = [t for p, t, _ in found if any(under(p, r) for r in roots) or own in roots and not own]
     return "\n\n".join(kept)
 
 
@@ -207,7 +221,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for b in batches:
             votes: dict[tuple[str, str], int] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                path = best_path(scores(page_blocks(html)))
+                path = whole(best_path(scores(page_blocks(html))))
                 if path is not None:
                     votes[host, path] = votes.get((host, path), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "n"])
@@ -222,7 +236,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Each page votes; votes are summed per host before the shuffle, and the winners, a row a host, go back to all pages:
     by broadcast while their text is under broadcast_bytes, else by a join on the host, in which a host's pages are
-    dealt out by salt. A page without text in that container (another layout) falls back on its own vote. Null html
+    dealt out by salt. A page with less than half its text there (another layout) adds what its own vote has. Null html
     counts as empty and gives empty text; a null url belongs to the empty host; repeated rows are pages each; other
     columns are ignored.
     """

@@ -180,6 +180,15 @@ def test_page():
     assert htmltext.extract(None, None) == "" and htmltext.extract("", "x") == "" and htmltext.extract("<nav>a</nav>", None) == ""
 
 
+def test_page_nested_and_mixed_layouts():
+    long = "Long running text of the page. " * 9
+    page = f"<body><article><h1>Title</h1><p>Lead.</p><div class=entry-content><p>{long}</p></div><section><p>End.</p></section></article><p>Tail</p></body>"
+    want = f"Title\n\nLead.\n\n{long.strip()}\n\nEnd."
+    assert htmltext.extract(page, "body/article") == htmltext.extract(page, None) == want
+    mixed = f"<body><div class=main><p>Stub.</p></div><div class=story><p>{long}</p></div></body>"
+    assert htmltext.extract(mixed, "body/div.main") == f"Stub.\n\n{long.strip()}"
+
+
 def test_pages_against_articles(spark, data):
     import html
 
