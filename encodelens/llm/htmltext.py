@@ -59,15 +59,17 @@ def general(tag: str, attr: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def blocks(html: str | None, names: bool = True) -> Iterator[tuple[str, str, int]]:
+def blocks(html: str | None, names: bool = True, spared: frozenset[int] = frozenset(), marks: list | None = None) -> Iterator[tuple[str, str, int]]:
     """(path, text, link characters) of each block of text outside scripts, menus and the like, in page order.
 
     The path names the containers around the block, from the outermost in, as generalised tag-class steps. With
-    names=False class and id names put no element aside.
+    names=False class and id names put no element aside, nor do those of elements that start at an offset of spared.
+    marks gets, for each block, the elements around it with such names: (offset, path), from the outermost in.
     """
     if not html:
         return
     stack: list[tuple[str, str, bool]] = []  # tag, step, aside
+    named: list[tuple[int, int, str]] = []  # depth, offset, path of open elements that only their names put aside
     text: list[str] = []
     links, at, end = 0, 0, len(html)
     off = 0  # open elements that are aside
@@ -79,12 +81,16 @@ def blocks(html: str | None, names: bool = True) -> Iterator[tuple[str, str, int
         nonlocal text, links
         joined, n = _GAP.sub(" ", "".join(text)).strip(), links
         text, links = [], 0
+        if joined and marks is not None:
+            marks.append([(o, p) for _, o, p in named])
         return (path(), joined, n) if joined else None
 
     def closed(upto: int) -> None:
         nonlocal off
         off -= sum(a for _, _, a in stack[upto:])
         del stack[upto:]
+        while named and named[-1][0] >= upto:
+            named.pop()
 
     in_link = 0
     while at < end:
@@ -128,9 +134,11 @@ def blocks(html: str | None, names: bool = True) -> Iterator[tuple[str, str, int
             if tag in VOID or raw.endswith("/") and tag not in BLOCK:
                 continue
             attr = _attributes(raw)
-            aside = _aside(tag, attr, names) or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
+            aside = _aside(tag, attr, names and m.start() not in spared) or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
             off += aside
             stack.append((tag, general(tag, attr), aside))
+            if marks is not None and not aside and tag in BLOCK and _aside(tag, attr):
+                named.append((len(stack) - 1, m.start(), path()))
         elif m[1]:
             tag = m[1].lower()
             if tag in BLOCK and (b := flush()) is not None:
@@ -148,15 +156,37 @@ def blocks(html: str | None, names: bool = True) -> Iterator[tuple[str, str, int
         yield b
 
 
-_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
+_ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?=[./]|$)")
 
 
 def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """blocks(), and once more without regard to names if an article or main element lies under one put aside by name."""
+    """blocks(), with the articles and main elements under elements that names put aside if the page has no others.
+
+    A page with neither spares the named elements that hold most of its running text in containers of their own: those
+    wrap the page. Text that stands in a named element itself stays aside, as do named elements within a wrapper.
+    """
     found = list(blocks(html))
-    if not found and html and _ARTICLE.search(html):
-        found = [b for b in blocks(html, names=False) if re.search(r"(?:^|/)(?:article|main)(?=[./]|$)", b[0])]
-    return found
+    if not html or any(_ARTICLE.search(p) for p, _, _ in found):
+        return found
+    marks: list[list[tuple[int, str]]] = []
+    every = list(blocks(html, names=False, marks=marks))
+    if not any(marks):
+        return found
+    # an article under fewer named elements is the page's; those of its comments lie deeper
+    held = [m for (p, _, _), m in zip(every, marks) if m and _ARTICLE.search(p)]
+    if held:
+        least, again = min(map(len, held)), []
+        wraps = frozenset(o for m in held if len(m) == least for o, _ in m)
+        every = list(blocks(html, spared=wraps, marks=again))
+        return [b for b, m in zip(every, again) if not m or _ARTICLE.search(b[0])]
+    sizes = [max(0, len(t) - 3 * n) for _, t, n in every]
+    spared = set()
+    for at in {m for around in marks for m in around}:
+        inside = [n for n, around in zip(sizes, marks) if at in around]
+        nested = any(at in around and p != at[1] for (p, _, _), around in zip(every, marks))
+        if nested and 2 * sum(inside) > sum(sizes):
+            spared.add(at[0])
+    return list(blocks(html, spared=frozenset(spared))) if spared else found
 
 
 def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:

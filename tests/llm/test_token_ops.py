@@ -189,6 +189,15 @@ def test_page_nested_and_mixed_layouts():
     assert htmltext.extract(mixed, "body/div.main") == f"Stub.\n\n{long.strip()}"
 
 
+def test_page_wrappers_with_side_names():
+    long = "Long running text of the page. " * 9
+    layout = f"<div class='layout with-sidebar'><article><p>{long}</p><div id=comments><article><p>Nice!</p></article></div></article></div><p>tagline</p>"
+    assert htmltext.extract(layout, None) == long.strip()
+    plain = f"<div class='page no-sidebar'><div class='has-header'><div class=post><p>{long}</p></div></div><div class=sidebar><div><p>More</p></div></div></div>"
+    assert htmltext.extract(plain, None) == long.strip()
+    assert htmltext.extract(f"<div class=post><p>{long}</p></div><div class=comments><div><p>Nice!</p></div></div>", None) == long.strip()
+
+
 def test_pages_against_articles(spark, data):
     import html
 
