@@ -133,12 +133,22 @@ def diff_sync(remote: DataFrame, local: DataFrame) -> DataFrame:
     return remote.join(l, ["rel", "size"], "left").select("rel", "size", F.col("_have").isNull().alias("fetch"))
 
 
-def splice_snapshot(inventories: DataFrame, enumerations: DataFrame) -> DataFrame:
-    """Inventories with the newest enumeration of their bucket from before they were fetched; their own bytes if they have any."""
-    j = inventories.join(enumerations, "bucket", "left")
-    before = F.when(F.col("at") <= F.col("fetched_at"), F.struct("at", "listed_bytes"))
-    g = j.groupBy("bucket", "fetched_at", "bytes").agg(F.max(before).alias("e"))
-    return g.select("bucket", "fetched_at", F.coalesce("bytes", "e.listed_bytes").alias("bytes"), F.when(F.col("bytes").isNull(), F.col("e.at")).alias("as_of"))
+def splice_snapshot(inventories: DataFrame, enumerations: DataFrame, block_s: int = 86400) -> DataFrame:
+    """Inventories with the newest enumeration of their bucket from before they were fetched; their own bytes if they have any.
+
+    Both sides run through time together and carry the newest enumeration, so that they make no pairs. A bucket is cut in
+    blocks of block_s seconds, into which the newest enumeration of earlier blocks is carried.
+    """
+    e = enumerations.where("bucket is not null and at is not null").select("bucket", F.col("at").alias("t"), F.struct("at", "listed_bytes").alias("e"))
+    i = inventories.select("bucket", F.col("fetched_at").alias("t"), "bytes").distinct().withColumn("wanted", F.lit(True))
+    both = i.unionByName(e, allowMissingColumns=True).withColumn("block", F.floor(F.col("t") / block_s))
+    blocks = both.groupBy("bucket", "block").agg(F.max("e").alias("newest"))
+    earlier = F.max("newest").over(W.partitionBy("bucket").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("bucket").alias("_bucket"), F.col("block").alias("_block"), earlier.alias("carried"))
+    here = F.max("e").over(W.partitionBy("bucket", "block").orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow))
+    g = both.withColumn("e", here).where("wanted")
+    g = g.join(blocks, g["bucket"].eqNullSafe(blocks["_bucket"]) & g["block"].eqNullSafe(blocks["_block"]), "left").withColumn("e", F.coalesce("e", "carried"))
+    return g.select("bucket", F.col("t").alias("fetched_at"), F.coalesce("bytes", "e.listed_bytes").alias("bytes"), F.when(F.col("bytes").isNull(), F.col("e.at")).alias("as_of"))
 
 
 def output_logs(logs: DataFrame, names: DataFrame, head: int = 4096) -> DataFrame:

@@ -263,3 +263,18 @@ def test_scalars(spark):
 def test_argv(spark):
     df = spark.createDataFrame([(["ffmpeg", "-y", "-i", "in.mp4", "-t", "12", "-c:v", "libx264", "/tmp/out.mp4"],)], "a array<string>")
     assert df.select(S.normalize_argv(F.col("a")).alias("x")).first().x == "ffmpeg -i <PATH> -t <PATH> -c:v libx264 <PATH>"
+
+
+def test_splice_makes_no_pairs(spark):
+    plan = retention.splice_snapshot(spark.range(9).selectExpr("0L as bucket", "id as fetched_at", "id as bytes"), spark.range(9).selectExpr("0L as bucket", "id as at", "id as listed_bytes"))
+    joins = [x for x in plan._jdf.queryExecution().analyzed().toString().split("\n") if "Join" in x]
+    assert all("_block" in x for x in joins), "inventories and enumerations meet by bucket alone"
+    rng = random.Random(8)
+    inv = [(rng.choice([0, 0, 0, 1, None]), rng.choice([None, *range(300)]), rng.choice([None, None, n])) for n in range(400)]
+    enum = [(rng.choice([0, 0, 1, None]), rng.choice([None, *range(300)]), n) for n in range(60)]
+    out = retention.splice_snapshot(spark.createDataFrame(inv, "bucket long, fetched_at long, bytes long"), spark.createDataFrame(enum, "bucket long, at long, listed_bytes long"), 40)
+    want = []
+    for b, t, n in set(inv):
+        e = max(((a, x) for k, a, x in enum if None not in (b, t, a) and k == b and a <= t), default=(None, None))
+        want.append((b, t, e[1] if n is None else n, e[0] if n is None else None))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
