@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -48,23 +49,34 @@ def test_bpe_query(spark, data):
 
 def test_elias_fano():
     rng = np.random.default_rng(4)
-    for values in ([], [0], [5], [0, 0, 0], [7] * 300, np.cumsum(rng.integers(0, 4000, 1000)), np.cumsum(rng.integers(0, 2, 5000)), [3, 10**9]):
-        v = np.array(values, np.int64)
+    for values in ([], [0], [5], [0, 0, 0], [7] * 300, np.cumsum(rng.integers(0, 4000, 1000)), np.cumsum(rng.integers(0, 2, 50_000)), [3, 10**9], [0, 1, 2**64 - 1]):
+        v = np.array(values, np.uint64)
         raw = b"zz" + tokenfiles.EliasFano.of(v).to_bytes()
         ef, end = tokenfiles.EliasFano.from_bytes(raw, 2)
-        assert end == len(raw) and ef.all().tolist() == v.tolist()
-        assert [ef.select(i) for i in range(len(v))] == v.tolist()
+        assert end == len(raw) and [x for _, run in ef.runs() for x in run.tolist()] == v.tolist()
+        assert all(ef.select(i).tolist() == [v[i]] for i in range(0, len(v), 1 + len(v) // 900))
+        for i in {0, 63, 64, 65, len(v) // 2} & set(range(len(v))):
+            assert ef.select(i, len(v)).tolist() == v[i:].tolist()
     spread = np.cumsum(rng.integers(0, 2000, 20_000))
     assert len(tokenfiles.EliasFano.of(spread).to_bytes()) < 2.1 * len(spread)
 
 
-def test_tokens_are_the_librarys():
-    t, lib = tokenfiles.Tokens(JSON), Tokenizer.from_file(JSON)
-    some = [*texts(300, 8), "", None, " lead", "trail ", "a  b", "one two three", "x" * 500 + " " + "y"]
+def test_segment():
+    docs, ids = [np.arange(n) for n in (3, 0, 5, 1)], [None, -(2**63), 4, 2**63 - 1]
+    s = tokenfiles.Segment(tokenfiles.pack(docs, ids, 4))
+    assert s.doc_ids(0, 4) == ids and s.doc_ids(2, 3) == [4] and s.offsets(0, 4).tolist() == [0, 3, 3, 8, 9]
+    assert [s.document(i).tolist() for i in range(4)] == [d.tolist() for d in docs]
+    assert tokenfiles.Segment(tokenfiles.pack([], [], 2)).n_docs == 0
+
+
+@pytest.mark.parametrize("room", [400_000, 5, 0])
+def test_tokens_are_the_librarys(room):
+    t, lib = tokenfiles.Tokens(JSON, room), Tokenizer.from_file(JSON)
+    some = [*texts(300, 8), "", None, " lead", "trail ", "a  b", "one two three", "x" * 500 + " " + "y", "\nl", "a\n\n b c", "a \nb", "don't. stop!?", "\u00a0 x"]
     want = [np.array(lib.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in some]
-    assert t.encode(some) == want and t.encode(some) == want
-    small = tokenfiles.Tokens(JSON, room=5)
-    assert small.encode(some) == want and small.encode(some[::-1]) == want[::-1]
+    for _ in range(2):
+        assert t.encode(pa.array(some)).to_pylist() == want
+        assert t.encode(pa.array(some[::-1])).to_pylist() == want[::-1]
 
 
 def test_token_files(spark, data):
@@ -77,14 +89,16 @@ def test_token_files(spark, data):
     assert not got
 
 
-def test_token_files_odd_rows(spark, tmp_path):
-    rows = [(3, None, 1), (3, "b", 1), (1, "", 1), (2, "word " * 3000, 1), (None, "c", 1)]
+@pytest.mark.parametrize("broadcast", [64 << 20, -1])
+def test_token_files_odd_rows(spark, tmp_path, broadcast):
+    rows = [(3, None, 1), (3, "b", 1), (1, "", 1), (2, "word " * 3000, 1), (None, "c", 1), (None, None, 1), (None, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part int")
     tokenfiles.write_tokens(df, f"{tmp_path}/t", JSON, segment_ids=100)
-    got = tokenfiles.read_tokens(spark, f"{tmp_path}/t").orderBy("start").collect()
-    assert [r.id for r in got] == [None, 1, 2, 3, 3] and [len(r.ids) // 4 for r in got][-2:] == [1, 2]
+    got = tokenfiles.read_tokens(spark, f"{tmp_path}/t", broadcast).orderBy("start").collect()
+    assert [r.id for r in got] == [None] * 3 + [1, 2, 3, 3] and sorted(len(r.ids) // 4 for r in got) == [1, 1, 1, 1, 2, 2, 3002]
+    assert [r.start for r in got] == [sum(len(x.ids) // 4 for x in got[:i]) for i in range(len(got))]
     tokenfiles.write_tokens(df.limit(0), f"{tmp_path}/e", JSON)
-    assert tokenfiles.read_tokens(spark, f"{tmp_path}/e").count() == 0
+    assert tokenfiles.read_tokens(spark, f"{tmp_path}/e", broadcast).count() == 0
 
 
 def curve_walk(bits, dims, spark):
