@@ -141,7 +141,7 @@ def tokenizer(path: str) -> Tokens:
 
 _UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 #: White space other than the four characters at which texts are cut, and characters that some tables call so.
-_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_RARE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 #: Latin letters, and behind them punctuation, which then is a pre-token of its own; an apostrophe may start a contraction.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = rf"^[{_LETTERS}]+[!-&(-/:-@\[-`{{-~]*$"

@@ -38,6 +38,16 @@ def test_bpe_is_the_librarys(spark, chunk, overlap):
     assert bpe.tokenize(df.limit(0), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(["the ", "日本", "é", "\n\n", "12345", "don't ", "  "]) for _ in range(n)), 1) for i, n in enumerate((30_000, 90_000, 400_000, 9_000))]
+    rows += [rows[0], (None, rows[1][1], 2), (7, "x" * 70_000, 3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, key int")
+    e = bpe.encoding(RANKS, PATTERN)
+    want = sorted((str(i), np.array(e.encode_ordinary(t), "<u4").tobytes()) for i, t, _ in rows)
+    assert sorted((str(r.id), bytes(r.ids)) for r in bpe.tokenize(df, RANKS, PATTERN).collect()) == want
+
+
 def test_bpe_query(spark, data):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op4_byte_bpe(spark, data).collect()}
     e = bpe.encoding(RANKS, PATTERN)
