@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,36 +54,62 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def mark(df: DataFrame) -> tuple[int, int]:
-    """A row count and an order-free checksum; equal for equal sets of rows."""
-    r = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0))).first()
-    return int(r[0]), int(r[1])
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task as (node, smallest node that it is connected to in this task), but for those nodes."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    n = sum(len(u) for u, _ in got)
+    nodes, at = np.unique(np.concatenate([x for pair in zip(*got) for x in pair]), return_inverse=True)
+    a, b = at[:n], at[n:]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    for i in range(0, len(far), 1 << 16):
+        some = far[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], ["u", "v"])
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is a u."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return twice.isEmpty() and edges.join(edges.select(F.col("u").alias("_u")), F.col("v") == F.col("_u"), "left_semi").isEmpty()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", edges_a_task: int = 1 << 19) -> DataFrame:
     """(node, component) of each node of the edges: the smallest node that it is connected to.
 
-    Large-star and small-star rounds in turn until nothing changes; the number of rounds follows the logarithm of
-    the longest path. Edges stay in written tables; the driver sees a count and a checksum a round. Null ends are
-    ignored; no edges give no rows.
+    Each round every task replaces the edges it holds, edges_a_task or so, by a forest; then a large-star and a
+    small-star step carry the smallest nodes across tasks, so the number of edges falls and the number of rounds follows
+    the logarithm of the longest path. Once one task holds all that is left, its forest is the answer. Edges stay in
+    written tables; the driver sees a count a round. Null ends are ignored; no edges give no rows.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u > v").distinct()
-    e = written(e, "edges")
-    before = mark(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null and u > v")
+    e = written(e.distinct(), "edges")
+    while (n := e.count()) > edges_a_task:
+        f = e.coalesce(-(-n // edges_a_task)).mapInArrow(_forest, "u long, v long")
+        both = written(f.unionByName(f.select(F.col("v").alias("u"), F.col("u").alias("v"))), "forest")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         # a node and its own minimum stay linked: u - m comes from the row whose v is m
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         nxt = written(small.where("u > v").distinct(), "edges")
-        now = mark(nxt)
         drop_written(e)
-        e, done, before = nxt, now == before, now
-        if done:
+        drop_written(both)
+        e = nxt
+        if _stars(e):
             break
-    return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    else:
+        e = written(e.coalesce(1).mapInArrow(_forest, "u long, v long"), "forest")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select("v", "v").toDF("node", "component").distinct())
 
 
 def broadcast_if_small(df: DataFrame, bytes_a_row: int, limit: int = 64 << 20) -> tuple[DataFrame, bool]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from encodelens.llm.common import broadcast_if_small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: The relative distance of a source's tokens from its target at which Newton steps end.
+DONE = 1e-12
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", out: str = "size") -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text", out: str = "size", keep_text: bool = False) -> DataFrame:
     """docs with the number of words (runs of anything but ASCII white space) of each whole text; 0 for null."""
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -25,7 +28,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", out: str = "size") -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n.cast(pa.int64())], [*keep, out])
 
     schema = docs.select(*keep).schema.add(out, "long")
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
@@ -50,87 +53,137 @@ def targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: flo
     return s.withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most")))).drop("level_here", "level")
 
 
-def newton(moments: Column, goal: Column, rounds: int = 60) -> Column:
-    """The tilt of one source: the root of sum(mass * exp(tilt * z)) = goal over its moments (z, mass).
+def _rate(tilt: Column, size: Column, limit: float) -> Column:
+    """exp(tilt * size), stopped at limit before the exponential can overflow."""
+    return F.when(tilt * size >= math.log(limit), F.lit(float(limit))).otherwise(F.exp(F.least(tilt * size, F.lit(math.log(limit)))))
 
-    Newton steps on the convex dual sum(mass * exp(tilt * z) / z) - tilt * goal; a step is at most 1, so that the
-    exponential cannot overflow, and the steps end by themselves at the root. goal must be over 0.
-    """
-
-    def step(tilt: Column, _: Column) -> Column:
-        def total(f):
-            return F.aggregate(moments, F.lit(0.0), lambda acc, m: acc + f(m))
-
-        gradient = total(lambda m: m["mass"] * F.exp(tilt * m["z"])) - goal
-        curve = total(lambda m: m["mass"] * m["z"] * F.exp(tilt * m["z"]))
-        return tilt - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gradient / curve))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), step)
-
-
-def _bucketed(docs: DataFrame, id_col: str, size_col: str, buckets: int) -> DataFrame:
-    """docs with _h, a hash of id and size by which rows are ordered, and _bucket, its leading 16 bits in buckets."""
-    d = docs.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col(size_col).cast("string"))))
-    return d.withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int"))
 
+def newton_step(counts: DataFrame, state: DataFrame, limit: float) -> DataFrame:
+    """state (source, source_size, target, tilt, lo, hi, gap) after one Newton step of every source's dual.
 
-def _plan(sizes: DataFrame, source_col: str, size_col: str, weights: Sequence[float], limit: float, buckets: int) -> DataFrame:
-    """A row per source: its size, target, rate, whole copies, and the bucket in which further copies end."""
-    sums = written(sizes.groupBy(F.col(source_col).alias("source"), "_bucket").agg(F.sum(size_col).alias("words")), "bucket-words")
-    sources = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, limit)
-    moments = F.array(F.struct(F.lit(1.0).alias("z"), F.col("source_size").cast("double").alias("mass")))
-    rate = F.when(F.col("target") > 0, F.exp(newton(moments, F.col("target")))).otherwise(F.lit(0.0))
-    sources = sources.withColumn("rate", F.least(rate, F.lit(float(limit))))
-    # a rate within rounding of a whole number is that number
-    near = F.abs(F.col("rate") - F.round("rate")) < 1e-9
-    sources = sources.withColumn("whole", F.when(near, F.round("rate")).otherwise(F.floor("rate")).cast("long"))
-    sources = written(sources.withColumn("extra", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "source-rates")
-    b = sums.withColumnRenamed("source", "_s").join(sources.select(F.col("source").alias("_t"), "extra"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    b = b.withColumn("through", F.sum("words").over(W.partitionBy("_s").orderBy("_bucket")))
-    cut = b.where(F.col("through") > F.col("extra")).groupBy("_s").agg(F.min(F.struct("_bucket", (F.col("through") - F.col("words")).alias("before"))).alias("cut"))
-    sources = sources.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
-    return written(sources.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "rate", "whole", "extra")], F.coalesce("cut._bucket", F.lit(buckets)).alias("_cut"), F.coalesce("cut.before", F.lit(0)).alias("_before")), "source-cuts")
+    The gradient of the dual is the tokens that the rates give less the target; it and its slope are sums over the
+    rows (source, size, n) of counts, one aggregation for all sources. The step is taken on the logarithm of the
+    tokens, whose slope changes little; where it leaves the bracket [lo, hi] that the signs of the gradients so far
+    leave, the bracket is halved instead. gap is the relative distance to the target before the step.
+    """
+    x = counts.join(F.broadcast(state.select(F.col("source").alias("_s"), "tilt")), F.col("source").eqNullSafe(F.col("_s")))
+    words, free = F.col("n") * F.col("size") * _rate(F.col("tilt"), F.col("size"), limit), F.col("tilt") * F.col("size") < math.log(limit)
+    sums = x.groupBy(F.col("source").alias("_s")).agg(F.sum(words).alias("_words"), F.sum(F.when(free, words * F.col("size")).otherwise(0.0)).alias("_slope"))
+    s = state.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("_s")))
+    over = F.col("_words") > F.col("target")
+    s = s.withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("tilt"))).withColumn("hi", F.when(over, F.col("tilt")).otherwise(F.col("hi")))
+    s = s.withColumn("gap", F.abs(F.col("_words") - F.col("target")) / F.col("target"))
+    to = F.col("tilt") - F.log(F.col("_words") / F.col("target")) * F.col("_words") / F.col("_slope")
+    good = (F.col("_slope") > 0) & (to > F.col("lo")) & (to < F.col("hi"))
+    tilt = F.when(F.col("gap") <= DONE, F.col("tilt")).when(good, to).otherwise((F.col("lo") + F.col("hi")) / 2)
+    return s.withColumn("tilt", tilt).select(*state.columns)
+
+
+def tilts(counts: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, at_once: int = 4, most: int = 60) -> DataFrame:
+    """(source, source_size, target, tilt): the solution of the convex dual for the token constraint of each source.
+
+    Entropy balancing: of all rates between 0 and limit that give the source its target in tokens, those nearest to 1 in
+    relative entropy are exp(tilt * size), stopped at limit. counts: (source, size, n). The root lies
+    between minus log(source_size / target) and log(limit), as sizes other than 0 are 1 at least. Newton steps go on, `at_once` of
+    them a job, until every source's gap is 1e-12; the driver sees the largest gap alone. Sources whose target is 0 or all
+    they have at the limit need no step.
+    """
+    sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
+    state = targets(sizes, weights, limit).where("source_size > 0")
+    least = F.log(F.col("source_size") / F.greatest("target", F.lit(1e-9)))
+    state = state.select("source", "source_size", "target", F.lit(0.0).alias("tilt"), (-F.greatest(least, F.lit(0.0)) - 1e-9).alias("lo"), F.lit(math.log(limit) + 1e-9).alias("hi"), F.lit(1.0).alias("gap"))
+    full = F.col("target") >= F.col("source_size") * (limit * (1 - 1e-12))
+    state = written(state.withColumn("tilt", F.when(full, F.col("hi")).otherwise(F.col("tilt"))).withColumn("gap", F.when(full, F.lit(0.0)).otherwise(F.lit(1.0))).coalesce(1), "tilts")
+    for _ in range(0, most, at_once):
+        if state.where(F.col("gap") > DONE).isEmpty():
+            break
+        done, left = state.where(F.col("gap") <= DONE), state.where(F.col("gap") > DONE)
+        for _ in range(at_once):
+            left = newton_step(counts, left, limit)
+        state = written(done.unionByName(left).coalesce(1), "tilts")
+    return state.select("source", "source_size", "target", "tilt")
+
+
+def _ranked(d: DataFrame, limit: float) -> DataFrame:
+    """d (id, size, _tilt) with _whole, copies for sure, and _v, the order in which documents get one more.
+
+    _v is a hash of id and size, in [0, 1), less the fraction that the rate leaves: at 0 each document has one more with
+    the chance of its fraction. Documents of size 0 keep one copy, and those at the limit have all: _v is null.
+    """
+    rate = _rate(F.col("_tilt"), F.col("_size"), limit)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.col("_size").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    d = d.withColumn("_rate", F.when(F.col("_size") == 0, F.lit(1.0)).otherwise(F.coalesce(rate, F.lit(0.0))))
+    d = d.withColumn("_whole", F.floor("_rate").cast("long"))
+    return d.withColumn("_v", F.when((F.col("_size") > 0) & (F.col("_whole") < int(limit)), u - (F.col("_rate") - F.col("_whole"))))
 
 
-def _copies(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, size_col: str, limit: float, ties: Sequence[str]) -> DataFrame:
-    """docs with the plan's columns and copies; only rows in a source's last bucket are shuffled."""
+def _with_plan(d: DataFrame, plan: DataFrame) -> DataFrame:
     per, _ = broadcast_if_small(plan, 200)
-    d = docs.join(per, docs[source_col].eqNullSafe(per["_source"]))
-    sure = d.where(F.col("_bucket") != F.col("_cut")).withColumn("_more", (F.col("_bucket") < F.col("_cut")).cast("long"))
-    order = W.partitionBy(source_col).orderBy("_h", id_col, size_col, *ties)
-    before = F.col("_before") + F.sum(size_col).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size_col)
-    last = d.where(F.col("_bucket") == F.col("_cut")).withColumn("_more", before)
-    last = last.withColumn("_more", (F.col("_extra") - F.col("_more") > F.col(size_col) / 2).cast("long"))
-    out = sure.unionByName(last).withColumn("_copies", F.least(F.col("_whole") + F.col("_more"), F.lit(int(limit // 1))))
-    return out.drop("_h", "_bucket", "_source", "_cut", "_before", "_more", "_whole", "_extra")
-
-
-def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, buckets: int = 4096) -> DataFrame:
+    return d.join(per, d["_source"].eqNullSafe(per["_plan_source"]), "left").drop("_plan_source")
+
+
+def _plan(slim: DataFrame, weights: Sequence[float], limit: float, buckets: int | None) -> DataFrame:
+    """A row per source: its size, target, tilt, and the last (_v, id, size) that gets one more copy, in _cut."""
+    counts = written(slim.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "size-counts")
+    solved = tilts(counts, weights, limit)
+    solved = written(solved.select(F.col("source").alias("_plan_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("tilt").alias("_tilt")), "source-tilts")
+    rows = _ranked(_with_plan(slim.where("_size > 0"), solved), limit)
+    # the bucket in which a source's words meet its target, from sums per bucket of _v, each with about 4,096 rows
+    buckets = buckets or 1 << max(12, (slim.count() >> 12).bit_length())
+    rows = rows.withColumn("_bucket", F.least(F.floor((F.col("_v") + 1) * (buckets // 2)), F.lit(buckets - 1)).cast("int"))
+    sums = rows.groupBy("_source", "_bucket").agg(F.sum(F.col("_whole") * F.col("_size")).alias("sure"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_size")).otherwise(0)).alias("words"))
+    sums = written(sums, "bucket-words")
+    by, upto = W.partitionBy("_source"), W.partitionBy("_source").orderBy(F.col("_bucket").asc_nulls_first())
+    b = sums.withColumn("sure", F.sum("sure").over(by)).withColumn("before", F.sum("words").over(upto) - F.col("words")).where("_bucket is not null")
+    b = b.select(F.col("_source").alias("source"), F.col("_bucket").alias("bucket"), "sure", "before", "words")
+    b = _with_plan(b.withColumnRenamed("source", "_source"), solved.select("_plan_source", "_target")).withColumn("extra", F.col("_target") - F.col("sure"))
+    # the first bucket whose words reach the extra, or the last bucket of all
+    cut = b.groupBy("_source").agg(F.min(F.when(F.col("before") + F.col("words") >= F.col("extra"), F.struct("bucket", "before", "extra"))).alias("c"), F.max(F.struct("bucket", "before", "extra")).alias("last"))
+    cut = cut.select(F.col("_source").alias("_plan_source"), F.coalesce("c", "last").alias("c"))
+    cut = cut.select("_plan_source", F.col("c.bucket").alias("_at"), F.col("c.before").alias("_before"), F.col("c.extra").alias("_extra"))
+    cut = written(cut, "cut-buckets")
+    here = _with_plan(rows.where("_v is not null"), cut).where("_bucket = _at")
+    order = W.partitionBy("_source").orderBy("_v", "_id", "_size")
+    here = here.withColumn("_gap", F.abs(F.col("_before") + F.sum("_size").over(order) - F.col("_extra")))
+    ends = here.groupBy("_source").agg(F.min(F.struct("_gap", "_v", "_id", F.col("_size"))).alias("best"), F.first(F.abs(F.col("_before") - F.col("_extra"))).alias("none"))
+    ends = ends.select(F.col("_source").alias("_s"), F.when(F.col("best._gap") < F.col("none"), F.struct("best._v", "best._id", "best._size")).alias("_cut"))
+    plan = solved.join(cut.select(F.col("_plan_source").alias("_c"), "_at"), F.col("_plan_source").eqNullSafe(F.col("_c")), "left").drop("_c")
+    plan = plan.join(ends, F.col("_plan_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    # below the bucket all documents have one more; _low stands for "none in it"
+    return written(plan.withColumn("_low", F.col("_at") / F.lit(buckets // 2) - 1).drop("_at"), "source-cuts")
+
+
+def _copies(d: DataFrame, plan: DataFrame, limit: float) -> DataFrame:
+    """d (_id, _source, _size and others) with the plan's columns and _copies; nothing is shuffled but by a large plan."""
+    d = _ranked(_with_plan(d, plan), limit)
+    more = F.coalesce(F.struct("_v", "_id", "_size") <= F.col("_cut"), F.col("_v") < F.col("_low"), F.lit(False)) & F.col("_v").isNotNull()
+    return d.withColumn("_copies", F.col("_whole") + more.cast("long"))
+
+
+def mix(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, buckets: int | None = None) -> DataFrame:
     """(id, source, size) with source_size, target, rate and copies.
 
-    Entropy balancing: of all rates that give each source its target in tokens, those nearest to 1 in relative
-    entropy per token are exp(tilt of the source). Documents reach the solver as moments per source, summed before the
-    shuffle; all sources' duals are solved side by side in Spark. A rate is rounded into whole copies: each document
-    gets the whole part, and documents in hash order get one more until the source's words meet its target. Only
-    the bucket in which that happens is sorted, so a hot source is not; a source misses its target by half a
-    document or so. No document gets more copies than `limit`. Null and empty texts have size 0 and copies as others;
-    repeated rows count each for itself; null sources form a source of their own. Other columns are ignored.
+    Entropy balancing (tilts()) gives each document the rate exp(tilt of its source * size), at most `limit`. A rate is
+    rounded into copies: the whole part for sure, and one more for the documents that come first by hash less fraction,
+    as many as bring the source nearest to its target. They are found from sums per bucket of that order, and only
+    the bucket in which the target is met is sorted, so a hot source is not; a source misses its target by half a
+    document or so. Null and empty texts have size 0 and one copy; rows alike in id and size take equal copies; null
+    sources form a source of their own; a source without words has target 0. Other columns are ignored. Reruns agree.
     """
-    slim = sized.select(id_col, source_col, F.col(size_col).cast("long").alias(size_col))
-    slim = written(_bucketed(slim, id_col, size_col, buckets), "sizes")
-    plan = _plan(slim, source_col, size_col, weights, limit, buckets)
-    out = _copies(slim, plan, id_col, source_col, size_col, limit, ())
-    return out.withColumnsRenamed({f"_{c}": c for c in ("source_size", "target", "rate", "copies")})
+    slim = written(sized.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(size_col).cast("long").alias("_size")), "sizes")
+    out = _copies(slim, _plan(slim, weights, limit, buckets), limit)
+    return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias(size_col), F.coalesce("_source_size", F.lit(0)).alias("source_size"), F.coalesce("_target", F.lit(0.0)).alias("target"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, buckets: int = 4096) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = (1, 2, 3), limit: float = 3.0, buckets: int | None = None) -> DataFrame:
     """The mixed documents: each row with all its columns, as often as its copies say (0: not at all).
 
-    The texts are read twice and not shuffled, but for those in each source's last bucket.
+    Rows are treated as by mix(); columns of docs may have any names. The texts are read twice and never shuffled.
     """
-    sizes = _bucketed(word_counts(docs.select(id_col, source_col, text_col), text_col, "_size"), id_col, "_size", buckets)
-    plan = _plan(sizes, source_col, "_size", weights, limit, buckets)
-    whole = docs.withColumn("_size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    out = _copies(_bucketed(whole, id_col, "_size", buckets), plan, id_col, source_col, "_size", limit, (text_col,))
-    again = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<bigint>"))
-    return out.withColumn("_again", F.explode(again)).select(*docs.columns)
+    slim = word_counts(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")), "_text", "_size")
+    slim = written(slim, "sizes")
+    plan = _plan(slim, weights, limit, buckets)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_size", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")).drop("_text")
+    out = _copies(rows, plan, limit).where("_copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

@@ -69,6 +69,7 @@ select s.doc_id, s.n_lines::bigint as n_lines, s.n_dropped::bigint as n_dropped,
 from s join d using (doc_id)
 """
 
+#: The tilt of each source is found by halving its bracket 60 times, as digits of a sum; then documents are ranked.
 MIXING = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
@@ -84,19 +85,32 @@ with d as (
   select *, max(case when level_here * weight <= most then level_here end) over () as level from r
 ), t as (
   select source, total, least(most, coalesce(level * weight, most)) as target from l
-), u as (
-  select *, case when total = 0 then 0 when abs(target / total - round(target / total)) < 1e-9 then round(target / total)
-                 else floor(target / total) end as whole
-  from t
+), h as (
+  select source, list({'s': size::double, 'n': n::double}) as m from (select source, size, count(*) as n from d where size > 0 group by all) group by source
+), b as (
+  select t.source, total, target, m, -greatest(ln(total / target), 0) - 1e-9 as lo from t join h on t.source is not distinct from h.source where total > 0
+), z as (
+  select source, list_reduce(list_prepend(lo, list_transform(range(1, 61), lambda k: (ln(3) + 1e-9 - lo) / 2 ** k)), lambda acc, x:
+    case when list_sum(list_transform(m, lambda y: y.n * y.s * case when (acc + x) * y.s >= ln(3) then 3 else exp((acc + x) * y.s) end)) <= target
+         then acc + x else acc end) as tilt
+  from b
+), q as (
+  select d.doc_id, d.source, d.size, total, target,
+         case when size = 0 then 1 when tilt * size >= ln(3) then 3 else exp(tilt * size) end as rate,
+         ('0x' || substr(md5(concat(doc_id, ':', size)), 1, 13))::bigint / 4503599627370496.0 as u
+  from d join t on d.source is not distinct from t.source left join z on d.source is not distinct from z.source
+), v as (
+  select *, floor(rate) as whole, case when size > 0 and rate < 3 then u - (rate - floor(rate)) end as v,
+         target - sum(floor(rate) * size) over (partition by source) as extra
+  from q
 ), x as (
-  select d.doc_id, d.source, d.size, total, target, whole, greatest(0, target - whole * total) as extra,
-         coalesce(sum(size) over (partition by d.source order by md5(concat(doc_id, ':', size)), doc_id, size
-                                  rows between unbounded preceding and 1 preceding), 0) as before
-  from d join u on d.source is not distinct from u.source
+  select doc_id, source, v, size, abs(sum(size) over (partition by source order by v, doc_id, size) - extra) as gap, extra from v where v is not null
+), c as (
+  select source, arg_min({'v': v, 'i': doc_id, 's': size}, {'gap': gap, 'v': v, 'i': doc_id}) as cut from x where gap < abs(extra) group by source
 )
-select doc_id, source, size, total::bigint as source_size, target,
-       (least(3, whole + case when extra - before > size / 2.0 then 1 else 0 end) * size)::bigint as taken
-from x
+select doc_id, v.source, size, total::bigint as source_size, target,
+       ((whole + case when v is not null and {'v': v, 'i': doc_id, 's': size} <= cut then 1 else 0 end) * size)::bigint as taken
+from v left join c on v.source is not distinct from c.source
 """
 
 

@@ -1,5 +1,6 @@
 """Operators on texts against brute force: quality, SimHash, line dedup, mixing, language, pipeline."""
 
+import math
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from encodelens.llm import langid, linededup, mixing, quality, queries, simhash
+from encodelens.llm import common, langid, linededup, mixing, quality, queries, simhash
 from encodelens.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,13 +113,19 @@ def test_simhash_odd_rows(spark):
     assert kept.columns == docs(spark, []).columns and {r.doc_id for r in kept.collect()} >= {1, 4, 5, 6}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [1 << 19, 40, 7])
+def test_components(spark, monkeypatch, edges_a_task):
     rng = random.Random(9)
-    chain = [(i, i + 1) for i in range(100, 140)]
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + chain
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    chain = [(i, i + 1) for i in range(100, 340)]
+    ball = [(a, b) for a in range(1000, 1030) for b in range(a)[:] if b >= 1000]
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + rng.sample(chain, len(chain)) + ball + [(None, 5), (7, None)]
+    rounds = []
+    monkeypatch.setattr(common, "written", lambda df, label, f=common.written: rounds.append(label) or f(df, label))
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), edges_a_task=edges_a_task).collect()}
+    edges = [e for e in edges if None not in e]
     want = classes({x for e in edges for x in e}, edges)
     assert got == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
+    assert rounds.count("edges") <= 9
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -171,24 +178,46 @@ def test_targets_share_by_weight(spark):
     assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(sum(n for _, n in sizes))
 
 
+def solved_rates(sizes, target):
+    """The rates min(3, exp(tilt * size)) that give target, by halving."""
+    lo, hi = -60.0, math.log(3)
+    rate = lambda tilt, n: math.exp(min(tilt * n, math.log(3)))
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if sum(n * rate(mid, n) for n in sizes) > target else (mid, hi)
+    return {n: rate(lo, n) for n in sizes}
+
+
 def test_mix(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["a", "a", "a", "b", None])) for i in range(900)]
+    rows = [(i, " ".join(["w"] * min(rng.randrange(1, 60), rng.randrange(1, 60))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(900)]
+    rows += [(1000 + i, t, "d") for i, t in enumerate(["w " * 5000, "w " * 400, *["w"] * 50])]
     d = docs(spark, rows)
     out = mixing.mix(mixing.word_counts(d.select("doc_id", "source", "text"))).collect()
-    for s in ("a", "b", None):
+    for s in ("a", "b", "c", "d", None):
         some = [r for r in out if r.source == s]
-        assert abs(sum(r.copies * r.size for r in some) - some[0].target) <= 60
-        assert all(0 <= r.copies <= 3 for r in some)
-    again = mixing.mixed(d)
-    assert again.columns == d.columns
+        want = solved_rates([r.size for r in some], some[0].target)
+        assert all(r.rate == pytest.approx(want[r.size], rel=1e-6) for r in some)
+        assert len({round(r.rate, 6) for r in some}) > 1
+        assert sum(r.rate * r.size for r in some) == pytest.approx(some[0].target)
+        assert abs(sum(r.copies * r.size for r in some) - some[0].target) <= max(r.size for r in some) / 2
+        assert all(0 <= r.copies <= 3 and abs(r.copies - r.rate) <= 1 for r in some)
+    for buckets in (4, 1 << 16):
+        again = mixing.mix(mixing.word_counts(d.select("doc_id", "source", "text")), buckets=buckets).collect()
+        assert {r.doc_id: r.copies for r in again} == {r.doc_id: r.copies for r in out}
+    clash = d.withColumnsRenamed({"rate": "_h", "size": "_size", "lang": "_copies"})
+    again = mixing.mixed(clash)
+    assert again.columns == clash.columns
     want = {r.doc_id: r.copies for r in out if r.copies}
     assert {r.doc_id: r["count"] for r in again.groupBy("doc_id").count().collect()} == want
 
 
 def test_mix_odd_rows(spark):
-    assert mixing.mix(mixing.word_counts(docs(spark, ODD).select("doc_id", "source", "text"))).count() == len(ODD)
+    out = mixing.mix(mixing.word_counts(docs(spark, ODD).select("doc_id", "source", "text"))).collect()
+    assert len(out) == len(ODD) and all(r.copies == 1 for r in out if not r.size) and all(r.target is not None for r in out)
+    assert mixing.mixed(docs(spark, ODD)).count() == sum(r.copies for r in out)
     assert mixing.mixed(docs(spark, [])).count() == 0
+    assert mixing.mix(mixing.word_counts(docs(spark, [(1, "", "a"), (2, None, None)]).select("doc_id", "source", "text"))).count() == 2
 
 
 def test_language(spark, data):
