@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,25 @@ PRICES = {"egress_gb": 0.09, "tier1_k": 0.005, "tier2_k": 0.0004, "storage_gb_mo
 # Fixed values of the seed speeds: codec at 1080p30 medium, presets relative to medium, machines relative to the base.
 SEED = {"h264": 1.5, "hevc": 0.14, "av1": 0.1}
 PRESET = {"ultrafast": 8.0, "superfast": 5.0, "veryfast": 3.0, "faster": 1.8, "fast": 1.3, "medium": 1.0, "slow": 0.5, "slower": 0.3, "veryslow": 0.18}
-MACHINE = {"mac": 0.8, "graviton": 0.7}
+MACHINE = {"mac": 0.8, "macmini": 0.8, "graviton": 0.7}
+
+# Fixed reservations of an encode by height band (over lo, up to hi): codec, lo, hi, virtual CPUs, MiB; '' is any other codec.
+RESERVATIONS = [
+    ("h264", 0, 594, 4, 2048),
+    ("h264", 594, 1080, 3, 2048),
+    ("h264", 1080, 99999, 2, 3072),
+    ("hevc", 0, 1080, 2, 3072),
+    ("hevc", 1080, 99999, 2, 6144),
+    ("av1", 0, 540, 2, 3072),
+    ("av1", 540, 99999, 8, 6144),
+    ("", 0, 540, 2, 3072),
+    ("", 540, 1080, 4, 3072),
+    ("", 1080, 99999, 4, 6144),
+]
+
+# Fixed options of the encoder whose value is a path or differs for each chunk, and virtual CPUs by instance size.
+VALUED = ("-i", "-passlogfile", "-ss", "-frames:v", "-t")
+SIZES = {"medium": 1, "large": 2, "xlarge": 4, "2xlarge": 8, "4xlarge": 16, "8xlarge": 32, "12xlarge": 48, "16xlarge": 64, "24xlarge": 96, "48xlarge": 192, "metal": 64}
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -90,24 +110,37 @@ def speed_key(machine: Column, codec: Column, height: Column, two_pass: Column,
 
 
 def seed_speed(codec: Column, height: Column, two_pass: Column, preset: Column, fps: Column, machine: Column) -> Column:
-    """The speed to assume before any is learned, in content seconds a second."""
-    base = F.coalesce(lookup(SEED, codec), F.lit(SEED["h264"]))
+    """The speed to assume before any is learned, in content seconds a second.
+
+    A codec that is not known counts as hevc, a height of 0 or less as 1080, and a frame rate of 0 or less as 30.
+    """
+    base = F.coalesce(lookup(SEED, codec), F.lit(SEED["hevc"]))
+    height, fps = F.when(height > 0, height).otherwise(1080), F.when(fps > 0, fps).otherwise(30)
     s = base * 1080 * 1080 / (height * height) * F.coalesce(lookup(PRESET, preset), F.lit(1.0)) * 30 / fps
     s = s * F.when(two_pass, 0.5).otherwise(1.0) * F.coalesce(lookup(MACHINE, machine), F.lit(1.0))
     return F.greatest(s, F.lit(0.001))
 
 
-def vcpu_for(codec: Column, height: Column) -> Column:
-    """Virtual CPUs that an encode reserves."""
-    return F.when(codec == "av1", 8).when((height <= 540) | (codec == "hevc"), 2).when(height > 1080, 2).when(height > 594, 3).otherwise(4)
+def _reserved(codec: Column, height: Column, table: Sequence[tuple], at: int) -> Column:
+    known = sorted({r[0] for r in table} - {""})
+    name = F.when(codec.isin(*known), codec).otherwise(F.lit(""))
+    rows = [F.when((name == r[0]) & (height <= r[2]), F.lit(r[at])) for r in sorted(table, key=lambda r: (r[0], r[2]))]
+    return F.coalesce(*rows)
+
+
+def vcpu_for(codec: Column, height: Column, table: Sequence[tuple] = RESERVATIONS) -> Column:
+    """Virtual CPUs that an encode reserves, by the table's bands."""
+    return _reserved(codec, height, table, 3)
 
 
-def memory_for(height: Column) -> Column:
-    return F.when(height <= 540, 2048).when(height <= 1080, 3072).otherwise(6144)
+def memory_for(codec: Column, height: Column, table: Sequence[tuple] = RESERVATIONS) -> Column:
+    """MiB of memory that an encode reserves, by the table's bands."""
+    return _reserved(codec, height, table, 4)
 
 
 def fps_mult(fps: Column) -> Column:
-    return F.greatest(F.ceil(fps / 30), F.lit(1))
+    """One for each 30 frames a second begun; an unknown rate counts as 30."""
+    return F.when(fps > 0, F.ceil(fps / 30)).otherwise(F.lit(1))
 
 
 def bitrate_mult(mbps: Column) -> Column:
@@ -146,7 +179,34 @@ def frame_rate(text: Column) -> tuple[Column, Column]:
 
 
 def normalize_argv(argv: Column) -> Column:
-    """A command's arguments as one string: paths and times as <PATH>, without what differs between runs."""
-    before = lambda i: F.try_element_at(argv, i)
-    taken = F.transform(argv, lambda a, i: F.when((i > 0) & F.coalesce(before(F.greatest(i, F.lit(1))), F.lit("")).isin("-i", "-passlogfile", "-ss", "-frames:v", "-t"), "<PATH>").when(a.contains("/"), "<PATH>").otherwise(a))
-    return F.array_join(F.filter(taken, lambda a: ~a.isin("-nostats", "-hide_banner", "-stats", "-y", "-nostdin")), " ")
+    """A command's arguments as one string that tells its settings apart, and nothing else.
+
+    Values of path and per-chunk options, absolute paths and URLs read <PATH>; progress options are left out. An
+    option that is itself such a value takes none: what is taken alternates along a row of these options.
+    """
+    valued = F.transform(argv, lambda a: a.isin(*VALUED))
+
+    def taken(i: Column) -> Column:
+        # how many such options stand in a row right before
+        row = F.aggregate(F.slice(valued, 1, i), F.lit(0), lambda n, v: F.when(v, n + 1).otherwise(0))
+        return row % 2 == 1
+
+    text = F.array_join(F.transform(argv, lambda a, i: F.when(taken(i) | a.rlike(r"^(/|s3://|https?://|file:)"), "<PATH>").otherwise(a)), " ")
+    return F.regexp_replace(F.replace(text, F.lit(" -progress pipe:1"), F.lit("")), r" -stats_period \S+", "")
+
+
+def instance_vcpus(kind: Column) -> Column:
+    """Virtual CPUs by the size in an instance type's name, whatever its family; 0 if not known."""
+    return F.coalesce(lookup(SIZES, F.regexp_extract(kind, r"^[^.]*\.(.*)$", 1)), F.lit(0))
+
+
+def compare_dims(width: Column, height: Column, cap: int = 2160) -> tuple[Column, Column]:
+    """The even width and height at which two streams are compared: the source's, but no taller than cap."""
+    even = lambda c: (c - F.pmod(c, F.lit(2))).cast("int")
+    scaled = F.bround(width * cap / height).cast("int")
+    return even(F.when(height <= cap, width).otherwise(scaled)), even(F.least(height, F.lit(cap)))
+
+
+def quality_model(height: Column) -> Column:
+    """The VMAF model by the capped height: that for 4K from 1440 on."""
+    return F.when(height >= 1440, "vmaf_4k_v0.6.1").otherwise("vmaf_v0.6.1")

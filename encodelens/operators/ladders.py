@@ -14,7 +14,7 @@ RATES = [
     for v, c, bands in [
         ("commercial", "h264", [(0, 719, 0.005), (719, 1080, 0.010), (1080, 1440, 0.025), (1440, 99999, 0.045)]),
         ("commercial", "hevc", [(0, 719, 0.008), (719, 1080, 0.015), (1080, 1440, 0.038), (1440, 99999, 0.068)]),
-        ("commercial", "av1", [(0, 719, 0.015), (719, 1080, 0.030), (1080, 1440, 0.075), (1440, 99999, 0.135)]),
+        ("commercial", "av1", [(0, 719, 0.010), (719, 1080, 0.020), (1080, 1440, 0.050), (1440, 99999, 0.090)]),
         ("mediaconvert", "h264", [(0, 719, 0.0075), (719, 1080, 0.015), (1080, 99999, 0.03)]),
         ("mediaconvert", "hevc", [(0, 719, 0.017), (719, 1080, 0.034), (1080, 99999, 0.068)]),
         ("mediaconvert", "av1", [(0, 719, 0.017), (719, 1080, 0.034), (1080, 99999, 0.068)]),
@@ -66,29 +66,47 @@ def rates(spark, table=None) -> DataFrame:
 
 
 def tier_rates(rungs: DataFrame, rate_table: DataFrame) -> DataFrame:
-    """Rungs with each vendor's dollars a minute: the band of their height, of their codec or else of h264."""
-    r = F.broadcast(rate_table)
-    j = rungs.join(r, (F.col("height") > F.col("lo")) & (F.col("height") <= F.col("hi")) & F.col("rate_codec").isin("h264", "hevc", "av1") & ((F.col("rate_codec") == F.col("codec")) | (F.col("rate_codec") == "h264")))
-    keys = rungs.columns
-    own = F.max_by("usd_min", (F.col("rate_codec") == F.col("codec")).cast("int"))
-    return j.groupBy(*keys, "vendor").agg(own.alias("usd_min"))
+    """Rungs with each vendor's dollars a minute: the band of their height, of their codec or else of h264.
+
+    What a vendor lacks is filled in the price list first, so that a rung meets its vendors by codec and once each.
+    """
+    lists = rate_table.groupBy("vendor").agg(F.collect_list(F.struct("rate_codec", "lo", "hi", "usd_min")).alias("bands"))
+    codecs = F.explode(F.array(*[F.lit(c) for c in (*S.CODECS, "")]))
+    own = F.filter("bands", lambda b: b["rate_codec"] == F.col("_codec"))
+    base = F.filter("bands", lambda b: b["rate_codec"] == "h264")
+    lists = lists.withColumn("_codec", codecs).select("vendor", "_codec", F.inline(F.when(F.size(own) > 0, own).otherwise(base))).drop("rate_codec")
+    j = rungs.withColumn("_codec", F.when(F.col("codec").isin(*S.CODECS), F.col("codec")).otherwise(F.lit("")))
+    j = j.join(F.broadcast(lists), "_codec").where((F.col("height") > F.col("lo")) & (F.col("height") <= F.col("hi")))
+    return j.select(*rungs.columns, "vendor", "usd_min")
 
 
 def saas_quote(rungs: DataFrame, rate_table: DataFrame) -> DataFrame:
     """Per request and vendor: minutes times rates times the vendor's own multiplier; two vendors add audio, one repacking.
 
     The multiplier is of frame rate and source bit rate (commercial), double over 30 frames a second (mediaconvert), or
-    of two passes (bitmovin).
+    of two passes (bitmovin). Rungs of equal codec and height are priced once. Audio counts where has_audio is true.
     """
-    t = tier_rates(rungs.select("request", "duration", "fps", "two_pass", "src_mbps", "codec", "pos", "height", "kbps"), rate_table)
+    t = rungs.groupBy("request", "duration", "fps", "two_pass", "src_mbps", "has_audio", "codec", "height").agg(F.count(F.lit(1)).alias("n"))
+    t = tier_rates(t, rate_table)
     mult = F.when(F.col("vendor") == "commercial", S.fps_mult(F.col("fps")) * S.bitrate_mult(F.col("src_mbps")))
     mult = mult.when((F.col("vendor") == "mediaconvert") & (F.col("fps") > 30), 2.0).when((F.col("vendor") == "bitmovin") & F.col("two_pass"), 1.25).otherwise(1.0)
     repack = F.when(F.col("vendor") == "commercial", 0.003).otherwise(0.0)
-    q = t.groupBy("request", "duration", "vendor").agg(F.sum(F.col("usd_min") * mult + repack).alias("a_min"), F.count(F.lit(1)).alias("rungs"))
-    audio = F.when(F.col("vendor") == "commercial", 0.001).when(F.col("vendor") == "coconut", 0.00325).otherwise(0.0)
+    q = t.groupBy("request", "duration", "has_audio", "vendor").agg(F.sum(F.col("n") * (F.col("usd_min") * mult + repack)).alias("a_min"), F.sum("n").alias("rungs"))
+    audio = F.when(~F.col("has_audio"), 0.0).when(F.col("vendor") == "commercial", 0.001).when(F.col("vendor") == "coconut", 0.00325).otherwise(0.0)
     return q.select("request", "vendor", "rungs", F.round((F.col("a_min") + audio) * F.col("duration") / 60, 4).alias("usd"))
 
 
+#: Fixed names of the cloud's machine and of the local machine that stands for all of which nothing is learned.
+CLOUD_MACHINE, LOCAL_MACHINE = "graviton", "ubuntu"
+
+
+def with_local_speed(rungs: DataFrame, learned: DataFrame) -> DataFrame:
+    """Rungs with `speed`: the mean of what local machines have learned of this rung, else the seed; and learned_n, those machines."""
+    l = learned.where((F.col("machine") != CLOUD_MACHINE) & (F.col("speed") > 0)).groupBy("codec", "height").agg(F.avg("speed").alias("_speed"), F.count(F.lit(1)).alias("_n"))
+    seed = S.seed_speed(F.col("codec"), F.col("height"), F.col("two_pass"), F.lit("medium"), F.col("fps"), F.lit(LOCAL_MACHINE))
+    return rungs.join(l, ["codec", "height"], "left").withColumn("speed", F.coalesce("_speed", seed)).withColumn("learned_n", F.coalesce("_n", F.lit(0))).drop("_speed", "_n")
+
+
 def with_speed(rungs: DataFrame, learned: DataFrame, machine: str) -> DataFrame:
     """Rungs with `speed`: the learned one of this machine and rung, else the seed; and learned_n."""
     l = learned.where(F.col("machine") == machine).select("codec", "height", F.col("speed").alias("_speed"), F.col("n").alias("_n"))
@@ -98,7 +116,7 @@ def with_speed(rungs: DataFrame, learned: DataFrame, machine: str) -> DataFrame:
 
 def speed_lookup(learned: DataFrame) -> DataFrame:
     """Per codec and height over machines: mean speed, the slowest and mean of machines that are not cloud, and samples."""
-    local = ~F.col("machine").startswith("cloud")
+    local = F.col("machine") != CLOUD_MACHINE
     return learned.groupBy("codec", "height").agg(F.round(F.avg("speed"), 4).alias("mean"), F.round(F.avg(F.when(local, F.col("speed"))), 4).alias("local_mean"), F.round(F.min(F.when(local, F.col("speed"))), 4).alias("local_slowest"), F.sum("n").alias("n"))
 
 
@@ -117,6 +135,18 @@ def cloud_quote(rungs: DataFrame, edge_s: float = 116.0, packing: float = 0.91,
     return r.select("request", "fleet_vcpu", F.round("alloc", 4).alias("allocated_vcpu_h"), F.round("machine", 4).alias("machine_vcpu_h"), F.round(F.col("machine") * spot, 4).alias("spot_usd"), F.round(F.col("machine") * ondemand, 4).alias("ondemand_usd"), F.round(idle, 4).alias("idle"), F.round("gb", 4).alias("output_gb"), F.round(F.col("gb") * S.PRICES["egress_gb"], 4).alias("egress_usd"))
 
 
+def estimate_rows(requests: DataFrame, quotes: DataFrame, cloud: DataFrame, local: DataFrame) -> DataFrame:
+    """One row per request with everything that is known before it runs: cloud dollars, egress, vendors, local wall time.
+
+    total_usd is what the run is billed: spot and egress in the cloud, nothing on a local target (`local`).
+    """
+    vendors = ["commercial", "mediaconvert", "coconut", "bitmovin"]
+    q = quotes.groupBy("request").pivot("vendor", vendors).agg(F.first("usd")).withColumnsRenamed({v: f"{v}_usd" for v in vendors})
+    out = requests.select("request", "local").join(cloud, "request", "left").join(local, "request", "left").join(q, "request", "left")
+    total = F.when(F.col("local"), 0.0).otherwise(F.round(F.col("spot_usd") + F.col("egress_usd"), 4))
+    return out.select("request", "local", "spot_usd", "ondemand_usd", F.round(100 * F.col("idle"), 4).alias("idle_pct"), F.col("output_gb").alias("egress_gb"), "egress_usd", total.alias("total_usd"), *[f"{v}_usd" for v in vendors], F.col("wall_s").alias("local_wall_s"), F.col("learned").alias("local_wall_learned"), F.col("rungs").alias("local_wall_rungs"))
+
+
 def local_makespan(rungs: DataFrame, cores: int = LOCAL_CORES) -> DataFrame:
     """Per request: the larger of all core seconds over the cores and the longest rung's, which counts up to 240 s."""
     wall = F.col("duration") / F.col("speed")

@@ -128,7 +128,7 @@ def _(v):
 
 
 @query("O71_settings_diff", """
-with c as (select concat(codec, height) as rung, concat('-i <PATH> -c:v ', codec, ' -b:v ', kbps // 500) as settings, case pos % 3 when 0 then 'cloud' when 1 then 'local' else 'dist' end as source from rungs),
+with c as (select concat(codec, height) as rung, concat('-i <PATH> -c:v ', codec, ' -b:v ', kbps // 500, ' -y') as settings, case pos % 3 when 0 then 'cloud' when 1 then 'local' else 'dist' end as source from rungs),
 s as (select rung, settings, string_agg(distinct source, ',' order by source) as sources, count(*) as n from c group by all)
 select *, count(*) over (partition by rung) > 1 as divergent from s""")
 def _(v):

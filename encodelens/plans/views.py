@@ -75,7 +75,7 @@ VIEWS = {
         select s_suppkey as request, concat('Brand#', s_suppkey % 25 + 1) as ladder, 60 + abs(s_acctbal) / 10 as duration,
                case s_nationkey % 4 when 0 then 24 when 1 then 30 when 2 then 50 else 60 end as fps,
                s_nationkey % 2 = 0 as two_pass, case s_nationkey % 3 when 0 then 1920 when 1 then 3840 else 1280 end as src_width,
-               s_suppkey % 3 as plan, DOUBLE(20 + s_nationkey * 8) as src_mbps
+               s_suppkey % 3 as plan, DOUBLE(20 + s_nationkey * 8) as src_mbps, s_nationkey % 5 <> 0 as has_audio, s_suppkey % 2 = 0 as local
         from supplier""",
     "curves": f"""
         select concat('clip', l_suppkey % 5) as clip, {_CODEC} as codec, case when l_linestatus = 'O' then 2160 else 1080 end as reference,

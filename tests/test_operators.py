@@ -261,8 +261,48 @@ def test_scalars(spark):
 
 
 def test_argv(spark):
-    df = spark.createDataFrame([(["ffmpeg", "-y", "-i", "in.mp4", "-t", "12", "-c:v", "libx264", "/tmp/out.mp4"],)], "a array<string>")
-    assert df.select(S.normalize_argv(F.col("a")).alias("x")).first().x == "ffmpeg -i <PATH> -t <PATH> -c:v libx264 <PATH>"
+    cases = {
+        "ffmpeg -y -i in.mp4 -t 12 -c:v libx264 /tmp/out.mp4": "ffmpeg -y -i <PATH> -t <PATH> -c:v libx264 <PATH>",
+        "-r 30000/1001 -vf scale=1280:720/2 out/x.mp4": "-r 30000/1001 -vf scale=1280:720/2 out/x.mp4",
+        "-f null s3://b/k http://h/x https://h/x file:x.mp4 ftp://h/x": "-f null <PATH> <PATH> <PATH> <PATH> ftp://h/x",
+        "-hide_banner -nostats -stats -nostdin -y": "-hide_banner -nostats -stats -nostdin -y",
+        "-crf 20 -progress pipe:1 -stats_period 0.5 -an": "-crf 20 -an",
+        "-progress pipe:2 -stats_period": "-progress pipe:2 -stats_period",
+        "-i -t 5 -ss -i a -frames:v 9 -passlogfile -passlogfile": "-i <PATH> 5 -ss <PATH> a -frames:v <PATH> -passlogfile <PATH>",
+        "": "",
+    }
+    df = spark.createDataFrame([(k, k.split()) for k in cases], "k string, a array<string>")
+    assert {r.k: r.x for r in df.select("k", S.normalize_argv(F.col("a")).alias("x")).collect()} == cases
+
+
+HEIGHTS = (234, 360, 396, 432, 540, 594, 720, 954, 1080, 1440, 1800, 2160)
+
+
+def test_reservations(spark):
+    want = {
+        "h264": [(4, 2048)] * 6 + [(3, 2048)] * 3 + [(2, 3072)] * 3,
+        "hevc": [(2, 3072)] * 9 + [(2, 6144)] * 3,
+        "av1": [(2, 3072)] * 5 + [(8, 6144)] * 7,
+        "vp9": [(2, 3072)] * 5 + [(4, 3072)] * 4 + [(4, 6144)] * 3,
+    }
+    df = spark.createDataFrame([(c, h) for c in want for h in HEIGHTS], "codec string, height int")
+    got = {(r.codec, r.height): (r.v, r.m) for r in df.select("codec", "height", S.vcpu_for(F.col("codec"), F.col("height")).alias("v"), S.memory_for(F.col("codec"), F.col("height")).alias("m")).collect()}
+    assert got == {(c, h): x for c, xs in want.items() for h, x in zip(HEIGHTS, xs)}
+
+
+def test_seed_speeds(spark):
+    cases = [("h264", 1080, False, "medium", 30, "ubuntu", 1.5), ("vp9", 1080, False, "medium", 30, "", 0.14), ("hevc", 2160, True, "slow", 60, "macmini", 0.14 / 4 * 0.5 / 2 / 2 * 0.8), ("av1", 0, False, "fast", 0, "graviton", 0.1 * 1.3 * 0.7), ("av1", 4320, True, "veryslow", 120, "mac", 0.001), ("h264", -5, False, "odd", -1, "mac", 1.2)]
+    df = spark.createDataFrame(cases, "c string, h int, t boolean, p string, f int, m string, want double")
+    for r in df.withColumn("got", S.seed_speed(*(F.col(x) for x in "chtpfm"))).withColumn("mult", S.fps_mult(F.col("f"))).collect():
+        assert r.got == pytest.approx(r.want) and r.mult == {30: 1, 60: 2, 0: 1, 120: 4, -1: 1}[r.f]
+
+
+def test_names_and_dims(spark):
+    df = spark.createDataFrame([("c7g.4xlarge", 3841, 2161, 16), ("m7g.metal", 1921, 1081, 64), ("x", 101, 99, 0), ("c7g.9xlarge", 7680, 4320, 0), (None, 4096, 2160, 0)], "k string, w int, h int, n int")
+    w, h = S.compare_dims(F.col("w"), F.col("h"))
+    got = df.select("n", S.instance_vcpus(F.col("k")).alias("v"), w.alias("w"), h.alias("h"), S.quality_model(h).alias("q")).collect()
+    assert all(r.n == r.v for r in got) and [(r.w, r.h) for r in got] == [(3838, 2160), (1920, 1080), (100, 98), (3840, 2160), (4096, 2160)]
+    assert [r.q[:7] for r in got] == ["vmaf_4k", "vmaf_v0", "vmaf_v0", "vmaf_4k", "vmaf_4k"]
 
 
 def test_splice_makes_no_pairs(spark):
