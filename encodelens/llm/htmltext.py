@@ -27,11 +27,18 @@ SIDE = frozenset(
     "header login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related recommended replies respond "
     "rss share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets hidden sidenav reply responses copyright alert overlay teaser".split()
 )
+#: Words that no element of an article has as a whole name, and those that a container within an article may have.
+NEVER = frozenset("ad adbox ads adslot adunit advert adverts advertisement advertising adsense comment comments consent cookie cookies disqus gdpr newsletter promo promoted promotion reply replies sponsor sponsored subscribe subscription".split())
+INNER = frozenset("header masthead banner overlay".split())
+TEXTUAL = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dd dt figure figcaption span b i em strong a".split())
 #: Tags of one name that close an open element of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_END = re.compile(r"=\s*([\"'])|>")
+#: Elements looked at from the innermost out when a tag closes others, and steps of a path; what is deeper counts as there.
+DEPTH = 64
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _GAP = re.compile(r"\s+")
@@ -41,8 +48,12 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _aside(tag: str, attr: dict[str, str], names: bool = True) -> bool:
-    """Whether an element holds none of the article's text, by its kind, role, being hidden, and class and id names."""
+def _aside(tag: str, attr: dict[str, str], names: bool = True, inner: bool = False) -> bool:
+    """Whether an element holds none of the article's text, by its kind, role, being hidden, and class and id names.
+
+    inner: within an article or main element, where names tell less: its paragraphs, quotes and headings go by a whole
+    name alone that only adverts, comments and the like have, and its containers may be headers.
+    """
     if tag in OUT or "hidden" in attr or attr.get("aria-hidden") == "true" or attr.get("role", "").lower() in ROLES:
         return True
     if "display:none" in attr.get("style", "").replace(" ", "").lower():
@@ -50,7 +61,25 @@ def _aside(tag: str, attr: dict[str, str], names: bool = True) -> bool:
     if tag in ("article", "main", "body", "html") or not names:
         return False
     named = f"{attr.get('class', '')} {attr.get('id', '')}"
-    return named != " " and any(w.lower() in SIDE for w in _WORD.findall(named))
+    if named == " ":
+        return False
+    if inner and tag in TEXTUAL:
+        return not NEVER.isdisjoint(named.lower().split())
+    words = {w.lower() for w in _WORD.findall(named)}
+    return not SIDE.isdisjoint(words - INNER if inner else words)
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag ends whose name ends at `at`: at the first > outside quoted values; a quote never closed is none.
+
+    A text without that end is all tag. Each character is looked at a bounded number of times.
+    """
+    while (m := _TAG_END.search(html, at)) is not None:
+        if m[1] is None:
+            return m.start()
+        close = html.find(m[1], m.end())
+        at = m.end() if close < 0 else close + 1
+    return len(html)
 
 
 def general(tag: str, attr: dict[str, str]) -> str:
@@ -68,33 +97,43 @@ def blocks(html: str | None, names: bool = True, spared: frozenset[int] = frozen
     """
     if not html:
         return
-    stack: list[tuple[str, str, bool]] = []  # tag, step, aside
-    named: list[tuple[int, int, str]] = []  # depth, offset, path of open elements that only their names put aside
+    # tag, whether it is aside, the path down to it, its depth in containers, where an open <p> is that a block
+    # closes, and whether an article or main element is around
+    stack: list[tuple[str, bool, str, int, int, bool]] = []
+    opened: dict[str, int] = {}
+    named: list[tuple[int, int, str]] = []  # place in stack, offset, path of open elements that only their names put aside
     text: list[str] = []
     links, at, end = 0, 0, len(html)
     off = 0  # open elements that are aside
 
-    def path() -> str:
-        return "/".join(s for t, s, _ in stack if t in CONTAINER)
-
     def flush() -> tuple[str, str, int] | None:
         nonlocal text, links
         joined, n = _GAP.sub(" ", "".join(text)).strip(), links
         text, links = [], 0
         if joined and marks is not None:
             marks.append([(o, p) for _, o, p in named])
-        return (path(), joined, n) if joined else None
+        return (stack[-1][2] if stack else "", joined, n) if joined else None
 
     def closed(upto: int) -> None:
         nonlocal off
-        off -= sum(a for _, _, a in stack[upto:])
+        for x in stack[upto:]:
+            off -= x[1]
+            opened[x[0]] -= 1
         del stack[upto:]
         while named and named[-1][0] >= upto:
             named.pop()
 
+    def innermost(tags: tuple[str, ...] | str, stops, least: int) -> int:
+        for i in range(len(stack) - 1, max(least, -1), -1):
+            if stack[i][0] in tags:
+                return i
+            if stack[i][0] in stops:
+                break
+        return -1
+
     in_link = 0
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = _OPEN.search(html, at)
         stop = m.start() if m else end
         if stop > at and not off:
             piece = html[at:stop]
@@ -103,9 +142,21 @@ def blocks(html: str | None, names: bool = True, spared: frozenset[int] = frozen
             links += len(piece.strip()) if in_link else 0
         if not m:
             break
-        at = m.end()
-        if m[2]:
-            tag, raw = m[2].lower(), m[3]
+        if m[1] or m[2]:  # comments, doctypes and the like leave the text as it is
+            close = "-->" if m[1] else "]]>"
+            at = html.find(close, m.end())
+            at = end if at < 0 else at + len(close)
+            continue
+        if m[3]:
+            at = html.find(">", m.end())
+            at = end if at < 0 else at + 1
+            continue
+        tag = m[5].lower()
+        close = _tag_end(html, m.end()) if not m[4] else html.find(">", m.end())
+        raw, at = html[m.end() : close], end if close < 0 else min(end, close + 1)
+        if not m[4]:
+            if close >= end:
+                break  # a tag without an end
             if tag in RAW:
                 done = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
                 at = done.end() if done else end
@@ -115,43 +166,35 @@ def blocks(html: str | None, names: bool = True, spared: frozenset[int] = frozen
                     text.append(" ")
                 elif (b := flush()) is not None:
                     yield b
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        closed(i)
-                        break
-                    if stack[i][0] in CONTAINER:
-                        break
-            if tag in SIBLINGS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in SIBLINGS[tag]:
-                        closed(i)
-                        break
-                    if stack[i][0] in STOPS[tag]:
-                        break
+            if tag in CLOSES_P and stack and stack[-1][4] >= 0:
+                closed(stack[-1][4])
+            if tag in SIBLINGS and (i := innermost(SIBLINGS[tag], STOPS[tag], len(stack) - 1 - DEPTH)) >= 0:
+                closed(i)
             if tag == "a":
                 in_link += 1
             if tag in VOID or raw.endswith("/") and tag not in BLOCK:
                 continue
             attr = _attributes(raw)
-            aside = _aside(tag, attr, names and m.start() not in spared) or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
+            up = stack[-1] if stack else ("", False, "", 0, -1, False)
+            aside = _aside(tag, attr, names and m.start() not in spared, up[5]) or tag == "header" and not up[5]
             off += aside
-            stack.append((tag, general(tag, attr), aside))
-            if marks is not None and not aside and tag in BLOCK and _aside(tag, attr):
-                named.append((len(stack) - 1, m.start(), path()))
-        elif m[1]:
-            tag = m[1].lower()
+            holds = tag in CONTAINER
+            deep = holds and up[3] < DEPTH
+            path = f"{up[2]}/{general(tag, attr)}".lstrip("/") if deep else up[2]
+            stack.append((tag, aside, path, up[3] + deep, len(stack) if tag == "p" else -1 if holds else up[4], up[5] or tag in ("article", "main")))
+            opened[tag] = opened.get(tag, 0) + 1
+            if marks is not None and not aside and tag in BLOCK and len(named) < DEPTH and _aside(tag, attr, inner=up[5]):
+                named.append((len(stack) - 1, m.start(), path))
+        else:
             if tag in BLOCK and (b := flush()) is not None:
                 yield b
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+            if opened.get(tag):
+                # a stray inline end tag closes no block
+                i = innermost((tag,), () if tag in BLOCK else BLOCK, -1 if tag in BLOCK else len(stack) - 1 - DEPTH)
+                if i >= 0:
                     closed(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # a stray inline end tag closes no block
-        # comments, doctypes and the like leave the text as it is
     if (b := flush()) is not None:
         yield b
 
@@ -180,12 +223,14 @@ def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
         every = list(blocks(html, spared=wraps, marks=again))
         return [b for b, m in zip(every, again) if not m or _ARTICLE.search(b[0])]
     sizes = [max(0, len(t) - 3 * n) for _, t, n in every]
-    spared = set()
-    for at in {m for around in marks for m in around}:
-        inside = [n for n, around in zip(sizes, marks) if at in around]
-        nested = any(at in around and p != at[1] for (p, _, _), around in zip(every, marks))
-        if nested and 2 * sum(inside) > sum(sizes):
-            spared.add(at[0])
+    inside: dict[tuple[int, str], int] = {}
+    nested = set()
+    for n, around, (p, _, _) in zip(sizes, marks, every):
+        for at in around:
+            inside[at] = inside.get(at, 0) + n
+            if p != at[1]:
+                nested.add(at)
+    spared = {at[0] for at in nested if 2 * inside[at] > sum(sizes)}
     return list(blocks(html, spared=frozenset(spared))) if spared else found
 
 

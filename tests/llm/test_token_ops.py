@@ -222,6 +222,50 @@ def test_page_wrappers_with_side_names():
     assert htmltext.extract(f"<div class=post><p>{long}</p></div><div class=comments><div><p>Nice!</p></div></div>", None) == long.strip()
 
 
+def test_page_names_within_articles():
+    long = "Long running text of the page. " * 9
+    page = f"<article><div class=article-header><h1>Title</h1></div><p class=notice-text>{long}</p><blockquote class=tags>Quoted.</blockquote><p class=ad>Buy!</p><div class=ad><p>Buy!</p></div><div class=notice><p>Cookies.</p></div></article>"
+    assert htmltext.extract(page, None) == f"Title\n\n{long.strip()}\n\nQuoted."
+
+
+def test_page_bad_markup():
+    for page, want in {
+        'a <b title="x>y" c>bold</b> d': "a bold d", "a<p class='x>b": "a\n\nb", "1 < 2 <3 <p>x": "1 < 2 <3\n\nx", '<p title=">">in</p>out': "in\n\nout", "<!-- <p>no</p>": "",
+        "<p>one</span>two</p><![CDATA[x]]>three<!doctype html>": "onetwo\n\nthree", "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>": "a\n\nb\n\nc\n\nd", "<p a='>x": "x",
+    }.items():
+        assert "\n\n".join(t for _, t, _ in htmltext.blocks(page)) == want, page
+
+
+@pytest.mark.parametrize("page", ['<a "' * 40_000, "<a =\"" * 40_001 + ">", "<div>" * 30_000 + "x", "<div class=comments>" * 9_000 + "<p>x" * 5_000, "<span>" * 20_000 + "<hr>" * 30_000, "<b><div>" + "<i>" * 30_000 + "</b>" * 30_000, "<li><b>" * 30_000, "<p><td><i>" + "<b>" * 20_000 + "<hr>" * 20_000, "<title>" * 30_000, "<!--" * 40_000])
+def test_page_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    htmltext.extract(page, "body/article")
+    assert time.process_time() - began < 3
+
+
+def test_pages_without_articles(spark):
+    """Two templates of one host, neither with an article element, and comments beside the text."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 9))) for _ in range(n)).capitalize() + "."
+    menu = "<ul class=nav>" + "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(20)) + "</ul>"
+    rows, want = [], {}
+    for i in range(30):
+        body = [prose(rng.randrange(30, 80)) for _ in range(rng.randrange(2, 5))]
+        ps = "".join(f"<p>{p}</p>" for p in body)
+        if i % 3:
+            html = f"<html><body>{menu}<div class='post post-{i}'><h2>Head {i}</h2><div class=text>{ps}</div></div><div class=comments><p>{prose(90)}</p></div><div class=right><p><a href=/x>{prose(5)}</a></p></div></body></html>"
+            want[i] = (body, f"Head {i}")
+        else:
+            html = f"<table><tr><td>{menu}</td><td class=story>{ps}</td></tr></table><div id=footer>{prose(9)}</div>"
+            want[i] = (body, None)
+        rows.append((i, f"http://two.example/{i}", html))
+    got = {r.id: r.text.split("\n\n") for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (body, _) in want.items():
+        assert [p for p in got[i] if not p.startswith("Head")] == body
+
+
 def test_pages_against_articles(spark, data):
     import html
 
