@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -39,15 +39,15 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): the 64-bit SimHash of each row's whole text as a signed long."""
+    """(id, h, fp): a 64-bit hash of each row's whole text, and its 64-bit SimHash as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            fps = np.array([fingerprint(t, shingle, seed) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["id", "h", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "id long, h long, fp long")
 
 
 def covering(positions: range, size: int) -> list[tuple[int, ...]]:
@@ -68,12 +68,10 @@ def _packed(positions: tuple[int, ...]) -> Column:
     return out
 
 
-def _pairs(postings: DataFrame, differing: int, least: int, ours: str) -> DataFrame:
-    a, b = postings.alias("a"), postings.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+def _linked(differing: int, least: int) -> str:
+    """SQL: rows a and b tally at least `least` equal positional bytes, and then differ in few enough bits."""
     tally = " + ".join(f"cast(((a.fp ^ b.fp) & {_mask((p,))}) = 0 as int)" for p in range(BYTES))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.expr(tally) >= least) & (F.bit_count(x) <= differing) & F.expr(ours)
-    return a.join(b, on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    return f"{tally} >= {least} and bit_count(a.fp ^ b.fp) <= {differing}"
 
 
 def _ours(masks: list[tuple[int, int]], column: str) -> str:
@@ -81,57 +79,110 @@ def _ours(masks: list[tuple[int, int]], column: str) -> str:
     return "coalesce(" + ", ".join(f"if(((a.fp ^ b.fp) & {m}) = 0, {n}, null)" for n, m in masks) + f") = a.{column}"
 
 
+def connect(postings: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) between nodes of postings (key, node, others) that join up all that any pair within a list would.
+
+    linked: keeps of rows (a, b), structs of postings, the pairs of nodes that are linked, as (a, b) and each once.
+    First each node meets the smallest of its list. Then only nodes that are not joined up yet meet within a list: those
+    outside the component that has most of the list meet all others. So a list of copies, however long, costs a pair a
+    node, and no list is capped.
+    """
+    row = F.struct(*[F.col(c) for c in postings.columns if c != "key"])
+    p = postings.select("key", row.alias("r"))
+    first = p.groupBy("key").agg(F.min("r").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
+    stars = written(linked(p.join(first, "key").where("r.node <> b.node").select(F.col("r").alias("a"), "b")), "stars")
+    part = components(stars).select(F.col("node").alias("_node"), "component")
+    shared = p.join(first.select("key"), "key")
+    shared = shared.join(part, F.col("r.node") == F.col("_node"), "left").select("key", "r", F.coalesce("component", "r.node").alias("c"))
+    shared = written(shared, "postings")
+    per = shared.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = shared.join(per.select("key", "most"), "key")
+    out = mixed.where("c <> most").select("key", F.col("r").alias("a"), F.col("c").alias("ca"))
+    pairs = out.join(mixed.select("key", "most", F.col("r").alias("b"), F.col("c").alias("cb")), "key")
+    pairs = pairs.where("ca <> cb and (cb = most or a.node > b.node)").select("a", "b")
+    return stars.unionByName(linked(pairs))
+
+
 def links(fps: DataFrame, differing: int = 3, hot: int = 256) -> DataFrame:
-    """Pairs (a, b) of representatives whose distinct fingerprints differ in at most 3 bits, each pair once.
+    """Edges (a, b) between distinct fingerprints fp that join up all those that differ in at most `differing` bits.
 
-    fps: (fp, rep), fp distinct. Fingerprints at 3 or fewer differing bits share at least 8 - 3 = 5 positional
-    bytes, so they share a whole triple of positions within the lower or the upper half: those 8 triples key the
-    inverted index. A posting list of over `hot` fingerprints is cut by two further positions, as its pairs must
-    share those too. Each pair's shared positional bytes are tallied, pairs of fewer than 5 are dropped, and the
-    rest is verified by its differing bits. No list is capped.
+    Fingerprints at 3 or fewer differing bits share at least 8 - 3 = 5 positional bytes, so they share a whole triple of
+    positions within the lower or the upper half: those 8 triples key the inverted index. Each pair that meets in a
+    posting list has its shared positional bytes tallied; pairs of fewer than 5 are dropped, and the rest is verified by
+    its differing bits. From lists of up to `hot` fingerprints each linked pair comes once. Longer lists are cut by two
+    further positions, as their pairs must share those too, and are joined up by connect(). No list is capped.
     """
     if not 0 <= differing <= 3:
         raise ValueError("the index guarantees pairs of up to 3 differing bits")
-    least = BYTES - differing
+    test = _linked(differing, BYTES - differing)
     triples = covering(range(BYTES), 3)
     keyed = [F.struct(F.lit(n).alias("no"), F.lit(n << 24).cast("long").bitwiseOR(_packed(t)).alias("key")) for n, t in enumerate(triples)]
-    posts = fps.select("fp", "rep", F.explode(F.array(*keyed)).alias("k")).select("fp", "rep", "k.no", "k.key")
+    posts = fps.select("fp", F.explode(F.array(*keyed)).alias("k")).select("fp", "k.no", "k.key")
     sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
     sizes = written(sizes.select("key"), "hot-keys")
-    masks = [(n, _mask(t)) for n, t in enumerate(triples)]
-    if sizes.isEmpty():
-        return _pairs(posts, differing, least, _ours(masks, "no"))
-    cold = _pairs(posts.join(sizes, "key", "left_anti"), differing, least, _ours(masks, "no"))
-    finer = []
+    cold = posts if sizes.isEmpty() else posts.join(sizes, "key", "left_anti")
+    first = _ours([(n, _mask(t)) for n, t in enumerate(triples)], "no")
+    a, b = cold.alias("a"), cold.alias("b")
+    out = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & F.expr(f"{test} and {first}"))
+    out = out.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    if cold is posts:
+        return out
+    per = []
     for n, t in enumerate(triples):
-        rest = [p for p in range(BYTES) if p not in t]
-        for i, two in enumerate(combinations(rest, 2)):
-            finer.append((n, i, t + two))
-    # 2 of the 5 other positions are equal; the first such pair of positions takes the pair of fingerprints
-    per = [F.array(*[F.struct(F.lit(i).alias("sub"), F.lit((n * 16 + i) << 40).bitwiseOR(_packed(p)).alias("key")) for m, i, p in finer if m == n]) for n in range(len(triples))]
-    warm = posts.join(sizes, "key", "left_semi").select("fp", "rep", "no", F.explode(F.element_at(F.array(*per), F.col("no") + 1)).alias("k")).select("fp", "rep", "no", "k.sub", "k.key")
-    subs = "case a.no " + " ".join("when %d then %s" % (n, _ours([(i, _mask(p)) for m, i, p in finer if m == n], "sub")) for n in range(len(triples))) + " end"
-    return cold.unionByName(_pairs(warm, differing, least, f"({_ours(masks, 'no')}) and ({subs})"))
+        # of the 5 other positions 2 are equal
+        more = combinations([p for p in range(BYTES) if p not in t], 2)
+        per.append(F.array(*[F.lit((n * 16 + i) << 40).bitwiseOR(_packed(t + two)) for i, two in enumerate(more)]))
+    warm = posts.join(sizes, "key", "left_semi").select("fp", F.explode(F.element_at(F.array(*per), F.col("no") + 1)).alias("key"))
+    warm = warm.select("key", F.col("fp").alias("node"), "fp")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(test).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+
+    return out.unionByName(connect(warm, linked))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, differing: int, seed: int, hot: int) -> DataFrame:
+    """(id, h, fp, root) of each row; root is the smallest fingerprint, as a signed long, that its own is joined up with."""
+    fp = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    comp = components(links(fp.select("fp").distinct(), differing, hot)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return fp.join(comp, "fp", "left").select("id", "h", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, differing: int = 3, seed: int = 42, hot: int = 256) -> DataFrame:
     """One row per document: (doc_id, fingerprint, component_id).
 
     Texts link if their fingerprints differ in at most `differing` bits; component_id is the smallest id reachable.
-    Copies share a fingerprint and meet by it, so that only distinct fingerprints are compared. Null and empty texts
-    have fingerprint zero and link like others; repeated ids keep their rows; a null id stays null and names no
-    component unless its group has no other id. An empty table gives no rows; other columns are ignored.
+    Copies share a fingerprint and meet by it, so that only distinct fingerprints are compared, and rows of a null id
+    link others like all rows. Null and empty texts have fingerprint zero; repeated ids keep their rows; component_id is
+    null if all ids of a component are. An empty table gives no rows; other columns are ignored.
     """
-    fp = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    reps = written(fp.groupBy("fp").agg(F.min("id").alias("rep")), "representatives")
-    comp = components(links(reps, differing, hot))
-    whole = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    rows = written(_grouped(docs, id_col, text_col, shingle, differing, seed, hot), "groups")
+    least = rows.groupBy("root").agg(F.min("id").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return fp.join(whole, "fp").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+    return rows.join(least, "root").select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The documents without near-duplicates: of each group the smallest id stays, once, with all its columns."""
-    found = near_duplicates(docs, id_col, **params)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_keep"]), "left_semi")
+def _one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row for each root of rows (id, h, root): that of the smallest id, null last, with all its columns.
+
+    Rows are met again by id and text hash. Only where the same id has the same text several times, one of them is drawn.
+    """
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    best = rows.groupBy("root").agg(F.min(rank).alias("r"))
+    best = written(best.select(F.col("r.id").alias("_keep"), F.col("r.h").alias("_hash")), "kept")
+    many = rows.join(best, rows["id"].eqNullSafe(F.col("_keep")) & (rows["h"] == F.col("_hash")), "left_semi").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = written(many.select(F.col("id").alias("_many"), F.col("h").alias("_many_h")), "repeated")
+    h = F.xxhash64(docs[text_col])
+    kept = docs.join(best, docs[id_col].eqNullSafe(F.col("_keep")) & (h == F.col("_hash")), "left_semi")
+    if many.isEmpty():
+        return kept
+    here = kept[id_col].eqNullSafe(F.col("_many")) & (F.xxhash64(kept[text_col]) == F.col("_many_h"))
+    return kept.join(many, here, "left_anti").unionByName(kept.join(many, here, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, differing: int = 3, seed: int = 42, hot: int = 256) -> DataFrame:
+    """The documents without near-duplicates: of each group one row stays, that of the smallest id, with all its columns.
+
+    A null id comes after all others; of rows of equal id, the one whose text has the smallest hash stays.
+    """
+    return _one_of_each(docs, _grouped(docs, id_col, text_col, shingle, differing, seed, hot), id_col, text_col)

@@ -92,15 +92,27 @@ def test_simhash_against_all_pairs(spark, data):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
 
 
-@pytest.mark.parametrize("hot", [256, 3])
+@pytest.mark.parametrize("hot", [256, 3, 0])
 def test_simhash_links(spark, hot):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
-    fps = list({b ^ sum(1 << p for p in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 2, 3, 3, 4)})
-    signed = [(f - (1 << 64) if f >> 63 else f, n) for n, f in enumerate(fps)]
-    got = simhash.links(spark.createDataFrame(signed, "fp long, rep long"), hot=hot).collect()
-    pairs = [(min(r.a, r.b), max(r.a, r.b)) for r in got]
-    assert sorted(pairs) == [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    fps = list({b ^ sum(1 << p for p in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 2, 3, 3, 4)} | {base[0] ^ 1 << i for i in range(64)} | {base[1] ^ 1 << i ^ 1 << j for i in range(20) for j in range(i)})
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), hot=hot).collect()]
+    assert all((signed[a] ^ signed[b]).bit_count() <= 3 for a, b in got) and len(set(map(frozenset, got))) == len(got) or hot < 256
+    pairs = [(a, b) for a in signed for b in signed if a < b and (signed[a] ^ signed[b]).bit_count() <= 3]
+    if hot == 256:
+        assert len(got) == len(pairs)
+    assert classes(signed, got) == classes(signed, pairs)
+
+
+def test_simhash_keep_one(spark):
+    t, u, v = "one two three four five six", "seven eight nine ten", "eleven twelve"
+    rows = [(4, t, "a"), (4, t, "a"), (None, t, "b"), (None, u, "b"), (None, u, "c"), (4, v, "a"), (9, v, "a"), (3, u + " " + t, "x")]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(4, t), (None, u), (4, v), (3, u + " " + t)], key=str)
+    rows = [(5, "x", ""), (6, "x", ""), (None, "x", "")]
+    assert {r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()} == {5}
 
 
 def test_simhash_odd_rows(spark):
