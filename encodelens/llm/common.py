@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_scratch: list[str] = []
 
 
@@ -19,9 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as one text can hold many MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches that end by their bytes, as one text can hold many MB; a session that has set them keeps its own."""
+    if spark.conf.get(BATCH, None) in (None, "-1"):
+        spark.conf.set(BATCH, size)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -321,7 +321,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     if weight <= broadcast_bytes:
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:
-        salts = 64
+        salts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         joined = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["host", "_salt"], "left")
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from encodelens.llm import common, langid, linededup, mixing, quality, queries, simhash
+from encodelens.llm import common, langid, linededup, mixing, neartexts, quality, queries, simhash
 from encodelens.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +115,59 @@ def test_simhash_keep_one(spark):
     assert {r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()} == {5}
 
 
+def five(text):
+    w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
+def alike(rows):
+    """Pairs of rows (id, text) of a five-word Jaccard similarity of 0.8 or more."""
+    sets, having = {i: five(t) for i, t in rows}, {}
+    for i, s in sets.items():
+        for g in s:
+            having.setdefault(g, []).append(i)
+    pairs = {(min(a, b), max(a, b)) for ids in having.values() for n, a in enumerate(ids) for b in ids[:n]}
+    return [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_near_texts(spark):
+    """Copies with words changed, dropped or added: what is joined is right, and few pairs are missed."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    rows, n = [], 0
+    for _ in range(40):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        for _ in range(rng.randrange(1, 6)):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(1, len(w) // 45))):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice(([], [word()], [w[at], word()], [w[at].upper()]))
+            rows.append((n, " ".join(w), "s"))
+            n += 1
+    pairs = alike([r[:2] for r in rows])
+    want = classes([r[0] for r in rows], pairs)
+    roots = {}
+    for r in neartexts.grouped(docs(spark, rows)).collect():
+        roots.setdefault(r.root, []).append(r.id)
+    got = {i: min(ids) for ids in roots.values() for i in ids}
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs) and len(pairs) > 60
+
+
+def test_near_texts_large_group(spark):
+    """A group of copies that each differ from one text by a word: all are joined up, with few candidates."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base if i == 700 else [*base[: i % 190], f"x{i}", *base[i % 190 + 1 :]]), "s") for i in range(1000)]
+    kept = neartexts.keep_one(docs(spark, rows)).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
+def test_near_texts_odd_rows(spark):
+    out = neartexts.keep_one(docs(spark, ODD))
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "4", "5", "6", "None"] and out.columns == docs(spark, []).columns
+    assert neartexts.keep_one(docs(spark, [])).count() == 0
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.near_duplicates(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -278,8 +331,8 @@ def test_pipeline(spark, data):
     bad = {k for k, n in lines.items() if n >= 5 and n > 0.1 * pages[k[0]]}
     for r in rows:
         r["text"] = "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in bad)
-    fp = {r["doc_id"]: slow_fingerprint(r["text"]) for r in rows}
-    group = classes(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    ids = [r["doc_id"] for r in rows]
+    group = classes(ids, alike([(r["doc_id"], r["text"]) for r in rows]))
     rows = {r["doc_id"]: r for r in rows if group[r["doc_id"]] == r["doc_id"]}
     mix = mixing.mix(spark.createDataFrame([(i, r["source"], len(WORD.findall(r["text"]))) for i, r in rows.items()], "doc_id long, source string, size long"))
     want = []
