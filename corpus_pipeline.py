@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encodelens.llm import bpe, linededup, mixing, quality, simhash
+from encodelens.llm import bpe, linededup, mixing, neartexts, quality
 from encodelens.llm.common import small_batches, table, written
 
 
@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id."""
+    """One document of each near-duplicate group, that of the smallest doc_id: five-word shingles, similarity 0.8 or more."""
     small_batches(spark)
-    return simhash.keep_one(docs)
+    return neartexts.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
