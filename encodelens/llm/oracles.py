@@ -51,11 +51,11 @@ with d as (select doc_id, source, text, string_split(coalesce(text, ''), chr(10)
 ), w as (
   select *, regexp_matches(line, '[^\x20\x09-\x0D]') as word from l
 ), n as (
-  select source, line, count(distinct doc_id) as pages from w where word group by all
+  select w.source, line, count(distinct coalesce(d.text, '')) as pages from w join d using (doc_id) where word group by all
 ), t as (
-  select source, count(*) as total from documents group by all
+  select source, count(distinct coalesce(text, '')) as total from documents group by all
 ), bad as (
-  select n.source, n.line from n join t on n.source is not distinct from t.source where pages >= 5 and pages > 0.1 * total
+  select n.source, n.line from n join t on n.source is not distinct from t.source where pages >= 5 and pages > 0.05 * total
 ), k as (
   select w.*, w.word and bad.line is not null as cut
   from w left join bad on w.line = bad.line and w.source is not distinct from bad.source

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 
 import pytest
 import xxhash
@@ -196,15 +197,35 @@ def test_components(spark, monkeypatch, edges_a_task):
 
 def test_line_dedup_paths_agree(spark):
     rows = [(i, f"menu\nown {i}\n\nmenu\nfoot", "s") for i in range(40)] + [(90, None, "s"), (91, "menu", None), (92, "foot\nfoot", "t"), (92, "foot\nfoot", "t")]
-    d = docs(spark, rows)
+    d = docs(spark, rows).withColumnsRenamed({"lang": "row", "size": "host", "rate": "cut"}).withColumn("_h", F.lit(1)).withColumn("page", F.lit("p"))
     a = linededup.drop_boilerplate(d)
     b = linededup.drop_boilerplate(d, broadcast_rows=-1)
-    assert a.columns == [*d.columns, "_lines", "_dropped"]
+    assert a.columns == b.columns == [*d.columns, "_lines", "_dropped"]
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     by = {r.doc_id: r for r in a.collect()}
     assert by[3].text == "own 3\n" and by[3]._dropped == 3 and by[90].text is None
     assert by[91].text == "menu" and by[92].text == "foot\nfoot"
     assert linededup.drop_boilerplate(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        linededup.drop_boilerplate(d.withColumn("_lines", F.lit(1)))
+
+
+@pytest.mark.parametrize("ratio", [0.05, 0.1])
+@pytest.mark.parametrize("limit", [100_000, -1])
+def test_line_dedup_against_loops(spark, ratio, limit):
+    """Lines on 7 % and 12 % of the pages of one host; copies of a text are one page, few pages lose nothing."""
+    rows = [(i, "\n".join([f"own {i}", *(["seven"] if i % 14 == 0 else []), *(["twelve"] * 2 if i % 8 == 0 else []), " "]), "s") for i in range(200)]
+    rows += [(300 + i, "copied line\nand another", "s") for i in range(100)] + [(500 + i, f"menu\n{i}", "few") for i in range(4)] + [(600 + i, f"menu\n{i}", "five") for i in range(5)]
+    pages = {(h, t) for _, t, h in rows}
+    total = {h: sum(x == h for x, _ in pages) for h, _ in pages}
+    on = {}
+    for h, t in pages:
+        for line in {x for x in t.split("\n") if x.strip()}:
+            on[h, line] = on.get((h, line), 0) + 1
+    bad = {k for k, n in on.items() if n >= 5 and n > ratio * total[k[0]]}
+    got = {r.doc_id: (r.text, r._dropped) for r in linededup.drop_boilerplate(docs(spark, rows), ratio=ratio, broadcast_rows=limit).collect()}
+    assert got == {i: ("\n".join(x for x in t.split("\n") if (h, x) not in bad), sum((h, x) in bad for x in t.split("\n"))) for i, t, h in rows}
+    assert {x for _, x in bad} == ({"seven", "twelve", "menu"} if ratio < 0.1 else {"twelve", "menu"})
 
 
 def test_stage_copies_keep_their_text(spark):
@@ -293,6 +314,58 @@ def test_language(spark, data):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_against_loops(spark, data):
+    """Counts, log-odds, margins and decoding by plain loops over n-grams, text by text."""
+    from collections import Counter
+
+    rows = [r for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+
+    def grams(text):
+        raw = (" " + text.lower() + " ").encode()
+        yield from (("2", raw[i] << 8 | raw[i + 1]) for i in range(len(raw) - 1))
+        yield from (("3", (((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) % 2**32) >> 16) for i in range(len(raw) - 2))
+
+    counts = {}
+    for r in rows:
+        if not held(r.doc_id) and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    langs = sorted(counts)
+    sums = {x: {k: sum(n for (kind, _), n in c.items() if kind == k) for k in "23"} for x, c in counts.items()}
+    share = lambda x, g: (counts[x][g] + 0.5) / (sums[x][g[0]] + 0.5 * 65536)
+    code = langid.codewords(len(langs)).astype(int)
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, data).collect()}
+    assert len(got) == len(rows)
+    known = {}
+
+    def odds(g):
+        if g not in known:
+            p = [share(x, g) for x in langs]
+            known[g] = [math.log((sum(x for x, c in zip(p, col) if c > 0) / sum(col > 0)) / (sum(x for x, c in zip(p, col) if c < 0) / sum(col < 0))) for col in code.T]
+        return known[g]
+
+    for r in rows:
+        assert got[r.doc_id].held_out == held(r.doc_id)
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        n = Counter(grams(r.text))
+        margin = [sum(k * odds(g)[j] for g, k in n.items()) / sum(n.values()) for j in range(code.shape[1])]
+        size = [abs(m) / sum(map(abs, margin)) * len(margin) for m in margin]
+        loss = [sum(s * math.log1p(math.exp(-8 * m * c)) for s, m, c in zip(size, margin, row)) for row in code]
+        p = [math.exp(min(loss) - x) for x in loss]
+        assert got[r.doc_id].lang_pred == langs[p.index(max(p))]
+        assert got[r.doc_id].score == pytest.approx(max(p) / sum(p), abs=2e-4)
+
+
+def test_language_repeats_and_clashes(spark):
+    rows = [(1, "the cat and the dog", ""), (1, "the cat and the dog", ""), (2, "x" * 600_000, ""), (None, "the end", "")]
+    d = docs(spark, rows).withColumnsRenamed({"size": "score", "rate": "ambiguous", "source": "lang_pred"})
+    out = langid.predict(d, langid.train(d))
+    assert out.columns == ["doc_id", "lang", "n_chars", "lang_pred", "score", "ambiguous"] and out.count() == 4
+    assert {(r.lang_pred, r.score) for r in out.collect()} == {("en", 1.0)}
+
+
 def test_language_odd_rows(spark):
     few = docs(spark, [(1, "the cat and the dog", ""), (2, "1 2 3 !", ""), (3, None, ""), (4, "", "")])
     model = langid.train(few)
@@ -324,11 +397,11 @@ def test_pipeline(spark, data):
     rows = [r.asDict() for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     rows = [r for r in rows if not any(rule.reject(quality.Text(r["text"])) for rule in (*quality.BASE, *quality.RULES))]
     pages, lines = {}, {}
-    for r in rows:
-        pages[r["source"]] = pages.get(r["source"], 0) + 1
-        for line in {x for x in r["text"].split("\n") if WORD.search(x)}:
-            lines[r["source"], line] = lines.get((r["source"], line), 0) + 1
-    bad = {k for k, n in lines.items() if n >= 5 and n > 0.1 * pages[k[0]]}
+    for source, text in {(r["source"], r["text"]) for r in rows}:
+        pages[source] = pages.get(source, 0) + 1
+        for line in {x for x in text.split("\n") if WORD.search(x)}:
+            lines[source, line] = lines.get((source, line), 0) + 1
+    bad = {k for k, n in lines.items() if n >= 5 and n > 0.05 * pages[k[0]]}
     for r in rows:
         r["text"] = "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in bad)
     ids = [r["doc_id"] for r in rows]
