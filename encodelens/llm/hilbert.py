@@ -79,24 +79,27 @@ def with_hilbert(df: DataFrame, levels: list[str], out: str = "curve", bits: int
     return df.withColumn(out, index).drop("_axes", "_gray", "_turned")
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", string_cols: tuple[str, str] = ("source", "lang"), parts: int = 256) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", string_cols: tuple[str, str] = ("source", "lang"), parts: int | None = None) -> DataFrame:
     """(id, size, text_crc32, curve, shard, slot, rows_in_all) of each row: runs of equal row counts along a Hilbert curve.
 
     Four metadata dimensions (size, two strings, id) are quantised to 16 levels each. Rows are ordered by their cell's
-    place on the curve, then by pmod(id, parts), then by id; the run of each shard is cut by rank, so shard counts
-    differ by one at most, and a shard holds few levels of each dimension, which is what min/max pruning needs. The
-    rank of a row is the number of rows in earlier cells and parts, from counts of at most 65,536 cells by `parts`, plus its place
-    within its own part: a cell that holds a third of all rows is spread over `parts` groups. The texts are read once
-    and never shuffled. Null texts have size 8 and the CRC of nothing; null strings and ids take level 0, null ids
-    part 0; repeated rows take neighbouring slots; fewer rows than shards leave shards empty.
+    place on the curve, then by a part (a hash of id and text), then by id; the run of each shard is cut by rank, so
+    shard counts differ by one at most, and a shard holds few levels of each dimension, which is what min/max pruning
+    needs. The rank of a row is the number of rows in earlier cells and parts, from counts of at most 65,536 cells by
+    `parts`, plus its place within its own part: a cell that holds a third of all rows is spread over `parts` groups, 256
+    or so many that all rows in one cell would make 65,536 a group. The texts are read once and never shuffled.
+    Strings are placed by six bytes behind what all of them share. Null texts have size 8 and the CRC of nothing;
+    null strings and ids take level 0; repeated rows take neighbouring slots; fewer rows than shards leave shards empty.
     """
     a, b = string_cols
     text = utf8(F.coalesce(text_col, F.lit("")))
     slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.col(a).alias("a"), F.col(b).alias("b"))
     slim = written(slim, "shard-rows")
-    r = slim.agg(*[f(c).alias(f"{n}_{c}") for c in ("a", "b", "id") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    r = slim.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("a", "b", "id") for n, f in (("lo", F.min), ("hi", F.max))]).first()
     levels = {"l0": size_level(F.col("size")), "l1": string_level("a", r["lo_a"], r["hi_a"]), "l2": string_level("b", r["lo_b"], r["hi_b"]), "l3": number_level("id", r["lo_id"], r["hi_id"])}
-    rows = slim.select("id", "size", "text_crc32", F.coalesce(F.pmod("id", F.lit(parts)), F.lit(0)).cast("int").alias("part"), *[c.cast("int").alias(n) for n, c in levels.items()])
+    parts = parts or 256 << max(0, (r["n"] >> 24).bit_length())
+    spread = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("text_crc32").cast("string"))), 1, 7), 16, 10).cast("long")
+    rows = slim.select("id", "size", "text_crc32", F.pmod(spread, F.lit(parts)).cast("int").alias("part"), *[c.cast("int").alias(n) for n, c in levels.items()])
     cell = F.lit(0)
     for n in levels:
         cell = cell * LEVELS + F.col(n)
@@ -116,8 +119,18 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     return ranked.withColumn("shard", number).withColumn("slot", F.col("rank") - first).select(F.col("id").alias(id_col), "size", "text_crc32", "curve", "shard", "slot", "rows_in_all")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """docs as Parquet folders shard=N under path, each in slot order; a part of a shard's slots per file."""
-    at = placed.select(F.col(id_col).alias("_id"), "shard", "slot")
-    out = docs.join(at, docs[id_col].eqNullSafe(at["_id"])).drop("_id")
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """docs as Parquet folders shard=N under path, each in slot order; a part of a shard's slots per file.
+
+    placed: what shard() says of docs. A row is met by its id, size and CRC, and repeated ones by their number, so that
+    each row is written once. docs must have no columns shard or slot.
+    """
+    text = utf8(F.coalesce(text_col, F.lit("")))
+    key = ["_id", "_size", "_crc"]
+    d = docs.withColumns({"_id": F.col(id_col), "_size": (F.octet_length(text) + 8).cast("long"), "_crc": F.crc32(text)})
+    d = d.withColumn("_no", F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))))
+    at = placed.select(F.col(id_col).alias("_i"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
+    at = at.withColumn("_n", F.row_number().over(W.partitionBy("_i", "_s", "_c").orderBy("shard", "slot")))
+    on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")) & (F.col("_no") == F.col("_n"))
+    out = d.join(at, on).select(*docs.columns, "shard", "slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -160,7 +160,7 @@ with rows0 as (
 ), ends as (
   select hex(encode(min(a))) as lo_a, hex(encode(max(a))) as hi_a, hex(encode(min(b))) as lo_b, hex(encode(max(b))) as hi_b, min(doc_id)::double as lo, max(doc_id)::double as hi, count(*) as n from rows0
 ), skips as (select {skip_a} // 2 * 2 as skip_a, {skip_b} // 2 * 2 as skip_b), placed as (
-  select doc_id, size, text_crc32, ((doc_id % 256) + 256) % 256 as part, n, least(greatest(length(bin(size)) - 4, 0), 15)::int as l0, {level_a} as l1, {level_b} as l2,
+  select doc_id, size, text_crc32, ('0x' || substr(md5(concat(doc_id, ':', text_crc32)), 1, 7))::bigint % 256 as part, n, least(greatest(length(bin(size)) - 4, 0), 15)::int as l0, {level_a} as l1, {level_b} as l2,
     coalesce(floor((doc_id::double - lo) * 16 / (hi - lo + 1)), 0)::int as l3 from sized, ends, skips
 ), celled as (select *, ((l0 * 16 + l1) * 16 + l2) * 16 + l3 as cell from placed), levels as (select distinct cell, l0, l1, l2, l3 from celled),
 {_curve_sql()}, ranked as (

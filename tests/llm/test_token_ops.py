@@ -141,9 +141,31 @@ def test_shards_odd_rows(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, slot int")
     got = hilbert.shard(df)
     assert got.count() == 5 and hilbert.shard(df.limit(0)).count() == 0
-    one = hilbert.shard(df.dropDuplicates(["doc_id"]), shards=2)
-    hilbert.write_shards(df.dropDuplicates(["doc_id"]).drop("slot"), one, f"{tmp_path}/s")
-    assert spark.read.parquet(f"{tmp_path}/s").groupBy("shard").count().count() == 2
+    hilbert.write_shards(df.drop("slot"), hilbert.shard(df, shards=2), f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert back.count() == 5 and sorted(str(r.text) for r in back.collect()) == sorted(str(r[1]) for r in rows)
+    assert {(r.shard, r.slot) for r in back.collect()} == {(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)}
+
+
+def test_shards_prune(spark):
+    """Files hold fewer sources, languages and sizes than files in id order, so that min and max leave more of them out."""
+    rng = random.Random(8)
+    rows = [(i * 256, "x" * int(2 ** rng.uniform(3, 13)), f"src{rng.randrange(20)}", rng.choice(["de", "en", "es", "fr"])) for i in range(3000)]
+    got = hilbert.shard(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    by_id = {r[0]: r for r in rows}
+
+    def read(shard_of):
+        """Shards that a filter on one source, one language or one size has to read, on average."""
+        spans = {}
+        for i, s in shard_of.items():
+            for d, v in enumerate((by_id[i][2], by_id[i][3], len(by_id[i][1]))):
+                lo, hi = spans.get((s, d), (v, v))
+                spans[s, d] = min(lo, v), max(hi, v)
+        asked = [(0, f"src{k}") for k in range(20)] + [(1, x) for x in ("de", "en", "es", "fr")] + [(2, 2**k) for k in range(3, 13)]
+        return sum(lo <= v <= hi for d, v in asked for (s, e), (lo, hi) in spans.items() if e == d) / len(asked)
+
+    curve, ids = read({r.doc_id: r.shard for r in got}), read({r[0]: n * 24 // 3000 for n, r in enumerate(rows)})
+    assert curve < 0.7 * ids
 
 
 def brute_vectors(rows, least=0.95):
