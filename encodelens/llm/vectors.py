@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +12,9 @@ from pyspark.sql import functions as F
 from encodelens.llm.common import components, written
 
 
-def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
+def unit(rows: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of one length as unit vectors in double precision, and which of them have a direction."""
-    m = np.array(rows, np.float64)
+    m = np.asarray(rows, np.float64)
     ok = np.isfinite(m).all(axis=1)
     m = np.where(ok[:, None], m, 0.0)
     top = np.abs(m).max(axis=1, initial=0.0)  # before squaring, so that no square overflows or vanishes
@@ -53,88 +52,103 @@ def centroids(vectors: DataFrame, rows_a_cell: int, sample_rows: int, most_cells
     return out
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, cell: int, least: float, same: bool, tile: int = 512) -> pd.DataFrame:
-    """Links between two blocks of a cell: per vector their number, and a forest over those linked.
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """label (each row's smallest known partner) after rows x and y are linked pairwise; all pairs at once."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label[:] = up
+
+
+def _compare(left: pa.Table, right: pa.Table, kind: str, cell: int, least: float, same: bool, tile: int = 512) -> pa.Table:
+    """Links between two blocks of a cell: per row their number, and a forest over the ids of those linked.
 
     left may be homed elsewhere, right is at home. A pair that two cells see counts in that of the smaller number.
     """
-    a, b = np.stack(left["unit"].to_numpy()), np.stack(right["unit"].to_numpy())
-    ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-    home_a, probes_b = left["home"].to_numpy(), np.stack(right["probes"].to_numpy())
-    n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = parent[x]
-        return x
-
+    def matrix(t: pa.Table) -> np.ndarray:
+        return unit(np.frombuffer(b"".join(t["raw"].to_pylist()), kind).reshape(t.num_rows, -1))[0]
+
+    def column(t: pa.Table, c: str) -> np.ndarray:
+        return t[c].to_numpy()
+
+    a, b = matrix(left), matrix(right)
+    at = np.concatenate((column(left, "at"), column(right, "at")))
+    ids = np.concatenate((column(left, "id"), column(right, "id")))
+    home_a, at_a, at_b = column(left, "home"), column(left, "at"), column(right, "at")
+    probes_b = right["probes"].combine_chunks().flatten().to_numpy().reshape(right.num_rows, -1)
+    n = np.zeros(len(at), np.int64)
+    # rows in id order, so that the smallest row of a class has its smallest id
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    label = np.arange(len(ids))
     for i in range(0, len(a), tile):
         for j in range(0, len(b), tile):
             x, y = np.nonzero(a[i : i + tile] @ b[j : j + tile].T >= least)
             x, y = x + i, y + j
             at_home = home_a[x] == cell
-            twice = ~at_home & (probes_b[y] == home_a[x][:, None]).any(axis=1) & (home_a[x] < cell)
-            keep = ~twice & (~at_home | ~np.bool_(same) | (left["at"].to_numpy()[x] < right["at"].to_numpy()[y]))
-            x, y = x[keep], y[keep]
-            n_a += np.bincount(x, minlength=len(a))
-            n_b += np.bincount(y, minlength=len(b))
-            # a dense tile has few classes: only the first partner of each vector and changes of class need a look
-            for p, q in zip(ids_a[x].tolist(), ids_b[y].tolist()):
-                p, q = root(p), root(q)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-    low = {x: root(x) for x in list(parent)}
-    ids = np.concatenate((ids_a, ids_b))
-    out = pd.DataFrame({"id": ids, "n": np.concatenate((n_a, n_b))})
-    out = out[out["n"] > 0].groupby("id", as_index=False)["n"].sum()
-    out["low"] = [low.get(x, x) for x in out["id"].tolist()]
-    return out
+            twice = ~at_home & (home_a[x] < cell) & (probes_b[y] == home_a[x][:, None]).any(axis=1)
+            keep = ~twice & (~at_home | ~np.bool_(same) | (at_a[x] < at_b[y]))
+            x, y = x[keep], y[keep] + len(a)
+            n += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+            _joined(label, place[x], place[y])
+    some = n > 0
+    low = ids[order][label[place]]
+    return pa.table({"at": at[some], "id": ids[some], "n": n[some], "low": low[some]})
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, rows_a_cell: int = 256, probes: int = 6, sample_rows: int = 20_000, most_cells: int = 4096, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, rows_a_cell: int = 256, probes: int = 6, sample_rows: int = 32_768, most_cells: int = 4096, block: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: links of cosine >= `least`, none below it.
 
     Spherical k-means, fitted on at most sample_rows vectors, gives cells. Each vector lives in its nearest cell and
     is compared there with all that live there or have that cell among their `probes` nearest, so a pair is found
     unless each lives outside the other's probes. A cell is cut into blocks, and each pair of blocks is a task of
     its own, so a cell that holds a third of all vectors is spread out; a task sends one row per linked vector,
-    its count and its smallest partner, never pairs. The smallest vec_id of a component is kept.
+    its count and its smallest partner, never pairs. Components travel as they came (float or double) and are
+    compared in double precision. The smallest vec_id of a component is kept.
 
     Null, empty and zero vectors, and those with a null or non-finite component, link with nothing. Vectors of
-    different lengths do not compare. Repeated vec_ids are rows each, and share links and component. A vec_id that
-    is null has no link.
+    different lengths do not compare. Each row is a vector: rows of a repeated vec_id have links of their own, to each
+    other too, and share the component. A vec_id that is null has no link.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("vec"))
     good = F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
-    valid = rows.where(F.coalesce(good, F.lit(False)))
+    good = F.coalesce(good, F.lit(False))
+    valid = rows.where(good)
     cells = centroids(valid, rows_a_cell, sample_rows, most_cells)
     shared = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vecs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for length in sorted({len(v) for v in vecs}):
-                at = [i for i, v in enumerate(vecs) if len(v) == length]
-                m, _ = unit([vecs[i] for i in at])
+            lists = b.column(1)
+            lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(kind)
+            ends = np.cumsum(lengths)
+            for length in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == length)
+                m = values[(ends[at] - length)[:, None] + np.arange(length)]
                 c = shared.value.get(length, np.zeros((1, length)))
-                k = min(probes, len(c))
-                near = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :k]
-                cols = [pa.array([ids[i] for i in at], pa.int64()), pa.array([length] * len(at), pa.int32()), pa.array(near[:, 0].astype(np.int32)), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(m.tolist(), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "length", "home", "probes", "unit"])
-
-    placed = written(valid.mapInArrow(assign, "id long, length int, home int, probes array<int>, unit array<double>").withColumn("at", F.monotonically_increasing_id()), "cells")
-    # blocks of a cell: by hash, so many that each has about `block` rows
-    # the number of a cell's blocks follows the larger of those who live there and those who look in
+                near = np.argsort(-(unit(m)[0] @ c.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                cols = [b.column(0).take(pa.array(at)), pa.array([length] * len(at), pa.int32()), pa.array(near[:, 0]), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in m], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "length", "home", "probes", "raw"])
+
+    placed = valid.mapInArrow(assign, "id long, length int, home int, probes array<int>, raw binary")
+    placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "cells")  # the numbers hold from here on
+    # blocks of a cell: by hash, so many that each has about `block` rows, counted apart for who lives there and who looks in
     seen = placed.select("length", "home", F.explode("probes").alias("cell"))
-    sizes = seen.groupBy("length", "cell").agg(F.ceil(F.sum((F.col("home") == F.col("cell")).cast("long")) / block).cast("int").alias("homes"), F.ceil(F.sum((F.col("home") != F.col("cell")).cast("long")) / block).cast("int").alias("guests"))
+    home = F.col("home") == F.col("cell")
+    sizes = seen.groupBy("length", "cell").agg(F.ceil(F.sum(home.cast("long")) / block).cast("int").alias("homes"), F.ceil(F.sum((~home).cast("long")) / block).cast("int").alias("guests"))
     sizes = written(sizes.where("homes > 0"), "cell-blocks")
+    # at most `most_cells` rows for each length of vectors
     looks = placed.withColumn("cell", F.explode("probes")).join(F.broadcast(sizes), ["length", "cell"])
     h = F.xxhash64("id", "at")
     own = F.pmod(h, F.col("homes")).cast("int")
     guest = F.pmod(h, F.col("guests")).cast("int") + F.col("homes")
-    home = F.col("home") == F.col("cell")
     # home blocks i <= j meet each other; guest blocks meet each home block
     as_right = looks.where(home).withColumn("b", own)
     others = F.transform(F.sequence(F.lit(0), F.col("homes") + F.col("guests") - 1), lambda o: F.struct(F.when((o < F.col("homes")) & (o <= F.col("b")), o).when(o >= F.col("homes"), o).alias("l"), F.col("b").alias("r"), F.lit(1).alias("side")))
@@ -142,21 +156,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     lefts = looks.withColumn("b", F.when(home, own).otherwise(guest))
     rights = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda o: F.struct(F.col("b").alias("l"), F.when(~home | (F.col("b") < o), o).alias("r"), F.lit(0).alias("side")))
     left = lefts.withColumn("t", F.explode(F.filter(rights, lambda t: t["r"].isNotNull())))
-    cols = ["length", "cell", "t.l", "t.r", "t.side", "id", "at", "home", "probes", "unit"]
-    pairs = right.select(*cols).unionByName(left.select(*cols))
+    cols = ["length", "cell", "t.l", "t.r", "t.side", "id", "at", "home"]
+    pairs = right.select(*cols, "probes", "raw").unionByName(left.select(*cols, F.array().cast("array<int>").alias("probes"), "raw"))
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, cell, l, r = key
-        right_side = part[part["side"] == 1]
+    def compare(key: tuple, part: pa.Table) -> pa.Table:
+        _, cell, l, r = (k.as_py() for k in key)
+        is_right = part["side"].to_numpy() == 1
+        right_side = part.filter(pa.array(is_right))
         same = l == r
-        left_side = right_side if same else part[part["side"] == 0]
-        if not len(right_side) or not len(left_side):
-            return pd.DataFrame({"id": [], "n": [], "low": []}).astype("int64")
-        return _compare(left_side, right_side, cell, least, same)
+        left_side = right_side if same else part.filter(pa.array(~is_right))
+        if not right_side.num_rows or not left_side.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("at", "id", "n", "low")})
+        return _compare(left_side, right_side, kind, cell, least, same)
 
-    found = written(pairs.groupBy("length", "cell", "l", "r").applyInPandas(compare, "id long, n long, low long"), "links")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    found = written(pairs.groupBy("length", "cell", "l", "r").applyInArrow(compare, "at long, id long, n long, low long"), "links")
+    counts = found.groupBy("at").agg(F.sum("n").alias("n"))
     comp = components(found.where("id <> low"), "id", "low")
-    out = rows.select("id").join(counts, "id", "left").join(comp, F.col("id") == F.col("node"), "left")
+    out = placed.select("id", "at").join(counts, "at", "left").select("id", "n").unionByName(rows.where(~good).select("id", F.lit(0).cast("long").alias("n")))
+    out = out.join(comp, F.col("id") == F.col("node"), "left")
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -204,11 +204,23 @@ def test_vectors(spark, block, cell):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_vectors_query(spark, data):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
-    want = brute_vectors(rows)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op7_embedding_near_dedup(spark, data).collect()}
-    assert sum(n for n, _ in got.values()) >= 0.9 * sum(n for n, _ in want.values()) and set(got) == set(want)
+def test_vectors_repeats(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, [0.0, 2.0]), (3, None), (5, [1.0, 0.0, 0.0])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: str(r)
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=key) == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (None, 0, None, True), (4, 1, 3, False), (3, 0, 3, True), (5, 0, 5, True)], key=key)
+
+
+@pytest.mark.parametrize("sf, rows_a_cell", [("sf0.001", 256), ("sf0.01", 256), ("sf0.01", 16)])
+def test_vectors_query(spark, data, sf, rows_a_cell):
+    """Recall of links against brute force over all pairs, and no link that is none."""
+    folder = data.replace("sf0.001", sf)
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
+    want = brute_vectors([(r.vec_id, r.embedding) for r in df.collect()])
+    out = queries.op7_embedding_near_dedup(spark, folder) if rows_a_cell == 256 else vectors.near_duplicates(df, rows_a_cell=rows_a_cell)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    assert set(got) == set(want) and all(n <= want[i][0] for i, (n, _) in got.items())
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in want.values())
 
 
 PAGE = """<html><body><header><p>Site</p></header><nav><ul><li><a href=/>Home</a></li></ul></nav>
