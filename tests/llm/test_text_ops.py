@@ -56,6 +56,18 @@ def test_quality_order_moves_no_verdict(spark, data):
     assert quality.cascade_order([("slow", 1.0, 0.5), ("fast", 0.1, 0.2), ("none", 0.01, 0.0)]) == ["fast", "slow", "none"]
 
 
+def test_quality_order_on_a_sample(spark):
+    """A rule is charged what it adds after the base, on rows that pass it, and counts the rows that others leave."""
+    order = quality.greedy_order([("a", 1.0, 0.6), ("b", 1.0, 0.5), ("c", 1.0, 0.3), ("d", 0.1, 0.0)], {frozenset("ab"): 5, frozenset("a"): 1, frozenset("c"): 3, frozenset(): 1})
+    assert order == ["a", "c", "b", "d"]
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, good if i % 2 else "too few", "s") for i in range(60)] + [(100 + i, good.replace(" ", "# "), "s") for i in range(20)]
+    alone, together = quality.measure(docs(spark, rows), parts=99)
+    share = {name: x for name, _, x in alone}
+    assert share["symbols"] == pytest.approx(20 / 50) and sum(together.values()) == 50 and all(c > 0 for _, c, _ in alone)
+    assert quality.measure(docs(spark, []))[1] == {} and quality.greedy_order(*quality.measure(docs(spark, []))) == sorted(share)
+
+
 def test_quality_odd_rows(spark):
     got = quality.judge(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r.base_failed for r in got if r.doc_id in (1, 2, 3, 4, 6, None))
