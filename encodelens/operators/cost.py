@@ -29,11 +29,12 @@ def stats_rollup(stats: DataFrame) -> DataFrame:
 
 
 def cost_rollup(costs: DataFrame) -> DataFrame:
-    """Per job: the components of the last row of each exec, summed, and their total."""
-    parts = ["spot", "egress", "sfn", "request", "storage", "put_est"]
+    """Per job: the ten components of the last row of each exec, summed, and the total of those that are billed."""
+    billed = ["spot", "egress_usd", "sfn", "request", "storage", "put_est"]
+    parts = ["spot", "ondemand", "saved", "egress_gb", "egress_usd", "egress_avoided_gb", "sfn", "request", "storage", "put_est"]
     last = costs.groupBy("job", "exec").agg(*[F.max_by(p, "seq").alias(p) for p in parts])
     out = last.groupBy("job").agg(F.count(F.lit(1)).alias("execs"), *[F.round(F.sum(p), 4).alias(p) for p in parts])
-    return out.withColumn("total", F.round(sum(F.col(p) for p in parts), 4))
+    return out.withColumn("total", F.round(sum(F.col(p) for p in billed), 4))
 
 
 def machine_rental(jobs: DataFrame, instances: DataFrame, now: int, margin: int = 120) -> DataFrame:
@@ -73,14 +74,28 @@ def fleet_shape(rentals: DataFrame) -> DataFrame:
     return rentals.groupBy("exec").agg(F.sum("vcpu").alias("fleet_vcpu"), F.round(F.sum((head + tail) * F.col("vcpu")) / 3600.0, 4).alias("edge_vcpu_h"))
 
 
-def run_cost(jobs: DataFrame, rental: DataFrame, spot: float = 0.014, ondemand: float = 0.036) -> DataFrame:
-    """Per exec the bill: vCPU hours rented (else allocated), spot cost, saving, wall span, slowest job, transitions."""
+def run_cost(jobs: DataFrame, rental: DataFrame, traffic: DataFrame, spot: float = 0.014, ondemand: float = 0.036) -> DataFrame:
+    """Per exec the bill: vCPU hours rented (else allocated), spot cost and saving, egress, transitions, requests, storage
+    over the wall span, estimated puts and their total; with the slowest job (of equals the smallest id).
+
+    Jobs count that stopped after they started. traffic (exec, egress_bytes, avoided_bytes, egress_files, staged_bytes,
+    transitions) may lack an exec, whose bytes then are 0.
+    """
     length = F.col("stop_s") - F.col("start_s")
-    j = jobs.groupBy("exec").agg(F.count(F.lit(1)).alias("jobs"), (F.max("stop_s") - F.min("start_s")).alias("wall_s"), F.max(length).alias("longest_s"), F.sum(length * F.col("vcpu")).alias("job_vcpu_s"))
+    done = jobs.where(length > 0)
+    j = done.groupBy("exec").agg(F.count(F.lit(1)).alias("jobs"), (F.max("stop_s") - F.min("start_s")).alias("wall_s"), F.max(length).alias("longest_s"), F.max_by("job_id", F.struct(length, -F.col("job_id"))).alias("slowest"), F.sum(length * F.col("vcpu")).alias("job_vcpu_s"))
     r = rental.groupBy("exec").agg(F.sum("rented_vcpu_s").alias("rented"))
-    out = j.join(r, "exec", "left")
-    h = F.coalesce("rented", "job_vcpu_s") / 3600.0
-    return out.select("exec", "jobs", "wall_s", "longest_s", F.when(F.col("rented").isNotNull(), "rented").otherwise("allocated").alias("basis"), F.round(h, 4).alias("vcpu_h"), F.round(h * spot, 4).alias("spot_usd"), F.round(h * (ondemand - spot), 4).alias("saved_usd"), F.round(S.transitions_usd(F.col("jobs") * 5), 6).alias("sfn_usd"))
+    out = j.join(r, "exec", "left").join(traffic, "exec", "left").na.fill(0)
+    rented = F.col("rented") > 0
+    h = F.when(rented, F.col("rented")).otherwise(F.col("job_vcpu_s")) / 3600.0
+    usd = {
+        "spot_usd": h * spot, "egress_usd": S.egress_usd(F.col("egress_bytes")), "sfn_usd": S.transitions_usd(F.col("transitions")), "request_usd": S.request_usd(F.lit(0), F.col("egress_files")),
+        "storage_usd": S.storage_usd(F.col("staged_bytes") / 1e9, F.col("wall_s") / 3600.0), "put_est_usd": S.put_estimate_usd(F.col("staged_bytes") / 1e9),
+    }
+    return out.select(
+        "exec", "jobs", "wall_s", "longest_s", "slowest", F.when(rented, "rented").otherwise("allocated").alias("basis"), F.round(h, 4).alias("vcpu_h"), F.round(h * ondemand, 4).alias("ondemand_usd"), F.round(h * (ondemand - spot), 4).alias("saved_usd"),
+        F.round(F.col("egress_bytes") / 1e9, 4).alias("egress_gb"), F.round(F.col("avoided_bytes") / 1e9, 4).alias("egress_avoided_gb"), *[F.round(c, 6).alias(n) for n, c in usd.items()], F.round(sum(usd.values()), 4).alias("total_usd"),
+    )
 
 
 def cpu_by_tier(jobs: DataFrame, reserved: DataFrame) -> DataFrame:

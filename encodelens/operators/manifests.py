@@ -62,6 +62,17 @@ def delivered_kbps(segments: DataFrame) -> DataFrame:
     return a.select("output", "rung", F.round("seconds", 4).alias("seconds"), F.when(~F.col("remote"), F.col("bytes")).alias("bytes"), F.round(F.when(~F.col("remote"), F.col("bytes") * 8 / F.nullif(F.col("seconds"), F.lit(0.0)) / 1000), 4).alias("kbps"))
 
 
+def declared_rates(variants: DataFrame, audio: DataFrame) -> DataFrame:
+    """Per output and rung the peak and average kbps of the picture alone: what the master playlist says of the pair, less its audio.
+
+    variants: (output, rung, bandwidth, average_bandwidth) in bits a second, audio: (output, bits); an output without audio
+    loses nothing, and no rate falls under 0.
+    """
+    v = variants.join(audio.groupBy("output").agg(F.max("bits").alias("_audio")), "output", "left")
+    less = lambda c: F.floor(F.greatest(F.col(c) - F.coalesce("_audio", F.lit(0)), F.lit(0)) / 1000).cast("long")
+    return v.select("output", "rung", less("bandwidth").alias("peak_kbps"), less("average_bandwidth").alias("average_kbps"))
+
+
 def fragment_timeline(segments: DataFrame, fragments: DataFrame) -> DataFrame:
     """One row per fragment of each segment: start, duration (equal parts, the remainder to the first), byte range."""
     n = fragments.groupBy("track", "segment").agg(F.count(F.lit(1)).alias("n"))
@@ -97,12 +108,12 @@ def variant_index(renditions: DataFrame, audio: DataFrame) -> DataFrame:
     return j.select("output", "rung", peak.alias("bandwidth"), avg.alias("average_bandwidth"), codecs.alias("codecs"), F.ceil("longest").cast("long").alias("target_duration"), line.alias("line"))
 
 
-def output_ladder(actual: DataFrame, profile: DataFrame, standard: DataFrame) -> DataFrame:
-    """Per rung of an output its target (its own profile's, else the standard tier's of its height), what it has, and their ratio."""
-    p = profile.select("output", "rung", F.col("kbps").alias("own"), "vmaf")
-    j = actual.join(p, ["output", "rung"], "left").join(standard.select("height", F.col("kbps").alias("tier")), "height", "left")
+def output_ladder(actual: DataFrame, profile: DataFrame, standard: DataFrame, declared: DataFrame) -> DataFrame:
+    """Per rung of an output its target (its own profile's, else the standard tier's of its height), what it declares and has, and their ratio."""
+    p = profile.select("output", "rung", F.col("kbps").alias("own"), "vmaf", "profile")
+    j = actual.join(p, ["output", "rung"], "left").join(declared, ["output", "rung"], "left").join(standard.select("height", F.col("kbps").alias("tier")), "height", "left")
     target = F.coalesce("own", "tier")
-    return j.select("output", "rung", "height", target.alias("target_kbps"), F.round("kbps", 4).alias("actual_kbps"), F.round(F.col("kbps") / target, 4).alias("share"), "vmaf")
+    return j.select("output", "rung", "height", target.alias("target_kbps"), F.round("kbps", 4).alias("actual_kbps"), F.round(F.col("kbps") / target, 4).alias("share"), "peak_kbps", "average_kbps", F.col("bytes").alias("size"), "vmaf", "profile")
 
 
 def settings_diff(commands: DataFrame) -> DataFrame:

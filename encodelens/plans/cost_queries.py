@@ -28,19 +28,23 @@ def _(v):
     return cost.stats_rollup(s)
 
 
-@query("O54_cost_rollup", """
+_PARTS = {"spot": "a", "ondemand": "a * 2.6", "saved": "a * 1.6", "egress_gb": "b / 90.1", "egress_usd": "b", "egress_avoided_gb": "c / 90.1", "sfn": "c", "request": "a / 9.7", "storage": "b / 9.7", "put_est": "c / 9.7"}
+
+
+@query("O54_cost_rollup", f"""
 with l as (select job, file_index as exec, arg_max(cpu_s, seq) as a, arg_max(worker_s, seq) as b, arg_max(percent, seq) as c from stages group by all),
-t as (select job, count(*) as execs, round(sum(a), 4) as spot, round(sum(b), 4) as egress, round(sum(c), 4) as sfn, round(sum(a / 9.7), 4) as request, round(sum(b / 9.7), 4) as storage, round(sum(c / 9.7), 4) as put_est from l group by job)
-select *, round(spot + egress + sfn + request + storage + put_est, 4) as total from t""")
+t as (select job, count(*) as execs, {", ".join(f"round(sum({x}), 4) as {n}" for n, x in _PARTS.items())} from l group by job)
+select *, round(spot + egress_usd + sfn + request + storage + put_est, 4) as total from t""")
 def _(v):
-    a, b, c = F.col("cpu_s"), F.col("worker_s"), F.col("percent")
-    return cost.cost_rollup(v.stages.select("job", F.col("file_index").alias("exec"), "seq", a.alias("spot"), b.alias("egress"), c.alias("sfn"), (a / 9.7).alias("request"), (b / 9.7).alias("storage"), (c / 9.7).alias("put_est")))
+    s = v.stages.selectExpr("job", "file_index as exec", "seq", "cpu_s as a", "worker_s as b", "percent as c")
+    return cost.cost_rollup(s.selectExpr("job", "exec", "seq", *[f"{x} as {n}" for n, x in _PARTS.items()]))
 
 
 RENTAL = """
 with j as (select *, coalesce(stop_s, 1700060000) as stop from batch_jobs),
 u0 as (select exec, instance, min(start_s) as first_job, max(stop) as last_job, count(*) as jobs, sum((stop - start_s) * vcpu)::bigint as alloc from j group by all),
-box as (select instance, vcpu as box_vcpu, launch, coalesce(ended, 1700060000) as e from fleet),
+box as (select instance, vcpu as box_vcpu, launch, coalesce(ended, 1700060000) as e from fleet
+  union all select 1000000000 + r_regionkey, 4, 1700000000 + r_regionkey * 3600, 1700007200 + r_regionkey * 3600 from region),
 u as (select u0.*, box_vcpu, launch, e from u0 join box using (instance)),
 w as (select exec, min(launch) - 120 as lo, max(last_job) + 120 as hi from u group by exec),
 x as (select w.exec, b.instance, b.box_vcpu, b.launch, b.e from box b join w on b.launch between w.lo and w.hi where b.instance not in (select instance from u)),
@@ -51,40 +55,43 @@ union all select exec, instance, 0, box_vcpu, greatest(e - launch, 0), greatest(
 
 
 def rental(v):
-    return cost.machine_rental(v.batch_jobs.where("exec % 5 < 4"), v.fleet, JOBS_NOW)
-
-
-_R = RENTAL.replace("from batch_jobs)", "from batch_jobs where exec % 5 < 4)")
+    """Rentals of the fleet and of a spare box in each region, which ran no job."""
+    spare = v.region.selectExpr("1000000000 + r_regionkey as instance", "4 as vcpu", "1700000000 + r_regionkey * 3600 as launch", "1700007200 + r_regionkey * 3600 as ended")
+    return cost.machine_rental(v.batch_jobs, v.fleet.select("instance", "vcpu", "launch", "ended").unionByName(spare), JOBS_NOW)
 
 
-@query("O56_machine_rental", _R + "select * from rent")
+@query("O56_machine_rental", RENTAL + "select * from rent")
 def _(v):
     return rental(v)
 
 
-@query("O40_rental_attribution", _R + """
+@query("O40_rental_attribution", RENTAL + """
 select exec, count(*) as boxes, count(*) filter (where jobs = 0) as unused, sum(rented_vcpu_s)::bigint as rented_vcpu_s, sum(allocated_vcpu_s)::bigint as allocated_vcpu_s,
        round(100 * (1 - sum(allocated_vcpu_s) / nullif(sum(rented_vcpu_s), 0)), 4) as unallocated_pct from rent group by exec""")
 def _(v):
     return cost.rental_attribution(rental(v))
 
 
-@query("O57_fleet_shape", _R + """
+@query("O57_fleet_shape", RENTAL + """
 , al as (select r.exec, f.vcpu, f.ended is null as alive, r.idle_before_s, r.idle_after_s from rent r join fleet f using (instance) where jobs > 0)
 select exec, sum(vcpu)::bigint as fleet_vcpu, round(sum((idle_before_s + case when alive then 0 else idle_after_s end) * vcpu) / 3600.0, 4) as edge_vcpu_h from al group by exec""")
 def _(v):
-    j = v.batch_jobs.where("exec % 5 < 4").groupBy("exec", "instance").agg(F.min("start_s").alias("first_job"), F.max(F.coalesce("stop_s", F.lit(JOBS_NOW))).alias("last_job"))
+    j = v.batch_jobs.groupBy("exec", "instance").agg(F.min("start_s").alias("first_job"), F.max(F.coalesce("stop_s", F.lit(JOBS_NOW))).alias("last_job"))
     return cost.fleet_shape(j.join(v.fleet, "instance").select("exec", "vcpu", "launch", "first_job", "last_job", F.coalesce("ended", F.lit(JOBS_NOW)).alias("end"), F.col("ended").isNull().alias("alive")))
 
 
-@query("O55_run_cost", _R + """
-, jj as (select exec, count(*) as jobs, max(stop_s) - min(start_s) as wall_s, max(stop_s - start_s) as longest_s, sum((stop_s - start_s) * vcpu) as jv from batch_jobs group by exec),
-rr as (select exec, sum(rented_vcpu_s) as rented from rent group by exec)
-select exec, jobs, wall_s, longest_s, case when rented is null then 'allocated' else 'rented' end as basis, round(coalesce(rented, jv) / 3600.0, 4) as vcpu_h,
-       round(coalesce(rented, jv) / 3600.0 * 0.014, 4) as spot_usd, round(coalesce(rented, jv) / 3600.0 * (0.036 - 0.014), 4) as saved_usd, round(jobs * 5 / 1000 * 0.025, 6) as sfn_usd
-from jj left join rr using (exec)""")
+@query("O55_run_cost", RENTAL + """
+, jj as (select exec, count(*) as jobs, max(stop_s) - min(start_s) as wall_s, max(stop_s - start_s) as longest_s, arg_max(job_id, {'l': stop_s - start_s, 'i': -job_id}) as slowest, sum((stop_s - start_s) * vcpu) as jv
+  from batch_jobs where stop_s > start_s group by exec),
+rr as (select exec, sum(rented_vcpu_s) as rented from rent group by exec),
+tt as (select exec, sum(cpu_s * 1000370.3) as eb, count(*) * 1e9 as ab, sum(vcpu) as ef, sum(encode_s * 1e6) as sb, count(*) * 5 as tr from batch_jobs where cpu_s > 2000 group by exec),
+m as (select jj.*, coalesce(rented, 0) > 0 as r, case when coalesce(rented, 0) > 0 then rented else jv end / 3600.0 as h, coalesce(eb, 0) / 1e9 as eg, coalesce(ab, 0) / 1e9 as ag, coalesce(tr, 0) / 1000 * 0.025 as sfn,
+  coalesce(ef, 0) / 1000 * 0.0004 as rq, coalesce(sb, 0) / 1e9 * (wall_s / 3600.0) / 730 * 0.023 as st, coalesce(sb, 0) / 1e9 * 1897.0 / 1000 * 0.005 as pu from jj left join rr using (exec) left join tt using (exec))
+select exec, jobs, wall_s, longest_s, slowest, case when r then 'rented' else 'allocated' end as basis, round(h, 4) as vcpu_h, round(h * 0.036, 4) as ondemand_usd, round(h * (0.036 - 0.014), 4) as saved_usd, round(eg, 4) as egress_gb, round(ag, 4) as egress_avoided_gb,
+  round(h * 0.014, 6) as spot_usd, round(eg * 0.09, 6) as egress_usd, round(sfn, 6) as sfn_usd, round(rq, 6) as request_usd, round(st, 6) as storage_usd, round(pu, 6) as put_est_usd, round(h * 0.014 + eg * 0.09 + sfn + rq + st + pu, 4) as total_usd from m""")
 def _(v):
-    return cost.run_cost(v.batch_jobs, rental(v))
+    j = v.batch_jobs.where("cpu_s > 2000").groupBy("exec").agg(F.sum(F.col("cpu_s") * 1000370.3).alias("egress_bytes"), (F.count(F.lit(1)) * 1e9).alias("avoided_bytes"), F.sum("vcpu").alias("egress_files"), F.sum(F.col("encode_s") * 1e6).alias("staged_bytes"), (F.count(F.lit(1)) * 5).alias("transitions"))
+    return cost.run_cost(v.batch_jobs, rental(v), j)
 
 
 @query("O62_cpu_by_tier", """

@@ -139,8 +139,12 @@ def _(v):
 
 DELIVERED = """
 with f as (select ladder as output, concat(codec, height) as rung, pos // 2 as file, max(kbps)::bigint * 700 as bytes, sum(3.7 + pos % 3)::double as duration, max(case when pos % 50 < 2 then 1 else 0 end) as remote from rungs group by all),
-a as (select output, rung, sum(duration) as s, sum(bytes)::bigint as b, max(remote) = 1 as r from f group by all)
-select output, rung, round(s, 4) as seconds, case when not r then b end as bytes, round(case when not r then b * 8 / s / 1000 end, 4) as kbps from a"""
+a as (select output, rung, sum(duration) as s, sum(bytes)::bigint as b, max(remote) = 1 as r from f group by all),
+vr as (select ladder as output, concat(codec, height) as rung, max(kbps)::bigint * 1100 as peak, min(kbps)::bigint * 1000 as average from rungs group by all),
+au as (select ladder as output, max(128000 + pos % 3 * 64000) as bits from rungs group by ladder having min(pos) % 2 = 0),
+dc as (select output, rung, (greatest(peak - coalesce(bits, 0), 0) // 1000)::bigint as peak_kbps, (greatest(average - coalesce(bits, 0), 0) // 1000)::bigint as average_kbps from vr left join au using (output)),
+dl as (select output, rung, round(s, 4) as seconds, case when not r then b end as bytes, round(case when not r then b * 8 / s / 1000 end, 4) as kbps from a)
+"""
 
 
 def delivered(v):
@@ -149,23 +153,30 @@ def delivered(v):
     return manifests.delivered_kbps(f)
 
 
-@query("O77_delivered_kbps", DELIVERED)
+def declared(v):
+    r = v.rungs.withColumnsRenamed({"ladder": "output"}).withColumn("rung", F.concat("codec", "height"))
+    variants = r.groupBy("output", "rung").agg((F.max("kbps").cast("long") * 1100).alias("bandwidth"), (F.min("kbps").cast("long") * 1000).alias("average_bandwidth"))
+    audio = r.groupBy("output").agg(F.max(128000 + F.col("pos") % 3 * 64000).alias("bits"), F.min("pos").alias("m")).where("m % 2 = 0")
+    return manifests.declared_rates(variants, audio)
+
+
+@query("O77_delivered_kbps", DELIVERED + "select * from dl join dc using (output, rung)")
 def _(v):
-    return delivered(v)
+    return delivered(v).join(declared(v), ["output", "rung"])
 
 
-@query("O130_output_ladder", f"""
-with dl as ({DELIVERED}), a as (select *, regexp_extract(rung, '(\\d+)$', 1)::int % 10000 as h0 from dl),
-b as (select *, case when starts_with(rung, 'h264') then substr(rung, 5) when starts_with(rung, 'hevc') then substr(rung, 5) else substr(rung, 4) end::int as height from a),
-own as (select ladder as output, concat(codec, height) as rung, max(kbps) as own from rungs where pos % 2 = 0 group by all),
+@query("O130_output_ladder", DELIVERED + """
+, b as (select *, case when starts_with(rung, 'av1') then substr(rung, 4) else substr(rung, 5) end::int as height from dl),
+own as (select ladder as output, concat(codec, height) as rung, max(kbps) as own, max(case when pos % 6 = 0 then 'high' else 'main' end) as profile from rungs where pos % 2 = 0 group by all),
 st(height, tier) as (values (360, 800), (540, 1600), (720, 3000), (1080, 6000))
-select output, rung, height, coalesce(own, tier) as target_kbps, kbps as actual_kbps, round(kbps / coalesce(own, tier), 4) as share, case when own is not null then own / 100 end as vmaf
-from b left join own using (output, rung) left join st using (height)""")
+select output, rung, height, coalesce(own, tier) as target_kbps, kbps as actual_kbps, round(kbps / coalesce(own, tier), 4) as share, peak_kbps, average_kbps, bytes as size, case when own is not null then own / 100 end as vmaf, profile
+from b left join own using (output, rung) left join dc using (output, rung) left join st using (height)""")
 def _(v):
     a = delivered(v).withColumn("height", F.regexp_extract("rung", r"^(?:h264|hevc|av1)(\d+)$", 1).cast("int"))
-    own = v.rungs.where("pos % 2 = 0").groupBy(F.col("ladder").alias("output"), F.concat("codec", "height").alias("rung")).agg(F.max("kbps").alias("kbps")).withColumn("vmaf", F.col("kbps") / 100)
+    profile = F.max(F.when(F.col("pos") % 6 == 0, "high").otherwise("main")).alias("profile")
+    own = v.rungs.where("pos % 2 = 0").groupBy(F.col("ladder").alias("output"), F.concat("codec", "height").alias("rung")).agg(F.max("kbps").alias("kbps"), profile).withColumn("vmaf", F.col("kbps") / 100)
     standard = v.spark.createDataFrame([(360, 800), (540, 1600), (720, 3000), (1080, 6000)], "height int, kbps int")
-    return manifests.output_ladder(a, own, standard)
+    return manifests.output_ladder(a, own, standard, declared(v))
 
 
 FRAG = """

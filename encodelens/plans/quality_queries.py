@@ -92,22 +92,32 @@ def _(v):
 
 
 @query("O80_bd_rate", """
-with c0 as (select clip, reference, codec, kbps, max(vmaf) as vmaf from curves where height = 1080 group by all),
-c as (select *, ln(kbps) as l from (select *, max(vmaf) over (partition by clip, reference, codec order by kbps rows between unbounded preceding and 1 preceding) as b from c0) where b is null or vmaf > b),
-e as (select clip, reference, codec, min(vmaf) as lo, max(vmaf) as hi from c group by all),
-p as (select e.clip, e.reference, e.codec as other, greatest(e.lo, a.lo) as f, least(e.hi, a.hi) as t from e join e a on a.clip = e.clip and a.reference = e.reference and a.codec = 'h264' where e.codec <> 'h264' and least(e.hi, a.hi) > greatest(e.lo, a.lo)),
-v as (select distinct clip, reference, other, x from (select p.clip, p.reference, p.other, c.vmaf as x from p join c on c.clip = p.clip and c.reference = p.reference and c.codec in (p.other, 'h264') and c.vmaf between p.f and p.t
-   union all select clip, reference, other, f from p union all select clip, reference, other, t from p)),
-r as (select v.*, s.codec, (select max({'v': c.vmaf, 'l': c.l}) from c where c.clip = v.clip and c.reference = v.reference and c.codec = s.codec and c.vmaf <= v.x) as lo,
-   (select min({'v': c.vmaf, 'l': c.l}) from c where c.clip = v.clip and c.reference = v.reference and c.codec = s.codec and c.vmaf >= v.x) as hi
+with c0 as (select clip, reference, height, codec, kbps, max(vmaf) as vmaf from curves group by all),
+c as (select *, ln(kbps) as l from (select *, max(vmaf) over (partition by clip, reference, height, codec order by kbps rows between unbounded preceding and 1 preceding) as b from c0) where b is null or vmaf > b),
+e as (select clip, reference, height, codec, min(vmaf) as lo, max(vmaf) as hi from c group by all),
+p as (select e.clip, e.reference, e.height, e.codec as other, greatest(e.lo, a.lo) as f, least(e.hi, a.hi) as t from e join e a on a.clip = e.clip and a.reference = e.reference and a.height = e.height and a.codec = 'h264' where e.codec <> 'h264' and least(e.hi, a.hi) > greatest(e.lo, a.lo)),
+v as (select distinct clip, reference, height, other, x from (select p.clip, p.reference, p.height, p.other, c.vmaf as x from p join c on c.clip = p.clip and c.reference = p.reference and c.height = p.height and c.codec in (p.other, 'h264') and c.vmaf between p.f and p.t
+   union all select clip, reference, height, other, f from p union all select clip, reference, height, other, t from p)),
+r as (select v.*, s.codec, (select max({'v': c.vmaf, 'l': c.l}) from c where c.clip = v.clip and c.reference = v.reference and c.height = v.height and c.codec = s.codec and c.vmaf <= v.x) as lo,
+   (select min({'v': c.vmaf, 'l': c.l}) from c where c.clip = v.clip and c.reference = v.reference and c.height = v.height and c.codec = s.codec and c.vmaf >= v.x) as hi
    from v, (values ('h264'), ('hevc'), ('av1')) s(codec) where s.codec = 'h264' or s.codec = v.other),
-k as (select clip, reference, other, x, codec, case when lo.v = hi.v then lo.l else lo.l + (hi.l - lo.l) * (x - lo.v) / (hi.v - lo.v) end as l from r),
-d as (select clip, reference, other, x, max(l) filter (where codec = other) - max(l) filter (where codec = 'h264') as d from k group by all),
-g as (select *, lead(d) over o as nd, lead(x) over o as nx from d window o as (partition by clip, reference, other order by x))
-select clip, reference, other as codec, round(100 * (exp(sum((nd + d) / 2 * (nx - x)) / sum(nx - x)) - 1), 4) as bd_rate_pct, round(min(x), 4) as from_vmaf, round(max(x), 4) as to_vmaf from g group by all""")
+k as (select clip, reference, height, other, x, codec, case when lo.v = hi.v then lo.l else lo.l + (hi.l - lo.l) * (x - lo.v) / (hi.v - lo.v) end as l from r),
+d as (select clip, reference, height, other, x, max(l) filter (where codec = other) - max(l) filter (where codec = 'h264') as d from k group by all),
+g as (select *, lead(d) over o as nd, lead(x) over o as nx from d window o as (partition by clip, reference, height, other order by x))
+select clip, reference, height, other as codec, round(100 * (exp(sum((nd + d) / 2 * (nx - x)) / sum(nx - x)) - 1), 4) as bd_rate_pct, round(min(x), 4) as from_vmaf, round(max(x), 4) as to_vmaf from g group by all""")
 def _(v):
-    c = v.curves.where("height = 1080").groupBy("clip", "reference", "codec", "kbps").agg(F.max("vmaf").alias("vmaf"))
-    return curves.bd_rate(c, ["clip", "reference"], "h264")
+    c = v.curves.groupBy("clip", "reference", "height", "codec", "kbps").agg(F.max("vmaf").alias("vmaf"))
+    return curves.bd_rate(c, ["clip", "reference", "height"], "h264")
+
+
+@query("O80_anchor_rates", """
+with c as (select clip, reference, height, codec, kbps, max(vmaf) as vmaf from curves group by all),
+g as (select clip, reference, height, codec, anchor, max({'v': vmaf, 'k': kbps}) filter (where vmaf < anchor) as lo, min({'v': vmaf, 'k': kbps}) filter (where vmaf >= anchor) as hi, max(vmaf) as top
+  from c, (values (20.0::double), (40.0), (60.0)) t(anchor) group by all)
+select clip, reference, height, codec, anchor, round(exp(ln(lo.k) + (ln(hi.k) - ln(lo.k)) * (anchor - lo.v) / (hi.v - lo.v)), 4) as kbps from g where lo is not null and hi is not null and anchor < top""")
+def _(v):
+    c = v.curves.groupBy("clip", "reference", "height", "codec", "kbps").agg(F.max("vmaf").alias("vmaf"))
+    return curves.anchor_rates(c, ["clip", "reference", "height"], (20.0, 40.0, 60.0))
 
 
 @query("O103_audit_tree", """

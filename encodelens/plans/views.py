@@ -81,7 +81,7 @@ VIEWS = {
         select concat('clip', l_suppkey % 5) as clip, {_CODEC} as codec, case when l_linestatus = 'O' then 2160 else 1080 end as reference,
                {_HEIGHT} as height, cast(l_quantity * 100 as int) as kbps,
                round(avg(l_extendedprice) / 1053.7 * (0.4 + l_quantity / 91.3), 8) as vmaf
-        from lineitem where l_linenumber in (3, 5, 6) group by l_suppkey % 5, l_returnflag, l_linestatus, l_linenumber, l_quantity""",
+        from lineitem group by l_suppkey % 5, l_returnflag, l_linestatus, l_linenumber, l_quantity""",
     "vmaf_parts": f"""
         select l_orderkey as job, {_CODEC} as codec, concat({_HEIGHT}, 'p') as label, l_partkey as chunk, l_extendedprice / 1053.7 as mean,
                l_extendedprice / 1103.3 as harmonic, l_extendedprice / 2000 as low, cast(l_quantity as bigint) as frames,
