@@ -129,6 +129,16 @@ def fleet_view(samples: DataFrame, now: int, ttl_s: int = TTL_S, ring: int = RIN
     return s.where(F.col("ts") >= now - ttl_s).join(version, "machine").select("machine", (F.lit(now) - F.col("ts")).alias("age_s"), "used_pct", "mean_pct", "samples", "version", "first_seen")
 
 
+def usage_order(usage: DataFrame, key: list[str]) -> DataFrame:
+    """Prefixes of a key by the bytes they hold, the largest first, ties by name, with their place."""
+    return usage.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy(F.col("bytes").desc(), "prefix")))
+
+
+def phase_order(phases: DataFrame) -> DataFrame:
+    """Phases of a job in the order in which they were first seen, ties by name, with their place."""
+    return phases.withColumn("place", F.row_number().over(W.partitionBy("job").orderBy("first_seq", "phase")))
+
+
 def fleet_order(view: DataFrame) -> DataFrame:
     """Machines in the order in which they were first seen, unknown ones last, ties by name, with their place."""
     return view.withColumn("place", F.row_number().over(W.partitionBy("fleet").orderBy(F.col("first_seen").asc_nulls_last(), "machine")))

@@ -26,6 +26,8 @@ RATES = [
     for lo, hi, usd in bands
 ]
 GRID_S, SEARCH, RUNT_S, EPS, QUANTUM, LOCAL_FLOOR, LOCAL_CORES = 6, 240, 2.0, 1e-6, 12, 240.0, 16
+#: Fixed values of the chunk budget: the first target in seconds, and how often it is doubled.
+TARGET_S, DOUBLINGS = 240.0, 12
 
 
 def resolve_rungs(rungs: DataFrame, requests: DataFrame | None = None, min_height: int = 0, max_height: int = 99999) -> DataFrame:
@@ -172,17 +174,16 @@ def _plan_shape(duration: Column, chunk: Column, g: Column) -> tuple[Column, Col
     return n.cast("long"), units.cast("long")
 
 
-def chunk_counts(df: DataFrame, segment: float | None = None) -> DataFrame:
-    """df (duration, chunk, segment) with n, the number of planned chunks after a runt tail is folded.
+def planned_chunks(duration: Column, chunk: Column, step: Column) -> Column:
+    """The number of planned chunks on a grid of `step` seconds after a runt tail is folded."""
+    n, units = _plan_shape(duration, chunk, step)
+    last = step * ((n - 1) * F.floor(units / n) + F.least(n - 1, units % n))
+    return F.when((n > 1) & (duration - last < RUNT_S), n - 1).otherwise(n)
 
-    With a segment given, no column of it is needed and its grid is found once.
-    """
-    df = df.withColumn("_g", grid(F.col("segment")) if segment is None else F.lit(grid_of(segment)))
-    n, units = _plan_shape(F.col("duration"), F.col("chunk"), F.col("_g"))
-    df = df.withColumn("_n", n).withColumn("_units", units)
-    last = F.col("_g") * ((F.col("_n") - 1) * F.floor(F.col("_units") / F.col("_n")) + F.least(F.col("_n") - 1, F.col("_units") % F.col("_n")))
-    runt = (F.col("_n") > 1) & (F.col("duration") - last < RUNT_S)
-    return df.withColumn("n", F.when(runt, F.col("_n") - 1).otherwise(F.col("_n"))).drop("_g", "_n", "_units")
+
+def chunk_counts(df: DataFrame) -> DataFrame:
+    """df (duration, chunk, segment) with n, the number of planned chunks."""
+    return df.withColumn("n", planned_chunks(F.col("duration"), F.col("chunk"), grid(F.col("segment"))))
 
 
 def chunk_plan(df: DataFrame) -> DataFrame:
@@ -212,16 +213,51 @@ def chunk_size(target: Column, speed: Column, duration: Column, mode: Column) ->
     return F.when(mode == "whole", duration).otherwise(F.least(F.when(mode == "fixed", F.greatest(target, F.lit(float(QUANTUM)))).otherwise(dynamic), duration))
 
 
-def chunk_budget_sweep(rungs: DataFrame, budget: int = 2500, targets: tuple[int, ...] = tuple(range(240, 4801, 240)), segment: float = 6.0) -> DataFrame:
-    """Per request the smallest candidate target whose planned chunks fit the budget, with counts at the first target and there.
+def chunk_budget_sweep(rungs: DataFrame, budget: int = 2500, segment: float = 6.0) -> DataFrame:
+    """Per request the least target whose planned chunks fit the budget, with the counts at the first target and there.
+
+    A request that fits at 240 s keeps that. Else the target doubles, up to 12 times, until one fits, and is halved in
+    between down to a second; if none fits, the largest tried stands with its count. Rungs of equal speed are counted
+    once, so a request is one row with as many numbers as it has codecs and heights, and searches in that row.
+    """
+    r = rungs.groupBy("request", "duration", "speed").agg(F.count(F.lit(1)).alias("n"))
+    r = r.groupBy("request", "duration").agg(F.collect_list(F.struct("speed", "n")).alias("rungs"))
+    step = F.lit(float(grid_of(segment)))
+
+    def count(target: Column) -> Column:
+        def one(x: Column) -> Column:
+            return x["n"] * planned_chunks(F.col("duration"), chunk_size(target, x["speed"], F.col("duration"), F.lit("dynamic")), step)
+
+        return F.aggregate("rungs", F.lit(0).cast("long"), lambda acc, x: acc + one(x).cast("long"))
+
+    tries = F.transform(F.sequence(F.lit(0), F.lit(DOUBLINGS)), lambda k: F.struct((F.lit(TARGET_S) * F.pow(F.lit(2.0), k)).alias("t")))
+    r = r.withColumn("tries", F.transform(tries, lambda x: F.struct(x["t"].alias("t"), count(x["t"]).alias("n"))))
+    r = r.withColumn("hi", F.coalesce(F.try_element_at(F.filter("tries", lambda x: x["n"] <= budget), F.lit(1))["t"], F.lit(TARGET_S * 2.0**DOUBLINGS)))
+    fits = F.exists("tries", lambda x: x["n"] <= budget)
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        good = count(mid) <= budget
+        go = acc["hi"] - acc["lo"] > 1.0
+        return F.struct(F.when(go & ~good, mid).otherwise(acc["lo"]).alias("lo"), F.when(go & good, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct((F.col("hi") / 2).alias("lo"), F.col("hi").alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(DOUBLINGS + 8))
+    r = r.withColumn("target", F.when(~fits | (F.col("hi") == TARGET_S), F.col("hi")).otherwise(F.aggregate(steps, start, halve)["hi"]))
+    return r.select("request", F.element_at("tries", 1)["n"].alias("before"), F.round("target", 6).alias("target"), count(F.col("target")).alias("after"))
+
+
+def effective_config(configs: DataFrame) -> DataFrame:
+    """configs (job_x and ladder_x for x of segment, partial, gop and tag, job_chunk, as text) with what each resolves to.
 
-    A request and rung is expanded by the fixed list of candidates only. No fitting target: null.
+    The job's value counts before the ladder's and that before the default; an empty one is unset, `0` is not. Without
+    a tag, the output of a ladder that pins no segment is tagged xs, else with its segment.
     """
-    c = rungs.select("request", "duration", "speed", F.explode(F.array(*[F.lit(float(t)) for t in targets])).alias("target"))
-    c = c.withColumn("chunk", chunk_size(F.col("target"), F.col("speed"), F.col("duration"), F.lit("dynamic")))
-    n = chunk_counts(c, segment).groupBy("request", "target").agg(F.sum("n").alias("chunks"))
-    fits = F.col("chunks") <= budget
-    return n.groupBy("request").agg(F.min_by("chunks", "target").alias("before"), F.min(F.when(fits, F.col("target"))).alias("target"), F.min_by("chunks", F.when(fits, F.col("target"))).alias("after"))
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    first = lambda x, default: F.coalesce(text(f"job_{x}"), text(f"ladder_{x}"), F.lit(default))
+    pinned = F.concat(text("ladder_segment"), F.lit("s"))
+    tag = F.coalesce(text("job_tag"), text("ladder_tag"), pinned, F.lit("xs"))
+    return configs.withColumns({"segment_s": first("segment", "6"), "partial_s": first("partial", "0.2"), "gop_s": first("gop", "1.0"), "tag": tag, "chunk": F.coalesce(text("job_chunk"), F.lit("dynamic"))})
 
 
 def predicted_wall_rank(rungs: DataFrame) -> DataFrame:

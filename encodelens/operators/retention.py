@@ -151,18 +151,22 @@ def splice_snapshot(inventories: DataFrame, enumerations: DataFrame, block_s: in
     return g.select("bucket", F.col("t").alias("fetched_at"), F.coalesce("bytes", "e.listed_bytes").alias("bytes"), F.when(F.col("bytes").isNull(), F.col("e.at")).alias("as_of"))
 
 
-def output_logs(logs: DataFrame, names: DataFrame, head: int = 4096) -> DataFrame:
-    """(log, name): logs that mention a name in their first `head` characters.
+def output_logs(logs: DataFrame, names: DataFrame, jobs: DataFrame, head: int = 4096, gram: int = 4) -> DataFrame:
+    """(log, name, how): logs of jobs whose output stem a name begins with (`job`), and other logs that mention the name
+    anywhere in their first `head` characters (`content`).
 
-    Names are words, so the words of each head meet them in an equi-join instead of every log meeting every name.
+    names and jobs (log, stem) meet by the beginnings of each name. Names and logs meet by the first `gram` characters of
+    a name, which the distinct substrings of that length of each head must hold, and are then verified: equi-joins, not
+    products. Shorter names are their own beginnings.
     """
-    words = logs.select("log", F.explode(F.array_distinct(F.split(F.substring("content", 1, head), r"[^\p{L}\p{N}_.\-]+"))).alias("name")).where("name <> ''")
-    return words.join(names.select("name").distinct(), "name", "left_semi").select("log", "name")
-
-
-def source_for_dir(configs: DataFrame, dirs: DataFrame) -> DataFrame:
-    """Per output folder the first file of its job whose stem the folder's name begins with; a job of one file needs no match."""
-    f = configs.select("job", F.size("files").alias("n"), F.posexplode("files").alias("pos", "file")).withColumn("stem", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", ""))
-    j = dirs.join(f, "job", "left")
-    hit = (F.col("n") == 1) | F.col("dir").startswith(F.col("stem"))
-    return j.groupBy("job", "dir").agg(F.min(F.when(hit, F.struct("pos", "file"))).alias("s")).select("job", "dir", F.col("s.file").alias("source"))
+    n = names.select("name").where("name <> ''").distinct()
+    starts = n.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring("name", F.lit(1), k))).alias("stem"))
+    by_job = starts.join(jobs.select("log", "stem"), "stem").select("log", "name").distinct()
+    heads = logs.select("log", F.substring("content", 1, head).alias("head"))
+    keys = n.select("name", F.substring("name", 1, gram).alias("key"))
+    lengths = F.array(*[F.lit(k) for k in range(1, gram + 1)])
+    cuts = F.transform(F.sequence(F.lit(1), F.length("head")), lambda at: F.transform(lengths, lambda k: F.substring("head", at, k)))
+    grams = heads.where("head <> ''").select("log", F.explode(F.array_distinct(F.flatten(cuts))).alias("key"))
+    met = grams.join(keys, "key").select("log", "name")
+    found = met.join(heads, "log").where(F.contains("head", "name")).select("log", "name")
+    return by_job.withColumn("how", F.lit("job")).unionByName(found.join(by_job, ["log", "name"], "left_anti").withColumn("how", F.lit("content")))

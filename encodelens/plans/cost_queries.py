@@ -343,13 +343,21 @@ def _(v):
     return v.requests.select("request", "plan", ladders.chunk_size(F.lit(240.0), F.col("fps") / 40.0, F.col("duration"), mode).alias("chunk_s"))
 
 
-@query("O74_chunk_budget_sweep", QUOTE + """
-, cand as (select request, duration, speed, unnest(range(240, 4801, 240))::double as target from sp),
-ch as (select *, least(greatest(round(target * speed / 12), 1) * 12, duration) as chunk, greatest(ceil(duration / 6 - 1e-6), 1)::bigint as units from cand),
-nn as (select *, least(greatest(ceil(duration / chunk - 1e-6), 1)::bigint, units) as n0 from ch),
-mm as (select *, n0 - case when n0 > 1 and duration - 6.0 * ((n0 - 1) * (units // n0) + least(n0 - 1, units % n0)) < 2 then 1 else 0 end as n from nn),
-tot as (select request, target, sum(n)::bigint as chunks from mm group by all)
-select request, arg_min(chunks, target) as before, min(target) filter (where chunks <= 60) as target, arg_min(chunks, target) filter (where chunks <= 60) as after from tot group by request""")
+def _chunks(target: str) -> str:
+    """SQL: the chunks that rung group x of a clip plans at a target."""
+    units = "greatest(ceil(duration / 6 - 1e-6), 1)::bigint"
+    n = f"least(greatest(ceil(duration / least(greatest(round({target} * x.s / 12), 1) * 12, duration) - 1e-6), 1)::bigint, {units})"
+    return f"list_sum(list_transform(r, lambda x: x.n * ({n} - case when {n} > 1 and duration - 6.0 * (({n} - 1) * ({units} // {n}) + least({n} - 1, {units} % {n})) < 2 then 1 else 0 end)))::bigint"
+
+
+@query("O74_chunk_budget_sweep", QUOTE.replace("with ", "with recursive ", 1) + f"""
+, g as (select request, duration, list({{'s': speed, 'n': n}}) as r from (select request, duration, speed, count(*) as n from sp group by all) group by request, duration),
+tries as (select request, duration, r, t, {_chunks("t")} as n from g, (select 240.0 * 2 ** k as t from (select unnest(range(0, 13)) as k))),
+found as (select request, duration, r, arg_min(n, t) as before, coalesce(min(t) filter (where n <= 60), 983040.0) as hi, count(*) filter (where n <= 60) > 0 as fits from tries group by request, duration, r),
+b as (select request, duration, r, hi / 2 as lo, hi from found where fits and hi > 240
+  union all select request, duration, r, case when {_chunks("((lo + hi) / 2)")} <= 60 then lo else (lo + hi) / 2 end, case when {_chunks("((lo + hi) / 2)")} <= 60 then (lo + hi) / 2 else hi end from b where hi - lo > 1),
+e as (select request, min(hi) as hi from b group by request), t as (select f.request, f.duration, f.r, f.before, coalesce(e.hi, f.hi) as target from found f left join e using (request))
+select request, before, round(target, 6) as target, {_chunks("target")} as after from t""")
 def _(v):
     return ladders.chunk_budget_sweep(requested(v), budget=60)
 

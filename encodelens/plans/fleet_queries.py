@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from encodelens.functions import scalars as S
 from encodelens.operators import fleet, retention
 from encodelens.plans.registry import NOW, query
 
@@ -131,6 +132,21 @@ def _(v):
     return fleet.fleet_order(m)
 
 
+@query("O106_usage_order", """
+with u as (select split_part(key, '/', 1) as top, split_part(key, '/', 2) as prefix, sum(bytes)::bigint as bytes from objects group by all)
+select *, row_number() over (partition by top order by bytes desc, prefix) as place from u""")
+def _(v):
+    u = v.objects.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("top"), F.split_part("key", F.lit("/"), F.lit(2)).alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+    return fleet.usage_order(u, ["top"])
+
+
+@query("O106_phase_order", """
+with p as (select job, regexp_replace(key, ':chunk[^:]*$', '') as phase, min(seq) as first_seq from stages group by all)
+select *, row_number() over (partition by job order by first_seq, phase) as place from p""")
+def _(v):
+    return fleet.phase_order(v.stages.groupBy("job", S.phase_key("key").alias("phase")).agg(F.min("seq").alias("first_seq")))
+
+
 @query("O118_host_counter_rate", """
 with c as (select machine, ts, seq, sum(busy) over o as idle, sum(busy + k) over o as total from samples window o as (partition by machine order by ts, seq)),
 b as (select machine, floor(ts / 7200) as b, max({'t': ts, 's': seq, 'i': idle, 'n': total}) as r from c group by all),
@@ -300,11 +316,15 @@ def _(v):
 
 
 @query("O49_output_logs", r"""
-with n as (select distinct lower(n_name) as name from nation union select 'the' union select 'les'), w as (select distinct conv_id * 1000 + turn as log, unnest(regexp_split_to_array(lower(substr(text, 1, 4096)), '[^\p{L}\p{N}_.\-]+')) as name from conversations)
-select log, name from w where name <> '' and name in (select name from n)""")
-def _(v):
-    names = v.nation.select(F.lower("n_name").alias("name")).unionByName(v.nation.select(F.when(F.col("n_nationkey") == 0, "the").otherwise("les").alias("name")))
-    return retention.output_logs(v.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("log"), F.lower("text").alias("content")), names)
+with n as (select distinct lower(n_name) as name from nation union select 'the' union select 'les' union select 'de la'), j as (select s_suppkey * 1000 as log, lower(substr(n_name, 1, 4)) as stem from supplier join nation on s_nationkey = n_nationkey),
+a as (select distinct log, name from j join n on starts_with(name, stem)),
+c as (select distinct conv_id * 1000 + turn as log, name from conversations join n on contains(lower(substr(text, 1, 4096)), name))
+select log, name, 'job' as how from a union all select log, name, 'content' from c anti join a using (log, name)""")
+def _(v):
+    own = F.when(F.col("n_nationkey") == 0, "the").when(F.col("n_nationkey") == 1, "de la").otherwise("les")
+    names = v.nation.select(F.lower("n_name").alias("name")).unionByName(v.nation.select(own.alias("name")))
+    jobs = v.supplier.join(v.nation, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") * 1000).alias("log"), F.lower(F.substring("n_name", 1, 4)).alias("stem"))
+    return retention.output_logs(v.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("log"), F.lower("text").alias("content")), names, jobs)
 
 
 @query("O42_source_for_dir", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from encodelens.functions import scalars as S
-from encodelens.operators import fleet, stages
+from encodelens.operators import fleet, ladders, stages
 from encodelens.plans.registry import NOW, query
 from encodelens.sources import files, markers
 from encodelens.streaming import state
@@ -93,13 +93,19 @@ def _(v):
     return m.where(F.size(kept) > 0).select("job", text.alias("kept"))
 
 
-@query("O25_effective_config", """
-select request, coalesce(nullif(job, ''), nullif(ladder_s, ''), '6') as segment_s
-from (select request, case plan when 0 then '' when 1 then '0' else '4' end as job, case when request % 2 = 0 then '' else '2' end as ladder_s from requests)""")
+_CONFIG = {
+    "job_segment": "case plan when 0 then '' when 1 then '0' else '4' end", "ladder_segment": "case when request % 2 = 0 then '' else '2' end", "job_partial": "case plan when 1 then '0.5' else '' end",
+    "ladder_partial": "case when request % 5 = 0 then '0' end", "job_gop": "''", "ladder_gop": "case when request % 3 = 0 then '2.0' else '' end", "job_tag": "case when plan = 2 then 'own' else '' end",
+    "ladder_tag": "case when request % 7 = 0 then 'base' end", "job_chunk": "case plan when 0 then '' when 1 then '12' end",
+}
+
+
+@query("O25_effective_config", f"""
+with c as (select request, {", ".join(f"{x} as {n}" for n, x in _CONFIG.items())} from requests)
+select *, coalesce(nullif(job_segment, ''), nullif(ladder_segment, ''), '6') as segment_s, coalesce(nullif(job_partial, ''), nullif(ladder_partial, ''), '0.2') as partial_s, coalesce(nullif(job_gop, ''), nullif(ladder_gop, ''), '1.0') as gop_s,
+  coalesce(nullif(job_tag, ''), nullif(ladder_tag, ''), case when ladder_segment <> '' then concat(ladder_segment, 's') end, 'xs') as tag, coalesce(nullif(job_chunk, ''), 'dynamic') as chunk from c""")
 def _(v):
-    job = F.when(F.col("plan") == 0, "").when(F.col("plan") == 1, "0").otherwise("4")
-    lad = F.when(F.col("request") % 2 == 0, "").otherwise("2")
-    return v.requests.select("request", F.coalesce(F.nullif(job, F.lit("")), F.nullif(lad, F.lit("")), F.lit("6")).alias("segment_s"))
+    return ladders.effective_config(v.requests.selectExpr("request", *[f"{x} as {n}" for n, x in _CONFIG.items()]))
 
 
 @query("O58_phase_rollup", """
@@ -275,14 +281,19 @@ def _(v):
 
 
 @query("O17_run_record", """
-with p as (select job, regexp_replace(key, ':chunk[^:]*$', '') as phase from stages group by all)
-select s.job, count(*) as stages, any_value(n) as phases, case when sum(s.cpu_s) > 50000 then round(sum(s.cpu_s), 4) end as total
-from stages s join (select job, count(*) as n from p group by job) using (job) group by s.job""")
+with s as (select *, regexp_extract(key, '(?:^|:)(h264|hevc|av1)(?::|$)', 1) as kc, regexp_replace(key, ':chunk[^:]*$', '') as phase from stages),
+f as (select job, count(distinct file) > 1 as many from stages group by job),
+o as (select distinct job, file, kc as codec from s where kc <> ''),
+x as (select o.job, o.codec, o.file as source, s.phase, s.seq, s.cpu_s, s.kc from o join f using (job) join s on s.job = o.job and (s.kc = '' or s.kc = o.codec) and (s.file = o.file or not many))
+select job, codec, source, concat(job, '_', codec, '_', source) as dir, count(*) as stages, count(distinct phase) as phases, array_to_string(list_sort(list(distinct split_part(phase, ':', 3)) filter (where kc <> '')), ',') as rungs,
+  case when sum(cpu_s) > 50000 then round(sum(cpu_s), 4) end as total from x group by job, codec, source""")
 def _(v):
-    c = v.stages.groupBy("job").agg(F.round(F.sum("cpu_s"), 4).alias("t"))
-    c = c.select("job", F.lit(0.0).alias("spot"), F.lit(0.0).alias("egress"), F.when(F.col("t") > 50000, F.col("t")).otherwise(0.0).alias("total"))
-    r = files.run_records(v.stages, stages.phase_rollup(v.stages), c)
-    return r.select("job", F.size("stages").cast("long").alias("stages"), F.size("phases").cast("long").alias("phases"), F.col("cost.total").alias("total"))
+    s = v.stages.withColumn("codec", S.stage_codec("key"))
+    o = s.where("codec is not null").select("job", "codec", F.col("file").alias("source")).distinct().withColumn("dir", F.concat_ws("_", "job", "codec", "source"))
+    r = files.run_records(v.stages, o)
+    c = r.select("job", "codec", "source", "dir", F.explode("stages").alias("s")).groupBy("dir").agg(F.round(F.sum("s.cpu_s"), 4).alias("t"))
+    r = files.with_costs(r, c.select("dir", F.lit(0.0).alias("spot"), F.lit(0.0).alias("egress"), F.when(F.col("t") > 50000, F.col("t")).otherwise(0.0).alias("total")))
+    return r.select("job", "codec", "source", "dir", F.size("stages").cast("long").alias("stages"), F.size("phases").cast("long").alias("phases"), F.array_join("rungs", ",").alias("rungs"), F.col("cost.total").alias("total"))
 
 
 @query("O07_read_samples", """

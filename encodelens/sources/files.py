@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from encodelens.functions.scalars import phase_key, stage_codec
+
 RUN_RECORD = (
     "schema_version int, job_id string, output string, config struct<codec: string, ladder: string, burnin: boolean>, "
     "phases array<struct<phase: string, n: bigint, span_s: double, wall_s: double>>, "
@@ -85,15 +87,26 @@ def parse_names(names: DataFrame, col: str = "name") -> DataFrame:
     })
 
 
-def run_records(stages: DataFrame, phases: DataFrame, costs: DataFrame) -> DataFrame:
-    """One nested record per job: its phases, stages (by seq) and cost; a cost of all zeros is null, as nothing was measured.
+def run_records(stages: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One nested record per output folder (job, dir, codec, source): its stages by seq, phases as first seen, and rungs.
 
-    Stages per job are bounded by its plan.
+    A folder's record has the stages of its codec and those of none, and of a job with several files those of its own
+    source alone. Stages per job are bounded by its plan.
     """
-    st = stages.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("seq", "key", "status", "started", "ended"))).alias("stages"))
-    ph = phases.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("first_seq", "phase", "n", "span_s", "wall_s"))).alias("phases"))
-    c = costs.select("job", F.when(F.col("total") > 0, F.struct("spot", "egress", "total")).alias("cost"))
-    return st.join(ph, "job", "left").join(c, "job", "left").withColumn("schema_version", F.lit(1))
+    many = stages.groupBy("job").agg((F.count_distinct("file") > 1).alias("_many"))
+    s = outputs.join(many, "job").join(stages.withColumn("_codec", stage_codec("key")), "job")
+    s = s.where((F.col("_codec").isNull() | (F.col("_codec") == F.col("codec"))) & (~F.col("_many") | (F.col("file") == F.col("source"))))
+    keys = ["job", "dir", "codec", "source"]
+    st = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "key", "status", "started", "ended", "cpu_s"))).alias("stages"))
+    ph = s.withColumn("phase", phase_key("key")).groupBy("dir", "phase").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"), (F.max("ended") - F.min("started")).alias("span_s"), F.first("_codec").alias("_codec"))
+    rung = F.when(F.col("_codec").isNotNull(), F.split_part("phase", F.lit(":"), F.lit(3)))
+    ph = ph.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("first_seq", "phase", "n", "span_s"))).alias("phases"), F.array_sort(F.collect_set(rung)).alias("rungs"))
+    return st.join(ph, "dir").withColumn("schema_version", F.lit(1))
+
+
+def with_costs(records: DataFrame, costs: DataFrame) -> DataFrame:
+    """Records with the cost of their folder; a cost of all zeros is null, as nothing was measured."""
+    return records.join(costs.select("dir", F.when(F.col("total") > 0, F.struct("spot", "egress", "total")).alias("cost")), "dir", "left")
 
 
 def write_run_records(records: DataFrame, path: str) -> None:
