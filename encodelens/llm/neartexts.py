@@ -18,10 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encodelens.llm.common import broadcast_if_small, components, written
-from encodelens.llm.simhash import _one_of_each, connect
+from encodelens.llm.simhash import _one_of_each, stars
 
 #: Byte positions of the wide fingerprint, triples of them that key the index, and equal bytes that a pair must have.
 BYTES, KEYS, LEAST = 96, 128, 12
+#: Minima of a sketch of the shingles, and how far below the similarity its estimate may lie (four standard deviations).
+MINIMA, SLACK = 128, 0.14
+#: Rows of a posting list that meet in one task.
+LIST = 2048
 #: Shingles hashed at once.
 BLOCK = 1 << 13
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -56,6 +60,29 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+@lru_cache(maxsize=1)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(9).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Two bytes of each of MINIMA minima of the shingle hashes; texts share one with the chance of their similarity."""
+    least = np.full(MINIMA, 2**32 - 1, np.uint64)
+    for i in range(0, len(hashes), BLOCK):
+        least = np.minimum(least, (hashes[i : i + BLOCK, None] * _factors() >> np.uint64(32)).min(axis=0))
+    return (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def promising(fp: np.ndarray, sk: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (x, y) of rows tally LEAST equal positional bytes, and have a sketch that allows the similarity."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x), BLOCK):
+        a, b = x[i : i + BLOCK], y[i : i + BLOCK]
+        at = np.flatnonzero((fp[a] == fp[b]).sum(axis=1) >= LEAST)
+        out[i + at[(sk[a[at]] == sk[b[at]]).mean(axis=1) >= similarity - SLACK]] = True
+    return out
+
+
 @lru_cache(maxsize=1)
 def triples() -> np.ndarray:
     """KEYS triples of byte positions; each position stands in equally many."""
@@ -64,23 +91,25 @@ def triples() -> np.ndarray:
     return np.concatenate([rng.permutation(BYTES) for _ in range(rounds)]).reshape(-1, 3)[:KEYS]
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, same, fp) of each row: text hash, digest of the words in lower case, wide fingerprint of 3-word shingles.
+def texts_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, h, same, fp, sk) of each row: text hash, digest of the words in lower case, wide fingerprint of 3-word shingles, sketch.
 
-    Runs of 3 words change less under an edit than those of 5, so that a pair of a given similarity meets more surely.
+    Runs of 3 words change less under an edit than those of 5, so that a pair of a given similarity meets more surely. The
+    sketch is of shingles of `size` words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fps = [], []
+            same, fps, sks = [], [], []
             for text in b.column(2).to_pylist():
                 words = (text or "").encode().lower().split()
                 same.append(hashlib.md5(b" ".join(words)).digest())
                 fps.append(wide_fingerprint(shingles(words, 3)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.binary()), pa.array(fps, pa.binary())], ["id", "h", "same", "fp"])
+                sks.append(sketch(shingles(words, size)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in (same, fps, sks))], ["id", "h", "same", "fp", "sk"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, h long, same binary, fp binary")
+    return slim.mapInArrow(run, "id long, h long, same binary, fp binary, sk binary")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -97,26 +126,85 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(run, "node long, keys array<int>").select(F.explode("keys").alias("key"), "node")
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float, best: bool) -> DataFrame:
-    """Of candidate pairs (a, b) of nodes those whose texts have at least `similarity` of their word shingles in common.
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return raw.reshape(len(column), -1)
 
-    The postings that a pair shares are counted, then its equal bytes over all positions are tallied; pairs under
-    LEAST are dropped and the others verified by their shingles (`size` words, as sets). best: of each a only the b
-    with most shared postings. texts: (id, h, text); the text of a node is met by its id and hash.
-    """
-    shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    if best:
-        shared = shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    fp = nodes.select("node", "fp")
-    met = shared.join(fp.toDF("a", "fa"), "a").join(fp.toDF("b", "fb"), "b")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tallied(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those that are promising()."""
+    f = nodes.select("node", "fp", "sk")
+    met = pairs.join(f.toDF("a", "fa", "ka"), "a").join(f.toDF("b", "fb", "kb"), "b").select("a", "b", "fa", "fb", "ka", "kb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            fa, fb = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BYTES) for c in (x.column(2), x.column(3)))
-            kept = pa.array((fa == fb).sum(axis=1) >= LEAST)
+            n = x.num_rows
+            fp, sk = (np.concatenate([_matrix(x.column(i), kind), _matrix(x.column(i + 1), kind)]) if n else None for i, kind in ((2, np.uint8), (4, "<u2")))
+            kept = pa.array(promising(fp, sk, np.arange(n), np.arange(n) + n, similarity), pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column(0).filter(kept), x.column(1).filter(kept)], ["a", "b"])
 
-    near = written(met.select("a", "b", "fa", "fb").mapInArrow(tally, "a long, b long"), "candidates")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Promising pairs (a, b) of different components within posting lists (key, node, c, n) of n rows each.
+
+    Lists are cut into blocks of LIST rows, and each two blocks meet in one task, which sends the pairs alone. A pair
+    comes from the first list that it shares.
+    """
+    blocks = F.ceil(F.col("n") / LIST).cast("int")
+    rows = lists.withColumn("m", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least("b", o).alias("l"), F.greatest("b", o).alias("r")))
+    rows = rows.withColumn("t", F.explode(meets)).join(nodes.select("node", "fp", "sk"), "node")
+    rows = rows.select("key", "t.l", "t.r", "b", "node", "c", "fp", "sk")
+    dealt = rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "node")
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, l, r, b, node, c = (t.column(i).to_numpy() for i in range(6))
+        fp, sk, at = _matrix(t.column(6).combine_chunks(), np.uint8), _matrix(t.column(7).combine_chunks(), "<u2"), triples()
+        group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]))))
+        left, found = np.arange(len(key)), []
+        for step in range(1, len(key)):
+            left = left[left + step < len(key)]
+            left = left[group[left] == group[left + step]]
+            if not len(left):
+                break
+            x = left[(c[left] != c[left + step]) & ((l[left] == r[left]) | (b[left] != b[left + step]))]
+            found.append((x, x + step))
+        x, y = (np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
+        good = promising(fp, sk, x, y, similarity)
+        x, y = x[good], y[good]
+        first = (fp[x][:, at] == fp[y][:, at]).all(axis=2).argmax(axis=1)
+        ours = first == (key[x].view(np.uint32) >> 24)
+        return pa.RecordBatch.from_arrays([pa.array(node[x[ours]]), pa.array(node[y[ours]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            if not x.num_rows:
+                continue
+            # rows up to the last change of list are whole lists; the rest waits for more
+            key = np.stack([x.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if held and (np.array([held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in range(3)]) != key[:, 0]).any():
+                yield pairs(pa.Table.from_batches(held))
+                held = []
+            if len(change):
+                yield pairs(pa.Table.from_batches([*held, x.slice(0, change[-1])]))
+                held, x = [], x.slice(change[-1])
+            held.append(x)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those with at least `similarity` of their shingles of `size` words, as sets, in common.
+
+    texts: (id, h, text); the text of a node is met by its id and hash.
+    """
+    near = written(pairs, "candidates")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(nodes.select("node", "id", "h").join(ends, "node"), "candidate-texts")
     w, _ = broadcast_if_small(wanted.select("node", F.col("id").alias("_id"), F.col("h").alias("_h")), 40)
@@ -138,17 +226,31 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """(id, h, root) of each row: rows of one root are joined up by pairs of at least `similarity` in word shingles.
 
     Words are compared in lower case (A-Z); texts of equal words are one node, so that only different ones are compared;
-    texts without a word are equal. Each node meets its lists' smallest first, then all nodes of other components.
+    texts without a word are equal. First each node meets that of three leaders of its posting lists with which it shares
+    most; then nodes of different components meet within their lists. Of both, pairs are tallied by equal bytes and
+    estimated by sketches before their shingles verify them.
     """
-    rows = written(texts_of(docs, id_col, text_col), "texts")
-    first = F.min_by(F.struct("id", "h", "fp"), F.struct(F.col("id").isNull(), "id", "h"))
+    rows = written(texts_of(docs, id_col, text_col, size), "texts")
+    first = F.min_by(F.struct("id", "h", "fp", "sk"), F.struct(F.col("id").isNull(), "id", "h"))
     nodes = rows.groupBy("same").agg(first.alias("r")).select("same", "r.*").withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")  # the numbers hold from here on
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    edges = connect(postings(nodes), lambda pairs, best: similar_pairs(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")), nodes, texts, size, similarity, best), leaders=3)
-    comp = components(edges).select(F.col("node"), F.col("component"))
+
+    def leaders(pairs: DataFrame) -> DataFrame:
+        shared = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        best = shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+        return verified(tallied(best, nodes, similarity), nodes, texts, size, similarity)
+
+    edges, lists = stars(postings(nodes), leaders, leaders=3)
+    lists = lists.select("key", "r.node", "c")
+    mixed = lists.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
+    mixed = written(mixed.select("key", "a", "b", "n"), "mixed-lists")
+    two = tallied(mixed.where("n = 2").select("a", "b").distinct(), nodes, similarity)
+    more = within_lists(lists.join(mixed.where("n > 2").select("key", "n"), "key"), nodes, similarity)
+    edges = edges.unionByName(verified(two.unionByName(more).distinct(), nodes, texts, size, similarity))
+    comp = components(edges).select("node", "component")
     roots = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
-    return rows.join(roots, "same").select("id", "h", "root")
+    return rows.select("id", "h", "same").join(roots, "same").select("id", "h", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:

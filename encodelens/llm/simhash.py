@@ -79,13 +79,12 @@ def _ours(masks: list[tuple[int, int]], column: str) -> str:
     return "coalesce(" + ", ".join(f"if(((a.fp ^ b.fp) & {m}) = 0, {n}, null)" for n, m in masks) + f") = a.{column}"
 
 
-def connect(postings: DataFrame, linked: Callable[[DataFrame, bool], DataFrame], leaders: int = 1) -> DataFrame:
-    """Edges (a, b) between nodes of postings (key, node, others) that join up all that any pair within a list would.
+def stars(postings: DataFrame, linked: Callable[[DataFrame], DataFrame], leaders: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of nodes of postings (key, node, others) to the first of their lists; and the lists as they then are.
 
-    linked(pairs, best): of rows (a, b), structs of postings, the pairs of nodes that are linked, each once; with best a
-    node needs one partner of several alone. First each node meets the first of its list, in `leaders` orders. Then only
-    nodes that are not joined up yet meet within a list: those outside the component that has most of the list meet
-    all others. So a list of copies, however long, costs a pair a node, and no list is capped.
+    First in `leaders` orders. linked: keeps of rows (a, b), structs of postings, pairs of nodes that are linked, as
+    (a, b); it need not keep several for an a. The lists: (key, r, c) of lists of two and more, c being the component
+    of r's node by the edges. A list of copies, however long, costs a pair a node.
     """
     row = F.struct(*[F.col(c) for c in postings.columns if c != "key"])
     p = postings.select("key", row.alias("r"))
@@ -93,16 +92,25 @@ def connect(postings: DataFrame, linked: Callable[[DataFrame, bool], DataFrame],
     first = p.groupBy("key").agg(F.array_distinct(F.array(*orders)).alias("bs"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = written(p.join(first, "key"), "postings")
     pairs = shared.select(F.col("r").alias("a"), F.explode("bs").alias("b")).where("a.node <> b.node")
-    stars = written(linked(pairs, True), "stars")
-    part = components(stars).select(F.col("node").alias("_node"), "component")
+    edges = written(linked(pairs), "stars")
+    part = components(edges).select(F.col("node").alias("_node"), "component")
     shared = shared.select("key", "r").join(part, F.col("r.node") == F.col("_node"), "left").select("key", "r", F.coalesce("component", "r.node").alias("c"))
-    shared = written(shared, "joined-postings")
+    return edges, written(shared, "joined-postings")
+
+
+def connect(postings: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) between nodes of postings (key, node, others) that join up all that any pair within a list would.
+
+    After stars() only nodes that are not joined up yet meet within a list: those outside the component that has most
+    of the list meet all others. No list is capped.
+    """
+    edges, shared = stars(postings, linked)
     per = shared.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = shared.join(per.select("key", "most"), "key")
     out = mixed.where("c <> most").select("key", F.col("r").alias("a"), F.col("c").alias("ca"))
     pairs = out.join(mixed.select("key", "most", F.col("r").alias("b"), F.col("c").alias("cb")), "key")
     pairs = pairs.where("ca <> cb and (cb = most or a.node > b.node)").select("a", "b")
-    return stars.unionByName(linked(pairs, False))
+    return edges.unionByName(linked(pairs))
 
 
 def links(fps: DataFrame, differing: int = 3, hot: int = 256) -> DataFrame:
@@ -137,7 +145,7 @@ def links(fps: DataFrame, differing: int = 3, hot: int = 256) -> DataFrame:
     warm = posts.join(sizes, "key", "left_semi").select("fp", F.explode(F.element_at(F.array(*per), F.col("no") + 1)).alias("key"))
     warm = warm.select("key", F.col("fp").alias("node"), "fp")
 
-    def linked(pairs: DataFrame, best: bool) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
         return pairs.where(test).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
     return out.unionByName(connect(warm, linked))

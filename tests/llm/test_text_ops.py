@@ -175,6 +175,27 @@ def test_near_texts_large_group(spark):
     assert [r.doc_id for r in kept] == [0]
 
 
+@pytest.mark.parametrize("block", [2048, 5])
+def test_near_texts_spread_group(spark, monkeypatch, block):
+    """Copies of one text that are mostly too far from each other to be linked, some by way of the text itself."""
+    monkeypatch.setattr(neartexts, "LIST", block)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base), "s")]
+    for i in range(1, 160):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 9)):
+            w[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w), "s"))
+    pairs = alike([r[:2] for r in rows])
+    roots = {}
+    for r in neartexts.grouped(docs(spark, rows)).collect():
+        roots.setdefault(r.root, []).append(r.id)
+    got, want = {i: min(ids) for ids in roots.values() for i in ids}, classes([r[0] for r in rows], pairs)
+    assert all(want[i] == want[c] for i, c in got.items()) and sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert 1 < len(set(want.values())) < 160
+
+
 def test_near_texts_odd_rows(spark):
     out = neartexts.keep_one(docs(spark, ODD))
     assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "4", "5", "6", "None"] and out.columns == docs(spark, []).columns
