@@ -66,10 +66,9 @@ def newton_step(counts: DataFrame, state: DataFrame, limit: float) -> DataFrame:
     tokens, whose slope changes little; where it leaves the bracket [lo, hi] that the signs of the gradients so far
     leave, the bracket is halved instead. gap is the relative distance to the target before the step.
     """
-    x = counts.join(F.broadcast(state.select(F.col("source").alias("_s"), "tilt")), F.col("source").eqNullSafe(F.col("_s")))
+    x = counts.withColumnRenamed("source", "_s").join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s")))
     words, free = F.col("n") * F.col("size") * _rate(F.col("tilt"), F.col("size"), limit), F.col("tilt") * F.col("size") < math.log(limit)
-    sums = x.groupBy(F.col("source").alias("_s")).agg(F.sum(words).alias("_words"), F.sum(F.when(free, words * F.col("size")).otherwise(0.0)).alias("_slope"))
-    s = state.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("_s")))
+    s = x.groupBy("source", "source_size", "target", "tilt", "lo", "hi").agg(F.sum(words).alias("_words"), F.sum(F.when(free, words * F.col("size")).otherwise(0.0)).alias("_slope"))
     over = F.col("_words") > F.col("target")
     s = s.withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("tilt"))).withColumn("hi", F.when(over, F.col("tilt")).otherwise(F.col("hi")))
     s = s.withColumn("gap", F.abs(F.col("_words") - F.col("target")) / F.col("target"))
