@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from encodelens.operators.ordered import fold_in_order
+
 #: Seconds between accepted samples, samples kept, seconds a machine stays listed, a poller fresh, a member in grace.
 GAP_S, RING, TTL_S, FRESH_S, GRACE_S = 3, 90, 600, 150, 300
 
@@ -105,19 +107,16 @@ def downsample_history(samples: DataFrame, now: int, window_s: int = 7200, most:
 def fleet_throttle(samples: DataFrame, gap_s: int = GAP_S) -> DataFrame:
     """Samples that count: the first of a machine and each that comes gap_s or more after the last that counted.
 
-    Which sample counts depends on the one before, so a machine's samples fold in order; they are first reduced to
-    one a second, the most that can matter.
+    Which sample counts depends on the one before, so a machine's samples pass in order, reduced to one a second, the
+    most that can matter.
     """
-    one = samples.groupBy("machine", "ts").agg(F.min("seq").alias("seq"))
-    rows = F.array_sort(F.collect_list(F.struct("ts", "seq")))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(acc, r):
-        ok = acc["last"].isNull() | (r["ts"] - acc["last"] >= gap_s)
-        return F.struct(F.when(ok, r["ts"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(r["seq"]))).otherwise(acc["kept"]).alias("kept"))
+    def step(last: int | None, sample: tuple) -> tuple:
+        _, ts, seq = sample
+        return (ts, (seq,)) if last is None or ts - last >= gap_s else (last, None)
 
-    kept = one.groupBy("machine").agg(F.aggregate(rows, start, step)["kept"].alias("k")).select(F.explode("k").alias("seq"))
-    return samples.join(kept, "seq", "left_semi")
+    one = samples.groupBy("machine", "ts").agg(F.min("seq").alias("seq"))
+    return samples.join(fold_in_order(one, "machine", ["ts"], "seq long", step), "seq", "left_semi")
 
 
 def fleet_view(samples: DataFrame, now: int, ttl_s: int = TTL_S, ring: int = RING) -> DataFrame:

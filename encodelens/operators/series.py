@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,17 +25,30 @@ def detrend(frames: DataFrame, window: int, block: int = 1_000_000) -> DataFrame
     return f.withColumn("residual", F.col("score") - mean).select(*frames.columns, "residual")
 
 
-def autocorrelation(residuals: DataFrame, max_lag: int, value: str = "residual") -> DataFrame:
+def autocorrelation(residuals: DataFrame, max_lag: int, value: str = "residual", block: int = 1024) -> DataFrame:
     """(series, lag, r) for lags 0 to max_lag, over the sum of squared deviations; a constant series gives zeros.
 
-    Each frame is sent to the max_lag frames behind it, an equi-join of n * lags rows that any number of tasks share.
+    A series is cut into blocks, each with the max_lag frames behind it; a block multiplies itself by its shifts as
+    arrays, and the sums meet per lag. So a frame is sent twice at most, whatever the lags, and a long series is shared by
+    tasks. Missing frames count 0.
     """
-    mean = residuals.groupBy("series").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    d = residuals.join(mean, "series").select("series", "frame", (F.col(value) - F.col("_m")).alias("d"))
-    den = d.groupBy("series").agg(F.sum(F.col("d") * F.col("d")).alias("den"), F.count(F.lit(1)).alias("n"))
-    left = d.select("series", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "frame", "d").withColumn("at", F.col("frame") + F.col("lag"))
-    right = d.select("series", F.col("frame").alias("at"), F.col("d").alias("e"))
-    s = left.join(right, ["series", "at"]).groupBy("series", "lag").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
+    mean = residuals.groupBy("series").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("n"))
+    d = residuals.join(mean, "series").select("series", "frame", (F.col(value) - F.col("_m")).alias("d"), "n")
+    den = d.groupBy("series").agg(F.sum(F.col("d") * F.col("d")).alias("den"), F.first("n").alias("n"))
+    size = max(block, max_lag + 1)
+    own = F.floor(F.col("frame") / size)
+    d = d.select("series", "frame", "d", F.explode(F.when(F.col("frame") - own * size < max_lag, F.array(own - 1, own)).otherwise(F.array(own))).alias("at"))
+    # a frame stands for itself and, with 0, for those missing behind it
+    gap = F.lead("frame").over(W.partitionBy("series", "at").orderBy("frame")) - F.col("frame") - 1
+    zeros = F.array_repeat(F.lit(0.0), F.coalesce(gap, F.lit(0)).cast("int"))
+    d = d.withColumn("x", F.concat(F.array("d"), zeros)).withColumn("mine", F.when(F.floor(F.col("frame") / size) == F.col("at"), F.least(F.size("x"), ((F.col("at") + 1) * size - F.col("frame")).cast("int"))).otherwise(0))
+    b = d.groupBy("series", "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda r: r["x"])).alias("x"), F.sum("mine").cast("int").alias("own")).where("own > 0")
+
+    def shifted(lag: Column) -> Column:
+        products = F.zip_with(F.slice("x", 1, F.col("own")), F.slice("x", lag + 1, F.col("own")), lambda a, c: a * F.coalesce(c, F.lit(0.0)))
+        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + F.coalesce(p, F.lit(0.0)))
+
+    s = b.select("series", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max_lag)), shifted)).alias("lag", "s")).groupBy("series", "lag").agg(F.sum("s").alias("s"))
     return s.join(den, "series").where("lag < n").select("series", "lag", F.round(F.when(F.col("den") > 0, F.col("s") / F.col("den")).otherwise(F.lit(0.0)), 6).alias("r"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encodelens.functions.scalars import basename, phase_key, seed_speed, stage_codec
+from encodelens.operators.ordered import fold_in_order
 
 # Ranks of stage states; interrupts may follow any state but a final one.
 RANK = {"pending": 0, "queued": 1, "starting": 2, "running": 3, "reclaimed": 3, "failed": 4, "done": 5}
@@ -81,20 +82,6 @@ def stage_materialize(events: DataFrame) -> DataFrame:
     )
 
 
-def _fold(acc: Column, e: Column) -> Column:
-    """One transition on a key's state; acc holds the state and the list of decisions."""
-    old, new = acc["status"], e["status"]
-    walks_back = (rank(new) < rank(old)) & (old != "failed") & ~new.isin(*INTERRUPTS)
-    refused = F.coalesce((old == "done") & (new != "done") | walks_back, F.lit(False))
-    percent = F.coalesce(e["percent"], acc["percent"])
-    falls = F.coalesce((old == new) & (new != "done") & (percent < acc["percent"]), F.lit(False))
-    percent = F.when(falls, acc["percent"]).otherwise(percent)
-    status = F.when(refused, old).otherwise(new)
-    percent = F.when(refused, acc["percent"]).otherwise(percent)
-    row = F.struct(e["seq"].alias("seq"), e["src"].alias("src"), (~refused).alias("accepted"), status.alias("status"), percent.alias("percent"))
-    return F.struct(status.alias("status"), percent.alias("percent"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-
 def rendered_width(status: Column, percent: Column) -> Column:
     return F.when(status.isin("pending", "queued", "starting"), 0.0).when(status.isin("done", "skipped", "reclaimed"), 100.0).otherwise(F.coalesce(percent, F.lit(0.0)))
 
@@ -103,13 +90,24 @@ def stage_state_fold(events: DataFrame) -> DataFrame:
     """Each transition with whether it is accepted, and the state of its key after it.
 
     A done stage stays done; a lower rank is refused unless the stage had failed or is interrupted; an unknown percent
-    carries the last one (0 at first); within a state that is not done the percent never falls. Events of a key fold
-    in seq order.
+    carries the last one (0 at first); within a state that is not done the percent never falls. Events of a key pass in
+    seq order, one state at a time.
     """
-    rows = F.array_sort(F.collect_list(F.struct("seq", "status", "percent", "src")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0.0).alias("percent"), F.array().cast("array<struct<seq bigint, src string, accepted boolean, status string, percent double>>").alias("rows"))
-    folded = events.groupBy("key").agg(F.aggregate(rows, start, _fold)["rows"].alias("rows"))
-    out = folded.select("key", F.inline("rows"))
+
+    def step(state: tuple | None, event: tuple) -> tuple:
+        key, seq, new, percent, src = event
+        old, had = state or (None, 0.0)
+        percent = had if percent is None else percent
+        if None not in (old, new):
+            lower = RANK.get(new, 0) < RANK.get(old, 0) and old != "failed" and new not in INTERRUPTS
+            if old == "done" != new or lower:
+                return (old, had), (key, seq, src, False, old, had)
+            if old == new != "done":
+                percent = max(percent, had)
+        return (new, percent), (key, seq, src, True, new, percent)
+
+    rows = events.select("key", F.col("seq").cast("long"), "status", F.col("percent").cast("double"), "src")
+    out = fold_in_order(rows, "key", ["seq", "status", "percent", "src"], "key string, seq long, src string, accepted boolean, status string, percent double", step)
     return out.withColumn("width", rendered_width(F.col("status"), F.col("percent")))
 
 
