@@ -47,11 +47,11 @@ def live_fleet_filter(fleet: DataFrame, instances: DataFrame | None) -> DataFram
 def enrich_fleet(jobs: DataFrame, instances: DataFrame) -> DataFrame:
     """Per instance: vCPUs used by running jobs and idle, and the running jobs, the newest first.
 
-    A job that occurs twice counts once. The job list has the 20 newest; the counts cover all.
+    A job that occurs twice counts once. What runs on a box is bounded by its size.
     """
     run = jobs.where("status = 'RUNNING'").groupBy("job_id").agg(F.min(F.struct("start_s", "instance", "vcpu")).alias("r")).select("job_id", "r.*")
     use = run.groupBy("instance").agg(F.sum("vcpu").alias("u"), F.count(F.lit(1)).alias("jobs"))
-    top = run.withColumn("rn", F.row_number().over(W.partitionBy("instance").orderBy(F.col("start_s").desc(), "job_id"))).where("rn <= 20")
+    top = run.withColumn("rn", F.row_number().over(W.partitionBy("instance").orderBy(F.col("start_s").desc(), "job_id")))
     top = top.groupBy("instance").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "job_id"))), lambda x: x["job_id"].cast("string")), ",").alias("newest"))
     used = F.least(F.coalesce("u", F.lit(0)), F.col("box_vcpu"))
     return instances.withColumnRenamed("vcpu", "box_vcpu").join(use, "instance", "left").join(top, "instance", "left").select("instance", "type", "box_vcpu", used.alias("used_vcpu"), (F.col("box_vcpu") - used).alias("idle_vcpu"), F.coalesce("jobs", F.lit(0)).alias("jobs"), "newest")

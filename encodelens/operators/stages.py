@@ -73,6 +73,23 @@ def rung_summary(stages: DataFrame) -> DataFrame:
     return e.groupBy("job", "codec").agg(F.count_distinct("height").alias("rungs"), F.min("height").alias("lowest"), F.max("height").alias("highest"), F.array_join(tall, ",").alias("labels"))
 
 
+def timing_report(stages: DataFrame, now: int) -> DataFrame:
+    """(job, kind, label, n, seconds, place): a job's stages by seq, its phases as first seen, and five totals.
+
+    The totals tell apart what one number cannot: the sum of all stages, the time in which any ran, the wait before the
+    first, the gaps in between, and the wall clock.
+    """
+    took = F.when(F.col("started").isNotNull() & F.col("ended").isNotNull(), F.greatest(F.col("ended") - F.col("started"), F.lit(0)))
+    one = stages.select("job", F.lit("stage").alias("kind"), F.col("key").alias("label"), F.lit(1).cast("long").alias("n"), took.alias("seconds"), F.col("seq").alias("place"))
+    phases = phase_rollup(stages).select("job", F.lit("phase").alias("kind"), F.col("phase").alias("label"), "n", F.col("wall_s").alias("seconds"), F.col("first_seq").alias("place"))
+    sums = stages.groupBy("job").agg(F.sum(took).alias("measured"), (F.lit(now) - F.min("submitted")).alias("wall"))
+    t = active_time(stages, now).join(sums, "job")
+    names = {"total measured": "measured", "active": "active_s", "queued": "queued_s", "idle": "idle_s", "wall clock": "wall"}
+    rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(c).cast("long").alias("seconds"), F.lit(i).cast("long").alias("place")) for i, (n, c) in enumerate(names.items(), 1)])
+    totals = t.select("job", F.inline(rows)).select("job", F.lit("total").alias("kind"), "label", F.lit(None).cast("long").alias("n"), "seconds", "place")
+    return one.unionByName(phases).unionByName(totals)
+
+
 def stage_materialize(events: DataFrame) -> DataFrame:
     """Per key one row from its events in seq order: first running starts it, first final state ends it, the last state stands."""
     final = F.col("status").isin("done", "failed")

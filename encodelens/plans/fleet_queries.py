@@ -77,7 +77,7 @@ def _(v):
 
 @query("O39_enrich_fleet", """
 with r as (select instance, job_id, start_s, vcpu, row_number() over (partition by instance order by start_s desc, job_id) as rn from batch_jobs where status = 'RUNNING'),
-u as (select instance, sum(vcpu) as u, count(*) as n, string_agg(job_id::varchar, ',' order by rn) filter (where rn <= 20) as newest from r group by instance)
+u as (select instance, sum(vcpu) as u, count(*) as n, string_agg(job_id::varchar, ',' order by rn) as newest from r group by instance)
 select f.instance, f.type, f.vcpu as box_vcpu, least(coalesce(u, 0), f.vcpu)::bigint as used_vcpu, (f.vcpu - least(coalesce(u, 0), f.vcpu))::bigint as idle_vcpu, coalesce(n, 0) as jobs, newest from fleet f left join u using (instance)""")
 def _(v):
     j = v.batch_jobs

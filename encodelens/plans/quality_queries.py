@@ -139,11 +139,14 @@ def _(v):
 
 
 @query("O132_encode_meta_rows", ESTIMATE + """
-select ladder, codec, count(*) as rungs, round(max(vmaf), 4) as best, count(*) filter (where clamped) as clamped, min(kbps) as low_kbps from est group by all""")
-def _(v):
-    e = estimated(v).groupBy("ladder", "codec").agg(F.collect_list(F.struct("kbps", "vmaf", "clamped")).alias("rungs"))
-    r = F.col("rungs")
-    return e.select("ladder", "codec", F.size(r).cast("long").alias("rungs"), F.round(F.array_max(r["vmaf"]), 4).alias("best"), F.size(F.filter(r, lambda x: x["clamped"])).cast("long").alias("clamped"), F.array_min(r["kbps"]).alias("low_kbps"))
+, r as (select ladder as profile, codec, string_agg(concat(height, '@', kbps, '=', case when vmaf is null then 'none' else printf('%.4f', vmaf) end), ' ' order by rung) as rungs, count(vmaf) as scored, count(*) as n from est group by all),
+o as (select output, case when output % 2 = 0 then 'Brand#11' else concat('Brand#', 10 * (output % 5 + 1) + output % 7) end as profile, case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec,
+  source, bytes as source_size, mtime as source_modified from outputs)
+select output, o.profile, o.codec, source, source_size, source_modified, rungs, coalesce(scored, 0) as scored, case when coalesce(scored, 0) = 0 then 'none' when scored < n then 'partial' else 'scored' end as vmaf_state
+from o left join r on r.profile = o.profile and r.codec = o.codec""")
+def _(v):
+    o = v.outputs.selectExpr("output", "case when output % 2 = 0 then 'Brand#11' else concat('Brand#', 10 * (output % 5 + 1) + output % 7) end as profile", "case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec", "source", "bytes as source_size", "mtime as source_modified")
+    return curves.encode_meta(o, estimated(v).withColumnRenamed("rung", "pos"))
 
 
 # ---- frame series

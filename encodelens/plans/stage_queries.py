@@ -142,14 +142,15 @@ def active(v):
     return stages.active_time(v.stages, NOW)
 
 
-@query("O20_timing_report", """
-with t as (select job, regexp_replace(key, ':chunk[^:]*$', '') as phase, count(*) as n, sum(cpu_s) as cpu from stages group by all)
-select job, phase, n, round(cpu, 4) as cpu_s from t union all
-select job, null, sum(n)::bigint, round(sum(cpu), 4) from t group by job""")
+@query("O20_timing_report", ACTIVE.replace("\nselect job, greatest", "\n, a as (select job, greatest").rstrip() + """),
+d as (select *, case when started is not null and ended is not null then greatest(ended - started, 0) end as took, regexp_replace(key, ':chunk[^:]*$', '') as phase from stages),
+mw as (select job, sum(took)::bigint as measured, {now} - min(submitted) as wall from d group by job)
+select job, 'stage' as kind, key as label, 1::bigint as n, took as seconds, seq as place from d
+union all select job, 'phase', phase, count(*), sum(took)::bigint, min(seq) from d group by job, phase
+union all select job, 'total', 'total measured', null, measured, 1 from mw union all select job, 'total', 'active', null, active_s, 2 from a
+union all select job, 'total', 'queued', null, queued_s, 3 from a union all select job, 'total', 'idle', null, idle_s, 4 from a union all select job, 'total', 'wall clock', null, wall, 5 from mw""")
 def _(v):
-    s = v.stages.withColumn("phase", S.phase_key("key"))
-    g = s.groupBy("job", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("cpu_s").alias("c"))
-    return g.groupingSets([["job", "phase"], ["job"]], "job", "phase").agg(F.sum("n").alias("n"), F.round(F.sum("c"), 4).alias("cpu_s"))
+    return stages.timing_report(v.stages, NOW)
 
 
 @query("O76_weighted_progress", """
