@@ -116,7 +116,7 @@ def upsert_sink(path: str, key: list[str], order: str):
 
 
 def event_lag(events: DataFrame) -> DataFrame:
-    """Per status: events, mean and 90 % of the delivery time from stop, start or sending, whichever is there first."""
+    """Per status: events, mean and greatest delivery time, from stop, start or sending, whichever is there first."""
     lag = F.col("arrival") - F.coalesce("stopped", "started", "sent")
     return events.withColumn("lag_s", lag).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lag_s"), 4).alias("mean_s"), F.max("lag_s").alias("most_s"), F.count_if(F.col("suppressed")).alias("suppressed"))
 
