@@ -42,9 +42,9 @@ def _(v):
 
 
 @query("O06_read_sidecars", """
-select s3_prefix, expires_at, gone from outputs where output % 3 = 0 and output % 30 <> 0""")
+select s3_prefix, expires_at, gone from outputs where output % 30 <> 0""")
 def _(v):
-    o = v.outputs.where("output % 3 = 0")
+    o = v.outputs
     path = folder(v, "sidecars")
     o.select(F.when(F.col("output") % 30 == 0, "").otherwise(F.col("s3_prefix")).alias("s3_prefix"), "expires_at", "gone").write.json(path)
     return files.sidecars(v.spark.read.schema(files.SIDECAR).json(path)).select("s3_prefix", "expires_at", "gone")
