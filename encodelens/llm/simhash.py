@@ -182,12 +182,13 @@ def _one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -
     best = written(best.select(F.col("r.id").alias("_keep"), F.col("r.h").alias("_hash")), "kept")
     many = rows.join(best, rows["id"].eqNullSafe(F.col("_keep")) & (rows["h"] == F.col("_hash")), "left_semi").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = written(many.select(F.col("id").alias("_many"), F.col("h").alias("_many_h")), "repeated")
-    h = F.xxhash64(docs[text_col])
-    kept = docs.join(best, docs[id_col].eqNullSafe(F.col("_keep")) & (h == F.col("_hash")), "left_semi")
-    if many.isEmpty():
-        return kept
-    here = kept[id_col].eqNullSafe(F.col("_many")) & (F.xxhash64(kept[text_col]) == F.col("_many_h"))
-    return kept.join(many, here, "left_anti").unionByName(kept.join(many, here, "left_semi").dropDuplicates([id_col, text_col]))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    kept = d.join(best, F.col("id").eqNullSafe(F.col("_keep")) & (F.col("h") == F.col("_hash")), "left_semi")
+    if not many.isEmpty():
+        here = F.col("id").eqNullSafe(F.col("_many")) & (F.col("h") == F.col("_many_h"))
+        one = kept.join(many, here, "left_semi").withColumn("text", F.col(f"row.`{text_col}`")).dropDuplicates(["id", "text"]).drop("text")
+        kept = kept.join(many, here, "left_anti").unionByName(one)
+    return kept.select("row.*")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, differing: int = 3, seed: int = 42, hot: int = 256) -> DataFrame:

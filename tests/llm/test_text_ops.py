@@ -339,6 +339,15 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(mixing.word_counts(docs(spark, [(1, "", "a"), (2, None, None)]).select("doc_id", "source", "text"))).count() == 2
 
 
+def test_mix_without_broadcast(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(50), rng.choice(["a", "b", None])) for i in range(200)]
+    d = mixing.word_counts(docs(spark, rows).select("doc_id", "source", "text"))
+    want = {r.doc_id: (r.copies, r.rate) for r in mixing.mix(d).collect()}
+    monkeypatch.setattr(mixing, "broadcast_if_small", lambda df, *_: (df, False))
+    assert {r.doc_id: (r.copies, pytest.approx(r.rate)) for r in mixing.mix(d).collect()} == want
+
+
 def test_language(spark, data):
     got = queries.op5_language_id(spark, data).collect()
     true = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
@@ -446,3 +455,20 @@ def test_pipeline(spark, data):
         ids = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary(rows[r.doc_id]["text"])
         want += [(r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())] * r.copies
     assert got == sorted(want)
+
+
+def test_pipeline_odd_rows(spark):
+    """Null, empty, long, repeated and clashing rows, and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i} then" for i in range(30))
+    rows = [*ODD, (20, good, None), (20, good, None), (None, good + " more", "a"), (21, "x" * 300_000 + " " + good, "a"), (22, good + "\x00 \U0001f600", "")]
+    first = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", F.lit(1).alias("_keep"), F.lit("r").alias("row"))
+    for some in (first, first.limit(0)):
+        d = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = common.written(stage(spark, d, ""), name)
+            assert d.columns == first.columns
+        out = corpus_pipeline.STAGES[-1][1](spark, d, "")
+        kept = {r.doc_id for r in d.collect()}
+        assert out.count() == d.count() and kept <= {20, 21, 22, None} and (some is not first or 20 in kept)
