@@ -22,8 +22,9 @@ from encodelens.llm.simhash import _one_of_each, stars
 
 #: Byte positions of the wide fingerprint, triples of them that key the index, and equal bytes that a pair must have.
 BYTES, KEYS, LEAST = 96, 128, 12
-#: Minima of a sketch of the shingles, and how far below the similarity its estimate may lie (four standard deviations).
-MINIMA, SLACK = 128, 0.14
+#: Least shingle hashes that a sketch holds, and how far below the similarity the estimate of a cut sketch may lie (four
+#: standard deviations). The sketch of a text of no more shingles is their whole set.
+MINIMA, SLACK = 256, 0.1
 #: Rows of a posting list that meet in one task.
 LIST = 2048
 #: Shingles hashed at once.
@@ -60,26 +61,29 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-@lru_cache(maxsize=1)
-def _factors() -> np.ndarray:
-    return np.random.default_rng(9).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def sketch(hashes: np.ndarray) -> bytes:
+    """The MINIMA least distinct 32-bit hashes of shingles, ascending."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:MINIMA].tobytes()
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Two bytes of each of MINIMA minima of the shingle hashes; texts share one with the chance of their similarity."""
-    least = np.full(MINIMA, 2**32 - 1, np.uint64)
-    for i in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, (hashes[i : i + BLOCK, None] * _factors() >> np.uint64(32)).min(axis=0))
-    return (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Similarities of pairs of sketches: rows of a and b, filled up with the greatest integer, with their lengths."""
+    none = np.uint32(2**32 - 1)
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none)
+    # of cut sketches only the least MINIMA of the union count
+    cut = (na == MINIMA) | (nb == MINIMA)
+    rank = np.cumsum(np.concatenate([np.ones((len(both), 1), bool), both[:, 1:] != both[:, :-1]], axis=1), axis=1)[:, 1:]
+    met = np.where(cut, (same & (rank <= MINIMA)).sum(axis=1), same.sum(axis=1))
+    union = na + nb - same.sum(axis=1)
+    return met / np.maximum(1, np.where(cut, np.minimum(union, MINIMA), union)) + np.where(cut, SLACK, 1e-3)
 
 
-def promising(fp: np.ndarray, sk: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs (x, y) of rows tally LEAST equal positional bytes, and have a sketch that allows the similarity."""
+def tally(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs (x, y) of rows have LEAST equal positional bytes."""
     out = np.zeros(len(x), bool)
     for i in range(0, len(x), BLOCK):
-        a, b = x[i : i + BLOCK], y[i : i + BLOCK]
-        at = np.flatnonzero((fp[a] == fp[b]).sum(axis=1) >= LEAST)
-        out[i + at[(sk[a[at]] == sk[b[at]]).mean(axis=1) >= similarity - SLACK]] = True
+        out[i : i + BLOCK] = (fp[x[i : i + BLOCK]] == fp[y[i : i + BLOCK]]).sum(axis=1) >= LEAST
     return out
 
 
@@ -131,26 +135,28 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return raw.reshape(len(column), -1)
 
 
-def tallied(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are promising()."""
-    f = nodes.select("node", "fp", "sk")
-    met = pairs.join(f.toDF("a", "fa", "ka"), "a").join(f.toDF("b", "fb", "kb"), "b").select("a", "b", "fa", "fb", "ka", "kb")
+def tallied(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes those that tally()."""
+    f = nodes.select("node", "fp")
+    met = pairs.join(f.toDF("a", "fa"), "a").join(f.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             n = x.num_rows
-            fp, sk = (np.concatenate([_matrix(x.column(i), kind), _matrix(x.column(i + 1), kind)]) if n else None for i, kind in ((2, np.uint8), (4, "<u2")))
-            kept = pa.array(promising(fp, sk, np.arange(n), np.arange(n) + n, similarity), pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(kept), x.column(1).filter(kept)], ["a", "b"])
+            if n:
+                fp = np.concatenate([_matrix(x.column(2), np.uint8), _matrix(x.column(3), np.uint8)])
+                kept = pa.array(tally(fp, np.arange(n), np.arange(n) + n), pa.bool_())
+                yield pa.RecordBatch.from_arrays([x.column(0).filter(kept), x.column(1).filter(kept)], ["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
 
 def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs (a, b) of different components within posting lists (key, node, c, n) of n rows each.
+    """Pairs (a, b) of different components within posting lists (key, node, c, n) of n rows each that tally and may be similar.
 
-    Lists are cut into blocks of LIST rows, and each two blocks meet in one task, which sends the pairs alone. A pair
-    comes from the first list that it shares.
+    Lists are cut into blocks of LIST rows, and each two blocks meet in one task. A pair is taken in the first list that
+    it shares, tallied, and estimated by its sketches, so that a group of texts which are much alike, but not enough,
+    sends nothing. Where sketches are the whole sets, two components of a list send the most similar pair alone.
     """
     blocks = F.ceil(F.col("n") / LIST).cast("int")
     rows = lists.withColumn("m", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -161,7 +167,12 @@ def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataF
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         key, l, r, b, node, c = (t.column(i).to_numpy() for i in range(6))
-        fp, sk, at = _matrix(t.column(6).combine_chunks(), np.uint8), _matrix(t.column(7).combine_chunks(), "<u2"), triples()
+        fp, at = _matrix(t.column(6).combine_chunks(), np.uint8), triples()
+        sets = [np.frombuffer(x, "<u4") for x in t.column(7).to_pylist()]
+        size = np.array([len(x) for x in sets])
+        sk = np.full((len(sets), max(1, size.max())), 2**32 - 1, np.uint32)
+        for i, x in enumerate(sets):
+            sk[i, : len(x)] = x
         group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]))))
         left, found = np.arange(len(key)), []
         for step in range(1, len(key)):
@@ -172,11 +183,26 @@ def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataF
             x = left[(c[left] != c[left + step]) & ((l[left] == r[left]) | (b[left] != b[left + step]))]
             found.append((x, x + step))
         x, y = (np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
-        good = promising(fp, sk, x, y, similarity)
-        x, y = x[good], y[good]
-        first = (fp[x][:, at] == fp[y][:, at]).all(axis=2).argmax(axis=1)
-        ours = first == (key[x].view(np.uint32) >> 24)
-        return pa.RecordBatch.from_arrays([pa.array(node[x[ours]]), pa.array(node[y[ours]])], ["a", "b"])
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(0, len(x), BLOCK):
+            a, b = x[i : i + BLOCK], y[i : i + BLOCK]
+            good = tally(fp, a, b)
+            a, b = a[good], b[good]
+            ours = (fp[a][:, at] == fp[b][:, at]).all(axis=2).argmax(axis=1) == (key[a].view(np.uint32) >> 24)
+            a, b = a[ours], b[ours]
+            like = estimate(sk[a], sk[b], size[a], size[b])
+            kept.append(tuple(z[like >= similarity] for z in (a, b, like)))
+        x, y, like = (np.concatenate(z) for z in zip(*kept))
+        # of pairs that join the same two components the most similar does, where sketches are whole sets
+        whole = np.maximum(size[x], size[y]) < MINIMA
+        order = np.lexsort((-like, np.maximum(c[x], c[y]), np.minimum(c[x], c[y]), group[x]))
+        order = order[whole[order]]
+        lo, hi, of = np.minimum(c[x], c[y])[order], np.maximum(c[x], c[y])[order], group[x][order]
+        best = np.ones(len(order), bool)
+        best[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (of[1:] != of[:-1])
+        sent = np.concatenate([order[best], np.flatnonzero(~whole)])
+        x, y = x[sent], y[sent]
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -227,8 +253,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     Words are compared in lower case (A-Z); texts of equal words are one node, so that only different ones are compared;
     texts without a word are equal. First each node meets that of three leaders of its posting lists with which it shares
-    most; then nodes of different components meet within their lists. Of both, pairs are tallied by equal bytes and
-    estimated by sketches before their shingles verify them.
+    most; then nodes of different components meet within their lists. Pairs are tallied by equal bytes, those of lists
+    of three and more also estimated by sketches, before their shingles verify them.
     """
     rows = written(texts_of(docs, id_col, text_col, size), "texts")
     first = F.min_by(F.struct("id", "h", "fp", "sk"), F.struct(F.col("id").isNull(), "id", "h"))
@@ -239,13 +265,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     def leaders(pairs: DataFrame) -> DataFrame:
         shared = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         best = shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-        return verified(tallied(best, nodes, similarity), nodes, texts, size, similarity)
+        return verified(tallied(best, nodes), nodes, texts, size, similarity)
 
     edges, lists = stars(postings(nodes), leaders, leaders=3)
     lists = lists.select("key", "r.node", "c")
     mixed = lists.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
     mixed = written(mixed.select("key", "a", "b", "n"), "mixed-lists")
-    two = tallied(mixed.where("n = 2").select("a", "b").distinct(), nodes, similarity)
+    two = tallied(mixed.where("n = 2").select("a", "b").distinct(), nodes)
     more = within_lists(lists.join(mixed.where("n > 2").select("key", "n"), "key"), nodes, similarity)
     edges = edges.unionByName(verified(two.unionByName(more).distinct(), nodes, texts, size, similarity))
     comp = components(edges).select("node", "component")

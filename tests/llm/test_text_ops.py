@@ -196,6 +196,21 @@ def test_near_texts_spread_group(spark, monkeypatch, block):
     assert 1 < len(set(want.values())) < 160
 
 
+def test_sketches_estimate():
+    """Whole sets give the similarity itself, less nothing; cut ones come near it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, shared in ((1, 1), (5, 3), (100, 90), (200, 0), (5000, 4500), (5000, 0), (255, 250), (300, 290)):
+        h = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        a, b = h[:n], h[n - shared : 2 * n - shared]
+        x, y = (np.frombuffer(neartexts.sketch(v), "<u4") for v in (a, b))
+        rows = [np.pad(v, (0, neartexts.MINIMA - len(v)), constant_values=2**32 - 1)[None, :] for v in (x, y)]
+        got = neartexts.estimate(*rows, np.array([len(x)]), np.array([len(y)]))[0]
+        true = shared / (2 * n - shared)
+        assert true <= got <= true + (0.2 if n >= neartexts.MINIMA else 0.002)
+
+
 def test_near_texts_odd_rows(spark):
     out = neartexts.keep_one(docs(spark, ODD))
     assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "4", "5", "6", "None"] and out.columns == docs(spark, []).columns
