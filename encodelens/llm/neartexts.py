@@ -135,6 +135,15 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return raw.reshape(len(column), -1)
 
 
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows filled up with the greatest integer, and their lengths."""
+    rows = [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+    out = np.full((len(rows), MINIMA), 2**32 - 1, np.uint32)
+    for i, x in enumerate(rows):
+        out[i, : len(x)] = x
+    return out, np.array([len(x) for x in rows])
+
+
 def tallied(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes those that tally()."""
     f = nodes.select("node", "fp")
@@ -168,11 +177,7 @@ def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     def pairs(t: pa.Table) -> pa.RecordBatch:
         key, l, r, b, node, c = (t.column(i).to_numpy() for i in range(6))
         fp, at = _matrix(t.column(6).combine_chunks(), np.uint8), triples()
-        sets = [np.frombuffer(x, "<u4") for x in t.column(7).to_pylist()]
-        size = np.array([len(x) for x in sets])
-        sk = np.full((len(sets), max(1, size.max())), 2**32 - 1, np.uint32)
-        for i, x in enumerate(sets):
-            sk[i, : len(x)] = x
+        sk, size = _sets(t.column(7))
         group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]))))
         left, found = np.arange(len(key)), []
         for step in range(1, len(key)):
@@ -228,13 +233,31 @@ def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataF
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of pairs (a, b) of nodes those with at least `similarity` of their shingles of `size` words, as sets, in common.
 
-    texts: (id, h, text); the text of a node is met by its id and hash.
+    Sketches that are whole sets tell it themselves. For pairs with a longer text the shingles of both are made again
+    from texts (id, h, text), which are met by id and hash; only long texts and their partners take part in that join.
     """
-    near = written(pairs, "candidates")
-    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    s = nodes.select("node", "sk")
+    near = pairs.join(s.toDF("a", "ka"), "a").join(s.toDF("b", "kb"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                (a, na), (b, nb) = map(_sets, x.columns[2:])
+                like = estimate(a, b, na, nb)
+                cut = (na == MINIMA) | (nb == MINIMA)
+                kept = pa.array(np.where(cut, like >= similarity, like - 1e-3 >= similarity - 1e-9))
+                yield pa.RecordBatch.from_arrays([x.column(0).filter(kept), x.column(1).filter(kept), pa.array(cut).filter(kept)], ["a", "b", "cut"])
+
+    near = written(near.select("a", "b", "ka", "kb").mapInArrow(compare, "a long, b long, cut boolean"), "candidates")
+    sure, long = near.where("not cut").select("a", "b"), near.where("cut").select("a", "b")
+    ends = long.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(nodes.select("node", "id", "h").join(ends, "node"), "candidate-texts")
+    if wanted.isEmpty():
+        return sure
     w, _ = broadcast_if_small(wanted.select("node", F.col("id").alias("_id"), F.col("h").alias("_h")), 40)
-    found = texts.join(w, texts["id"].eqNullSafe(F.col("_id")) & (texts["h"] == F.col("_h"))).select("node", "text")
+    # the partner of a text of MINIMA shingles and more has about as many; each word takes two characters at least
+    some = texts.where(F.length("text") >= F.lit(MINIMA))
+    found = some.join(w, some["id"].eqNullSafe(F.col("_id")) & (some["h"] == F.col("_h"))).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -243,9 +266,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, si
 
     # rows of equal id and text give equal sets: one of them does
     s = written(found.mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "shingles")
-    both = near.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
+    both = long.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return sure.unionByName(both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
