@@ -114,6 +114,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", edges_a_task: int =
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select("v", "v").toDF("node", "component").distinct())
 
 
+def named(c: str) -> Column:
+    """The column of exactly this name, whatever signs the name holds."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def broadcast_if_small(df: DataFrame, bytes_a_row: int, limit: int = 64 << 20) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its rows, counted, take no more than limit bytes; else df for a shuffled join."""
     small = df.count() * bytes_a_row <= limit

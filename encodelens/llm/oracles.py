@@ -177,3 +177,68 @@ def _crc(n: int) -> int:
 
 
 SHARDS = _shards()
+
+#: Every kept term of a language meets every ordered pair of its sources.
+DIVERGENCE = r"""
+with d as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents
+), t as (
+  select lang, source, doc_id, unnest(words) as term from d
+), k as (
+  select lang, term, count(*) as total from t group by all having count(distinct doc_id) >= 3
+), c as (
+  select lang, source, term, count(*) as n from t group by all
+), v as (
+  select lang, count(*) as terms, sum(total) as everything from k group by lang
+), g as (
+  select s.lang, s.source, coalesce((select sum(n) from c join k using (lang, term) where c.lang = s.lang and c.source = s.source), 0) as total
+  from (select distinct lang, source from d) s
+), p as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 1) // (g.total + terms) as p,
+         1 + 1000000000::hugeint * (k.total + 1) // (everything + terms) as q
+  from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), s as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), term as (
+  select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value from p where n > 0 and p > q
+), r as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pair union all from term)
+)
+select lang, source, part, item, value, rank::int as rank from r where part = 'pair' or rank <= 200
+"""
+
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+NEGATIVES = f"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and {_WHOLE}
+), s as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_inner_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+  select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+TOP_K = f"""
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where {_WHOLE}
+), s as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from s qualify rank <= 5
+"""

@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encodelens.llm import bpe, hilbert, htmltext, langid, linededup, mixing, quality, simhash, tokenfiles, vectors
+from encodelens.llm import bpe, divergence, hilbert, htmltext, langid, linededup, mixing, negatives, quality, simhash, tokenfiles, topk, vectors
 from encodelens.llm.common import scratch, small_batches, table
-from encodelens.llm.oracles import LINE_DEDUP, MIXING, QUALITY, SHARDS
+from encodelens.llm.oracles import DIVERGENCE, LINE_DEDUP, MIXING, NEGATIVES, QUALITY, SHARDS, TOP_K
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,20 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("id") % 100 == 0)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -88,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_token_files": op9_token_files,
     "op10_html_main_text": op10_html_main_text,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_hilbert_shards": SHARDS, "op6_line_dedup": LINE_DEDUP, "op8_entropy_mix": MIXING}
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY, "op3_hilbert_shards": SHARDS, "op6_line_dedup": LINE_DEDUP, "op8_entropy_mix": MIXING, "op11_source_divergence": DIVERGENCE, "op12_hard_negatives": NEGATIVES, "op13_exact_top_k": TOP_K}
