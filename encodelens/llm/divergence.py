@@ -29,7 +29,7 @@ def _slices(text: bytes, size: int) -> Iterator[list[bytes]]:
     yield text[at:].split()
 
 
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", held: int = 400_000, slice_bytes: int = 1 << 20) -> DataFrame:
+def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", held: int = 700_000, slice_bytes: int = 1 << 20) -> DataFrame:
     """(lang, source, term, n, df): occurrences of a term in a group, and documents of the group that hold it.
 
     A term is a run of characters other than ASCII non-letters; A-Z count as a-z. A task adds up its documents and
@@ -67,8 +67,10 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
 
 
 def share(count: Column, total: Column, terms: Column, unit: int = 1_000_000_000) -> Column:
-    """1 + floor(unit * (count + 1) / (total + terms)), exact."""
-    return F.lit(1) + F.call_function("div", F.lit(unit).cast("decimal(18,0)") * (count + 1).cast("decimal(19,0)"), (total + terms).cast("decimal(19,0)"))
+    """1 + floor(unit * (count + 1) / (total + terms)), exact: decimals for counts whose product leaves a long."""
+    far = F.call_function("div", F.lit(unit).cast("decimal(18,0)") * (count + 1).cast("decimal(19,0)"), (total + terms).cast("decimal(19,0)"))
+    near = F.call_function("div", F.lit(unit).cast("long") * (count + 1), total + terms)
+    return F.lit(1) + F.when(count < 2**63 // unit - 1, near).otherwise(far)
 
 
 def distance(p: Column, q: Column) -> Column:
