@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from encodelens.operators.blocks import ROWS_A_BLOCK, block_of, cuts, fold_in_blocks
 from encodelens.operators.ordered import fold_in_order
 
 #: Seconds between accepted samples, samples kept, seconds a machine stays listed, a poller fresh, a member in grace.
@@ -76,16 +79,25 @@ def version_skew(samples: DataFrame) -> DataFrame:
     return m.groupBy("fleet").agg(F.count_distinct("version").alias("versions"), (F.count_distinct("version") > 1).alias("mixed"), F.count_if(F.col("version").isNull()).alias("unknown"), F.array_join(F.array_sort(F.collect_set("version")), ",").alias("seen"))
 
 
-def speed_ewma(samples: DataFrame, weight: float = 0.3, digits: int = 10) -> DataFrame:
+def speed_ewma(samples: DataFrame, weight: float = 0.3, digits: int = 10, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """Per key the learned speed: the first sample, then old and new in parts 0.7 and 0.3, in seq order; and its samples.
 
-    The sum over all samples with their remaining weights is that fold; samples that are not over 0 do not count.
+    A run of samples takes any speed s to a * s + b. Keys are cut into blocks of seq, whose (a, b, n) are found apart
+    and put together in order, so no key is sorted whole. Samples that are not over 0 do not count.
     """
-    by = W.partitionBy("machine", "codec", "height")
-    s = samples.where("speed > 0").withColumn("rn", F.row_number().over(by.orderBy("seq", "speed"))).withColumn("n", F.count(F.lit(1)).over(by))
-    left = F.pow(F.lit(1 - weight), F.col("n") - F.col("rn"))
-    w = F.when(F.col("rn") == 1, left).otherwise(weight * left)
-    return s.groupBy("machine", "codec", "height").agg(F.round(F.sum(F.col("speed") * w), digits).alias("speed"), F.count(F.lit(1)).alias("n"))
+    good = samples.where("speed > 0")
+    bounds = cuts(good, "seq", rows_a_block)
+    key = ["machine", "codec", "height"]
+    s = good.withColumn("_block", block_of("seq", bounds))
+    part = W.partitionBy(*key, "_block")
+    s = s.withColumn("_n", F.count(F.lit(1)).over(part)).withColumn("_i", F.row_number().over(part.orderBy("seq", "speed")))
+    later = F.pow(F.lit(1 - weight), F.col("_n") - F.col("_i"))  # what is left of a sample at the end of its block
+    blocks = s.groupBy(*key, "_block").agg(F.first("_n").alias("n"), F.sum(weight * F.col("speed") * later).alias("b"), F.max(F.when(F.col("_i") == 1, F.col("speed") * later)).alias("head"))
+    by = W.partitionBy(*key).orderBy("_block")
+    after = F.coalesce(F.sum("n").over(by.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    first = F.row_number().over(by) == 1  # the very first sample counts whole, not with its weight
+    blocks = blocks.withColumn("_left", F.pow(F.lit(1 - weight), after)).withColumn("_add", F.col("b") + F.when(first, (1 - weight) * F.col("head")).otherwise(0.0))
+    return blocks.groupBy(*key).agg(F.round(F.sum(F.col("_add") * F.col("_left")), digits).alias("speed"), F.sum("n").alias("n"))
 
 
 def spend_integral(samples: DataFrame, now: int, window_s: int = 86400, lookback_s: int = 0) -> DataFrame:
@@ -104,28 +116,50 @@ def downsample_history(samples: DataFrame, now: int, window_s: int = 7200, most:
     return s.where(F.col("_i") % stride == 0).select("fleet", "seq", "ts", F.round(100 * F.col("busy") / F.col("perf"), 4).alias("used_pct"))
 
 
-def fleet_throttle(samples: DataFrame, gap_s: int = GAP_S) -> DataFrame:
+def fleet_throttle(samples: DataFrame, gap_s: int = GAP_S, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
     """Samples that count: the first of a machine and each that comes gap_s or more after the last that counted.
 
-    Which sample counts depends on the one before, so a machine's samples pass in order, reduced to one a second, the
-    most that can matter.
+    Which sample counts depends on the one before. A machine's samples, reduced to one a second, the most that can
+    matter, are cut into blocks of time; a block tells for each sample that could be its first to count which is the last.
     """
 
     def step(last: int | None, sample: tuple) -> tuple:
         _, ts, seq = sample
         return (ts, (seq,)) if last is None or ts - last >= gap_s else (last, None)
 
-    one = samples.groupBy("machine", "ts").agg(F.min("seq").alias("seq"))
-    return samples.join(fold_in_order(one, "machine", ["ts"], "seq long", step), "seq", "left_semi")
+    def effect(rows: Iterator[tuple]) -> list[tuple[int, int]]:
+        ts = [r[1] for r in rows]
+        last, j = ts[:], len(ts)
+        for i in range(len(ts) - 1, -1, -1):
+            while j > i + 1 and ts[j - 1] - ts[i] >= gap_s:
+                j -= 1
+            if j < len(ts):
+                last[i] = last[j]
+        starts = [i for i, t in enumerate(ts) if t < ts[0] + gap_s]
+        return [(ts[i], last[i]) for i in range(min(len(ts), len(starts) + 1))]
+
+    def through(last: int | None, starts: list[tuple[int, int]]) -> int | None:
+        return next((end for t, end in starts if last is None or t - last >= gap_s), last)
+
+    one = samples.where("ts is not null").groupBy("machine", F.col("ts").cast("long").alias("ts")).agg(F.min("seq").alias("seq"))
+    return samples.join(fold_in_blocks(one, "machine", ["ts"], "seq long", None, step, effect, through, rows_a_block=rows_a_block), "seq", "left_semi")
 
 
-def fleet_view(samples: DataFrame, now: int, ttl_s: int = TTL_S, ring: int = RING) -> DataFrame:
-    """Per machine seen within ttl_s: last use, age, last known version, and the mean use of its last `ring` samples."""
+def fleet_view(samples: DataFrame, now: int, ttl_s: int = TTL_S, ring: int = RING, gap_s: int = GAP_S) -> DataFrame:
+    """Per machine whose last counted sample is at most ttl_s old: its use and age, the uses of its last `ring` counted samples
+    and their mean, its chunks, version and first sight.
+
+    Counted samples are those of fleet_throttle. The chunk list is that of the last sample, counted or not, the version
+    the last that any sample named, and a machine is first seen with its first sample. A use without a perf is 0.
+    """
     by = W.partitionBy("machine").orderBy(F.col("ts").desc(), F.col("seq").desc())
-    pct = 100 * F.col("busy") / F.col("perf")
-    version = samples.groupBy("machine").agg(F.max_by("version", F.when(F.col("version").isNotNull(), F.struct("ts", "seq"))).alias("version"), F.min("ts").alias("first_seen"))
-    s = samples.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= ring).groupBy("machine").agg(F.max("ts").alias("ts"), F.round(F.max(F.when(F.col("rn") == 1, pct)), 4).alias("used_pct"), F.round(F.avg(pct), 4).alias("mean_pct"), F.count(F.lit(1)).alias("samples"))
-    return s.where(F.col("ts") >= now - ttl_s).join(version, "machine").select("machine", (F.lit(now) - F.col("ts")).alias("age_s"), "used_pct", "mean_pct", "samples", "version", "first_seen")
+    pct = F.when(F.col("perf") > 0, 100 * F.col("busy") / F.col("perf")).otherwise(0.0)
+    at = F.struct("ts", "seq")
+    last = samples.groupBy("machine").agg(F.max_by("version", F.when(F.coalesce("version", F.lit("")) != "", at)).alias("version"), F.min("ts").alias("first_seen"), F.max_by("chunks", at).alias("chunks"))
+    s = fleet_throttle(samples, gap_s).withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= ring)
+    history = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("rn"), F.round(pct, 4).alias("pct")))), lambda x: x["pct"])
+    s = s.groupBy("machine").agg(F.max("ts").alias("ts"), F.round(F.max(F.when(F.col("rn") == 1, pct)), 4).alias("used_pct"), F.round(F.avg(pct), 4).alias("mean_pct"), F.count(F.lit(1)).alias("samples"), history.alias("history"))
+    return s.where(F.col("ts") >= now - ttl_s).join(last, "machine").select("machine", (F.lit(now) - F.col("ts")).alias("age_s"), "used_pct", "mean_pct", "samples", "history", "chunks", "version", "first_seen")
 
 
 def usage_order(usage: DataFrame, key: list[str]) -> DataFrame:
@@ -143,16 +177,26 @@ def fleet_order(view: DataFrame) -> DataFrame:
     return view.withColumn("place", F.row_number().over(W.partitionBy("fleet").orderBy(F.col("first_seen").asc_nulls_last(), "machine")))
 
 
-def host_counter_rate(counters: DataFrame, cores: int, min_s: int = 1) -> DataFrame:
-    """(machine, seq, busy): busy cores from counters that only grow; short windows join the next.
+def host_counter_rate(counters: DataFrame, cores: int, min_s: float = 2.0) -> DataFrame:
+    """(machine, seq, busy): busy cores between a reading and the baseline, of counters that only grow.
 
-    Readings are taken by buckets of min_s seconds, the last of each, and differences of neighbours tell the rate.
+    The first reading of a machine is the baseline. A reading less than min_s seconds after it waits, and the baseline
+    stays, so that no window is shorter; one whose total has not grown, as after a restart, becomes the baseline and tells nothing.
     """
-    last = counters.groupBy("machine", F.floor(F.col("ts") / min_s).alias("bucket")).agg(F.max(F.struct("ts", "seq", "idle", "total")).alias("r")).select("machine", "bucket", "r.*")
-    by = W.partitionBy("machine").orderBy("bucket")
-    di, dt = F.col("idle") - F.lag("idle").over(by), F.col("total") - F.lag("total").over(by)
-    busy = (1 - di / F.nullif(dt, F.lit(0.0))) * cores
-    return last.withColumn("busy", F.when(busy.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(busy, F.lit(float(cores)))), 4))).where("busy is not null").select("machine", "seq", "busy")
+
+    def step(base: tuple | None, reading: tuple) -> tuple:
+        machine, ts, seq, idle, total = reading
+        if base is None:
+            return (ts, idle, total), None
+        if ts - base[0] < min_s:
+            return base, None
+        if total <= base[2]:
+            return (ts, idle, total), None
+        return (ts, idle, total), (machine, seq, max(0.0, (1 - (idle - base[1]) / (total - base[2])) * cores))
+
+    rows = counters.select("machine", F.col("ts").cast("double"), F.col("seq").cast("long"), F.col("idle").cast("double"), F.col("total").cast("double")).dropna()
+    machine = rows.schema["machine"].dataType.simpleString()
+    return fold_in_order(rows, "machine", ["ts", "seq"], f"machine {machine}, seq long, busy double", step).withColumn("busy", F.round("busy", 4))
 
 
 def host_dedup(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encodelens.functions.scalars import basename, phase_key, seed_speed, stage_codec
-from encodelens.operators.ordered import fold_in_order
+from encodelens.operators.blocks import ROWS_A_BLOCK, fold_in_blocks
 
 # Ranks of stage states; interrupts may follow any state but a final one.
 RANK = {"pending": 0, "queued": 1, "starting": 2, "running": 3, "reclaimed": 3, "failed": 4, "done": 5}
@@ -90,41 +92,116 @@ def timing_report(stages: DataFrame, now: int) -> DataFrame:
     return one.unionByName(phases).unionByName(totals)
 
 
-def stage_materialize(events: DataFrame) -> DataFrame:
-    """Per key one row from its events in seq order: first running starts it, first final state ends it, the last state stands."""
-    final = F.col("status").isin("done", "failed")
+def registers(events: DataFrame) -> DataFrame:
+    """Per key what its events say, as registers that merge in any order: each keeps the value of its least or greatest seq.
+
+    events: (key, seq, kind, sent, status, percent, instance, version, cpu_s, total_s, mem_mib) of the kinds STAGE, HOST,
+    TIMING and REUSED; fields of other kinds are null. A null seq counts as 0.
+    """
+    seq, kind = F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), F.col("kind")
+    of = lambda on, *cols: F.when(on, F.struct(seq, *cols))
+    stage, host = kind == "STAGE", kind == "HOST"
     return events.groupBy("key").agg(
-        F.min(F.when(F.col("status") == "running", F.col("sent"))).alias("started"), F.min(F.when(final, F.col("sent"))).alias("ended"),
-        F.max_by("status", "seq").alias("status"), F.max_by("percent", F.when(F.col("percent").isNotNull(), F.col("seq"))).alias("percent"), F.count(F.lit(1)).alias("events"),
+        F.min(F.when(stage | (kind == "REUSED"), seq)).alias("created"), F.min(of(stage & (F.col("status") == "running"), "sent")).alias("start"), F.min(of(stage & F.col("status").isin("done", "failed"), "sent")).alias("end"),
+        F.max(of(stage, "status", "percent")).alias("state"), F.max(of(host, "instance")).alias("host"), F.max(of(host & (F.coalesce("version", F.lit("")) != ""), "version")).alias("build"),
+        F.max(of(kind == "TIMING", "cpu_s", "total_s", "mem_mib")).alias("timing"), F.max(kind == "REUSED").alias("reused"), F.count_if(stage).alias("events"), F.count(F.lit(1)).alias("seen"),
+    )
+
+
+def merge_registers(parts: DataFrame) -> DataFrame:
+    """Registers of the same keys from several parts of the events, in any grouping and order, as one row a key."""
+    least, most = [F.min(c).alias(c) for c in ("created", "start", "end")], [F.max(c).alias(c) for c in ("state", "host", "build", "timing", "reused")]
+    return parts.groupBy("key").agg(*least, *most, F.sum("events").alias("events"), F.sum("seen").alias("seen"))
+
+
+def stage_rows(regs: DataFrame, *more: str) -> DataFrame:
+    """One row per key that a stage or reuse marker has created, with further columns of the registers if named.
+
+    The first running starts it, the first final state ends it, the last state and percent stand; before any, a reused
+    key is pending at 0. The last host and timing count if they came after the key was there, a version that was named
+    is not erased by a host that names none.
+    """
+    late = lambda r, f: F.when(F.col(f"{r}.seq") > F.col("created"), F.col(f"{r}.{f}"))
+    return regs.where("created is not null").select(
+        "key", F.col("start.sent").alias("started"), F.col("end.sent").alias("ended"), F.coalesce("state.status", F.lit("pending")).alias("status"), F.coalesce("state.percent", F.lit(0.0)).alias("percent"),
+        late("host", "instance").alias("instance"), late("build", "version").alias("version"), *[late("timing", c).alias(c) for c in ("cpu_s", "total_s", "mem_mib")], F.coalesce("reused", F.lit(False)).alias("reused"), "events", *more,
     )
 
 
+def stage_materialize(events: DataFrame) -> DataFrame:
+    """stage_rows of all events; the same on a stream of events, in update mode, as registers merge in its state."""
+    return stage_rows(registers(events))
+
+
 def rendered_width(status: Column, percent: Column) -> Column:
     return F.when(status.isin("pending", "queued", "starting"), 0.0).when(status.isin("done", "skipped", "reclaimed"), 100.0).otherwise(F.coalesce(percent, F.lit(0.0)))
 
 
-def stage_state_fold(events: DataFrame) -> DataFrame:
-    """Each transition with whether it is accepted, and the state of its key after it.
+def after(state: tuple, status: str | None, percent: float | None) -> tuple[bool, tuple]:
+    """(accepted, state) of a key in `state` (status, percent) that meets a transition.
 
     A done stage stays done; a lower rank is refused unless the stage had failed or is interrupted; an unknown percent
-    carries the last one (0 at first); within a state that is not done the percent never falls. Events of a key pass in
-    seq order, one state at a time.
+    carries the last one (0 at first); within a state that is not done the percent never falls.
+    """
+    old, had = state
+    percent = had if percent is None else percent
+    if None not in (old, status):
+        if old == "done" != status or (RANK.get(status, 0) < RANK.get(old, 0) and old != "failed" and status not in INTERRUPTS):
+            return False, state
+        if old == status != "done":
+            percent = max(percent, had)
+    return True, (status, percent)
+
+
+#: Stands for any status without a rank that a block may begin with and does not itself hold.
+OTHER = "\0"
+
+
+def transitions_effect(rows: Iterator[tuple]) -> list[tuple]:
+    """What a run of transitions (key, seq, status, percent, src) does to any state, as (statuses before, status after, carries, percent).
+
+    The percent after is the greater of `percent` and, if it carries, the one before. States that have met stay
+    together, so that soon one or two are followed.
+    """
+    ways = [([s], s, True, float("-inf")) for s in (None, OTHER, *RANK)]
+    seen = {None, *RANK}
+    for _, _, status, percent, _ in rows:
+        if status not in seen:  # a block may have begun with it, and was then like OTHER until here
+            seen.add(status)
+            froms, now, carries, least = next(w for w in ways if OTHER in w[0])
+            if now == OTHER:
+                ways.append(([status], status, carries, least))
+            else:
+                froms.append(status)
+        new: dict[tuple, list] = {}
+        for froms, old, carries, least in ways:
+            accepted, (now, _) = after((old, 0.0), status, percent)
+            if accepted and percent is not None:
+                carries, least = (carries, max(least, percent)) if None not in (old, status) and old == status != "done" else (False, percent)
+            new.setdefault((now, carries, least), []).extend(froms)
+        ways = [(froms, *way) for way, froms in new.items()]
+    return ways
+
+
+def through_transitions(state: tuple, effect: list[tuple]) -> tuple:
+    way = next((w for w in effect if state[0] in w[0]), None) or next(w for w in effect if OTHER in w[0])
+    return state[0] if way[1] == OTHER else way[1], max(state[1], way[3]) if way[2] else way[3]
+
+
+def stage_state_fold(events: DataFrame, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """Each transition with whether it is accepted (see after()), and the state and width of its key after it.
+
+    Events of a key pass in seq order. A key of many events is cut into blocks of seq: the effect of a block is a table
+    over the states with a running maximum of percent, and each block is then replayed from where it begins.
     """
 
-    def step(state: tuple | None, event: tuple) -> tuple:
-        key, seq, new, percent, src = event
-        old, had = state or (None, 0.0)
-        percent = had if percent is None else percent
-        if None not in (old, new):
-            lower = RANK.get(new, 0) < RANK.get(old, 0) and old != "failed" and new not in INTERRUPTS
-            if old == "done" != new or lower:
-                return (old, had), (key, seq, src, False, old, had)
-            if old == new != "done":
-                percent = max(percent, had)
-        return (new, percent), (key, seq, src, True, new, percent)
+    def step(state: tuple, event: tuple) -> tuple:
+        key, seq, status, percent, src = event
+        accepted, state = after(state, status, percent)
+        return state, (key, seq, src, accepted, *state)
 
     rows = events.select("key", F.col("seq").cast("long"), "status", F.col("percent").cast("double"), "src")
-    out = fold_in_order(rows, "key", ["seq", "status", "percent", "src"], "key string, seq long, src string, accepted boolean, status string, percent double", step)
+    out = fold_in_blocks(rows, "key", ["seq", "status", "percent", "src"], "key string, seq long, src string, accepted boolean, status string, percent double", (None, 0.0), step, transitions_effect, through_transitions, rows_a_block=rows_a_block)
     return out.withColumn("width", rendered_width(F.col("status"), F.col("percent")))
 
 

@@ -15,7 +15,7 @@ from encodelens.functions import scalars as S
 from encodelens.operators import manifests
 from encodelens.plans.registry import query
 from encodelens.sources import files
-from encodelens.streaming import state
+from encodelens.streaming import store
 
 
 def folder(v, name: str) -> str:
@@ -110,12 +110,20 @@ def _(v):
 
 @query("O21_stream_sink", "select key, arg_max(status, seq) as status, max(seq) as seq from transitions group by key")
 def _(v):
-    """The upsert sink over four batches, as foreachBatch calls it."""
+    """A stream of four files into a keyed table, and what a reader has that took the list once and changes from then on."""
     path, t = folder(v, "job-state"), v.transitions.select("key", "status", "seq")
-    put = state.upsert_sink(path, ["key"], "seq")
     for n in range(4):
-        put(t.where(F.col("seq") % 4 == n), n)
-    return v.spark.read.parquet(f"{path}/v=3")
+        t.where(F.col("seq") % 4 == n).write.mode("append").parquet(f"{path}/in/part={n}")
+    table = store.KeyedStore(v.spark, f"{path}/table", ["key"], "seq", buckets=16)
+    table.put(t.where("seq % 4 = 0"), 0, "first")
+    kind, had, at = table.follow("page")
+    table.acknowledge("page", at)
+    stream = v.spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/in/*")
+    q = stream.writeStream.foreachBatch(table.put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kind, changes, _ = table.follow("page")
+    both = had.withColumn("_version", F.lit(at)).unionByName(changes)
+    return both.groupBy("key").agg(F.max_by(F.struct("status", "seq"), "_version").alias("r")).select("key", "r.*")
 
 
 @query("O34_observed_format", """

@@ -112,16 +112,21 @@ def _(v):
     return fleet.downsample_history(v.samples, J, 864_000)
 
 
+_CHUNKS = "concat('c', k % 5, '|c', k % 3)"
+
 VIEW = f"""
-with r as (select *, row_number() over (partition by machine order by ts desc, seq desc) as rn from samples),
-a as (select machine, max(ts) as ts, round(max(case when rn = 1 then 100 * busy / perf end), 4) as used_pct, round(avg(100 * busy / perf), 4) as mean_pct, count(*) as samples from r where rn <= 90 group by machine),
-f as (select machine, arg_max(version, (ts, seq)) filter (where version is not null) as version, min(ts) as first_seen from samples group by machine)
+with recursive one as (select machine, ts, min(seq) as seq from samples group by all),
+k as (select machine, min(ts) as ts from one group by machine union all select k.machine, min(o.ts) from k join one o on o.machine = k.machine and o.ts >= k.ts + 3600 group by k.machine),
+g as (select s.*, round(100 * s.busy / s.perf, 4) as pct, row_number() over (partition by s.machine order by s.ts desc) as rn from samples s join one using (machine, seq) join k on k.machine = s.machine and k.ts = s.ts),
+a as (select machine, max(ts) as ts, max(case when rn = 1 then pct end) as used_pct, round(avg(100 * busy / perf), 4) as mean_pct, count(*) as samples, string_agg(cast(floor(pct) as bigint), ',' order by rn desc) as history from g where rn <= 90 group by machine),
+f as (select machine, arg_max(version, (ts, seq)) filter (where version is not null) as version, min(ts) as first_seen, arg_max({_CHUNKS}, (ts, seq)) as chunks from samples group by machine)
 """
 
 
-@query("O113_fleet_view", VIEW + f"select machine, {J} - ts as age_s, used_pct, mean_pct, samples, version, first_seen from a join f using (machine) where ts >= {J} - 864000")
+@query("O113_fleet_view", VIEW + f"select machine, {J} - ts as age_s, used_pct, mean_pct, samples, history, chunks, version, first_seen from a join f using (machine) where ts >= {J} - 864000")
 def _(v):
-    return fleet.fleet_view(v.samples, J, 864_000)
+    view = fleet.fleet_view(v.samples.withColumn("chunks", F.expr(_CHUNKS)), J, 864_000, gap_s=3600)
+    return view.withColumn("history", F.array_join(F.transform("history", lambda x: F.floor(x).cast("string")), ","))
 
 
 @query("O106_fleet_order", """
@@ -148,10 +153,11 @@ def _(v):
 
 
 @query("O118_host_counter_rate", """
-with c as (select machine, ts, seq, sum(busy) over o as idle, sum(busy + k) over o as total from samples window o as (partition by machine order by ts, seq)),
-b as (select machine, floor(ts / 7200) as b, max({'t': ts, 's': seq, 'i': idle, 'n': total}) as r from c group by all),
-l as (select machine, r.s as seq, (1 - (r.i - lag(r.i) over o) / nullif(r.n - lag(r.n) over o, 0)) * 8 as x from b window o as (partition by machine order by b))
-select machine, seq, round(greatest(0, least(x, 8)), 4) as busy from l where x is not null""")
+with recursive c as (select machine, ts, seq, sum(busy) over o as idle, sum(busy + k) over o as total, row_number() over o as i from samples window o as (partition by machine order by ts, seq)),
+k as (select machine, ts, seq, idle, total, cast(null as double) as busy from c where i = 1
+  union all select b.machine, c.ts, c.seq, c.idle, c.total, case when c.total > b.total then greatest(0, 1 - (c.idle - b.idle) / (c.total - b.total)) * 8 end
+  from k b, lateral (select * from c n where n.machine = b.machine and n.ts >= b.ts + 7200 order by n.i limit 1) c)
+select machine, seq, round(busy, 4) as busy from k where busy is not null""")
 def _(v):
     from pyspark.sql import Window as W
 

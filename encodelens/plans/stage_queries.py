@@ -248,12 +248,29 @@ def _(v):
     return fleet.fleet_throttle(v.samples, 3600).select("machine", "seq", "ts")
 
 
-@query("O114_stage_materialize", """
-select key, min(case when status = 'running' then sent end) as started, min(case when status in ('done', 'failed') then sent end) as ended,
-       arg_max(status, seq) as status, arg_max(percent, seq) filter (where percent is not null) as percent, count(*) as events
-from transitions group by key""")
+_EVENTS = """
+select concat('encode:', user_id) as key, event_id as seq, sent, kind, case when kind = 'STAGE' then status end as status, case when kind = 'STAGE' then value end as percent,
+       case when kind = 'HOST' then user_id * 10 + k % 7 end as instance, case when kind = 'HOST' and k % 3 > 0 then concat('v', k % 3) end as version,
+       case when kind = 'TIMING' then value end as cpu_s, case when kind = 'TIMING' then value * 2 end as total_s, case when kind = 'TIMING' then k end as mem_mib
+from (select t.seq as event_id, t.publisher as user_id, t.sent, s.busy as value, s.k, t.status,
+        case t.seq % 7 when 0 then 'HOST' when 1 then 'TIMING' when 2 then 'REUSED' else 'STAGE' end as kind from transitions t join samples s on s.seq = t.seq) x
+where kind <> 'REUSED' or k % 4 = 0"""
+
+
+@query("O114_stage_materialize", f"""
+with e as ({_EVENTS}),
+c as (select key, min(seq) filter (where kind in ('STAGE', 'REUSED')) as created from e group by key)
+select key, arg_min(sent, seq) filter (where status = 'running') as started, arg_min(sent, seq) filter (where status in ('done', 'failed')) as ended,
+       coalesce(arg_max(status, seq) filter (where kind = 'STAGE'), 'pending') as status, coalesce(arg_max(percent, seq) filter (where kind = 'STAGE'), 0) as percent,
+       arg_max(instance, seq) filter (where kind = 'HOST' and seq > created) as instance, arg_max(version, seq) filter (where version is not null and seq > created) as version,
+       arg_max(cpu_s, seq) filter (where kind = 'TIMING' and seq > created) as cpu_s, arg_max(total_s, seq) filter (where kind = 'TIMING' and seq > created) as total_s,
+       arg_max(mem_mib, seq) filter (where kind = 'TIMING' and seq > created) as mem_mib, coalesce(bool_or(kind = 'REUSED'), false) as reused, count(*) filter (where kind = 'STAGE') as events
+from e join c using (key) where created is not null group by key""")
 def _(v):
-    return stages.stage_materialize(v.transitions)
+    """Registers of four parts of the events, as four tasks or micro-batches would send them, put together."""
+    e = v.spark.sql(_EVENTS.replace("from transitions t", "from {t} t").replace("join samples s", "join {s} s"), t=v.transitions, s=v.samples)
+    parts = [stages.registers(e.where(F.col("seq") % 4 == n)) for n in (2, 0, 3, 1)]
+    return stages.stage_rows(stages.merge_registers(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])))
 
 
 @query("O115_event_lag", """
@@ -264,14 +281,15 @@ def _(v):
     return state.event_lag(e)
 
 
-@query("O117_heartbeat_compaction", """
-with e as (select publisher, seq, sent, seq % 4 <> 0 as beat, coalesce(sum(case when seq % 4 = 0 then 1 else 0 end) over (partition by publisher order by seq rows between unbounded preceding and 1 preceding), 0) as run from markers),
-s as (select *, case when beat then floor((sent - min(sent) over (partition by publisher, run)) / 3) end as own from e),
-t as (select *, coalesce(own, max(own) over (partition by publisher, run), 0) as slot from s),
-p as (select *, floor((row_number() over (partition by publisher, run, slot order by seq) - 1) / 10) as part from t)
-select publisher, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from p group by publisher, run, slot, part""")
+@query("O117_heartbeat_compaction", f"""
+with recursive e as (select publisher, seq, sent, seq % 4 <> 0 as beat, row_number() over (partition by publisher order by seq) as i, count(*) over (partition by publisher) as size from markers),
+n as (select *, least(i + 10, size + 1, coalesce(min(case when not beat then i end) over (partition by publisher order by i rows between current row and unbounded following) + 1, size + 1),
+        {", ".join(f"case when lead(sent, {d}) over (partition by publisher order by i) - sent >= 36000 then i + {d} else size + 1 end" for d in range(1, 10))}) as nx from e),
+k as (select publisher, i, nx, seq from n where i = 1 union all select n.publisher, n.i, n.nx, n.seq from k join n on n.publisher = k.publisher and n.i = k.nx)
+select k.publisher, k.nx - k.i as n, k.seq as first_seq, e.seq as last_seq from k join e on e.publisher = k.publisher and e.i = k.nx - 1""")
 def _(v):
-    return state.heartbeat_compaction(v.markers.withColumn("is_heartbeat", F.col("seq") % 4 != 0))
+    """Packets of up to 10, or of ten hours, as the table's events are hours apart."""
+    return state.heartbeat_compaction(v.markers.withColumn("is_heartbeat", F.col("seq") % 4 != 0), flush_s=36_000)
 
 
 @query("O119_host_dedup", """

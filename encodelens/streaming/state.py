@@ -1,22 +1,16 @@
-"""The stream side: replay guard, lateness, throttle, state folds and the upsert sink; each equals its batch form.
-
-Transport keeps the order of a publisher's messages, so events of a key come in seq order over micro-batches; within
-one micro-batch they are sorted here. Processing-time timeouts make Spark run micro-batches without data, one after the
-other; with a trigger that is to end by itself, set spark.sql.streaming.noDataMicroBatches.enabled to false.
-"""
+"""Batch forms of the stream operators: replay guard, lateness, heartbeat packets, delivery lag. Streams are in stateful.py, tables they keep in store.py."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from encodelens.operators.stages import INTERRUPTS, RANK
+from encodelens.operators.blocks import ROWS_A_BLOCK, fold_in_blocks
 
+# Seconds after which a gauge is stale, heartbeats a packet holds at most, seconds that the first of them waits.
 MAX_GAUGE_AGE_S, BATCH, FLUSH_S = 30, 10, 3
 
 
@@ -25,30 +19,14 @@ def replay_guard(events: DataFrame) -> DataFrame:
 
     A seq of 0 or null is never a replay. events: (publisher, seq, arrival, marker_class).
     """
-    seen = F.max("seq").over(W.partitionBy("publisher").orderBy("arrival", "event").rowsBetween(W.unboundedPreceding, -1))
-    out = events.withColumn("_seen", seen)
-    replay = (F.coalesce("seq", F.lit(0)) > 0) & (F.col("seq") <= F.coalesce("_seen", F.lit(0)))
-    return out.withColumn("replay", replay).where(~F.col("replay") | (F.col("marker_class") == "record")).drop("_seen")
+    return replays(events).where(~F.col("replay") | (F.col("marker_class") == "record"))
 
 
-def replay_guard_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """replay_guard on a stream: per publisher the state is the highest seq; it goes after an hour without a message."""
-    schema = "publisher long, event long, seq long, arrival long, marker_class string, replay boolean"
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        top = state.get[0] if state.exists else 0
-        b = pd.concat(list(parts)).sort_values(["arrival", "event"], kind="stable")
-        seq = b["seq"].fillna(0).astype("int64")
-        before = seq.cummax().shift(1, fill_value=0).clip(lower=top)
-        b["replay"] = (seq > 0) & (seq <= before)
-        state.update((int(max(top, seq.max())),))
-        state.setTimeoutDuration(3_600_000)
-        yield b[~b["replay"] | (b["marker_class"] == "record")][["publisher", "event", "seq", "arrival", "marker_class", "replay"]]
-
-    return events.select("publisher", "event", "seq", "arrival", "marker_class").groupBy("publisher").applyInPandasWithState(run, schema, "top long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def replays(messages: DataFrame) -> DataFrame:
+    """messages (publisher, event, seq, arrival, ...) with `replay`: whether the publisher's seq was seen before."""
+    seen = F.max("seq").over(W.partitionBy("publisher").orderBy("arrival", "event").rowsBetween(W.unboundedPreceding, -1))
+    replay = (F.coalesce("seq", F.lit(0)) > 0) & (F.col("seq") <= F.coalesce("_seen", F.lit(0)))
+    return messages.withColumn("_seen", seen).withColumn("replay", replay).drop("_seen")
 
 
 def late_gauge_drop(events: DataFrame, most_s: int = MAX_GAUGE_AGE_S) -> DataFrame:
@@ -56,83 +34,75 @@ def late_gauge_drop(events: DataFrame, most_s: int = MAX_GAUGE_AGE_S) -> DataFra
     return events.where((F.col("marker_class") != "gauge") | (F.col("arrival") - F.col("sent") <= most_s))
 
 
-def fleet_throttle_stream(samples: DataFrame, gap_s: int = 3) -> DataFrame:
-    """Samples that count, on a stream: per machine the state is the time of the last that did."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        kept = []
-        for ts, seq in pd.concat(list(parts)).sort_values(["ts", "seq"])[["ts", "seq"]].itertuples(index=False):
-            if last is None or ts - last >= gap_s:
-                last = ts
-                kept.append((key[0], ts, seq))
-        state.update((int(last),))
-        state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame(kept, columns=["machine", "ts", "seq"])
-
-    return samples.select("machine", "ts", "seq").groupBy("machine").applyInPandasWithState(run, "machine long, ts long, seq long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def stage_fold_stream(events: DataFrame) -> DataFrame:
-    """stage_state_fold on a stream: per key the state is its status and percent; final keys stay until the stream ends."""
-    schema = "key string, seq long, src string, accepted boolean, status string, percent double"
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, pct = state.get if state.exists else (None, 0.0)
-        rows = []
-        for seq, new, p, src in pd.concat(list(parts)).sort_values("seq")[["seq", "status", "percent", "src"]].itertuples(index=False):
-            back = old is not None and RANK.get(new, 0) < RANK.get(old, 0) and old != "failed" and new not in INTERRUPTS
-            ok = not (old == "done" and new != "done" or back)
-            if ok:
-                p = pct if pd.isna(p) else p
-                pct = pct if old == new != "done" and p < pct else p
-                old = new
-            rows.append((key[0], seq, src, ok, old, pct))
-        state.update((old, pct))
-        yield pd.DataFrame(rows, columns=["key", "seq", "src", "accepted", "status", "percent"])
-
-    return events.select("key", "seq", "status", "percent", "src").groupBy("key").applyInPandasWithState(run, schema, "status string, percent double", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert_sink(path: str, key: list[str], order: str):
-    """A foreachBatch function that keeps the last row of each key in a table; versions replace each other whole.
-
-    A batch that is run again gives the same rows, as the last by order wins.
-    """
-
-    def put(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in key]
-        both = batch
-        if n > 0:
-            both = both.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}"))
-        last = both.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
-        last.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={n}")
-
-    return put
-
-
 def event_lag(events: DataFrame) -> DataFrame:
     """Per status: events, mean and greatest delivery time, from stop, start or sending, whichever is there first."""
     lag = F.col("arrival") - F.coalesce("stopped", "started", "sent")
     return events.withColumn("lag_s", lag).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("lag_s"), 4).alias("mean_s"), F.max("lag_s").alias("most_s"), F.count_if(F.col("suppressed")).alias("suppressed"))
 
 
-def heartbeat_compaction(events: DataFrame, most: int = BATCH, flush_s: int = FLUSH_S) -> DataFrame:
-    """Per publisher its events in packets: an event that is no heartbeat ends one, heartbeats go by `most` or flush_s seconds.
+def heartbeat_compaction(events: DataFrame, most: int = BATCH, flush_s: int = FLUSH_S, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """(publisher, n, first_seq, last_seq): a publisher's events in packets, by seq.
 
-    Between two such events, heartbeats are cut by blocks of flush_s seconds from the first on, and those by count.
+    An event that is no heartbeat goes out at once with the heartbeats that wait; heartbeats alone go when there are
+    `most`, or flush_s seconds after the first of them was sent. Where a packet ends depends on where the one before it
+    ended; a block of seq tells for each of its first `most` rows what waits at its end if a packet begins there.
     """
-    by = W.partitionBy("publisher").orderBy("seq")
-    e = events.withColumn("_ends", (~F.col("is_heartbeat")).cast("int"))
-    e = e.withColumn("_run", F.coalesce(F.sum("_ends").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    run = W.partitionBy("publisher", "_run")
-    e = e.withColumn("_slot", F.when(F.col("is_heartbeat"), F.floor((F.col("sent") - F.min("sent").over(run)) / flush_s)))
-    last = F.max("_slot").over(run)
-    e = e.withColumn("_slot", F.coalesce("_slot", last, F.lit(0)))
-    slot = W.partitionBy("publisher", "_run", "_slot").orderBy("seq")
-    e = e.withColumn("_part", F.floor((F.row_number().over(slot) - 1) / most))
-    return e.groupBy("publisher", "_run", "_slot", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).drop("_run", "_slot", "_part")
+
+    def step(waiting: tuple | None, row: tuple) -> tuple:
+        key, seq, sent, beat = row
+        given = None
+        if waiting and sent - waiting[3] >= flush_s:
+            given, waiting = waiting, None
+        waiting = (waiting[0] + 1, waiting[1], seq, waiting[3], key) if waiting else (1, seq, seq, sent, key)
+        if waiting[0] == most or not beat:
+            given, waiting = [g for g in (given, waiting) if g], None  # a flush by time and one by the row itself
+        return waiting, given
+
+    def effect(rows: Iterator[tuple]) -> tuple:
+        rows = list(rows)
+        ends: dict[int, tuple | None] = {}
+        at: dict[int, list[int]] = {i: [i] for i in range(min(most, len(rows)))}
+        while at:  # packets from the earliest start on; starts that meet go on as one
+            i = min(at)
+            of, n, start = at.pop(i), 0, rows[i][2]
+            j = i
+            while j < len(rows) and rows[j][2] - start < flush_s and n < most:
+                n, j = n + 1, j + 1
+                if not rows[j - 1][3]:
+                    break
+            closed = n == most or not rows[j - 1][3]
+            if j < len(rows):
+                at.setdefault(j, []).extend(of)
+            else:
+                ends.update(dict.fromkeys(of, None if closed else (n, rows[i][1], rows[-1][1], start, rows[i][0])))
+        return [r[1:] for r in rows[:most]], len(rows), ends
+
+    def through(waiting: tuple | None, what: tuple) -> tuple | None:
+        head, n, ends = what
+        at = 0
+        if waiting:
+            count, first, last, start, key = waiting
+            for i, (seq, sent, beat) in enumerate(head):
+                if sent - start >= flush_s:
+                    at = i
+                    break
+                count, last = count + 1, seq
+                if count == most or not beat:
+                    at = i + 1
+                    break
+            else:
+                return count, first, last, start, key
+        return ends[at] if at < n else None
+
+    def packets(waiting: tuple | None, row: tuple) -> tuple:
+        waiting, given = step(waiting, row)
+        given = given if isinstance(given, list) else [given] if given else []
+        return waiting, ([(g[0], g[1], g[2]) for g in given], row[0]) if given else None
+
+    rows = events.select("publisher", F.col("seq").cast("long").alias("seq"), F.col("sent").cast("long").alias("sent"), F.col("is_heartbeat").alias("beat"))
+    kind = rows.schema["publisher"].dataType.simpleString()
+    out = fold_in_blocks(
+        rows, "publisher", ["seq", "sent"], f"p array<struct<n long, first_seq long, last_seq long>>, publisher {kind}", None, packets, effect, through,
+        lambda w: ([(w[0], w[1], w[2])], w[4]) if w else None, rows_a_block,
+    )
+    return out.select("publisher", F.inline("p"))

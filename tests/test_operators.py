@@ -62,41 +62,6 @@ def test_stage_fold_is_the_loop(spark):
         assert sorted(got[k]) == loop_fold([(s, st, p, src) for s, key, st, p, src in ev if key == k])
 
 
-def stream_of(spark, tmp_path, df, f, parts, schema):
-    """f over a stream of df in so many micro-batches, as rows."""
-    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    for n in range(parts):
-        df.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(src)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state store a batch
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timeouts would run empty batches for ever
-    try:
-        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-        q = f(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
-        assert q.awaitTermination(120), "the stream did not end"
-        assert q.exception() is None
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    return spark.read.parquet(out).collect()
-
-
-def test_stage_fold_stream_is_the_batch(spark, tmp_path):
-    ev = spark.createDataFrame(random_events(2, n=90), EVENTS)
-    got = stream_of(spark, tmp_path, ev.withColumn("batch", F.expr("seq div 30")), state.stage_fold_stream, 3, ev.schema)
-    want = stages.stage_state_fold(ev).collect()
-    key = lambda r: (r.key, r.seq, r.accepted, r.status, r.percent)
-    assert sorted(map(key, got)) == sorted(map(key, want))
-
-
-def test_replay_guard_stream_is_the_batch(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(rng.randrange(3), i, rng.choice([0, None, i // 2, i, i]), i, rng.choice(["record", "gauge", "live"])) for i in range(1, 91)]
-    ev = spark.createDataFrame(rows, "publisher long, event long, seq long, arrival long, marker_class string")
-    got = stream_of(spark, tmp_path, ev.withColumn("batch", F.expr("(event - 1) div 30")), state.replay_guard_stream, 3, ev.schema)
-    want = state.replay_guard(ev).collect()
-    assert sorted((r.event, r.replay) for r in got) == sorted((r.event, r.replay) for r in want)
-
-
 def throttled(rows, gap):
     last, kept = {}, []
     for m, ts, seq in sorted(rows):
@@ -106,21 +71,11 @@ def throttled(rows, gap):
     return sorted(kept)
 
 
-def test_throttle(spark, tmp_path):
+def test_throttle(spark):
     rng = random.Random(4)
     rows = sorted((rng.randrange(3), rng.randrange(100), i) for i in range(120))
     df = spark.createDataFrame(rows, "machine long, ts long, seq long")
     assert sorted(r.seq for r in fleet.fleet_throttle(df, 3).collect()) == throttled(rows, 3)
-    got = stream_of(spark, tmp_path, df.withColumn("batch", F.expr("ts div 34")), lambda s: state.fleet_throttle_stream(s, 3), 3, df.schema)
-    assert sorted(r.seq for r in got) == throttled(rows, 3)
-
-
-def test_upsert_sink_again(spark, tmp_path):
-    put = state.upsert_sink(str(tmp_path), ["key"], "seq")
-    a = spark.createDataFrame([("x", 1, "queued"), ("y", 2, "running")], "key string, seq long, status string")
-    b = spark.createDataFrame([("x", 3, "done")], a.schema)
-    put(a, 0), put(b, 1), put(b, 1)
-    assert {(r.key, r.status) for r in spark.read.parquet(f"{tmp_path}/v=1").collect()} == {("x", "done"), ("y", "running")}
 
 
 def test_bands_are_the_loop(spark):
