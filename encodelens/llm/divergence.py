@@ -33,17 +33,17 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     """(lang, source, term, n, df): occurrences of a term in a group, and documents of the group that hold it.
 
     A term is a run of characters other than ASCII non-letters; A-Z count as a-z. A task adds up its documents and
-    sends what it has once it holds `held` entries, so counts are summed before the shuffle. Each group also has a row of
-    a null term, as it may have no terms.
+    sends what it has once it holds `held` entries, so counts are summed before the shuffle, which deals by language and
+    term. Each group also has a row of a null term, as it may have no terms.
     """
     small_batches(docs.sparkSession)
     blank = lambda c: F.coalesce(named(c).cast("string"), F.lit(""))
     rows = docs.select(blank(lang_col).alias("lang"), blank(source_col).alias("source"), blank(text_col).cast("binary").alias("text"))
 
     def batch(group: tuple[str, str], n: Counter, df: Counter) -> pa.RecordBatch:
-        terms = [None, *(t.decode() for t in n)]
-        cols = [pa.array([group[0]] * len(terms)), pa.array([group[1]] * len(terms)), pa.array(terms, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(df[t] for t in n)], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "df"])
+        terms = pa.array([None, *n], pa.binary()).cast(pa.string())
+        names = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in group]
+        return pa.RecordBatch.from_arrays([*names, terms, pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(df.__getitem__, n)], pa.int64())], ["lang", "source", "term", "n", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -63,7 +63,8 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
             yield batch(group, n, df)
 
     out = rows.mapInArrow(run, "lang string, source string, term string, n long, df long")
-    return out.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    # dealt first, as tasks have added up already and a partial sum would find nothing to add
+    return out.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def share(count: Column, total: Column, terms: Column, unit: int = 1_000_000_000) -> Column:
@@ -177,12 +178,11 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     terms has its pairs; without kept terms in a language all pair values are 0. Other columns play no part; an empty
     table gives an empty result.
     """
-    counts = written(term_counts(docs, lang_col, source_col, text_col), "terms")
-    whole = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("df"))
-    kept = whole.where(F.col("df") >= min_docs).select("lang", "term", "total")
-    groups = counts.where("term is null").select("lang", "source")
-    terms = written(numbered(kept, groups), "kept-terms")
-    occurring = counts.where("term is not null").join(terms.select("lang", "term", "total"), ["lang", "term"])
+    counts, whole = term_counts(docs, lang_col, source_col, text_col), W.partitionBy("lang", "term")
+    counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn("_df", F.sum("df").over(whole))
+    counts = written(counts.where(F.col("term").isNull() | (F.col("_df") >= min_docs)).select("lang", "source", "term", "n", "total"), "terms")
+    groups, occurring = counts.where("term is null").select("lang", "source"), counts.where("term is not null")
+    terms = written(numbered(occurring.groupBy("lang", "term").agg(F.first("total").alias("total")), groups), "kept-terms")
     totals = groups.join(occurring.groupBy("lang", "source").agg(F.sum("n").alias("_sum")), ["lang", "source"], "left")
     languages = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("everything"))
     groups = written(totals.join(languages, "lang", "left").select("lang", "source", F.coalesce("_sum", F.lit(0)).alias("sum"), F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("everything", F.lit(0)).alias("everything")), "groups")
