@@ -115,17 +115,23 @@ def stitch(chunks: list[dict], lengths: np.ndarray) -> bytes | None:
         through = np.cumsum(lengths[ids])
 
         def place(byte: int, through: np.ndarray = through) -> int:
-            return int(np.searchsorted(through, byte)) + 1 if byte else 0
+            """The number of ids before a byte; -1 if no token ends there, as two engines may differ on where pre-tokens do."""
+            i = int(np.searchsorted(through, byte))
+            return 0 if not byte else i + 1 if i < len(through) and through[i] == byte else -1
 
+        if (first := place(start)) < 0:
+            return None
         if after is None:
-            out.append(ids[place(start) :])
+            out.append(ids[first:])
             break
         t, h = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in (c["tails"], after["heads"]))
         n = min(len(t), len(h))
         both = np.flatnonzero(t[:n] & h[:n])
         if not len(both):
             return None
-        out.append(ids[place(start) : place(c["base"] + int(both[0]))])
+        if (last := place(c["base"] + int(both[0]))) < 0:
+            return None
+        out.append(ids[first:last])
         start = int(both[0])
     return np.concatenate(out).tobytes() if out else b""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,20 @@ def scratch(spark: SparkSession) -> str:
     return _own_scratch[0]
 
 
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that written() makes inside are deleted at the end, but for those taken out of the list: what is read from them must be written by then."""
+    _passing.append([])
+    try:
+        yield _passing[-1]
+    finally:
+        for df in _passing.pop():
+            drop_written(df)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
@@ -45,6 +60,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _passing:
+        _passing[-1].append(out)
     return out
 
 
@@ -119,6 +136,20 @@ def named(c: str) -> Column:
     return F.col("`" + c.replace("`", "``") + "`")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [named(c) for c in df.columns]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """The columns of df as one struct; unpacked() takes it apart again."""
+    return F.struct(*[named(c).alias(c) for c in df.columns])
+
+
+def unpacked(row: str, names: list[str]) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in names]
+
+
 def broadcast_if_small(df: DataFrame, bytes_a_row: int, limit: int = 64 << 20) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its rows, counted, take no more than limit bytes; else df for a shuffled join."""
     small = df.count() * bytes_a_row <= limit

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from encodelens.llm.common import utf8, written
+from encodelens.llm.common import columns, utf8, written
 
 BITS, DIMS = 4, 4
 LEVELS, CELLS = 1 << BITS, 1 << BITS * DIMS
@@ -128,9 +128,9 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "d
     text = utf8(F.coalesce(text_col, F.lit("")))
     key = ["_id", "_size", "_crc"]
     d = docs.withColumns({"_id": F.col(id_col), "_size": (F.octet_length(text) + 8).cast("long"), "_crc": F.crc32(text)})
-    d = d.withColumn("_no", F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))))
+    d = d.withColumn("_no", F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(*columns(docs)))))
     at = placed.select(F.col(id_col).alias("_i"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard", "slot")
     at = at.withColumn("_n", F.row_number().over(W.partitionBy("_i", "_s", "_c").orderBy("shard", "slot")))
     on = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")) & (F.col("_no") == F.col("_n"))
-    out = d.join(at, on).select(*docs.columns, "shard", "slot")
+    out = d.join(at, on).select(*columns(docs), "shard", "slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encodelens.llm.common import written
+from encodelens.llm.common import named, written
 
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements that start a
 # block, start tags that close an open <p>, and elements that never hold the article's text.
@@ -30,6 +30,9 @@ SIDE = frozenset(
 #: Words that no element of an article has as a whole name, and those that a container within an article may have.
 NEVER = frozenset("ad adbox ads adslot adunit advert adverts advertisement advertising adsense comment comments consent cookie cookies disqus gdpr newsletter promo promoted promotion reply replies sponsor sponsored subscribe subscription".split())
 INNER = frozenset("header masthead banner overlay".split())
+#: Words that say what kind of box a name means and nothing of its matter: comment-list and share-buttons are all furniture, related-work is not.
+BOXES = frozenset("area bar block box button buttons card cards container content group icon icons inner item items left link links list module outer panel post posts right row section slot thread top bottom unit wrap wrapper".split())
+COMMENTLIKE = frozenset("commentlist commentslist commentarea commentsarea commentthread replylist".split())
 TEXTUAL = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dd dt figure figcaption span b i em strong a".split())
 #: Tags of one name that close an open element of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -52,7 +55,8 @@ def _aside(tag: str, attr: dict[str, str], names: bool = True, inner: bool = Fal
     """Whether an element holds none of the article's text, by its kind, role, being hidden, and class and id names.
 
     inner: within an article or main element, where names tell less: its paragraphs, quotes and headings go by a whole
-    name alone that only adverts, comments and the like have, and its containers may be headers.
+    name alone that only adverts, comments and the like have; its containers by a name whose every word speaks of
+    furniture or of the box around it, so that sections on related work or social history stay, and may be headers.
     """
     if tag in OUT or "hidden" in attr or attr.get("aria-hidden") == "true" or attr.get("role", "").lower() in ROLES:
         return True
@@ -65,8 +69,16 @@ def _aside(tag: str, attr: dict[str, str], names: bool = True, inner: bool = Fal
         return False
     if inner and tag in TEXTUAL:
         return not NEVER.isdisjoint(named.lower().split())
+    if inner:
+        return any(_furniture({w.lower() for w in _WORD.findall(name)}) for name in named.split())
     words = {w.lower() for w in _WORD.findall(named)}
-    return not SIDE.isdisjoint(words - INNER if inner else words)
+    return not (SIDE | COMMENTLIKE).isdisjoint(words)
+
+
+def _furniture(words: set[str]) -> bool:
+    """Whether all words of one name speak of furniture or boxes, and one of furniture that an article can do without."""
+    speaking = words - BOXES
+    return bool(speaking) and speaking <= SIDE | COMMENTLIKE and not speaking <= INNER
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -286,7 +298,7 @@ def extract(html: str | None, root: str | None) -> str:
 
 def host_of(url: str = "url"):
     """The host of a URL in lower case; empty without one."""
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(named(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -301,7 +313,7 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     votes[host, path] = votes.get((host, path), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], ["host", "path", "n"])
 
-    votes = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(run, "host string, path string, n long")
+    votes = pages.select(host_of(url_col).alias("host"), named(html_col).alias("html")).mapInArrow(run, "host string, path string, n long")
     votes = votes.groupBy("host", "path").agg(F.sum("n").alias("n"))
     return votes.groupBy("host").agg(F.max(F.struct("n", F.length("path").alias("l"), "path")).alias("best")).select("host", "best.path")
 
@@ -312,12 +324,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Each page votes; votes are summed per host before the shuffle, and the winners, a row a host, go back to all pages:
     by broadcast while their text is under broadcast_bytes, else by a join on the host, in which a host's pages are
     dealt out by salt. A page with less than half its text there (another layout) adds what its own vote has. Null html
-    counts as empty and gives empty text; a null url belongs to the empty host; repeated rows are pages each; other
-    columns are ignored.
+    counts as empty and gives empty text; a null url belongs to the empty host; repeated rows are pages each and vote
+    each; of paths with equal votes the longer wins, then the greater by name; other columns are ignored. Containers
+    more than DEPTH deep count as their ancestor at that depth.
     """
     paths = written(host_paths(pages, url_col, html_col), "host-paths")
     weight = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32), F.lit(0))).first()[0]
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(named(id_col).alias("id"), named(url_col).alias("url"), host_of(url_col).alias("host"), named(html_col).alias("html"))
     if weight <= broadcast_bytes:
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from encodelens.llm.common import written
+from encodelens.llm.common import named, whole_row, written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -36,7 +36,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     tells chance from habit; a host of fewer pages keeps all its lines. Counts are summed before the shuffle, so a line
     that all pages hold is no hot key.
     """
-    pages = docs.select(F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pages = docs.select(named(host_col).alias("host"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     page = [_key(F.col("text")).alias("page")] if copies_once else []
     lines = pages.select("host", *page, F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where(_has_word(F.col("line")))
     lines, pages = lines.select("host", *["page" for _ in page], _key(F.col("line")).alias("line_key")), pages.select("host", *page)
@@ -62,9 +62,9 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     found = written(boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once).select("host", "line_key"), "boilerplate")
     cut = _cut_by_broadcast if found.count() <= broadcast_rows else _cut_by_join
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    row = docs.select(whole_row(docs).alias("row"), named(host_col).alias("host"), named(text_col).alias("text"))
     out = cut(row, found)
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("n").alias("_lines"), F.col("cut").alias("_dropped"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], F.col("n").alias("_lines"), F.col("cut").alias("_dropped"))
 
 
 def _cut_by_broadcast(rows: DataFrame, found: DataFrame) -> DataFrame:

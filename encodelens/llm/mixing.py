@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from encodelens.llm.common import broadcast_if_small, written
+from encodelens.llm.common import broadcast_if_small, named, unpacked, whole_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The relative distance of a source's tokens from its target at which Newton steps end.
@@ -27,8 +28,8 @@ def word_counts(docs: DataFrame, text_col: str = "text", out: str = "size", keep
             n = pc.fill_null(pc.count_substring_regex(b.column(b.num_columns - 1), WORD), 0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n.cast(pa.int64())], [*keep, out])
 
-    schema = docs.select(*keep).schema.add(out, "long")
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = StructType([docs.schema[c] for c in keep]).add(out, "long")
+    return docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
@@ -66,7 +67,8 @@ def newton_step(counts: DataFrame, state: DataFrame, limit: float) -> DataFrame:
     tokens, whose slope changes little; where it leaves the bracket [lo, hi] that the signs of the gradients so far
     leave, the bracket is halved instead. gap is the relative distance to the target before the step.
     """
-    x = counts.withColumnRenamed("source", "_s").join(F.broadcast(state), F.col("source").eqNullSafe(F.col("_s")))
+    small, _ = broadcast_if_small(state, 200)
+    x = counts.withColumnRenamed("source", "_s").join(small, F.col("source").eqNullSafe(F.col("_s")))
     words, free = F.col("n") * F.col("size") * _rate(F.col("tilt"), F.col("size"), limit), F.col("tilt") * F.col("size") < math.log(limit)
     s = x.groupBy("source", "source_size", "target", "tilt", "lo", "hi").agg(F.sum(words).alias("_words"), F.sum(F.when(free, words * F.col("size")).otherwise(0.0)).alias("_slope"))
     over = F.col("_words") > F.col("target")
@@ -179,10 +181,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
     Rows are treated as by mix(); columns of docs may have any names. The texts are read twice and never shuffled.
     """
-    slim = word_counts(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")), "_text", "_size")
+    slim = word_counts(docs.select(named(id_col).alias("_id"), named(source_col).alias("_source"), named(text_col).alias("_text")), "_text", "_size")
     slim = written(slim, "sizes")
     plan = _plan(slim, weights, limit, buckets)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    rows = docs.select(whole_row(docs).alias("_row"), named(id_col).alias("_id"), named(source_col).alias("_source"), named(text_col).alias("_text"))
     rows = rows.withColumn("_size", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")).drop("_text")
     out = _copies(rows, plan, limit).where("_copies > 0")
-    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*unpacked("_row", docs.columns))

@@ -8,7 +8,7 @@ index, and reaches the tally, with high probability instead; the README has the
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encodelens.llm.common import broadcast_if_small, components, written
+from encodelens.llm.common import broadcast_if_small, components, drop_written, named, passing, written
 from encodelens.llm.simhash import _one_of_each, stars
 
 #: Byte positions of the wide fingerprint, triples of them that key the index, and equal bytes that a pair must have.
@@ -112,7 +112,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 sks.append(sketch(shingles(words, size)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in (same, fps, sks))], ["id", "h", "same", "fp", "sk"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    slim = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col)).alias("h"), named(text_col).alias("text"))
     return slim.mapInArrow(run, "id long, h long, same binary, fp binary, sk binary")
 
 
@@ -179,24 +179,32 @@ def within_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataF
         fp, at = _matrix(t.column(6).combine_chunks(), np.uint8), triples()
         sk, size = _sets(t.column(7))
         group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (l[1:] != l[:-1]) | (r[1:] != r[:-1]))))
-        left, found = np.arange(len(key)), []
-        for step in range(1, len(key)):
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            for i in range(0, len(x), BLOCK):
+                p, q = x[i : i + BLOCK], y[i : i + BLOCK]
+                good = tally(fp, p, q)
+                p, q = p[good], q[good]
+                ours = (fp[p][:, at] == fp[q][:, at]).all(axis=2).argmax(axis=1) == (key[p].view(np.uint32) >> 24)
+                p, q = p[ours], q[ours]
+                like = estimate(sk[p], sk[q], size[p], size[q])
+                kept.append(tuple(z[like >= similarity] for z in (p, q, like)))
+
+        left, waiting, n = np.arange(len(key)), [], 0
+        for step in range(1, len(key)):  # rows that stand `step` apart in one list; a block of pairs at a time is held
             left = left[left + step < len(key)]
             left = left[group[left] == group[left + step]]
             if not len(left):
                 break
             x = left[(c[left] != c[left + step]) & ((l[left] == r[left]) | (b[left] != b[left + step]))]
-            found.append((x, x + step))
-        x, y = (np.concatenate(z) if found else np.zeros(0, np.int64) for z in (zip(*found) if found else ((), ())))
-        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i in range(0, len(x), BLOCK):
-            a, b = x[i : i + BLOCK], y[i : i + BLOCK]
-            good = tally(fp, a, b)
-            a, b = a[good], b[good]
-            ours = (fp[a][:, at] == fp[b][:, at]).all(axis=2).argmax(axis=1) == (key[a].view(np.uint32) >> 24)
-            a, b = a[ours], b[ours]
-            like = estimate(sk[a], sk[b], size[a], size[b])
-            kept.append(tuple(z[like >= similarity] for z in (a, b, like)))
+            waiting.append((x, x + step))
+            n += len(x)
+            if n >= BLOCK:
+                take(*(np.concatenate(z) for z in zip(*waiting)))
+                waiting, n = [], 0
+        if n:
+            take(*(np.concatenate(z) for z in zip(*waiting)))
         x, y, like = (np.concatenate(z) for z in zip(*kept))
         # of pairs that join the same two components the most similar does, where sketches are whole sets
         whole = np.maximum(size[x], size[y]) < MINIMA
@@ -283,28 +291,40 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     first = F.min_by(F.struct("id", "h", "fp", "sk"), F.struct(F.col("id").isNull(), "id", "h"))
     nodes = rows.groupBy("same").agg(first.alias("r")).select("same", "r.*").withColumn("node", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")  # the numbers hold from here on
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col)).alias("h"), named(text_col).alias("text"))
 
     def leaders(pairs: DataFrame) -> DataFrame:
         shared = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         best = shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
         return verified(tallied(best, nodes), nodes, texts, size, similarity)
 
+    with passing() as made:
+        edges = written(_edges(nodes, texts, leaders, size, similarity), "pairs")
+        made.remove(edges)
+    comp = components(edges).select("node", "component")
+    drop_written(edges)
+    roots = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
+    return rows.select("id", "h", "same").join(roots, "same").select("id", "h", "root")
+
+
+def _edges(nodes: DataFrame, texts: DataFrame, leaders: Callable[[DataFrame], DataFrame], size: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that join up all that grouped() finds."""
     edges, lists = stars(postings(nodes), leaders, leaders=3)
     lists = lists.select("key", "r.node", "c")
     mixed = lists.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n")).where("c0 <> c1")
     mixed = written(mixed.select("key", "a", "b", "n"), "mixed-lists")
     two = tallied(mixed.where("n = 2").select("a", "b").distinct(), nodes)
     more = within_lists(lists.join(mixed.where("n > 2").select("key", "n"), "key"), nodes, similarity)
-    edges = edges.unionByName(verified(two.unionByName(more).distinct(), nodes, texts, size, similarity))
-    comp = components(edges).select("node", "component")
-    roots = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("root"))
-    return rows.select("id", "h", "same").join(roots, "same").select("id", "h", "root")
+    return edges.unionByName(verified(two.unionByName(more).distinct(), nodes, texts, size, similarity))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near-duplicates: of each group one row stays, that of the smallest id, with all its columns.
 
-    A null id comes after all others. Null and empty texts are one group; an empty table stays empty.
+    A null id comes after all others; of rows of equal id and text one stays. Null and empty texts are one group; an
+    empty table stays empty; columns may have any names. Tables on the way are deleted once they are read.
     """
-    return _one_of_each(docs, written(grouped(docs, id_col, text_col, size, similarity), "groups"), id_col, text_col)
+    with passing() as made:
+        groups = written(grouped(docs, id_col, text_col, size, similarity), "groups")
+        made.remove(groups)
+    return _one_of_each(docs, groups, id_col, text_col)

@@ -10,6 +10,9 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from encodelens.llm.common import named
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -186,11 +189,15 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] =
     """
     added = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long")] if figures else []
     keep = [c for c in docs.columns if c != text_col and c not in {n for n, _ in added} | {"base_failed", "kept", "failed"}]
-    return _judged(docs.select(*keep, text_col), keep, rules, base, text_col, order, added, False)
+    return _judged(docs.select(*map(named, [*keep, text_col])), keep, rules, base, text_col, order, added, False)
 
 
 def accepted(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE, text_col: str = "text", order: Sequence[str] | None = None) -> DataFrame:
-    """The rows of docs that all rules keep, with their columns."""
+    """The rows of docs that all rules keep, with their columns, of any names.
+
+    A null text counts as empty and fails the base; rows of a null id and repeated rows are judged like others, and an
+    empty table stays empty.
+    """
     return _judged(docs, docs.columns, rules, base, text_col, order, [], True)
 
 
@@ -199,11 +206,12 @@ def _judged(docs, keep, rules, base, text_col, order, added, only_kept) -> DataF
     if order is None:
         order = greedy_order(*measure(docs, rules, base, text_col))
     first, then = tuple(base), tuple(by_name[n] for n in order)
-    schema = docs.select(*keep).schema
+    schema = StructType([docs.schema[c] for c in keep])
     if not only_kept:
         for n, kind in [*added, ("base_failed", "boolean"), ("kept", "boolean"), ("failed", "string")]:
             schema = schema.add(n, kind)
     names, at, figures = schema.names, docs.columns.index(text_col), [n for n, _ in added]
+    kept_at = [docs.columns.index(c) for c in keep]
 
     def verdict(t: Text) -> tuple[bool, str | None]:
         for r in first:
@@ -222,11 +230,12 @@ def _judged(docs, keep, rules, base, text_col, order, added, only_kept) -> DataF
                 found.append(verdict(t))
                 nums.append([getattr(t, n) for n in figures])
             if only_kept:
-                yield b.filter(pa.array([f is None for _, f in found], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(b.filter(pa.array([f is None for _, f in found], pa.bool_())).columns, names)
                 continue
-            cols = [b.column(b.schema.get_field_index(c)) for c in keep]
+            cols = [b.column(i) for i in kept_at]
             cols += [pa.array([x[i] for x in nums], pa.int64()) for i in range(len(figures))]
             cols += [pa.array([x for x, _ in found], pa.bool_()), pa.array([f is None for _, f in found], pa.bool_()), pa.array([f for _, f in found], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, schema)
+    # by number, as mapInArrow takes no names with backticks
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encodelens.llm.common import components, written
+from encodelens.llm.common import broadcast_if_small, components, named, unpacked, whole_row, written
 
 BITS, BYTES = 64, 8
 #: Shingles hashed at once.
@@ -178,22 +178,27 @@ def _one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -
     Rows are met again by id and text hash. Only where the same id has the same text several times, one of them is drawn.
     """
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    best = rows.groupBy("root").agg(F.min(rank).alias("r"))
-    best = written(best.select(F.col("r.id").alias("_keep"), F.col("r.h").alias("_hash")), "kept")
-    many = rows.join(best, rows["id"].eqNullSafe(F.col("_keep")) & (rows["h"] == F.col("_hash")), "left_semi").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = written(many.select(F.col("id").alias("_many"), F.col("h").alias("_many_h")), "repeated")
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    kept = d.join(best, F.col("id").eqNullSafe(F.col("_keep")) & (F.col("h") == F.col("_hash")), "left_semi")
+    best = written(rows.groupBy("root").agg(F.min(rank).alias("r")).select("root", F.col("r.id").alias("_keep"), F.col("r.h").alias("_hash")), "kept")
+    stays = F.col("id").eqNullSafe(F.col("_keep")) & (F.col("h") == F.col("_hash"))
+    met = rows.join(best, "root").withColumn("stays", stays).groupBy("id", "h").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    met = written(met.where("not stays or n > 1"), "gone-or-repeated")
+    # rows that go are fewer than those that stay: while they are few, texts stay where they are
+    gone, _ = broadcast_if_small(met.where("not stays").select(F.col("id").alias("_gone"), F.col("h").alias("_gone_h")), 32)
+    many = met.where("stays").select(F.col("id").alias("_many"), F.col("h").alias("_many_h"))
+    d = docs.select(whole_row(docs).alias("row"), named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("h"))
+    kept = d.join(gone, F.col("id").eqNullSafe(F.col("_gone")) & (F.col("h") == F.col("_gone_h")), "left_anti")
     if not many.isEmpty():
+        many, _ = broadcast_if_small(many, 32)
         here = F.col("id").eqNullSafe(F.col("_many")) & (F.col("h") == F.col("_many_h"))
-        one = kept.join(many, here, "left_semi").withColumn("text", F.col(f"row.`{text_col}`")).dropDuplicates(["id", "text"]).drop("text")
+        one = kept.join(many, here, "left_semi").withColumn("text", F.col("row").getField(text_col)).dropDuplicates(["id", "text"]).drop("text")
         kept = kept.join(many, here, "left_anti").unionByName(one)
-    return kept.select("row.*")
+    return kept.select(*unpacked("row", docs.columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, differing: int = 3, seed: int = 42, hot: int = 256) -> DataFrame:
     """The documents without near-duplicates: of each group one row stays, that of the smallest id, with all its columns.
 
-    A null id comes after all others; of rows of equal id, the one whose text has the smallest hash stays.
+    A null id comes after all others; of rows of equal id, the one whose text has the smallest hash stays, and of rows of
+    equal id and text one. Columns may have any names; an empty table stays empty.
     """
     return _one_of_each(docs, _grouped(docs, id_col, text_col, shingle, differing, seed, hot), id_col, text_col)

@@ -487,3 +487,43 @@ def test_pipeline_odd_rows(spark):
         out = corpus_pipeline.STAGES[-1][1](spark, d, "")
         kept = {r.doc_id for r in d.collect()}
         assert out.count() == d.count() and kept <= {20, 21, 22, None} and (some is not first or 20 in kept)
+
+
+def test_stages_with_columns_of_any_name(spark):
+    """Dots, backticks and spaces in the names of other columns; each operator and stage that passes rows on."""
+    import corpus_pipeline
+    from encodelens.llm import hilbert, linededup, mixing, neartexts, quality, simhash
+
+    words = [f"word{i} and more of them here" for i in range(60)]
+    rows = [(i, " ".join(words[i % 7 :]) if i % 5 else None, "en", f"s{i % 2}", 3, i * 2, "x", i) for i in range(24)]
+    odd = ["meta.v", "a`b", "with space"]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *odd])
+    for f in (quality.accepted, neartexts.keep_one, simhash.keep_one, mixing.mixed):
+        out = f(docs)
+        assert out.columns == docs.columns and out.count() <= 72
+        assert all(r["meta.v"] == 2 * r["doc_id"] == 2 * r["with space"] for r in out.collect())
+    assert [c for c in linededup.drop_boilerplate(docs).columns if c[0] != "_"] == docs.columns
+    assert set(odd) <= set(quality.judge(docs).columns)
+    assert hilbert.shard(docs).count() == 24
+    part = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        part = stage(spark, part, "")
+        assert part.columns == docs.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, part, "").count() == part.count()
+
+
+@pytest.mark.parametrize("name", "related-work social-history share-prices tags-explained alert-level copyright-law hidden-figures comment-letters reply-brief ad-hoc-notes widget-review plain".split())
+def test_sections_of_an_article_stay_by_any_name(name):
+    from encodelens.llm.htmltext import extract
+
+    page = f"<body><nav>menu</nav><article><h1>Title</h1><p>First of all.</p><section class='{name}'><h2>Part</h2><p>What it says.</p></section></article></body>"
+    assert extract(page, "body/article") == "Title\n\nFirst of all.\n\nPart\n\nWhat it says."
+
+
+@pytest.mark.parametrize("box", ["ol class='commentlist'", "ol class='comment-list'", "div id='comments'", "div class='comments-area'", "div class='share-buttons'", "div class='ad-slot'", "div class='related-posts'", "div class='x social'"])
+def test_furniture_in_an_article_goes(box):
+    from encodelens.llm.htmltext import extract
+
+    tag = box.split()[0]
+    page = f"<body><article><h1>Title</h1><p>First of all.</p><{box}><li>Ann: well said</li></{tag}><p>The end.</p></article></body>"
+    assert extract(page, "body/article") == "Title\n\nFirst of all.\n\nThe end."
