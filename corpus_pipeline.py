@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encodelens.llm import bpe, linededup, mixing, neartexts, quality
-from encodelens.llm.common import drop_written, small_batches, table, written
+from encodelens.llm.common import columns, drop_written, small_batches, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the cascade; the others go."""
+    """Documents that pass the base rules and the cascade; the others go.
+
+    A null text fails the base rules; columns may have any names; repeated rows are judged alike; no rows give none.
+    """
     small_batches(spark)
     return quality.accepted(docs)
 
@@ -26,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     out = linededup.drop_boilerplate(docs)
     n = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", n).select(*docs.columns)
+    return out.withColumn("n_chars", n).select(*columns(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and what they decode to."""
+    """Token ids of each document, and what they decode to: (doc_id, n_tokens, ids_sha256, decoded_sha256).
+
+    A null text counts as empty and has no token; repeated rows and null ids keep their rows; no rows give none.
+    """
     small_batches(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe.with_decoded(bpe.tokenize(docs, ranks, pattern), ranks, pattern)
