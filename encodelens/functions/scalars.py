@@ -191,8 +191,46 @@ def normalize_argv(argv: Column) -> Column:
         row = F.aggregate(F.slice(valued, 1, i), F.lit(0), lambda n, v: F.when(v, n + 1).otherwise(0))
         return row % 2 == 1
 
-    text = F.array_join(F.transform(argv, lambda a, i: F.when(taken(i) | a.rlike(r"^(/|s3://|https?://|file:)"), "<PATH>").otherwise(a)), " ")
-    return F.regexp_replace(F.replace(text, F.lit(" -progress pipe:1"), F.lit("")), r" -stats_period \S+", "")
+    def place(a: Column) -> Column:
+        return a.startswith("/") | a.startswith("s3://") | a.startswith("http://") | a.startswith("https://") | a.startswith("file:")
+
+    def reports(i: Column) -> Column:
+        # an option of progress reports or its value, by its neighbours; a command's first word is none
+        me, before, next_ = (F.coalesce(F.when(j >= 0, F.get(argv, j)), F.lit("")) for j in (i, i - 1, i + 1))
+        last = i == F.size(argv) - 1
+        of_pipe = ((me == "-progress") & (next_ == "pipe:1") & (i > 0)) | ((me == "pipe:1") & (before == "-progress") & (i > 1))
+        return of_pipe | ((me == "-stats_period") & ~last & (i > 0)) | ((before == "-stats_period") & (i > 1))
+
+    shown = F.transform(argv, lambda a, i: F.struct(F.when(taken(i) | place(a), "<PATH>").otherwise(a).alias("a"), reports(i).alias("out")))
+    return F.array_join(F.transform(F.filter(shown, lambda x: ~x["out"]), lambda x: x["a"]), " ")
+
+
+#: A word of a command line as a shell reads it: plain characters, escaped ones, and single or double quotes, without a gap.
+_PIECE = r"""[^\s'"\\]++|\\.|'[^']*+'|"(?:[^"\\]++|\\.)*+\""""
+_WORD, _PART = f"(?s)(?:{_PIECE})++", rf"""(?s)(?:[^'"\\]++|\\.|'[^']*+'|"(?:[^"\\]++|\\.)*+")"""
+
+
+def split_command(line: str | Column) -> Column:
+    """The words of a command line as a shell splits it; null with an unclosed quote or a last backslash.
+
+    Single quotes keep all they hold; in double quotes a backslash escapes a double quote or a backslash alone; outside, it
+    escapes any character.
+    """
+    c = F.col(line) if isinstance(line, str) else line
+
+    def plain(part: Column) -> Column:
+        inner = F.substr(part, F.lit(2), F.length(part) - 2)
+        double = F.regexp_replace(inner, r"""\\(["\\])""", "$1")
+        return F.when(part.startswith("'"), inner).when(part.startswith('"'), double).when(part.startswith("\\"), F.substr(part, F.lit(2), F.length(part) - 1)).otherwise(part)
+
+    words = F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    read = F.transform(words, lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(_PART), F.lit(0)), plain), ""))
+    return F.when(F.trim(F.regexp_replace(F.regexp_replace(c, _WORD, ""), r"\s+", "")) == "", read)
+
+
+def normalize_command(line: str | Column) -> Column:
+    """normalize_argv of a command line."""
+    return normalize_argv(split_command(line))
 
 
 def instance_vcpus(kind: Column) -> Column:

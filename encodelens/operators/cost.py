@@ -13,6 +13,22 @@ from encodelens.operators.ranks import index_marks
 EDGE_S, PACKING, LEAST_PACKING, MOST_IDLE, LAST_RUNS, FLEET_CAP = 116.0, 0.91, 0.25, 0.85, 10, 48
 
 
+def attempt_reclaims(attempts: DataFrame, now: int) -> DataFrame:
+    """(job, key, count, lost_s, total_s) of attempts (job, key, reason, started, stopped): what spot reclaims threw away.
+
+    An attempt was reclaimed if its reason begins with `Host EC2` or says that something was terminated; what it ran is
+    lost. An attempt without a stop after its start counts up to now in the total; one without a start does not count.
+    """
+    why = F.coalesce("reason", F.lit(""))
+    gone = why.startswith("Host EC2") | F.contains(F.lower(why), F.lit("was terminated"))
+    ran = F.col("stopped") > F.col("started")
+    end = F.when(ran, F.col("stopped")).otherwise(F.lit(now))
+    return attempts.groupBy("job", "key").agg(
+        F.count_if(gone).alias("count"), F.coalesce(F.sum(F.when(gone & ran, F.col("stopped") - F.col("started"))), F.lit(0)).cast("double").alias("lost_s"),
+        F.coalesce(F.sum(F.when(end > F.col("started"), end - F.col("started"))), F.lit(0)).cast("double").alias("total_s"),
+    )
+
+
 def reclaim_rollup(reclaims: DataFrame) -> DataFrame:
     """Per job: reclaims, lost and total seconds, waste in percent; counters of a stage only grow, so its greatest stands."""
     per = reclaims.groupBy("job", "key").agg(F.max("count").alias("count"), F.max("lost_s").alias("lost_s"), F.max("total_s").alias("total_s"))

@@ -30,18 +30,27 @@ GRID_S, SEARCH, RUNT_S, EPS, QUANTUM, LOCAL_FLOOR, LOCAL_CORES = 6, 240, 2.0, 1e
 TARGET_S, DOUBLINGS = 240.0, 12
 
 
-def resolve_rungs(rungs: DataFrame, requests: DataFrame | None = None, min_height: int = 0, max_height: int = 99999) -> DataFrame:
+def codec_ladders(rungs: DataFrame) -> DataFrame:
+    """rungs with the rungs of av1 taken from each ladder's hevc column, which serves both."""
+    kept = rungs.where(F.col("codec") != "av1")
+    return kept.unionByName(kept.where(F.col("codec") == "hevc").withColumn("codec", F.lit("av1")).select(*rungs.columns))
+
+
+def resolve_rungs(rungs: DataFrame, requests: DataFrame | None = None, min_height: int = 0, max_height: int = 99999, overrides: dict[int, int] | None = None) -> DataFrame:
     """Rungs with labels, repeated heights numbered over the whole ladder in its order, then the height band and no upscaling.
 
-    With requests (request, ladder, src_width) one row per request and rung; rungs wider than the source go.
+    With requests (request, ladder, src_width) one row per request and rung; rungs wider than the source go, unless its
+    width is unknown (null, 0 or less). overrides: rates in kbps by height, for all rungs of that height.
     """
     by = W.partitionBy("ladder", "codec", "height")
     many = F.count(F.lit(1)).over(by) > 1
     label = F.concat(F.col("height"), F.lit("p"), F.when(many, F.concat(F.lit("_"), F.row_number().over(by.orderBy("pos")))).otherwise(F.lit("")))
     out = rungs.withColumn("label", label).where(F.col("height").between(min_height, max_height))
+    if overrides:
+        out = out.withColumn("kbps", F.coalesce(S.lookup(overrides, F.col("height")).cast(rungs.schema["kbps"].dataType), F.col("kbps")))
     if requests is None:
         return out
-    return requests.join(out, "ladder").where(F.col("width") <= F.col("src_width"))
+    return requests.join(out, "ladder").where((F.coalesce("src_width", F.lit(0)) <= 0) | (F.col("width") <= F.col("src_width")))
 
 
 def band_gate(rungs: DataFrame, min_height: int, max_height: int) -> DataFrame:

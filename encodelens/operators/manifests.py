@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -120,3 +120,34 @@ def settings_diff(commands: DataFrame) -> DataFrame:
     """Per rung and distinct normalised settings the sources that use them; divergent if the rung has several."""
     s = commands.groupBy("rung", "settings").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count(F.lit(1)).alias("n"))
     return s.withColumn("divergent", F.count(F.lit(1)).over(W.partitionBy("rung")) > 1)
+
+
+#: Fixed value: how an output's name tells its codec and height.
+RUNG_NAME = r"\b(h264|hevc|av1)[_/-](\d{3,4})(?!\d)"
+
+
+def rung_of(argv: Column) -> Column:
+    """codec_height of the last argument that names one, else `unknown`."""
+    named = F.try_element_at(F.filter(argv, lambda a: a.rlike(RUNG_NAME)), F.lit(-1))
+    return F.coalesce(F.concat(F.regexp_extract(named, RUNG_NAME, 1), F.lit("_"), F.regexp_extract(named, RUNG_NAME, 2)), F.lit("unknown"))
+
+
+def chunk_span(argv: Column) -> Column:
+    """(start, frames) of a command that encodes a part of its clip, `-` for what it does not say; null for a whole encode."""
+    value = lambda flag: F.coalesce(F.get(argv, F.array_position(argv, F.lit(flag)).cast("int")), F.lit("-"))
+    said = lambda flag: F.when(F.array_contains(argv, flag), value(flag)).otherwise("-")
+    return F.when(F.array_contains(argv, "-ss"), F.struct(said("-ss").alias("start"), said("-frames:v").alias("frames")))
+
+
+def chunk_plans(commands: DataFrame) -> DataFrame:
+    """Per rung whether local and cloud paths cut the clip in the same places: identical, DIFFER, or one path only.
+
+    commands: (path, argv). dist counts as local, as both run here. Plans are compared as sets of (start, frames) by
+    counting who has each, so no plan is gathered. Commands that cannot be read (a null argv) take no part.
+    """
+    path = F.when(F.col("path") == "dist", "local").otherwise(F.col("path"))
+    c = commands.select(rung_of(F.col("argv")).alias("rung"), path.alias("path"), chunk_span(F.col("argv")).alias("span")).where("span is not null")
+    s = c.groupBy("rung", "span").agg(F.max(F.col("path") == "local").alias("l"), F.max(F.col("path") == "cloud").alias("c"))
+    out = s.groupBy("rung").agg(F.count_if("l").alias("local"), F.count_if("c").alias("cloud"), F.count_if(F.col("l") & F.col("c")).alias("shared"), F.count(F.lit(1)).alias("_n"))
+    verdict = F.when((F.col("local") == 0) | (F.col("cloud") == 0), "one path only").when(F.col("shared") == F.col("_n"), "identical").otherwise("DIFFER")
+    return out.withColumn("verdict", verdict).drop("_n")

@@ -106,7 +106,7 @@ def purge_speed_keys(keys: DataFrame, codec: str, passes: str | None = None, mac
 def stable_new_files(scans: DataFrame, outputs: DataFrame) -> DataFrame:
     """Video files whose size is not 0 and equal in the last two scans, without an output that begins with their stem."""
     by = W.partitionBy("name").orderBy("scan")
-    s = scans.where(F.lower("name").rlike(r"\.(mp4|mov|mkv|m4v|webm|avi|ts|mxf)$")).withColumn("_b", F.lag("size").over(by)).withColumn("_last", F.lead("scan").over(by).isNull())
+    s = scans.where(F.lower("name").rlike(r"\.(mp4|mkv|mov|avi|webm|ts|m3u8)$")).withColumn("_b", F.lag("size").over(by)).withColumn("_last", F.lead("scan").over(by).isNull())
     s = s.where(F.col("_last") & (F.col("size") > 0) & (F.col("size") == F.col("_b"))).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
     # an output is named stem or stem_codec...: its own names cut at each underscore are the stems it can belong to
     parts = F.split("name", "_")

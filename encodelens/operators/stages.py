@@ -212,10 +212,11 @@ def width_regressions(folded: DataFrame, least: float = 0.05) -> DataFrame:
     return out.where(F.abs(F.col("width") - F.col("before")) > least).withColumn("backwards", F.col("width") < F.col("before"))
 
 
-def weighted_progress(stages: DataFrame, pipeline_share: float = 0.1) -> DataFrame:
+def weighted_progress(stages: DataFrame, now: int, pipeline_share: float = 0.1) -> DataFrame:
     """Per job the percent done: variants weighted by the inverse of their seed speed, the pipeline with a tenth of all.
 
-    output_progress is the plain mean over variants; has_eta tells whether the rest can be estimated from it.
+    output_progress is the plain mean over variants. eta_s: the rest at the pace so far since the job's first start, 0 at
+    1 percent or less, from 99.5 on, and before any start.
     """
     pct = F.when(F.col("status") == "done", 100.0).when(F.col("status") == "failed", 0.0).otherwise(F.coalesce("percent", F.lit(0.0)))
     s = stages.withColumn("codec", stage_codec("key")).withColumn("pct", pct)
@@ -223,10 +224,11 @@ def weighted_progress(stages: DataFrame, pipeline_share: float = 0.1) -> DataFra
     w = 1 / seed_speed(F.col("codec"), F.col("height"), F.lit(False), F.lit("medium"), F.lit(30), F.lit(""))
     v = v.groupBy("job").agg(F.sum(w * F.col("pct")).alias("vp"), F.sum(w).alias("vw"), F.avg("pct").alias("out"))
     p = s.where(F.col("codec").isNull()).groupBy("job").agg(F.avg("pct").alias("pp"))
+    since = s.groupBy("job").agg(F.min("started").alias("since"))
     pw = F.col("vw") * pipeline_share
-    out = v.join(p, "job", "full_outer")
+    out = v.join(p, "job", "full_outer").join(since, "job")
     total = F.when(F.col("vw").isNull(), F.col("pp")).when(F.col("pp").isNull(), F.col("vp") / F.col("vw")).otherwise((F.col("vp") + F.col("pp") * pw) / (F.col("vw") + pw))
-    return out.select("job", F.round(total, 6).alias("progress"), F.round("out", 6).alias("output_progress"), ((total > 1) & (total < 99.5)).alias("has_eta"))
+    return out.select("job", F.round(total, 6).alias("progress"), F.round("out", 6).alias("output_progress"), F.coalesce(F.when((total > 1) & (total < 99.5), F.round((F.lit(now) - F.col("since")) * (100 - total) / total, 0)), F.lit(0.0)).alias("eta_s"))
 
 
 def union_history(archived: DataFrame, current: DataFrame) -> DataFrame:

@@ -6,17 +6,23 @@ from pyspark.sql import functions as F
 
 from encodelens.functions import scalars as S
 from encodelens.operators import cost, fleet, ladders
-from encodelens.plans.registry import query
+from encodelens.plans.registry import NOW, query
 
 JOBS_NOW = 1_700_060_000
 
 
-@query("O52_reclaim_rollup", """
-with r as (select job, key, (seq % 3)::bigint as c, cpu_s / 100 as lost, cpu_s as total from stages),
-p as (select job, key, max(c) as c, max(lost) as lost, max(total) as total from r group by all)
-select job, sum(c)::bigint as reclaims, round(sum(lost), 4) as lost_s, round(sum(total), 4) as total_s, round(100 * round(sum(lost), 4) / nullif(round(sum(total), 4), 0), 4) as waste_pct from p group by job""")
+_REASON = "case seq % 7 when 0 then 'Host EC2 (instance i-1) terminated.' when 1 then 'Spot capacity WAS TERMINATED' when 2 then null else 'Essential container in task exited' end"
+
+
+@query("O52_reclaim_rollup", f"""
+with a as (select job, key, {_REASON} as reason, started, ended as stopped from stages),
+r as (select job, key, count(*) filter (where starts_with(reason, 'Host EC2') or contains(lower(reason), 'was terminated')) as c,
+        coalesce(sum(stopped - started) filter (where stopped > started and (starts_with(reason, 'Host EC2') or contains(lower(reason), 'was terminated'))), 0) as lost,
+        coalesce(sum(case when stopped > started then stopped - started else {{now}} - started end) filter (where stopped > started or {{now}} > started), 0) as total from a group by all)
+select job, sum(c)::bigint as reclaims, round(sum(lost)::double, 4) as lost_s, round(sum(total)::double, 4) as total_s, round(100 * sum(lost)::double / nullif(sum(total), 0), 4) as waste_pct from r group by job""")
 def _(v):
-    return cost.reclaim_rollup(v.stages.select("job", "key", (F.col("seq") % 3).alias("count"), (F.col("cpu_s") / 100).alias("lost_s"), F.col("cpu_s").alias("total_s")))
+    a = v.stages.select("job", "key", F.expr(_REASON).alias("reason"), "started", F.col("ended").alias("stopped"))
+    return cost.reclaim_rollup(cost.attempt_reclaims(a, NOW))
 
 
 @query("O53_stats_rollup", """
@@ -168,9 +174,17 @@ with l as (select *, concat(height, 'p', case when count(*) over (partition by l
 """
 
 
-@query("O26_resolve_rungs", LABELED + "select * from l where height between 360 and 1440")
+@query("O26_resolve_rungs", """
+with r as (select * from rungs where codec <> 'av1' union all select ladder, 'av1', pos, width, height, kbps from rungs where codec = 'hevc'),
+q as (select request, ladder, case request % 4 when 0 then 0 when 1 then null else src_width end as src_width from requests),
+""" + LABELED.strip().removeprefix("with ").replace("from rungs", "from r") + """
+select request, l.ladder, codec, pos, width, height, case height when 720 then 3000 else kbps end as kbps, label, src_width
+from l join q using (ladder) where height between 360 and 1440 and (coalesce(src_width, 0) <= 0 or width <= src_width)""")
 def _(v):
-    return ladders.resolve_rungs(v.rungs, min_height=360, max_height=1440)
+    """All requests, of which some do not know their source's width."""
+    width = F.when(F.col("request") % 4 == 0, 0).when(F.col("request") % 4 != 1, F.col("src_width"))
+    q = v.requests.select("request", "ladder", width.alias("src_width"))
+    return ladders.resolve_rungs(ladders.codec_ladders(v.rungs), q, 360, 1440, {720: 3000}).select("request", "ladder", "codec", "pos", "width", "height", "kbps", "label", "src_width")
 
 
 @query("O27_band_gate", """

@@ -93,10 +93,14 @@ def _(v):
     return manifests.strip_leading_junk(v.pages.select("page_id", body.alias("value"))).select("page_id", F.length("value").cast("long").alias("n"))
 
 
-@query("O13_parse_ffmpeg_log", "select publisher as source, concat('-i x -c:v ', seq) as command from markers where seq % 3 <> 0")
+@query("O13_parse_ffmpeg_log", """
+select publisher as source, concat('-i "a ', seq, '.mp4" -vf ''scale=1:2, pad'' x\\ y') as command, concat('-i|a ', seq, '.mp4|-vf|scale=1:2, pad|x y') as argv from markers where seq % 3 = 1""")
 def _(v):
-    line = F.when(F.col("seq") % 3 == 0, F.col("raw")).otherwise(F.concat(F.lit("12:00 [ffmpeg] -i x -c:v "), "seq"))
-    return files.parse_ffmpeg_log(v.markers.select(F.col("publisher").alias("source"), line.alias("line")))
+    """Lines of commands with quotes, of which those of an unclosed one go, among other lines."""
+    command = F.concat(F.lit('12:00 [ffmpeg] -i "a '), "seq", F.lit(".mp4\" -vf 'scale=1:2, pad' x\\ y"))
+    line = F.when(F.col("seq") % 3 == 0, F.col("raw")).when(F.col("seq") % 3 == 1, command).otherwise(F.concat(F.lit("[ffmpeg] -i 'x"), "seq"))
+    out = files.parse_ffmpeg_log(v.markers.select(F.col("publisher").alias("source"), line.alias("line")))
+    return out.withColumn("argv", F.array_join("argv", "|"))
 
 
 @query("O14_read_rate_quality_csv", "select codec, clip as mode, height::varchar as resolution, kbps / 1000 as bitrate_mbps, vmaf from curves where kbps % 1700 <> 0")
@@ -145,6 +149,22 @@ def _(v):
     return manifests.settings_diff(v.rungs.select(F.concat("codec", "height").alias("rung"), S.normalize_argv(argv).alias("settings"), source.alias("source")))
 
 
+_PATH = "case pos % 3 when 0 then 'cloud' when 1 then 'local' else 'dist' end"
+
+
+@query("O71_chunk_plans", f"""
+with c as (select distinct concat(codec, '_', height) as rung, case when pos % 3 = 0 then 'cloud' else 'local' end as path, concat(case when codec = 'h264' then kbps % 2 else kbps % 5 end * 6, '/', height) as span from rungs where pos % 11 > 0),
+s as (select rung, span, bool_or(path = 'local') as l, bool_or(path = 'cloud') as c from c group by all)
+select rung, count(*) filter (where l) as local, count(*) filter (where c) as cloud, count(*) filter (where l and c) as shared,
+       case when not bool_or(l) or not bool_or(c) then 'one path only' when bool_and(l and c) then 'identical' else 'DIFFER' end as verdict from s group by rung""")
+def _(v):
+    """Command lines as three paths log them; a whole encode seeks nowhere and has no part in a plan."""
+    seek = F.when(F.col("codec") == "h264", F.col("kbps") % 2).otherwise(F.col("kbps") % 5) * 6
+    spans = F.when(F.col("pos") % 11 > 0, F.concat(F.lit("-ss "), seek.cast("string"), F.lit(" -frames:v "), "height", F.lit(" "))).otherwise(F.lit(""))
+    line = F.concat(F.lit("ffmpeg -i '/in/a b.mp4' "), spans, F.lit('-vf "scale=1, 2" "/out/'), "codec", F.lit("_"), "height", F.lit("_c"), "pos", F.lit('.mp4"'))
+    return manifests.chunk_plans(v.rungs.select(F.expr(_PATH).alias("path"), S.split_command(line).alias("argv")))
+
+
 DELIVERED = """
 with f as (select ladder as output, concat(codec, height) as rung, pos // 2 as file, max(kbps)::bigint * 700 as bytes, sum(3.7 + pos % 3)::double as duration, max(case when pos % 50 < 2 then 1 else 0 end) as remote from rungs group by all),
 a as (select output, rung, sum(duration) as s, sum(bytes)::bigint as b, max(remote) = 1 as r from f group by all),

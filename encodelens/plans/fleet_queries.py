@@ -281,13 +281,13 @@ def _(v):
 
 
 @query("O35_stable_new_files", """
-with s as (select concat('clip', seq % 300, case seq % 3 when 0 then '.mp4' when 1 then '.txt' else '.MOV' end) as name, seq as scan, (k // 50) as size from samples),
+with s as (select concat('clip', seq % 300, case seq % 6 when 0 then '.mp4' when 1 then '.m4v' when 2 then '.m3u8' when 3 then '.MKV' when 4 then '.mxf' else '.MOV' end) as name, seq as scan, (k // 50) as size from samples),
 l as (select *, lag(size) over o as b, lead(scan) over o is null as last from s window o as (partition by name order by scan))
-select name, regexp_replace(name, '\\.[^.]*$', '') as stem, size from l where last and size > 0 and size = b and lower(name) similar to '.*\\.(mp4|mov)'
+select name, regexp_replace(name, '\\.[^.]*$', '') as stem, size from l where last and size > 0 and size = b and lower(name) similar to '.*\\.(mp4|mov|mkv|m3u8)'
   and not exists (select 1 from outputs o where o.name = regexp_replace(l.name, '\\.[^.]*$', '') or starts_with(o.name, concat(regexp_replace(l.name, '\\.[^.]*$', ''), '_')))""")
 def _(v):
     q = F.col("seq")
-    s = v.samples.select(F.concat(F.lit("clip"), q % 300, F.when(q % 3 == 0, ".mp4").when(q % 3 == 1, ".txt").otherwise(".MOV")).alias("name"), q.alias("scan"), F.expr("k div 50").alias("size"))
+    s = v.samples.select(F.concat(F.lit("clip"), q % 300, F.when(q % 6 == 0, ".mp4").when(q % 6 == 1, ".m4v").when(q % 6 == 2, ".m3u8").when(q % 6 == 3, ".MKV").when(q % 6 == 4, ".mxf").otherwise(".MOV")).alias("name"), q.alias("scan"), F.expr("k div 50").alias("size"))
     return retention.stable_new_files(s, v.outputs)
 
 

@@ -59,13 +59,22 @@ def _(v):
     return curves.vmaf_recombine(v.vmaf_parts)
 
 
-@query("O51_frame_pool", """
-with r as (select *, row_number() over (partition by series order by score) - 1 as i, count(*) over (partition by series) as n from frames)
-select series, count(*) as n, round(avg(score), 4) as mean, round(count(*) / sum(case when score > 0 then 1 / score end), 4) as harmonic, min(score) as low, min({'s': score, 'f': frame}).f as low_frame,
+_POOLED = "select suppkey, mean, case when suppkey % 3 = 0 then null else mean - 1 end as harmonic, case when suppkey % 4 = 0 then null else mean - 9 end as low, case when suppkey % 5 = 0 then null else mean + 3 end as high"
+
+
+@query("O51_frame_pool", f"""
+with f as (select series, frame, case when series % 17 = 0 then 0 else score end as score from frames),
+r as (select *, row_number() over (partition by series order by score) - 1 as i, count(*) over (partition by series) as n from f),
+p as ({_POOLED} from (select s_suppkey * 3 as suppkey, abs(s_acctbal) / 101.7 as mean from supplier) x)
+select series, count(*) as n, round(avg(score), 4) as mean, coalesce(round(count(*) / sum(case when score > 0 then 1 / score end), 4), 0) as harmonic, min(score) as low, min({{'s': score, 'f': frame}}).f as low_frame,
        max(score) filter (where i = least(n - 1, floor(n * 0.01))) as p1, max(score) as high, round(stddev_pop(score), 4) as deviation, round(100 * avg((score < 10)::int), 4) as under_10_pct, round(100 * avg((score < 50)::int), 4) as under_50_pct
-from r group by series""")
+from r group by series
+union all select suppkey, 0, round(mean, 4), round(coalesce(harmonic, mean), 4), coalesce(low, mean), -1, coalesce(low, mean), coalesce(high, mean), 0, 0, 0 from p where suppkey not in (select series from frames)""")
 def _(v):
-    return curves.frame_pool(v.frames)
+    """Frames of all series, some of which have no positive score, and suppliers as logs that have their pooled figures alone."""
+    f = v.frames.withColumn("score", F.when(F.col("series") % 17 == 0, 0.0).otherwise(F.col("score")))
+    x = v.supplier.select((F.col("s_suppkey") * 3).alias("suppkey"), (F.abs("s_acctbal") / 101.7).alias("mean"))
+    return curves.frame_pool(f, v.spark.sql(_POOLED + " from {x}", x=x).withColumnRenamed("suppkey", "series"))
 
 
 def verdicts(v):
@@ -121,12 +130,12 @@ def _(v):
 
 
 @query("O103_audit_tree", """
-with o as (select output, source, case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec, gone as burnin, mtime from outputs), s as (select distinct source from outputs where output % 20 < 15),
+with o as (select output, name, source, case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec, gone as burnin, mtime from outputs where contains(name, 'clip1')), s as (select distinct source from outputs where output % 20 < 15),
 r as (select o.*, case when burnin then 'burn-in' when codec = 'vp9' then 'unknown codec' when s.source is null then 'no source' end as why from o left join s using (source))
-select output, source, codec, burnin, mtime, case when why is null and row_number() over (partition by source, codec, why is null order by mtime desc, output desc) > 1 then 'older' else why end as reason from r""")
+select output, name, source, codec, burnin, mtime, case when why is null and row_number() over (partition by codec, why is null order by mtime desc, output desc) > 1 then 'older' else why end as reason from r""")
 def _(v):
-    o = v.outputs.selectExpr("output", "source", "case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec", "gone as burnin", "mtime")
-    return curves.audit_tree(o, v.outputs.where("output % 20 < 15").select("source").distinct())
+    o = v.outputs.selectExpr("output", "name", "source", "case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec", "gone as burnin", "mtime")
+    return curves.audit_tree(o, v.outputs.where("output % 20 < 15").select("source").distinct(), match="clip1", latest=True)
 
 
 @query("O133_vmaf_estimates_map", ESTIMATE + """

@@ -61,12 +61,26 @@ def _(v):
     return t.select("stream", get("startup_s"), get("encode_s"))
 
 
-@query("O16_parse_names", """
-select seq, concat('job-', replace(key, ':', '-')) as name, case when key like 'encode%' then split_part(key, ':', 2) end as codec,
-       case when key like 'encode%' then concat(height, 'p') end as label, case when key like 'encode%' then height end as height,
-       case when key like 'encode%' then cast(replace(split_part(key, ':', 4), 'chunk', '') as int) end as chunk, cast(null as int) as partial, false as padded from stages""")
+_CODEC = "case when key like 'encode%' then split_part(key, ':', 2) else case seq % 3 when 0 then 'h264' when 1 then 'hevc' else 'av1' end end"
+_KIND = "case when key like 'encode%' and seq % 7 = 0 then 'folder' when key like 'encode%' and seq % 5 = 0 then 'whole' when key like 'encode%' then 'chunk' when seq % 4 = 0 then 'pkgall' when seq % 4 = 1 then 'mezz' when seq % 4 = 2 then 'audio' else 'other' end"
+_NAME = """case kind when 'folder' then concat('clip', job % 40, '_', codec, case seq % 4 when 0 then '_p200' when 1 then '_padblack' when 2 then '_p1000_padpink' else '' end, '_20240105')
+  when 'whole' then concat('var-', codec, '-', height, 'p-whole-e', job) when 'chunk' then concat('var-', codec, '-', height, 'p-c', split_part(key, ':chunk', 2), '-e', job)
+  when 'pkgall' then concat('pkgall-', codec, '-e', job) when 'mezz' then concat('mezz-e', job) when 'audio' then concat('audio-e', job) else concat('bench-e', job) end"""
+
+
+@query("O16_parse_names", f"""
+with k as (select *, {_CODEC} as codec, {_KIND} as kind from stages),
+n as (select *, {_NAME} as name from k),
+s as (select seq, name, kind, unnest(case kind when 'pkgall' then [concat('package:', codec), concat('fragments:', codec), concat('hls:', codec)] when 'mezz' then ['mezzanine'] when 'audio' then ['audio']
+        when 'whole' then [concat('encode:', codec, ':', height, 'p')] when 'chunk' then [concat('encode:', codec, ':', height, 'p:chunk', split_part(key, ':chunk', 2))] else [null] end) as stage_key, codec, height, key from n)
+select seq, name, stage_key, case when kind in ('whole', 'chunk', 'pkgall', 'folder') then codec end as codec, case when kind in ('whole', 'chunk') then concat(height, 'p') end as label, case when kind in ('whole', 'chunk') then height end as height,
+  case when kind = 'chunk' then cast(split_part(key, ':chunk', 2) as int) end as chunk, case when kind = 'folder' then case seq % 4 when 0 then '200ms' when 2 then '1000ms' end end as partial,
+  case when kind = 'folder' then case seq % 4 when 1 then 'black' when 2 then 'pink' end end as padding from s""")
 def _(v):
-    return files.parse_names(v.stages.select("seq", F.concat(F.lit("job-"), F.replace("key", F.lit(":"), F.lit("-"))).alias("name")))
+    """Names of jobs and folders as they are written, a row for each stage that a name drives."""
+    n = v.stages.withColumn("codec", F.expr(_CODEC)).withColumn("kind", F.expr(_KIND)).select("seq", F.expr(_NAME).alias("name"))
+    both = files.parse_folder_names(files.parse_job_names(n).withColumnRenamed("codec", "_codec"))
+    return both.withColumn("codec", F.coalesce("codec", "_codec")).drop("_codec")
 
 
 @query("O22_stage_codec", """
@@ -158,10 +172,11 @@ with s as (select *, case status when 'done' then 100.0 when 'failed' then 0 els
 v as (select job, split_part(key, ':', 2) as codec, height, base, avg(pct) as pct from s where key like 'encode:%' group by all),
 w as (select job, sum(pct * height * height / (base * 1166400)) as vp, sum(height * height / (base * 1166400)) as vw, avg(pct) as outp from v group by job),
 p as (select job, avg(pct) as pp from s where key not like 'encode:%' group by job),
+st as (select job, min(started) as since from stages group by job),
 t as (select job, outp, case when vw is null then pp when pp is null then vp / vw else (vp + pp * vw * 0.1) / (vw + vw * 0.1) end as x from w full join p using (job))
-select job, round(x, 6) as progress, round(outp, 6) as output_progress, x > 1 and x < 99.5 as has_eta from t""")
+select job, round(x, 6) as progress, round(outp, 6) as output_progress, coalesce(case when x > 1 and x < 99.5 then round(({now} - since) * (100 - x) / x, 0) end, 0) as eta_s from t join st using (job)""")
 def _(v):
-    return stages.weighted_progress(v.stages)
+    return stages.weighted_progress(v.stages, NOW)
 
 
 FOLD = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encodelens.functions.scalars import phase_key, stage_codec
+from encodelens.functions.scalars import phase_key, split_command, stage_codec
 
 RUN_RECORD = (
     "schema_version int, job_id string, output string, config struct<codec: string, ladder: string, burnin: boolean>, "
@@ -68,8 +68,18 @@ def output_files(files: DataFrame) -> DataFrame:
 
 
 def parse_ffmpeg_log(lines: DataFrame) -> DataFrame:
-    """(source, argv text) of lines with an `[ffmpeg] ` mark."""
-    return lines.where(F.contains("line", F.lit("[ffmpeg] "))).select("source", F.split_part("line", F.lit("[ffmpeg] "), F.lit(2)).alias("command"))
+    """(source, command, argv) of lines with an `[ffmpeg] ` mark; a command with an unclosed quote goes."""
+    out = lines.where(F.contains("line", F.lit("[ffmpeg] "))).select("source", F.split_part("line", F.lit("[ffmpeg] "), F.lit(2)).alias("command"))
+    return out.withColumn("argv", split_command("command")).where("argv is not null")
+
+
+def read_newest_logs(spark: SparkSession, path: str, newest: int, name: str = "*.log") -> DataFrame:
+    """(source, line) of the newest files by modification time, ties by path; the others are listed but never opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
+    chosen = [r.path for r in files.orderBy(F.desc("modificationTime"), "path").limit(newest).collect()]
+    if not chosen:
+        return spark.createDataFrame([], "source string, line string")
+    return spark.read.text(chosen).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("line"))
 
 
 def read_sweep_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -77,14 +87,43 @@ def read_sweep_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SWEEP).option("header", True).option("mode", "DROPMALFORMED").csv(path)
 
 
-def parse_names(names: DataFrame, col: str = "name") -> DataFrame:
-    """Job, object and folder names taken apart: codec, label, height, chunk, partial and padding marks."""
-    take = lambda p, i=1: F.nullif(F.regexp_extract(col, p, i), F.lit(""))
-    label = take(r"(?:^|[-_:/])(\d+p(?:_\d+)?)(?:[-_:./]|$)")
-    return names.withColumns({
-        "codec": take(r"(?:^|[-_:/])(h264|hevc|av1)(?:[-_:./]|$)"), "label": label, "height": F.regexp_extract(label, r"^(\d+)p", 1).try_cast("int"),
-        "chunk": take(r"chunk[-_]?(\d+)").try_cast("int"), "partial": take(r"_p(\d+)ms").try_cast("int"), "padded": F.col(col).contains("_padded"),
-    })
+#: The codecs of names in the order in which they are looked for, and the stages that one packaging job drives.
+NAME_CODECS, PACKAGING = ("h264", "hevc", "av1"), ("package", "fragments", "hls")
+
+
+def parse_job_names(names: DataFrame, col: str = "name") -> DataFrame:
+    """Job names with the keys of the stages that they drive, a row a key: stage_key, codec, label, height, chunk.
+
+    var-CODEC-LABEL-cN-... is a chunk, var-CODEC-LABEL-whole-... a whole rung, pkgall-CODEC-... three stages, mezz-... and
+    audio-... one each. Other names have one row with nulls.
+    """
+    part = F.split(F.col(col), "-")
+    at = lambda i: F.get(part, i)
+    codec, label, piece = at(1), at(2), at(3)
+    var = (at(0) == "var") & (F.size(part) > 4) & codec.rlike(r"^\w+$") & label.rlike(r"^\w+$") & piece.rlike(r"^(whole|c\d+)$")
+    chunk = F.when(piece != "whole", F.substring(piece, 2, 20).try_cast("int"))
+    rung = F.concat_ws(":", F.lit("encode"), codec, label)
+    packs = (at(0) == "pkgall") & (F.size(part) > 2)
+    keys = (
+        F.when(var, F.array(F.when(chunk.isNull(), rung).otherwise(F.concat(rung, F.lit(":chunk"), chunk.cast("string")))))
+        .when(packs, F.array(*[F.concat(F.lit(f"{s}:"), codec) for s in PACKAGING])).when(at(0) == "mezz", F.array(F.lit("mezzanine"))).when(at(0) == "audio", F.array(F.lit("audio")))
+    )
+    keys = F.when(F.contains(col, F.lit("-")), keys)
+    return names.select("*", F.explode_outer(keys).alias("stage_key"), F.when(var | packs, codec).alias("codec"), F.when(var, label).alias("label"), F.when(var, F.regexp_extract(label, r"^(\d+)p", 1).try_cast("int")).alias("height"), F.when(var, chunk).alias("chunk"))
+
+
+def parse_folder_names(names: DataFrame, col: str = "name") -> DataFrame:
+    """Names of output folders with codec, partial (as 200ms) and padding, by the marks between underscores.
+
+    A partial mark is what follows the first _p up to the next underscore, if it is digits alone.
+    """
+    c = F.col(col)
+    codec = F.lit(None).cast("string")
+    for known in reversed(NAME_CODECS):
+        codec = F.when(c.endswith(f"_{known}") | c.contains(f"_{known}_"), known).otherwise(codec)
+    first = F.split_part(F.substring_index(F.substr(c, F.instr(c, "_p") + 2), "_", 1), F.lit("_"), F.lit(1))
+    partial = F.when(F.contains(c, F.lit("_p")) & first.rlike(r"^\d+$"), F.concat(first, F.lit("ms")))
+    return names.withColumns({"codec": codec, "partial": partial, "padding": F.when(c.contains("_padblack"), "black").when(c.contains("_padpink"), "pink")})
 
 
 def run_records(stages: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -13,9 +13,13 @@ GAUGE = ("FLEET",)
 FIELDS: dict[str, T.StructType] = {}
 
 
-def register_marker(kind: str, fields: T.StructType) -> None:
-    """Names the typed fields of a kind; parse_marker casts them and leaves unknown fields in the map."""
-    FIELDS[kind] = fields
+def register_marker(kind: str, fields: T.StructType | str) -> None:
+    """Names the typed fields of a kind, as a schema or its text: parse_marker gives them in a struct named after the kind.
+
+    Of a line of that kind each field is cast, null if absent or malformed; lines of other kinds have a null struct. The
+    map keeps all fields, unknown ones too. Registering a kind again replaces its fields.
+    """
+    FIELDS[kind] = fields if isinstance(fields, T.StructType) else T._parse_datatype_string(fields)
 
 
 def scan_markers(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -40,13 +44,15 @@ def pairs(body: str = "body"):
 
 
 def parse_marker(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """df with kind, body, kv, and the payloads of PLAN (stages) and ARGV (argv); null for lines that are no marker."""
+    """df with kind, body, kv, the payloads of PLAN (stages) and ARGV (argv), and a struct for each registered kind; null for lines that are no marker."""
     m = r"^\[\[ENCODER-(\w+) ?(.*?)\]\]\s*$"
     kind = F.nullif(F.regexp_extract(raw, m, 1), F.lit(""))
     df = df.withColumn("kind", kind).withColumn("body", F.when(kind.isNotNull(), F.regexp_extract(raw, m, 2)))
     df = df.withColumn("kv", F.when(~F.col("kind").isin("PLAN"), pairs()))
     df = df.withColumn("plan", F.when(F.col("kind") == "PLAN", F.from_json("body", "array<struct<key string, label string>>")))
     coded = F.try_element_at("kv", F.lit("b64"))
+    for name, fields in FIELDS.items():
+        df = df.withColumn(name.lower(), F.when(F.col("kind") == name, F.struct(*[field(f.name, f.dataType.simpleString()).alias(f.name) for f in fields])))
     return df.withColumn("argv", F.when(F.col("kind") == "ARGV", F.from_json(F.expr("try_to_binary(kv['b64'], 'base64')").cast("string"), "array<string>")).otherwise(F.when(coded.isNull(), None)))
 
 

@@ -273,3 +273,115 @@ def test_splice_makes_no_pairs(spark):
         e = max(((a, x) for k, a, x in enum if None not in (b, t, a) and k == b and a <= t), default=(None, None))
         want.append((b, t, e[1] if n is None else n, e[0] if n is None else None))
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+# Names as jobs and folders have them.
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("var-h264-360p-c3-abc", [("encode:h264:360p:chunk3", "h264", "360p", 360, 3)]), ("var-hevc-1080p_2-c012-e-1", [("encode:hevc:1080p_2:chunk12", "hevc", "1080p_2", 1080, 12)]),
+        ("var-av1-720p-whole-x", [("encode:av1:720p", "av1", "720p", 720, None)]), ("pkgall-hevc-x", [("package:hevc", "hevc", None, None, None), ("fragments:hevc", "hevc", None, None, None), ("hls:hevc", "hevc", None, None, None)]),
+        ("mezz-x", [("mezzanine", None, None, None, None)]), ("audio-x", [("audio", None, None, None, None)]), ("other-x", [(None,) * 5]), ("var-h264-360p-x3-abc", [(None,) * 5]), ("mezz", [(None,) * 5]), (None, [(None,) * 5]),
+    ],
+)
+def test_job_names(spark, name, want):
+    got = files.parse_job_names(spark.createDataFrame([(name,)], "name string")).drop("name").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        ("clip_h264", ("h264", None, None)), ("clip_hevc_p200_20240101", ("hevc", "200ms", None)), ("clip_av1_padblack", ("av1", None, "black")), ("clip_h264_p1000_padpink", ("h264", "1000ms", "pink")),
+        ("clip_padblack_p200_h264", ("h264", None, "black")), ("clip_p200x_h264", ("h264", None, None)), ("clip_p_h264", ("h264", None, None)), ("h264", (None, None, None)), ("a_p33", (None, "33ms", None)),
+    ],
+)
+def test_folder_names(spark, name, want):
+    assert tuple(files.parse_folder_names(spark.createDataFrame([(name,)], "name string")).first())[1:] == want
+
+
+def test_rungs_of_unknown_sources_and_overrides(spark):
+    rungs = spark.createDataFrame([("l", "hevc", 1, 640, 360, 800), ("l", "hevc", 2, 1920, 1080, 5000), ("l", "av1", 1, 3840, 2160, 9000), ("l", "h264", 1, 1920, 1080, 7000)], "ladder string, codec string, pos int, width int, height int, kbps int")
+    asked = spark.createDataFrame([(1, "l", 0), (2, "l", None), (3, "l", 1280)], "request int, ladder string, src_width int")
+    got = ladders.resolve_rungs(ladders.codec_ladders(rungs), asked, overrides={1080: 4321}).collect()
+    of = lambda n: sorted((r.codec, r.height, r.kbps) for r in got if r.request == n)
+    every = [("av1", 360, 800), ("av1", 1080, 4321), ("h264", 1080, 4321), ("hevc", 360, 800), ("hevc", 1080, 4321)]
+    assert of(1) == of(2) == every and of(3) == [("av1", 360, 800), ("hevc", 360, 800)]
+
+
+def test_host_counters_keep_their_baseline(spark):
+    # 14 busy seconds of 4 a second at 3 s, then a reading too soon after it
+    rows = [("m", float(t), i, idle, total) for i, (t, idle, total) in enumerate([(0, 0.0, 0.0), (3, 10.0, 24.0), (4, 10.0, 32.0), (7, 20.0, 56.0), (9, 1.0, 8.0), (12, 4.0, 20.0)])]
+    got = fleet.host_counter_rate(spark.createDataFrame(rows, "machine string, ts double, seq long, idle double, total double"), 8, 2.0).collect()
+    assert [(r.seq, r.busy) for r in got] == [(1, 4.6667), (3, 5.5), (5, 6.0)]
+
+
+def test_audit_by_name_and_newest(spark):
+    o = spark.createDataFrame([(1, "a_h264", "s", "h264", False, 5), (2, "a_h264_x", "t", "h264", False, 9), (3, "a_hevc", "s", "hevc", False, 1), (4, "b_h264", "s", "h264", False, 99), (5, "a_burn", "s", "h264", True, 100), (6, "a_lost", "gone", "av1", False, 1)], "output int, name string, source string, codec string, burnin boolean, mtime long")
+    s = spark.createDataFrame([("s",), ("t",)], "source string")
+    why = lambda **x: {r.output: r.reason for r in curves.audit_tree(o, s, **x).collect()}
+    assert why() == {1: None, 2: None, 3: None, 4: None, 5: "burn-in", 6: "no source"}
+    assert why(match="a_", latest=True) == {1: "older", 2: None, 3: None, 5: "burn-in", 6: "no source"}
+
+
+def test_frame_pool_without_scores(spark):
+    f = spark.createDataFrame([(1, 0, 0.0), (1, 1, 0.0), (2, 0, 50.0)], "series long, frame long, score double")
+    p = spark.createDataFrame([(2, 9.0, None, None, None), (3, 80.0, None, 40.0, None), (4, None, None, None, None)], "series long, mean double, harmonic double, low double, high double")
+    got = {r.series: r for r in curves.frame_pool(f, p).collect()}
+    assert set(got) == {1, 2, 3} and got[1].harmonic == 0.0 and got[2].n == 1
+    assert tuple(got[3])[1:] == (0, 80.0, 80.0, 40.0, -1, 40.0, 80.0, 0.0, 0.0, 0.0)
+
+
+def test_attempts(spark):
+    rows = [("j", "k", "Host EC2 (instance i) terminated.", 10, 40), ("j", "k", "x Was Terminated", 50, 45), ("j", "k", "done", 100, 160), ("j", "k", None, 200, None), ("j", "k", "Host EC2 x", None, 9)]
+    got = cost.attempt_reclaims(spark.createDataFrame(rows, "job string, key string, reason string, started long, stopped long"), 260).first()
+    assert (got["count"], got.lost_s, got.total_s) == (3, 30.0, 30 + 210 + 60 + 60)
+
+
+def test_commands_are_split_as_a_shell_does(spark):
+    import shlex
+
+    rng = random.Random(11)
+    parts = ["a", "-vf", " ", "  ", "'", '"', "\\", "\\\\", '\\"', "x y", "é", "\t", "=", "'q r'", '"s \\" t"', "''", "/out/h264_720_c1.mp4"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(1000)] + ["", " ", "ffmpeg " + "-x 'y z' " * 2000]
+    got = {r.i: r.w for r in spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", S.split_command("line").alias("w")).collect()}
+    for i, line in enumerate(lines):
+        try:
+            want = shlex.split(line)
+        except ValueError:
+            want = None
+        assert got[i] == want, line
+
+
+def test_newest_logs_alone_are_read(spark, tmp_path):
+    import os
+
+    for i in range(6):
+        p = tmp_path / f"run{i}.log"
+        p.write_text(f"line {i}\n")
+        os.utime(p, (1000 + i, 1000 + i))
+    (tmp_path / "other.txt").write_text("no\n")
+    df = files.read_newest_logs(spark, str(tmp_path), 2)
+    assert sorted(r.line for r in df.collect()) == ["line 4", "line 5"] and len(df.inputFiles()) == 2
+
+
+def test_registered_kinds_have_typed_fields(spark):
+    markers.register_marker("SPEED", "machine string, height int, fps double")
+    try:
+        df = markers.parse_marker(spark.createDataFrame([("[[ENCODER-SPEED machine=m height=720 fps=x more=1]]",), ("[[ENCODER-COST a=b]]",)], "raw string"))
+        got = df.collect()
+        assert tuple(got[0].speed) == ("m", 720, None) and got[0].kv["more"] == "1" and got[1].speed is None
+    finally:
+        markers.FIELDS.pop("SPEED")
+
+
+def test_sql_functions_are_the_columns(spark, data):
+    from encodelens.functions import sql
+    from encodelens.plans.views import Views
+
+    assert "stage_codec" in sql.register(spark)
+    Views(spark, data).stages.createOrReplaceTempView("stages_of_test")
+    df = spark.sql("select stage_codec(key) as c, phase_key(key) as p, is_backup(concat(job, '_20240101')) as b, stage_rank(status) as r, rendered_width(status, percent) as w, key, status, percent from stages_of_test")
+    want = df.select(S.stage_codec("key").alias("c"), S.phase_key("key").alias("p"), stages.rank(F.col("status")).alias("r"), stages.rendered_width(F.col("status"), F.col("percent")).alias("w"))
+    assert df.select("c", "p", "r", "w").exceptAll(want).isEmpty() and df.where("not b").isEmpty()
+    assert "Python" not in df._jdf.queryExecution().toString()
