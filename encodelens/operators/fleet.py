@@ -100,18 +100,36 @@ def speed_ewma(samples: DataFrame, weight: float = 0.3, digits: int = 10, rows_a
     return blocks.groupBy(*key).agg(F.round(F.sum(F.col("_add") * F.col("_left")), digits).alias("speed"), F.sum("n").alias("n"))
 
 
-def spend_integral(samples: DataFrame, now: int, window_s: int = 86400, lookback_s: int = 0) -> DataFrame:
-    """Per fleet the dollars spent in the trailing window: trapezoids of the rate; gaps of over an hour do not count."""
-    by = W.partitionBy("fleet").orderBy("ts", "seq")
-    s = samples.where(F.col("ts").between(now - window_s - lookback_s, now))
-    s = s.withColumn("dt", F.lead("ts").over(by) - F.col("ts")).withColumn("mid", (F.lead("rate").over(by) + F.col("rate")) / 2)
-    return s.groupBy("fleet").agg(F.round(F.coalesce(F.sum(F.when((F.col("dt") > 0) & (F.col("dt") <= 3600), F.col("mid") * F.col("dt") / 3600)), F.lit(0.0)), 4).alias("spent"), F.count(F.lit(1)).alias("samples"))
-
+def spend_integral(samples: DataFrame, now: int, window_s: int = 86400, lookback_s: int = 0, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """Per fleet the dollars spent in the trailing window: trapezoids of the rate; gaps of over an hour do not count.
 
-def downsample_history(samples: DataFrame, now: int, window_s: int = 7200, most: int = 180) -> DataFrame:
-    """Per fleet the samples of the trailing window, every so many of them that about `most` stay, with the use in percent."""
-    by = W.partitionBy("fleet")
-    s = samples.where(F.col("ts").between(now - window_s, now)).withColumn("_i", F.row_number().over(by.orderBy("ts", "seq")) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
+    A fleet is cut into blocks of time, each with sums of its own; only a block's first and last sample meet those of its neighbours.
+    """
+    s = samples.where(F.col("ts").between(now - window_s - lookback_s, now))
+    s = s.withColumn("_block", block_of("ts", cuts(s, "ts", rows_a_block)))
+    area = lambda dt, a, b: F.when((dt > 0) & (dt <= 3600), (a + b) / 2 * dt / 3600)
+    by = W.partitionBy("fleet", "_block").orderBy("ts", "seq")
+    s = s.withColumn("_a", area(F.lead("ts").over(by) - F.col("ts"), F.col("rate"), F.lead("rate").over(by)))
+    end = F.struct("ts", "seq", "rate")
+    blocks = s.groupBy("fleet", "_block").agg(F.sum("_a").alias("spent"), F.count(F.lit(1)).alias("n"), F.min(end).alias("first"), F.max(end).alias("last"))
+    after = F.lead("first").over(W.partitionBy("fleet").orderBy("_block"))
+    seam = area(after["ts"] - F.col("last.ts"), F.col("last.rate"), after["rate"])
+    blocks = blocks.withColumn("_seam", seam)
+    return blocks.groupBy("fleet").agg(F.round(F.coalesce(F.sum("spent"), F.lit(0.0)) + F.coalesce(F.sum("_seam"), F.lit(0.0)), 4).alias("spent"), F.sum("n").alias("samples"))
+
+
+def downsample_history(samples: DataFrame, now: int, window_s: int = 7200, most: int = 180, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """Per fleet the samples of the trailing window, every so many of them that about `most` stay, with the use in percent.
+
+    A sample's place is the number of samples in earlier blocks of time, plus its place within its own block.
+    """
+    s = samples.where(F.col("ts").between(now - window_s, now))
+    s = s.withColumn("_block", block_of("ts", cuts(s, "ts", rows_a_block)))
+    blocks = s.groupBy("fleet", "_block").agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy("fleet")
+    blocks = blocks.withColumn("_n", F.sum("_c").over(whole)).withColumn("_before", F.sum("_c").over(whole.orderBy("_block")) - F.col("_c")).drop("_c")
+    place = F.row_number().over(W.partitionBy("fleet", "_block").orderBy("ts", "seq")) - 1
+    s = s.withColumn("_i", place).join(blocks, ["fleet", "_block"]).withColumn("_i", F.col("_i") + F.col("_before"))
     stride = F.when(F.col("_n") > most, F.floor(F.col("_n") / most) + 1).otherwise(1)
     return s.where(F.col("_i") % stride == 0).select("fleet", "seq", "ts", F.round(100 * F.col("busy") / F.col("perf"), 4).alias("used_pct"))
 

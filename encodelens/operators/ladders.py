@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encodelens.functions import scalars as S
+from encodelens.operators.ordered import fold_in_order
 
 # Fixed prices a minute by height band (over lo, up to hi): vendor, codec, lo, hi, dollars.
 RATES = [
@@ -279,20 +280,19 @@ def predicted_wall_rank(rungs: DataFrame) -> DataFrame:
 def decode_bands(rungs: DataFrame, budget_mp: float = 4.0, max_height: int = 1080) -> DataFrame:
     """Rungs that share a decode: by rising pixels, a band takes rungs until it would pass the budget; singles go.
 
-    A ladder's rungs are few, so they fold in one array per (ladder, codec).
+    The rungs of a ladder and codec pass in order with one state held.
     """
-    mp = F.col("width") * F.col("height") / 1e6
-    rows = F.array_sort(F.collect_list(F.struct(mp.alias("mp"), "pos", "height")))
-    start = F.struct(F.lit(0).alias("band"), F.lit(0.0).alias("used"), F.array().cast("array<struct<band int, pos bigint, height int, mp double>>").alias("rows"))
-
-    def step(acc, r):
-        over = (acc["used"] > 0) & (acc["used"] + r["mp"] > budget_mp)
-        band = F.when(over, acc["band"] + 1).otherwise(acc["band"])
-        used = F.when(over, r["mp"]).otherwise(acc["used"] + r["mp"])
-        return F.struct(band.alias("band"), used.alias("used"), F.concat(acc["rows"], F.array(F.struct(band.alias("band"), r["pos"].alias("pos"), r["height"].alias("height"), r["mp"].alias("mp")))).alias("rows"))
-
-    f = rungs.where(F.col("height") <= max_height).groupBy("ladder", "codec").agg(F.aggregate(rows, start, step)["rows"].alias("rows"))
-    f = f.select("ladder", "codec", F.inline("rows"))
+
+    def step(state: tuple | None, rung: tuple) -> tuple:
+        _, mp, pos, height, ladder, codec = rung
+        band, used = state or (0, 0.0)
+        band, used = (band + 1, mp) if used > 0 and used + mp > budget_mp else (band, used + mp)
+        return (band, used), (ladder, codec, band, pos, height, mp)
+
+    mp = (F.col("width") * F.col("height") / 1e6).alias("mp")
+    key = F.to_json(F.struct("ladder", "codec")).alias("of")
+    rows = rungs.where(F.col("height") <= max_height).select(key, mp, F.col("pos").cast("long").alias("pos"), F.col("height").cast("int").alias("height"), "ladder", "codec")
+    f = fold_in_order(rows, "of", ["mp", "pos", "height"], "ladder string, codec string, band int, pos long, height int, mp double", step)
     by = W.partitionBy("ladder", "codec", "band")
     f = f.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("at", F.row_number().over(by.orderBy(F.col("mp").desc(), "pos")))
     return f.where("size > 1").select("ladder", "codec", "band", "pos", "height", "size", "at")

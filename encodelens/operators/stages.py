@@ -228,7 +228,7 @@ def weighted_progress(stages: DataFrame, now: int, pipeline_share: float = 0.1)
     pw = F.col("vw") * pipeline_share
     out = v.join(p, "job", "full_outer").join(since, "job")
     total = F.when(F.col("vw").isNull(), F.col("pp")).when(F.col("pp").isNull(), F.col("vp") / F.col("vw")).otherwise((F.col("vp") + F.col("pp") * pw) / (F.col("vw") + pw))
-    return out.select("job", F.round(total, 6).alias("progress"), F.round("out", 6).alias("output_progress"), F.coalesce(F.when((total > 1) & (total < 99.5), F.round((F.lit(now) - F.col("since")) * (100 - total) / total, 0)), F.lit(0.0)).alias("eta_s"))
+    return out.select("job", F.round(total, 6).alias("progress"), F.round("out", 6).alias("output_progress"), F.coalesce(F.when((total > 1) & (total < 99.5), (F.lit(now) - F.col("since")) * (100 - total) / total), F.lit(0.0)).alias("eta_s"))
 
 
 def union_history(archived: DataFrame, current: DataFrame) -> DataFrame:

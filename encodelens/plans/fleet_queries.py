@@ -236,13 +236,13 @@ def _(v):
 
 ARCHIVE = r"""
 with b as (select output, name, regexp_replace(name, '_\d{8}(_\d{6})?$', '') as base, bytes, sidecar, output % 13 = 0 as keep from outputs where regexp_matches(name, '_\d{8}(_\d{6})?$') and mtime < {now} - 2592000),
-live as (select distinct name as base from outputs where not regexp_matches(name, '_\d{8}(_\d{6})?$') and sidecar),
+live as (select distinct name as base from outputs where not regexp_matches(name, '_\d{8}(_\d{6})?$')),
 h as (select output, name, base, bytes, case when sidecar then 'sidecar' when keep then 'keep' when base in ('clip3_en', 'clip6_en', 'clip9_fr') then 'active' when base not in (select base from live) then 'orphan' end as held from b)
 """
 
 
 def archive(v):
-    o = v.outputs.where(F.col("name").rlike(r"_\d{8}(_\d{6})?$") | F.col("sidecar")).withColumn("keep", F.col("output") % 13 == 0)
+    o = v.outputs.withColumn("keep", F.col("output") % 13 == 0)
     active = v.nation.select(F.when(F.col("n_nationkey") % 3 == 0, "clip3_en").when(F.col("n_nationkey") % 3 == 1, "clip6_en").otherwise("clip9_fr").alias("stem"))
     return retention.archive_gc(o, active, NOW, 2_592_000)
 
@@ -292,15 +292,15 @@ def _(v):
 
 
 @query("O46_census_repair", """
-with s as (select job_id as key, case job_id % 5 when 0 then 'pending' when 1 then 'queued' when 2 then 'running' when 3 then 'done' else 'failed' end as status from batch_jobs where cpu_s > 3000),
-b as (select job_id as key, case status when 'RUNNABLE' then 'queued' when 'RUNNING' then 'running' when 'SUCCEEDED' then 'done' else 'failed' end as snap from batch_jobs where encode_s < 15000),
+with s as (select job_id as key, case job_id % 5 when 0 then 'pending' when 1 then 'queued' when 2 then 'running' when 3 then 'done' else 'failed' end as status from batch_jobs where job_id % 7 > 0),
+b as (select job_id as key, case status when 'RUNNABLE' then 'queued' when 'RUNNING' then 'running' when 'SUCCEEDED' then 'done' else 'failed' end as snap from batch_jobs where job_id % 7 = 0 or job_id % 3 > 0),
 r(n, r) as (values ('pending', 0), ('queued', 1), ('running', 3), ('failed', 4), ('done', 5))
 select key, status, snap, case when snap is null then 'absent' when status is null then 'seeded' when status in ('done', 'failed') then 'protected' when rs.r > rt.r then 'repaired' else 'unchanged' end as action
 from s full join b using (key) left join r rs on rs.n = snap left join r rt on rt.n = status""")
 def _(v):
     i = F.col("job_id")
-    s = v.batch_jobs.where("cpu_s > 3000").select(i.alias("key"), F.when(i % 5 == 0, "pending").when(i % 5 == 1, "queued").when(i % 5 == 2, "running").when(i % 5 == 3, "done").otherwise("failed").alias("status"))
-    return retention.census_repair(s, v.batch_jobs.where("encode_s < 15000").select(i.alias("key"), F.col("status").alias("batch")))
+    s = v.batch_jobs.where("job_id % 7 > 0").select(i.alias("key"), F.when(i % 5 == 0, "pending").when(i % 5 == 1, "queued").when(i % 5 == 2, "running").when(i % 5 == 3, "done").otherwise("failed").alias("status"))
+    return retention.census_repair(s, v.batch_jobs.where("job_id % 7 = 0 or job_id % 3 > 0").select(i.alias("key"), F.col("status").alias("batch")))
 
 
 @query("O47_diff_sync", """

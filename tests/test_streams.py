@@ -388,3 +388,18 @@ def test_write_path_in_cuts_is_the_batch(one_store, tmp_path):
     want = fleet.fleet_view(path.gauges(marks), now)
     cols = ["machine", "used_pct", "samples", "history", "chunks", "first_seen"]
     assert sorted(map(str, p.fleet.table().select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+
+
+@pytest.mark.parametrize("rows_a_block", [7, 1000])
+def test_spend_and_history_in_blocks(spark, rows_a_block):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2]), rng.randrange(3000) * 7, i, rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "fleet long, ts long, seq long, rate double")
+    got = {r.fleet: r for r in fleet.spend_integral(df, 21_000, 21_000, rows_a_block=rows_a_block).collect()}
+    hist = fleet.downsample_history(df.withColumn("busy", F.col("rate")).withColumn("perf", F.lit(2.0)), 21_000, 21_000, 30, rows_a_block).collect()
+    for f in (1, 2):
+        own = sorted((ts, seq, r) for fl, ts, seq, r in rows if fl == f)
+        want = sum((a[2] + b[2]) / 2 * (b[0] - a[0]) / 3600 for a, b in zip(own, own[1:]) if 0 < b[0] - a[0] <= 3600)
+        assert got[f].spent == pytest.approx(want, abs=1e-4) and got[f].samples == len(own)
+        stride = len(own) // 30 + 1 if len(own) > 30 else 1
+        assert sorted(r.seq for r in hist if r.fleet == f) == sorted(seq for _, seq, _ in own[::stride])
