@@ -129,15 +129,20 @@ def timing_cold_warm(jobs: DataFrame) -> DataFrame:
     return j.groupBy("codec").agg(F.count_if("cold").alias("cold_jobs"), F.round(F.avg(F.when(F.col("cold"), F.col("run_s"))), 1).alias("cold_s"), F.count_if(~F.col("cold")).alias("warm_jobs"), F.round(F.avg(F.when(~F.col("cold"), F.col("run_s"))), 1).alias("warm_s"))
 
 
-def thread_load(jobs: DataFrame) -> DataFrame:
-    """Per codec: CPU over phase wall, mean concurrency, and the 10, 50 and 90 % marks of CPU per encode second.
+def thread_load(stages: DataFrame, timings: DataFrame) -> DataFrame:
+    """Per codec: CPU over the wall time of its encode stages, mean concurrency, and the 10, 50 and 90 % marks of CPU per encode second.
 
-    A mark is the ratio at index floor(p * n) of the sorted ratios; only the buckets that hold a mark are sorted.
+    stages (codec, started, ended): those with both ends tell the wall, first start to last end, waiting included.
+    timings (codec, key, seq, encode_s, cpu_s): the last of a key stands. A mark is the ratio at index floor(p * n) of the
+    sorted ratios; only the buckets that hold a mark are sorted. A timing without encode seconds has no ratio.
     """
-    j = jobs.where("stop_s is not null").withColumn("ratio", F.col("cpu_s") / F.nullif(F.col("encode_s"), F.lit(0.0))).where("ratio is not null")
-    sums = {"cpu": F.sum("cpu_s"), "enc": F.sum("encode_s"), "wall": F.max("stop_s") - F.min("start_s")}
-    m = index_marks(j, "codec", "ratio", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, sums)
-    return m.select("codec", "n", F.round(F.col("cpu") / F.col("wall"), 4).alias("load"), F.round(F.col("enc") / F.col("wall"), 4).alias("concurrency"), *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
+    wall = stages.where("started is not null and ended is not null").groupBy("codec").agg((F.max("ended") - F.min("started")).alias("wall"))
+    last = timings.groupBy("codec", "key").agg(F.max_by(F.struct("encode_s", "cpu_s"), "seq").alias("t")).select("codec", "t.*")
+    sums = last.groupBy("codec").agg(F.count(F.lit(1)).alias("chunks"), F.sum("cpu_s").alias("cpu"), F.sum("encode_s").alias("enc"))
+    marks = index_marks(last.withColumn("ratio", F.when(F.col("encode_s") > 0, F.col("cpu_s") / F.col("encode_s"))), "codec", "ratio", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).drop("n")
+    m = sums.join(wall, "codec").join(marks, "codec", "left")
+    over = lambda c: F.round(F.col(c) / F.nullif(F.col("wall"), F.lit(0)), 4)
+    return m.select("codec", F.col("chunks").alias("n"), over("cpu").alias("load"), over("enc").alias("concurrency"), *[F.round(p, 4).alias(p) for p in ("p10", "p50", "p90")])
 
 
 def overlapping_runs(samples: DataFrame, key: str = "account") -> DataFrame:

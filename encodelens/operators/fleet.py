@@ -47,11 +47,14 @@ def live_fleet_filter(fleet: DataFrame, instances: DataFrame | None) -> DataFram
     return out.where(F.coalesce("_live", F.lit(False)) | ~F.col("_known")).drop("_live", "_known")
 
 
-def enrich_fleet(jobs: DataFrame, instances: DataFrame) -> DataFrame:
+def enrich_fleet(jobs: DataFrame, instances: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Per instance: vCPUs used by running jobs and idle, and the running jobs, the newest first.
 
-    A job that occurs twice counts once. What runs on a box is bounded by its size.
+    A job that occurs twice counts once. What runs on a box is bounded by its size. members (member, instance): jobs
+    name a cluster member, and that its machine; a job whose member is not known is on no machine.
     """
+    if members is not None:
+        jobs = jobs.join(members.where("member is not null").dropDuplicates(["member"]), "member", "left")
     run = jobs.where("status = 'RUNNING'").groupBy("job_id").agg(F.min(F.struct("start_s", "instance", "vcpu")).alias("r")).select("job_id", "r.*")
     use = run.groupBy("instance").agg(F.sum("vcpu").alias("u"), F.count(F.lit(1)).alias("jobs"))
     top = run.withColumn("rn", F.row_number().over(W.partitionBy("instance").orderBy(F.col("start_s").desc(), "job_id")))

@@ -31,6 +31,19 @@ def vmaf_state(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("vmaf_state", F.when(F.col("scores") > 0, "done").when(F.col("failed"), "failed").when(~F.col("eligible"), "ineligible").otherwise("pending"))
 
 
+def rung_scores(rungs: DataFrame, scores: DataFrame) -> DataFrame:
+    """rungs (output, codec, height) with vmaf, model and common_height from measured scores (output, codec, label, mean, model, common_height).
+
+    A rung has the score of its plain label, as 720p, else that of its first numbered one, as 720p_2, else none. The model
+    and the height of comparison are those of any rung of the output and codec that names a model, the first by label.
+    """
+    s = scores.where(F.col("mean").isNotNull()).withColumn("height", F.regexp_extract("label", r"^(\d+)p(?:_.*)?$", 1).try_cast("int"))
+    plain = F.concat(F.col("height").cast("string"), F.lit("p")) == F.col("label")
+    per = s.where(F.col("height").isNotNull()).groupBy("output", "codec", "height").agg(F.coalesce(F.max(F.when(plain, F.col("mean"))), F.min_by("mean", F.when(~plain, F.col("label")))).alias("vmaf"))
+    of = scores.where(F.coalesce("model", F.lit("")) != "").groupBy("output", "codec").agg(F.min_by(F.struct("model", "common_height"), "label").alias("p")).select("output", "codec", "p.*")
+    return rungs.join(per, ["output", "codec", "height"], "left").join(of, ["output", "codec"], "left")
+
+
 def keep_list_anti(candidates: DataFrame, active: DataFrame, state_files: DataFrame, key: str = "id") -> DataFrame:
     """Candidates that neither active ids nor state files name."""
     return candidates.join(active.select(key).unionByName(state_files.select(key)).distinct(), key, "left_anti")

@@ -116,13 +116,18 @@ def _(v):
 
 
 @query("O64_thread_load", """
-with j as (select codec, cpu_s, encode_s, start_s, stop_s, cpu_s / encode_s as r from batch_jobs where stop_s is not null),
-k as (select *, row_number() over (partition by codec order by r) - 1 as i, count(*) over (partition by codec) as n from j)
-select codec, count(*) as n, round(sum(cpu_s) / (max(stop_s) - min(start_s)), 4) as load, round(sum(encode_s) / (max(stop_s) - min(start_s)), 4) as concurrency,
-       round(max(r) filter (where i = least(n - 1, floor(n * 0.1))), 4) as p10, round(max(r) filter (where i = least(n - 1, floor(n * 0.5))), 4) as p50, round(max(r) filter (where i = least(n - 1, floor(n * 0.9))), 4) as p90
-from k group by codec""")
-def _(v):
-    return cost.thread_load(v.batch_jobs)
+with s as (select *, split_part(key, ':', 2) as codec from stages where key like 'encode:%'),
+w as (select codec, max(ended) - min(started) as wall from s where started is not null and ended is not null group by codec),
+t as (select codec, file_index, key, job % 97 as run, arg_max({'e': case when seq % 11 = 0 then 0 else worker_s end, 'c': cpu_s}, seq) as x from s group by all),
+k as (select codec, x.c / x.e as r, row_number() over (partition by codec order by x.c / x.e) - 1 as i, count(*) over (partition by codec) as n from t where x.e > 0),
+m as (select codec, max(r) filter (where i = least(n - 1, floor(n * 0.1))) as p10, max(r) filter (where i = least(n - 1, floor(n * 0.5))) as p50, max(r) filter (where i = least(n - 1, floor(n * 0.9))) as p90 from k group by codec)
+select codec, count(*) as n, round(sum(x.c) / any_value(wall), 4) as load, round(sum(x.e) / any_value(wall), 4) as concurrency, round(any_value(p10), 4) as p10, round(any_value(p50), 4) as p50, round(any_value(p90), 4) as p90
+from t join w using (codec) left join m using (codec) group by codec""")
+def _(v):
+    """The last timing of each key of a run; some runs time a key several times, and some timings have no encode seconds."""
+    s = v.stages.withColumn("codec", S.stage_codec("key")).where("codec is not null")
+    key = F.concat_ws("/", F.col("job") % 97, "file_index", "key")
+    return cost.thread_load(s, s.select("codec", key.alias("key"), "seq", F.when(F.col("seq") % 11 == 0, 0).otherwise(F.col("worker_s")).alias("encode_s"), "cpu_s"))
 
 
 @query("O41_run_overlap_exclude", """

@@ -26,6 +26,23 @@ def _(v):
     return retention.vmaf_state(o).select("output", "vmaf_state")
 
 
+_SCORES = """select job % 500 as output, codec, concat(label, case when chunk % 3 = 0 then '' when chunk % 3 = 1 then '_1' else '_2' end) as label, max(mean) as mean, max(case when chunk % 5 = 0 then 'vmaf_v0.6.1' end) as model,
+  max(case when chunk % 5 = 0 then 1080 end) as common_height from vmaf_parts group by job % 500, codec, label, chunk % 3"""
+
+
+@query("O30_rung_scores", f"""
+with s as ({_SCORES.replace("chunk % 3 = 0", "(chunk % 3) = 0")}),
+r as (select distinct s.output, s.codec, h.h as height from s, (values (234), (360), (540), (2160)) h(h)),
+m as (select output, codec, arg_min(model, label) filter (where model is not null) as model, arg_min(common_height, label) filter (where model is not null) as common_height from s group by all)
+select r.output, r.codec, r.height, coalesce((select max(mean) from s where s.output = r.output and s.codec = r.codec and s.label = concat(r.height, 'p')),
+  (select arg_min(mean, label) from s where s.output = r.output and s.codec = r.codec and starts_with(s.label, concat(r.height, 'p_')))) as vmaf, model, common_height
+from r join m using (output, codec)""")
+def _(v):
+    s = v.spark.sql(_SCORES.replace("from vmaf_parts", "from {t}"), t=v.vmaf_parts)
+    r = s.select("output", "codec").distinct().withColumn("height", F.explode(F.array(*map(F.lit, (234, 360, 540, 2160)))))
+    return retention.rung_scores(r, s)
+
+
 @query("O31_worker_state", """
 with c as (select s_suppkey as machine, s_acctbal < 0 as disabled from supplier), p as (select distinct machine from samples where machine % 3 <> 0), l as (select machine, max(ts) as t from samples where machine % 5 <> 0 group by machine),
 m as (select machine from c union select machine from p union select machine from l)
@@ -76,12 +93,14 @@ def _(v):
 
 
 @query("O39_enrich_fleet", """
-with r as (select instance, job_id, start_s, vcpu, row_number() over (partition by instance order by start_s desc, job_id) as rn from batch_jobs where status = 'RUNNING'),
+with r as (select instance, job_id, start_s, vcpu, row_number() over (partition by instance order by start_s desc, job_id) as rn from batch_jobs where status = 'RUNNING' and instance % 9 <> 0),
 u as (select instance, sum(vcpu) as u, count(*) as n, string_agg(job_id::varchar, ',' order by rn) as newest from r group by instance)
 select f.instance, f.type, f.vcpu as box_vcpu, least(coalesce(u, 0), f.vcpu)::bigint as used_vcpu, (f.vcpu - least(coalesce(u, 0), f.vcpu))::bigint as idle_vcpu, coalesce(n, 0) as jobs, newest from fleet f left join u using (instance)""")
 def _(v):
     j = v.batch_jobs
-    return fleet.enrich_fleet(j.unionByName(j.where("job_id % 10 = 0")), v.fleet)
+    j = j.withColumn("member", F.concat(F.lit("cluster/"), "instance")).drop("instance")
+    members = v.fleet.where("instance % 9 <> 0").select(F.concat(F.lit("cluster/"), "instance").alias("member"), "instance")
+    return fleet.enrich_fleet(j.unionByName(j.where("job_id % 10 = 0")), v.fleet, members)
 
 
 @query("O68_inventory_summary", f"""
