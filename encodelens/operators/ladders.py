@@ -217,6 +217,54 @@ def chunk_plan(df: DataFrame) -> DataFrame:
     return g.select(*others, F.col("index").cast("int").alias("index"), "start", "length", aligned.alias("aligned"))
 
 
+#: Events that a run's history holds and a chunk writes, bytes of its input and the share kept for spans, fixed
+#: lengths that are advised, and what a span's text has besides its numbers.
+HISTORY, EVENTS_A_CHUNK, INPUT_BYTES, INPUT_SHARE, ADVISED_S = 25_000, 8, 262_144, 0.8, (30, 60, 90, 120, 180, 240)
+SPAN = '{"index":,"start_s":"","duration_s":""}'
+
+
+def _digits(x: Column) -> Column:
+    """Decimal digits of a whole number from 0 on."""
+    return sum((F.when(x >= 10**d, 1).otherwise(0) for d in range(1, 10)), F.lit(1)).cast("long")
+
+
+def plan_bytes(duration: Column, chunk: Column, step: Column) -> Column:
+    """The length of a plan written as a JSON list of spans (index, start and length with six decimals), without its chunks.
+
+    Indexes and starts only grow, so the digits of all are counted by how many reach each power of ten; lengths
+    are of two kinds, but for the last.
+    """
+    shaped, units = _plan_shape(duration, chunk, step)
+    n = planned_chunks(duration, chunk, step)
+    base, extra = F.floor(units / shaped).cast("long"), (units % shaped).cast("long")
+    start = lambda i: step * (i * base + F.least(i, extra))
+    none = F.lit(0).cast("long")
+    digits = 2 * n
+    for d in range(1, 10):
+        reach = F.ceil(10**d / step - EPS).cast("long")
+        first = F.when(reach <= extra * (base + 1), F.ceil(reach / (base + 1))).otherwise(extra + F.ceil((reach - extra * (base + 1)) / base)).cast("long")
+        digits = digits + F.greatest(n - 10**d, none) + F.greatest(n - first, none)
+    long = F.least(extra, n - 1)
+    last = F.round(duration - start(n - 1), 6)
+    digits = digits + long * _digits(F.floor(step * (base + 1))) + (n - 1 - long) * _digits(F.floor(step * base)) + _digits(F.floor(last))
+    return (digits + n * (len(SPAN) + 14) + n - 1 + 2).cast("long")
+
+
+def plan_fit(rungs: DataFrame, segment: float = 6.0) -> DataFrame:
+    """Per request (rungs: request, duration, chunk, codec, height): chunks, history events, bytes of its spans, the vCPUs that all
+    chunks at once could use, which limit the plan fails (`history`, `input`, `history and input`, null: it fits), and the
+    least advised fixed length whose history fits, null if none does."""
+    step = F.lit(float(grid_of(segment)))
+    n, d = planned_chunks(F.col("duration"), F.col("chunk"), step), F.col("duration")
+    tries = [F.sum(planned_chunks(d, F.lit(float(s)), step)).alias(f"_{s}") for s in ADVISED_S]
+    r = rungs.groupBy("request").agg(F.sum(n).alias("chunks"), F.sum(plan_bytes(d, F.col("chunk"), step)).alias("bytes"), F.sum(n * S.vcpu_for(F.col("codec"), F.col("height"))).alias("peak_vcpu"), *tries)
+    events = F.col("chunks") * EVENTS_A_CHUNK
+    long, large = events > HISTORY, F.col("bytes") > int(INPUT_BYTES * INPUT_SHARE)
+    fails = F.when(long & large, "history and input").when(long, "history").when(large, "input")
+    advice = F.coalesce(*[F.when(F.col(f"_{s}") * EVENTS_A_CHUNK <= HISTORY, s) for s in ADVISED_S])
+    return r.select("request", "chunks", events.alias("events"), "bytes", "peak_vcpu", fails.alias("fails"), advice.alias("advice_s"))
+
+
 def chunk_size(target: Column, speed: Column, duration: Column, mode: Column) -> Column:
     """Seconds a chunk: the target at this speed in steps of 12, or the whole clip; 12 at least, the clip at most."""
     dynamic = F.greatest(F.round(target * speed / QUANTUM), F.lit(1.0)) * QUANTUM

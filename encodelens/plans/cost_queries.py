@@ -381,6 +381,28 @@ def _(v):
     return ladders.chunk_budget_sweep(requested(v), budget=60)
 
 
+_TRIES = ", ".join(f"sum((select count(*) from range(0, greatest(ceil(d / 6 - 1e-6), 1)::bigint) u(x) where x < least(ceil(d / {s} - 1e-6), ceil(d / 6 - 1e-6))) - case when ceil(d / {s} - 1e-6) > 1 and d - t{s} < 2 then 1 else 0 end) as n{s}" for s in ladders.ADVISED_S)
+_N = "least(ceil(d / {s} - 1e-6), units)::bigint"
+_TAIL = ", ".join("6.0 * ((N - 1) * (units // N) + least(N - 1, units % N)) as tS".replace("N", _N.replace("{s}", str(s))).replace("tS", f"t{s}") for s in ladders.ADVISED_S)
+
+
+@query("O74_plan_fit", QUOTE + f"""
+, f as (select request, codec, pos, vcpu, duration * 40.253 as d, case request % 3 when 0 then 12 when 1 then 30 else 90 end::double as c from sp),
+u as (select *, ceil(d / 6 - 1e-6)::bigint as units, least(ceil(d / c - 1e-6), ceil(d / 6 - 1e-6))::bigint as n0 from f),
+n as (select *, units // n0 as base, units % n0 as extra, n0 - case when n0 > 1 and d - 6.0 * ((n0 - 1) * (units // n0) + least(n0 - 1, units % n0)) < 2 then 1 else 0 end as n from u),
+i as (select *, unnest(range(0, n)) as i from n),
+s as (select request, codec, pos, n, vcpu, i, 6.0 * (i * base + least(i, extra)) as st, case when i = n - 1 then d else 6.0 * ((i + 1) * base + least(i + 1, extra)) end as en from i),
+j as (select request, codec, pos, n, vcpu, length(concat('[', string_agg(printf('{{"index":%d,"start_s":"%.6f","duration_s":"%.6f"}}', i, st, en - st), ','), ']')) as bytes from s group by all),
+a as (select request, sum(n)::bigint as chunks, sum(bytes)::bigint as bytes, sum(n * vcpu)::bigint as peak_vcpu from j group by request),
+tl as (select *, {_TAIL} from u), tr as (select request, {_TRIES} from tl group by request)
+select request, chunks, chunks * 8 as events, bytes, peak_vcpu, case when chunks * 8 > 25000 and bytes > 209715 then 'history and input' when chunks * 8 > 25000 then 'history' when bytes > 209715 then 'input' end as fails,
+  case {" ".join(f"when n{s} * 8 <= 25000 then {s}" for s in ladders.ADVISED_S)} end as advice_s from a join tr using (request)""")
+def _(v):
+    """Plans of fixed chunk lengths for clips of up to half a day."""
+    chunk = F.when(F.col("request") % 3 == 0, 12.0).when(F.col("request") % 3 == 1, 30.0).otherwise(90.0)
+    return ladders.plan_fit(requested(v).withColumn("duration", F.col("duration") * 40.253).withColumn("chunk", chunk))
+
+
 @query("O86_decode_bands", """
 with recursive r as (select ladder, codec, pos, height, width * height / 1e6 as mp, row_number() over (partition by ladder, codec order by width * height / 1e6, pos) as i from rungs where height <= 1080),
 b as (select ladder, codec, pos, height, mp, i, 0 as band, mp as used from r where i = 1

@@ -385,3 +385,26 @@ def test_sql_functions_are_the_columns(spark, data):
     want = df.select(S.stage_codec("key").alias("c"), S.phase_key("key").alias("p"), stages.rank(F.col("status")).alias("r"), stages.rendered_width(F.col("status"), F.col("percent")).alias("w"))
     assert df.select("c", "p", "r", "w").exceptAll(want).isEmpty() and df.where("not b").isEmpty()
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_plan_bytes_are_those_of_the_plan(spark):
+    import json
+
+    rng = random.Random(17)
+    rows = [(round(rng.choice([5, 59, 334.4, 3600, 20_000.25, 50_000]) * (1 + rng.random()), 3), rng.choice([1.0, 12.0, 30.0, 47.5, 240.0, 99999.0]), 6.0) for _ in range(40)]
+    rows += [(12.0, 12.0, 6.0), (13.0, 12.0, 6.0), (60_000.0, 6.0, 6.0), (6.0, 6.0, 6.0), (61.9, 12.0, 6.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, duration double, chunk double, segment double")
+    spans = {}
+    for r in ladders.chunk_plan(df).orderBy("i", "index").collect():
+        spans.setdefault(r.i, []).append({"index": r["index"], "start_s": f"{r.start:.6f}", "duration_s": f"{r.length:.6f}"})
+    got = df.select("i", ladders.plan_bytes(F.col("duration"), F.col("chunk"), ladders.grid(F.col("segment"))).alias("b")).collect()
+    assert {r.i: r.b for r in got} == {i: len(json.dumps(s, separators=(",", ":"))) for i, s in spans.items()}
+
+
+# The cases of the guard's own tests.
+@pytest.mark.parametrize("hours, chunk, want", [(1, 12.0, None), (2.8, 12.0, None), (0.2, 12.0, None), (12, 12.0, "history and input"), (20, 18.0, "history and input"), (9, 10.3, "history")])
+def test_plan_fit(spark, hours, chunk, want):
+    rungs = spark.createDataFrame([(1, hours * 3600.0, chunk, "hevc", 1080)], "request int, duration double, chunk double, codec string, height int")
+    r = ladders.plan_fit(rungs).first()
+    assert r.fails == want and r.events == 8 * r.chunks and r.peak_vcpu == r.chunks * 2
+    assert r.advice_s == 30
