@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,34 +53,69 @@ def cost_rollup(costs: DataFrame) -> DataFrame:
     return out.withColumn("total", F.round(sum(F.col(p) for p in billed), 4))
 
 
-def machine_rental(jobs: DataFrame, instances: DataFrame, now: int, margin: int = 120) -> DataFrame:
-    """Per exec and instance: life, idle before and after, busy and allocated vCPU seconds; unused boxes launched meanwhile.
-
-    A box without jobs belongs to an exec if it was launched from `margin` seconds before the exec's first launch to
-    `margin` after its last stop. The execs' windows meet launches by day buckets, not as a product.
-    """
+def _rented(jobs: DataFrame, instances: DataFrame, now: int, margin: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boxes that ran jobs, by exec; boxes that ran none; and each exec's span, with its margin, in which a box counts as its own."""
     j = jobs.withColumn("stop", F.coalesce("stop_s", F.lit(now)))
     used = j.groupBy("exec", "instance").agg(F.min("start_s").alias("first_job"), F.max("stop").alias("last_job"), F.count(F.lit(1)).alias("jobs"), F.sum((F.col("stop") - F.col("start_s")) * F.col("vcpu")).alias("allocated_vcpu_s"))
     box = instances.select("instance", F.col("vcpu").alias("box_vcpu"), "launch", F.coalesce("ended", F.lit(now)).alias("end"))
     used = used.join(box, "instance")
-    day = 86400
     windows = used.groupBy("exec").agg((F.min("launch") - margin).alias("lo"), (F.max("last_job") + margin).alias("hi"))
-    windows = windows.withColumn("day", F.explode(F.sequence(F.floor(F.col("lo") / day), F.floor(F.col("hi") / day))))
-    free = box.join(used.select("instance").distinct(), "instance", "left_anti").withColumn("day", F.floor(F.col("launch") / day))
-    unused = free.join(windows, "day").where(F.col("launch").between(F.col("lo"), F.col("hi")))
+    return used, box.join(used.select("instance").distinct(), "instance", "left_anti"), windows
+
+
+def _life() -> Column:
+    return F.greatest(F.col("end") - F.col("launch"), F.lit(0))
+
+
+def machine_rental(jobs: DataFrame, instances: DataFrame, now: int, margin: int = 120, bucket_s: int = 3600) -> DataFrame:
+    """Per exec and instance: life, idle before and after, busy and allocated vCPU seconds; unused boxes launched meanwhile.
+
+    A box without jobs belongs to an exec if it was launched from `margin` seconds before the exec's first launch to
+    `margin` after its last stop. The execs' windows meet launches by buckets of time, not as a product; the pairs are
+    what is asked for here. rental_totals has their sums without them.
+    """
+    used, free, windows = _rented(jobs, instances, now, margin)
+    windows = windows.withColumn("_at", F.explode(F.sequence(F.floor(F.col("lo") / bucket_s), F.floor(F.col("hi") / bucket_s))))
+    unused = free.withColumn("_at", F.floor(F.col("launch") / bucket_s)).join(windows, "_at").where(F.col("launch").between(F.col("lo"), F.col("hi")))
     none = lambda n: F.lit(None).cast("long").alias(n)
     unused = unused.select("instance", "exec", none("first_job"), none("last_job"), F.lit(0).cast("long").alias("jobs"), F.lit(0).cast("long").alias("allocated_vcpu_s"), "box_vcpu", "launch", "end")
     out = used.unionByName(unused)
-    life = F.greatest(F.col("end") - F.col("launch"), F.lit(0))
+    life = _life()
     before = F.when(F.col("jobs") > 0, F.greatest(F.col("first_job") - F.col("launch"), F.lit(0))).otherwise(life)
     after = F.when(F.col("jobs") > 0, F.greatest(F.col("end") - F.col("last_job"), F.lit(0))).otherwise(F.lit(0))
     return out.select("exec", "instance", "jobs", "box_vcpu", life.alias("life_s"), before.alias("idle_before_s"), after.alias("idle_after_s"), "allocated_vcpu_s", (life * F.col("box_vcpu")).alias("rented_vcpu_s"))
 
 
-def rental_attribution(rental: DataFrame) -> DataFrame:
-    """Per exec: boxes, boxes without jobs, rented and allocated vCPU seconds, and the unallocated share in percent."""
-    out = rental.groupBy("exec").agg(F.count(F.lit(1)).alias("boxes"), F.count_if(F.col("jobs") == 0).alias("unused"), F.sum("rented_vcpu_s").alias("rented_vcpu_s"), F.sum("allocated_vcpu_s").alias("allocated_vcpu_s"))
-    return out.withColumn("unallocated_pct", F.round(100 * (1 - F.col("allocated_vcpu_s") / F.nullif(F.col("rented_vcpu_s"), F.lit(0))), 4))
+def rental_totals(jobs: DataFrame, instances: DataFrame, now: int, margin: int = 120, block_s: int = 900) -> DataFrame:
+    """Per exec: boxes, boxes without jobs (unused), rented and allocated vCPU seconds; the sums of machine_rental.
+
+    What launched in a span is what launched up to its end less what launched before its start. Both ends of each span
+    run through time with the launches and read running sums, in blocks of block_s seconds into which the sums of
+    earlier blocks are carried, so that execs and boxes make no pairs and no block is the whole of time.
+    """
+    used, free, windows = _rented(jobs, instances, now, margin)
+    rent = _life() * F.col("box_vcpu")
+    own = used.groupBy("exec").agg(F.count(F.lit(1)).alias("boxes"), F.sum(rent).alias("rent"), F.sum("allocated_vcpu_s").alias("allocated_vcpu_s"))
+    # at one second, the start of a span comes before the launches, its end after them
+    mark = lambda t, place, sign: F.struct(F.col(t).cast("long").alias("t"), F.lit(place).alias("place"), F.lit(sign).alias("sign"))
+    marks = windows.select("exec", F.inline(F.array(mark("lo", 0, -1), mark("hi", 2, 1))))
+    launches = free.where("launch is not null").select(F.col("launch").cast("long").alias("t"), F.lit(1).alias("place"), F.lit(1).cast("long").alias("n"), rent.cast("long").alias("rent"))
+    both = marks.unionByName(launches, allowMissingColumns=True).withColumn("block", F.floor(F.col("t") / block_s))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    earlier = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block, however many launches
+    blocks = both.groupBy("block").agg(F.sum("n").alias("n"), F.sum("rent").alias("rent"))
+    blocks = blocks.select("block", zero(F.sum("n").over(earlier)).alias("n_before"), zero(F.sum("rent").over(earlier)).alias("rent_before"))
+    here = W.partitionBy("block").orderBy("t", "place").rangeBetween(W.unboundedPreceding, W.currentRow)
+    up_to = both.withColumns({"n": zero(F.sum("n").over(here)), "rent": zero(F.sum("rent").over(here))}).where("sign is not null").join(blocks, "block")
+    spans = up_to.groupBy("exec").agg(F.sum(F.col("sign") * (F.col("n") + F.col("n_before"))).alias("unused"), F.sum(F.col("sign") * (F.col("rent") + F.col("rent_before"))).alias("more"))
+    spans = spans.withColumnRenamed("exec", "_exec")
+    out = own.join(spans, F.col("exec").eqNullSafe(F.col("_exec")), "left")
+    return out.select("exec", (F.col("boxes") + zero(F.col("unused"))).alias("boxes"), zero(F.col("unused")).alias("unused"), (F.col("rent") + zero(F.col("more"))).alias("rented_vcpu_s"), "allocated_vcpu_s")
+
+
+def rental_attribution(totals: DataFrame) -> DataFrame:
+    """rental_totals with the unallocated share in percent."""
+    return totals.withColumn("unallocated_pct", F.round(100 * (1 - F.col("allocated_vcpu_s") / F.nullif(F.col("rented_vcpu_s"), F.lit(0))), 4))
 
 
 def fleet_shape(rentals: DataFrame) -> DataFrame:
@@ -90,17 +125,17 @@ def fleet_shape(rentals: DataFrame) -> DataFrame:
     return rentals.groupBy("exec").agg(F.sum("vcpu").alias("fleet_vcpu"), F.round(F.sum((head + tail) * F.col("vcpu")) / 3600.0, 4).alias("edge_vcpu_h"))
 
 
-def run_cost(jobs: DataFrame, rental: DataFrame, traffic: DataFrame, spot: float = 0.014, ondemand: float = 0.036) -> DataFrame:
+def run_cost(jobs: DataFrame, totals: DataFrame, traffic: DataFrame, spot: float = 0.014, ondemand: float = 0.036) -> DataFrame:
     """Per exec the bill: vCPU hours rented (else allocated), spot cost and saving, egress, transitions, requests, storage
     over the wall span, estimated puts and their total; with the slowest job (of equals the smallest id).
 
-    Jobs count that stopped after they started. traffic (exec, egress_bytes, avoided_bytes, egress_files, staged_bytes,
+    Jobs count that stopped after they started. totals: of rental_totals. traffic (exec, egress_bytes, avoided_bytes, egress_files, staged_bytes,
     transitions) may lack an exec, whose bytes then are 0.
     """
     length = F.col("stop_s") - F.col("start_s")
     done = jobs.where(length > 0)
     j = done.groupBy("exec").agg(F.count(F.lit(1)).alias("jobs"), (F.max("stop_s") - F.min("start_s")).alias("wall_s"), F.max(length).alias("longest_s"), F.max_by("job_id", F.struct(length, -F.col("job_id"))).alias("slowest"), F.sum(length * F.col("vcpu")).alias("job_vcpu_s"))
-    r = rental.groupBy("exec").agg(F.sum("rented_vcpu_s").alias("rented"))
+    r = totals.select("exec", F.col("rented_vcpu_s").alias("rented"))
     out = j.join(r, "exec", "left").join(traffic, "exec", "left").na.fill(0)
     rented = F.col("rented") > 0
     h = F.when(rented, F.col("rented")).otherwise(F.col("job_vcpu_s")) / 3600.0

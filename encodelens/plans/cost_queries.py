@@ -60,22 +60,22 @@ union all select exec, instance, 0, box_vcpu, greatest(e - launch, 0), greatest(
 """
 
 
-def rental(v):
-    """Rentals of the fleet and of a spare box in each region, which ran no job."""
+def boxes(v):
+    """The fleet and a spare box in each region, which ran no job."""
     spare = v.region.selectExpr("1000000000 + r_regionkey as instance", "4 as vcpu", "1700000000 + r_regionkey * 3600 as launch", "1700007200 + r_regionkey * 3600 as ended")
-    return cost.machine_rental(v.batch_jobs, v.fleet.select("instance", "vcpu", "launch", "ended").unionByName(spare), JOBS_NOW)
+    return v.fleet.select("instance", "vcpu", "launch", "ended").unionByName(spare)
 
 
 @query("O56_machine_rental", RENTAL + "select * from rent")
 def _(v):
-    return rental(v)
+    return cost.machine_rental(v.batch_jobs, boxes(v), JOBS_NOW)
 
 
 @query("O40_rental_attribution", RENTAL + """
 select exec, count(*) as boxes, count(*) filter (where jobs = 0) as unused, sum(rented_vcpu_s)::bigint as rented_vcpu_s, sum(allocated_vcpu_s)::bigint as allocated_vcpu_s,
        round(100 * (1 - sum(allocated_vcpu_s) / nullif(sum(rented_vcpu_s), 0)), 4) as unallocated_pct from rent group by exec""")
 def _(v):
-    return cost.rental_attribution(rental(v))
+    return cost.rental_attribution(cost.rental_totals(v.batch_jobs, boxes(v), JOBS_NOW))
 
 
 @query("O57_fleet_shape", RENTAL + """
@@ -97,7 +97,7 @@ select exec, jobs, wall_s, longest_s, slowest, case when r then 'rented' else 'a
   round(h * 0.014, 6) as spot_usd, round(eg * 0.09, 6) as egress_usd, round(sfn, 6) as sfn_usd, round(rq, 6) as request_usd, round(st, 6) as storage_usd, round(pu, 6) as put_est_usd, round(h * 0.014 + eg * 0.09 + sfn + rq + st + pu, 4) as total_usd from m""")
 def _(v):
     j = v.batch_jobs.where("cpu_s > 2000").groupBy("exec").agg(F.sum(F.col("cpu_s") * 1000370.3).alias("egress_bytes"), (F.count(F.lit(1)) * 1e9).alias("avoided_bytes"), F.sum("vcpu").alias("egress_files"), F.sum(F.col("encode_s") * 1e6).alias("staged_bytes"), (F.count(F.lit(1)) * 5).alias("transitions"))
-    return cost.run_cost(v.batch_jobs, rental(v), j)
+    return cost.run_cost(v.batch_jobs, cost.rental_totals(v.batch_jobs, boxes(v), JOBS_NOW), j)
 
 
 @query("O62_cpu_by_tier", """

@@ -408,3 +408,56 @@ def test_plan_fit(spark, hours, chunk, want):
     r = ladders.plan_fit(rungs).first()
     assert r.fails == want and r.events == 8 * r.chunks and r.peak_vcpu == r.chunks * 2
     assert r.advice_s == 30
+
+
+def loop_estimate(points, clip, height, kbps):
+    """The estimate by a loop over all points of the clip."""
+    mine = [(h, k, v) for c, h, k, v in points if c == clip and k is not None and v is not None]
+    own = [p for p in mine if height is not None and p[0] == height]
+    if len(own) >= 2 or len(own) == 1 and own[0][1] == kbps:
+        mine = own
+    lo, hi = [(k, v) for _, k, v in mine if k <= kbps], [(k, v) for _, k, v in mine if k >= kbps]
+    if not mine:
+        return None, False
+    if not lo or not hi:
+        return (max(lo) if lo else min(hi))[1], True
+    (a, x), (b, y) = max(lo), min(hi)
+    return (x if a == kbps else x + (y - x) * (kbps - a) / (b - a)), False
+
+
+def test_curve_estimate_against_a_loop(spark):
+    """Any order of rates, repeated points and questions, a null height, rate or score, clips without points."""
+    rng = random.Random(5)
+    points = [(f"c{rng.randrange(4)}", rng.choice([360, 720, 1080, None]), rng.choice([None, *range(100, 1000, 50)]), rng.choice([None, *[x / 4 for x in range(160, 400)]])) for _ in range(60)]
+    points += [("hot", 720, 500, 70.0)] * 3 + [("one", 720, 500, 70.0), ("one", 360, 200, 50.0)]
+    asked = [(i, rng.choice(["c0", "c1", "c2", "c3", "hot", "one", "none"]), rng.choice([360, 720, 1080, 2160, None]), rng.choice([None, *range(50, 1100, 25)])) for i in range(300)]
+    asked.append(asked[0])
+    p = spark.createDataFrame(points, "clip string, height int, kbps int, vmaf double").selectExpr("clip", "'h' as codec", "0 as reference", "height", "kbps", "vmaf")
+    q = spark.createDataFrame(asked, "rung int, clip string, height int, kbps int").selectExpr("rung", "clip", "'h' as codec", "0 as reference", "height", "kbps")
+    got = sorted((r.rung, r.vmaf, r.clamped) for r in curves.curve_estimate(q, p).collect())
+    want = []
+    for i, clip, height, kbps in asked:
+        v, clamped = (None, False) if kbps is None else loop_estimate(points, clip, height, kbps)
+        want.append((i, v, clamped))
+    assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in sorted(want)]
+    assert all(a is None and b is None or a == pytest.approx(b, abs=6e-5) for (_, a, _), (_, b, _) in zip(got, sorted(want)))
+    assert curves.curve_estimate(q.limit(0), p).count() == 0
+    assert {r.vmaf for r in curves.curve_estimate(q, p.limit(0)).collect()} == {None}
+
+
+@pytest.mark.parametrize("block_s", [1, 37, 900])
+def test_rental_totals_are_the_sums_of_the_rentals(spark, block_s):
+    """Launches at the very ends of a span, many at one second, boxes that never ended or never launched, null execs."""
+    rng = random.Random(9)
+    boxes = [(i, rng.choice([2, 4, 8]), rng.choice([None, 880, 1000, 1120, *range(0, 4000, 40)]), rng.choice([None, *range(3000, 6000, 50)])) for i in range(120)]
+    jobs = [(rng.choice(["a", "b", "c", None]), rng.randrange(30), s, rng.choice([None, s + 500]), 2) for s in (rng.randrange(1000, 3000) for _ in range(40))]
+    j = spark.createDataFrame(jobs, "exec string, instance int, start_s long, stop_s long, vcpu int")
+    b = spark.createDataFrame(boxes, "instance int, vcpu int, launch long, ended long")
+    want = {}
+    for r in cost.machine_rental(j, b, 5000).collect():
+        w = want.setdefault(r.exec, [0, 0, 0, 0])
+        for i, x in enumerate((1, r.jobs == 0, r.rented_vcpu_s or 0, r.allocated_vcpu_s)):
+            w[i] += x
+    got = {r.exec: [r.boxes, r.unused, r.rented_vcpu_s or 0, r.allocated_vcpu_s] for r in cost.rental_totals(j, b, 5000, block_s=block_s).collect()}
+    assert got == want and any(w[1] for w in want.values())
+    assert cost.rental_totals(j, b.limit(0), 5000).count() == 0
