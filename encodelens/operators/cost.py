@@ -53,20 +53,24 @@ def cost_rollup(costs: DataFrame) -> DataFrame:
     return out.withColumn("total", F.round(sum(F.col(p) for p in billed), 4))
 
 
-def _rented(jobs: DataFrame, instances: DataFrame, now: int, margin: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Boxes that ran jobs, by exec; boxes that ran none; and each exec's span, with its margin, in which a box counts as its own."""
+def _rented(jobs: DataFrame, instances: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """Boxes that ran jobs, by exec, and boxes that ran none."""
     j = jobs.withColumn("stop", F.coalesce("stop_s", F.lit(now)))
     used = j.groupBy("exec", "instance").agg(F.min("start_s").alias("first_job"), F.max("stop").alias("last_job"), F.count(F.lit(1)).alias("jobs"), F.sum((F.col("stop") - F.col("start_s")) * F.col("vcpu")).alias("allocated_vcpu_s"))
     box = instances.select("instance", F.col("vcpu").alias("box_vcpu"), "launch", F.coalesce("ended", F.lit(now)).alias("end"))
     used = used.join(box, "instance")
-    windows = used.groupBy("exec").agg((F.min("launch") - margin).alias("lo"), (F.max("last_job") + margin).alias("hi"))
-    return used, box.join(used.select("instance").distinct(), "instance", "left_anti"), windows
+    return used, box.join(used.select("instance").distinct(), "instance", "left_anti")
 
 
 def _life() -> Column:
     return F.greatest(F.col("end") - F.col("launch"), F.lit(0))
 
 
+def _span(margin: int) -> list[Column]:
+    """The ends of an exec's span, in which the launch of a box without jobs makes the box its own."""
+    return [(F.min("launch") - margin).alias("lo"), (F.max("last_job") + margin).alias("hi")]
+
+
 def machine_rental(jobs: DataFrame, instances: DataFrame, now: int, margin: int = 120, bucket_s: int = 3600) -> DataFrame:
     """Per exec and instance: life, idle before and after, busy and allocated vCPU seconds; unused boxes launched meanwhile.
 
@@ -74,8 +78,8 @@ def machine_rental(jobs: DataFrame, instances: DataFrame, now: int, margin: int
     `margin` after its last stop. The execs' windows meet launches by buckets of time, not as a product; the pairs are
     what is asked for here. rental_totals has their sums without them.
     """
-    used, free, windows = _rented(jobs, instances, now, margin)
-    windows = windows.withColumn("_at", F.explode(F.sequence(F.floor(F.col("lo") / bucket_s), F.floor(F.col("hi") / bucket_s))))
+    used, free = _rented(jobs, instances, now)
+    windows = used.groupBy("exec").agg(*_span(margin)).withColumn("_at", F.explode(F.sequence(F.floor(F.col("lo") / bucket_s), F.floor(F.col("hi") / bucket_s))))
     unused = free.withColumn("_at", F.floor(F.col("launch") / bucket_s)).join(windows, "_at").where(F.col("launch").between(F.col("lo"), F.col("hi")))
     none = lambda n: F.lit(None).cast("long").alias(n)
     unused = unused.select("instance", "exec", none("first_job"), none("last_job"), F.lit(0).cast("long").alias("jobs"), F.lit(0).cast("long").alias("allocated_vcpu_s"), "box_vcpu", "launch", "end")
@@ -93,12 +97,14 @@ def rental_totals(jobs: DataFrame, instances: DataFrame, now: int, margin: int =
     run through time with the launches and read running sums, in blocks of block_s seconds into which the sums of
     earlier blocks are carried, so that execs and boxes make no pairs and no block is the whole of time.
     """
-    used, free, windows = _rented(jobs, instances, now, margin)
+    used, free = _rented(jobs, instances, now)
     rent = _life() * F.col("box_vcpu")
-    own = used.groupBy("exec").agg(F.count(F.lit(1)).alias("boxes"), F.sum(rent).alias("rent"), F.sum("allocated_vcpu_s").alias("allocated_vcpu_s"))
-    # at one second, the start of a span comes before the launches, its end after them
-    mark = lambda t, place, sign: F.struct(F.col(t).cast("long").alias("t"), F.lit(place).alias("place"), F.lit(sign).alias("sign"))
-    marks = windows.select("exec", F.inline(F.array(mark("lo", 0, -1), mark("hi", 2, 1))))
+    figures = [F.count(F.lit(1)).alias("boxes"), F.sum(rent).alias("rent"), F.sum("allocated_vcpu_s").alias("allocated")]
+    own = used.groupBy("exec").agg(F.struct(*figures).alias("own"), *_span(margin))
+    # at one second, the start of a span comes before the launches, its end after them; a span without both ends holds none
+    real = F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False))
+    mark = lambda t, place, sign: F.struct(F.when(real, F.col(t)).otherwise(0).cast("long").alias("t"), F.lit(place).alias("place"), F.when(real, sign).otherwise(0).alias("sign"))
+    marks = own.select("exec", "own", F.inline(F.array(mark("lo", 0, -1), mark("hi", 2, 1))))
     launches = free.where("launch is not null").select(F.col("launch").cast("long").alias("t"), F.lit(1).alias("place"), F.lit(1).cast("long").alias("n"), rent.cast("long").alias("rent"))
     both = marks.unionByName(launches, allowMissingColumns=True).withColumn("block", F.floor(F.col("t") / block_s))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
@@ -107,10 +113,9 @@ def rental_totals(jobs: DataFrame, instances: DataFrame, now: int, margin: int =
     blocks = blocks.select("block", zero(F.sum("n").over(earlier)).alias("n_before"), zero(F.sum("rent").over(earlier)).alias("rent_before"))
     here = W.partitionBy("block").orderBy("t", "place").rangeBetween(W.unboundedPreceding, W.currentRow)
     up_to = both.withColumns({"n": zero(F.sum("n").over(here)), "rent": zero(F.sum("rent").over(here))}).where("sign is not null").join(blocks, "block")
-    spans = up_to.groupBy("exec").agg(F.sum(F.col("sign") * (F.col("n") + F.col("n_before"))).alias("unused"), F.sum(F.col("sign") * (F.col("rent") + F.col("rent_before"))).alias("more"))
-    spans = spans.withColumnRenamed("exec", "_exec")
-    out = own.join(spans, F.col("exec").eqNullSafe(F.col("_exec")), "left")
-    return out.select("exec", (F.col("boxes") + zero(F.col("unused"))).alias("boxes"), zero(F.col("unused")).alias("unused"), (F.col("rent") + zero(F.col("more"))).alias("rented_vcpu_s"), "allocated_vcpu_s")
+    sums = [F.sum(F.col("sign") * (F.col(c) + F.col(f"{c}_before"))) for c in ("n", "rent")]
+    out = up_to.groupBy("exec").agg(F.max("own").alias("own"), sums[0].alias("unused"), sums[1].alias("more"))
+    return out.select("exec", (F.col("own.boxes") + F.col("unused")).alias("boxes"), "unused", (zero(F.col("own.rent")) + F.col("more")).alias("rented_vcpu_s"), F.col("own.allocated").alias("allocated_vcpu_s"))
 
 
 def rental_attribution(totals: DataFrame) -> DataFrame:
