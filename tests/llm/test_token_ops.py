@@ -204,6 +204,36 @@ def test_vectors(spark, block, cell):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_exact(spark):
+    """With as many probes as cells every pair is found, however small the cells are."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 16))
+    rows = [(i, (centre[i % 12] + rng.normal(size=16) * rng.choice([0.05, 0.25])).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, rows_a_cell=8, block=32, probes=4096).collect()}
+    assert got == brute_vectors(rows)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_of_many_copies(spark, kind):
+    """Equal vectors, -0 and 0 alike, are compared once and count in full, their own and their neighbours' links too."""
+    rng = np.random.default_rng(9)
+    hot, other = [1.0, 0.0, 0.5, 0.25], [1.0, -0.0, 0.5, 0.3125]
+    rows = [(i, hot if i % 3 == 0 else other if i % 3 == 1 else rng.integers(-4, 5, 4).astype(float).tolist()) for i in range(600)]
+    rows += [(1000 + i, [1.0, -0.0, 0.5, 0.25]) for i in range(20)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, block=16, rows_a_cell=10_000).collect()}
+    assert got == brute_vectors(rows) and got[0][0] > 400
+
+
+def test_nearest():
+    rng = np.random.default_rng(4)
+    rows, centres = rng.normal(size=(101, 5)), vectors.unit(rng.normal(size=(37, 5)))[0]
+    want = np.argsort(-(vectors.unit(rows)[0] @ centres.T), axis=1, kind="stable")
+    for probes in (1, 6, 37, 99):
+        assert (vectors.nearest(rows, centres, probes, cells_at_once=100) == want[:, :probes]).all()
+
+
 def test_vectors_repeats(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (3, [0.0, 1.0]), (None, [1.0, 0.0]), (4, [0.0, 2.0]), (3, None), (5, [1.0, 0.0, 0.0])]
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
