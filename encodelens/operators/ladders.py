@@ -132,6 +132,25 @@ def speed_lookup(learned: DataFrame) -> DataFrame:
     return learned.groupBy("codec", "height").agg(F.round(F.avg("speed"), 4).alias("mean"), F.round(F.avg(F.when(local, F.col("speed"))), 4).alias("local_mean"), F.round(F.min(F.when(local, F.col("speed"))), 4).alias("local_slowest"), F.sum("n").alias("n"))
 
 
+def batch_source(files: DataFrame) -> DataFrame:
+    """What a request of several files (request, pos, duration, width, fps, limit_s) is quoted on: duration, src_width, fps, files.
+
+    Durations that are known, over 0, are summed; a limit in seconds, as text, caps what is encoded at as often itself as
+    there are files, those of unknown duration too, and one that is no number over 0 is none. Width and frame rate are those
+    of the first file of known duration and width; without one the width is 0 and the rate that of the last file of known
+    duration. A request none of whose durations is known has no row.
+    """
+    known = F.coalesce(F.col("duration") > 0, F.lit(False))
+    wide = known & F.coalesce(F.col("width") > 0, F.lit(False))
+    limit = F.max(F.expr("try_cast(limit_s as double)"))
+    a = files.groupBy("request").agg(
+        F.sum(F.when(known, F.col("duration"))).alias("sum"), F.count(F.lit(1)).alias("files"), limit.alias("limit"),
+        F.min_by(F.struct(F.col("width").alias("w"), F.col("fps").alias("f")), F.when(wide, F.col("pos"))).alias("first"), F.max_by("fps", F.when(known, F.col("pos"))).alias("last"),
+    ).where("sum > 0")
+    most = F.when(F.col("limit") > 0, F.col("limit") * F.col("files"))
+    return a.select("request", F.least("sum", most).alias("duration"), F.coalesce("first.w", F.lit(0)).alias("src_width"), F.when(F.col("first").isNotNull(), F.col("first.f")).otherwise(F.col("last")).alias("fps"), "files")
+
+
 def cloud_quote(rungs: DataFrame, edge_s: float = 116.0, packing: float = 0.91, spot: float = 0.014, ondemand: float = 0.036, cap: int = 48) -> DataFrame:
     """Per request: allocated and machine vCPU hours, fleet, spot and on-demand dollars, idle share, output GB and egress.
 

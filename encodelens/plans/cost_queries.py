@@ -308,6 +308,25 @@ def _(v):
     return ladders.cloud_quote(requested(v))
 
 
+_FILES = {
+    "request": "l_suppkey", "pos": "l_orderkey * 10 + l_linenumber", "duration": "cast(l_quantity as double) * 1.75 - 8.75", "width": "case l_linenumber when 1 then 0 when 2 then 1280 when 3 then 1920 else 3840 end",
+    "fps": "case l_returnflag when 'A' then 24 when 'N' then 30 else 60 end", "limit_s": "case l_suppkey % 4 when 0 then '20.5' when 1 then 'all' when 2 then '' end",
+}
+
+
+@query("O73_batch_quote", _W + f"""
+, files as (select {", ".join(f"{x} as {n}" for n, x in _FILES.items())} from lineitem),
+b as (select request, sum(duration) filter (where duration > 0) as total, count(*) as files, max(try_cast(limit_s as double)) as lim,
+  coalesce(arg_min(width, pos) filter (where duration > 0 and width > 0), 0) as src_width from files group by request),
+batch as (select r.* replace (least(total, case when lim > 0 then lim * files end) as duration, b.src_width as src_width), files from requests r join b using (request) where total > 0)
+""" + JOINED.replace("requests q", "batch q").replace("r.width <= q.src_width", "q.src_width <= 0 or r.width <= q.src_width") + LEARNED + SPEED + CLOUD + "select cloud.*, batch.files, round(batch.duration, 4) as duration from cloud join batch using (request)")
+def _(v):
+    batch = ladders.batch_source(v.lineitem.selectExpr(*[f"{x} as {n}" for n, x in _FILES.items()]))
+    asked = v.requests.drop("duration", "src_width").join(batch.drop("fps"), "request")
+    rungs = ladders.with_speed(ladders.resolve_rungs(v.rungs, asked), learned(v), ladders.CLOUD_MACHINE)
+    return ladders.cloud_quote(rungs).join(asked.select("request", "files", F.round("duration", 4).alias("duration")), "request")
+
+
 @query("O75_local_makespan", QUOTE + LOCAL + "select * from local")
 def _(v):
     return ladders.local_makespan(requested_locally(v))

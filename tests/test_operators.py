@@ -461,3 +461,16 @@ def test_rental_totals_are_the_sums_of_the_rentals(spark, block_s):
     got = {r.exec: [r.boxes, r.unused, r.rented_vcpu_s or 0, r.allocated_vcpu_s] for r in cost.rental_totals(j, b, 5000, block_s=block_s).collect()}
     assert got == want and any(w[1] for w in want.values())
     assert cost.rental_totals(j, b.limit(0), 5000).count() == 0
+
+
+def test_batch_source(spark):
+    """Several files with a limit a file; unknown durations count for the limit alone; the first known width."""
+    rows = [
+        ("sum", 0, 100.0, 1920, 30, None), ("sum", 1, 50.0, 1280, 60, None), ("cap", 0, 100.0, 1920, 30, "20"), ("cap", 1, None, 1280, 60, "20"), ("cap", 2, -1.0, 1280, 60, "20"),
+        ("long", 0, 10.0, 1920, 30, "20"), ("long", 1, 15.0, 1920, 30, "20"), ("bad", 0, 10.0, 0, 24, "x"), ("bad", 1, 10.0, 1280, 60, "x"), ("none", 0, 0.0, 1920, 30, None),
+        ("blind", 0, 10.0, 0, 24, "0"), ("blind", 1, 10.0, None, 60, "0"), ("blind", 2, None, 1920, 50, "0"),
+    ]
+    got = ladders.batch_source(spark.createDataFrame(rows, "request string, pos int, duration double, width int, fps int, limit_s string")).collect()
+    assert {r.request: (r.duration, r.src_width, r.fps, r.files) for r in got} == {
+        "sum": (150.0, 1920, 30, 2), "cap": (60.0, 1920, 30, 3), "long": (25.0, 1920, 30, 2), "bad": (20.0, 1280, 60, 2), "blind": (20.0, 0, 60, 3),
+    }
