@@ -309,8 +309,8 @@ def _(v):
 
 
 _FILES = {
-    "request": "l_suppkey", "pos": "l_orderkey * 10 + l_linenumber", "duration": "cast(l_quantity as double) * 1.75 - 8.75", "width": "case l_linenumber when 1 then 0 when 2 then 1280 when 3 then 1920 else 3840 end",
-    "fps": "case l_returnflag when 'A' then 24 when 'N' then 30 else 60 end", "limit_s": "case l_suppkey % 4 when 0 then '20.5' when 1 then 'all' when 2 then '' end",
+    "request": "l_suppkey", "pos": "l_orderkey * 10 + l_linenumber", "duration": "cast(l_quantity as double) * 1.7531 - 8.7655", "width": "case l_linenumber when 1 then 0 when 2 then 1280 when 3 then 1920 else 3840 end",
+    "fps": "case l_returnflag when 'A' then 24 when 'N' then 30 else 60 end", "limit_s": "case l_suppkey % 4 when 0 then '20.537' when 1 then 'all' when 2 then '' end",
 }
 
 
