@@ -49,9 +49,26 @@ def resolve_rungs(rungs: DataFrame, requests: DataFrame | None = None, min_heigh
     out = rungs.withColumn("label", label).where(F.col("height").between(min_height, max_height))
     if overrides:
         out = out.withColumn("kbps", F.coalesce(S.lookup(overrides, F.col("height")).cast(rungs.schema["kbps"].dataType), F.col("kbps")))
-    if requests is None:
-        return out
-    return requests.join(out, "ladder").where((F.coalesce("src_width", F.lit(0)) <= 0) | (F.col("width") <= F.col("src_width")))
+    return out if requests is None else for_requests(out, requests)
+
+
+def for_requests(rungs: DataFrame, requests: DataFrame) -> DataFrame:
+    """A row per request and rung of its ladder; rungs wider than the source go, unless its width is unknown."""
+    return requests.join(rungs, "ladder").where((F.coalesce("src_width", F.lit(0)) <= 0) | (F.col("width") <= F.col("src_width")))
+
+
+def rung_groups(rungs: DataFrame) -> DataFrame:
+    """A ladder's rungs of equal codec and size as one row: `n`, how many they are, and `kbps`, their rates summed.
+
+    Figures summed over the rungs of a request (quotes, makespans, plans) take these rows as they take single rungs, so
+    that requests meet the few sizes of a ladder and not each of its rungs.
+    """
+    return rungs.groupBy("ladder", "codec", "width", "height").agg(F.count(F.lit(1)).alias("n"), F.sum("kbps").alias("kbps"))
+
+
+def _number(rungs: DataFrame) -> Column:
+    """How many rungs a row stands for: 1, but for rung_groups."""
+    return F.col("n") if "n" in rungs.columns else F.lit(1).cast("long")
 
 
 def band_gate(rungs: DataFrame, min_height: int, max_height: int) -> DataFrame:
@@ -98,7 +115,7 @@ def saas_quote(rungs: DataFrame, rate_table: DataFrame) -> DataFrame:
     The multiplier is of frame rate and source bit rate (commercial), double over 30 frames a second (mediaconvert), or
     of two passes (bitmovin). Rungs of equal codec and height are priced once. Audio counts where has_audio is true.
     """
-    t = rungs.groupBy("request", "duration", "fps", "two_pass", "src_mbps", "has_audio", "codec", "height").agg(F.count(F.lit(1)).alias("n"))
+    t = rungs.groupBy("request", "duration", "fps", "two_pass", "src_mbps", "has_audio", "codec", "height").agg(F.sum(_number(rungs)).alias("n"))
     t = tier_rates(t, rate_table)
     mult = F.when(F.col("vendor") == "commercial", S.fps_mult(F.col("fps")) * S.bitrate_mult(F.col("src_mbps")))
     mult = mult.when((F.col("vendor") == "mediaconvert") & (F.col("fps") > 30), 2.0).when((F.col("vendor") == "bitmovin") & F.col("two_pass"), 1.25).otherwise(1.0)
@@ -157,7 +174,7 @@ def cloud_quote(rungs: DataFrame, edge_s: float = 116.0, packing: float = 0.91,
     rungs carry speed. Allocation is duration / speed times the reservation; the fleet is what the widest moment
     could use, up to a cap.
     """
-    v = S.vcpu_for(F.col("codec"), F.col("height"))
+    v = S.vcpu_for(F.col("codec"), F.col("height")) * _number(rungs)
     r = rungs.groupBy("request", "duration").agg(F.sum(F.col("duration") / F.col("speed") * v / 3600).alias("alloc"), F.sum(v).alias("wave"), F.sum(F.col("kbps") * F.col("duration") * 1000 / 8 / 1e9).alias("gb"))
     fleet = F.least(F.col("wave"), F.lit(cap))
     machine = F.col("alloc") / packing + fleet * edge_s / 3600
@@ -181,8 +198,9 @@ def estimate_rows(requests: DataFrame, quotes: DataFrame, cloud: DataFrame, loca
 def local_makespan(rungs: DataFrame, cores: int = LOCAL_CORES) -> DataFrame:
     """Per request: the larger of all core seconds over the cores and the longest rung's, which counts up to 240 s."""
     wall = F.col("duration") / F.col("speed")
-    c = wall * S.vcpu_for(F.col("codec"), F.col("height"))
-    out = rungs.groupBy("request").agg(F.greatest(F.sum(c) / cores, F.max(F.least(wall, F.lit(LOCAL_FLOOR)))).alias("w"), F.count_if(F.col("learned_n") > 0).alias("learned"), F.count(F.lit(1)).alias("rungs"))
+    n = _number(rungs)
+    c = wall * S.vcpu_for(F.col("codec"), F.col("height")) * n
+    out = rungs.groupBy("request").agg(F.greatest(F.sum(c) / cores, F.max(F.least(wall, F.lit(LOCAL_FLOOR)))).alias("w"), F.sum(F.when(F.col("learned_n") > 0, n).otherwise(F.lit(0).cast("long"))).alias("learned"), F.sum(n).alias("rungs"))
     return out.select("request", F.round("w", 4).alias("wall_s"), "learned", "rungs")
 
 
@@ -275,8 +293,10 @@ def plan_fit(rungs: DataFrame, segment: float = 6.0) -> DataFrame:
     least advised fixed length whose history fits, null if none does."""
     step = F.lit(float(grid_of(segment)))
     n, d = planned_chunks(F.col("duration"), F.col("chunk"), step), F.col("duration")
-    tries = [F.sum(planned_chunks(d, F.lit(float(s)), step)).alias(f"_{s}") for s in ADVISED_S]
-    r = rungs.groupBy("request").agg(F.sum(n).alias("chunks"), F.sum(plan_bytes(d, F.col("chunk"), step)).alias("bytes"), F.sum(n * S.vcpu_for(F.col("codec"), F.col("height"))).alias("peak_vcpu"), *tries)
+    many = _number(rungs)
+    n = n * many
+    tries = [F.sum(planned_chunks(d, F.lit(float(s)), step) * many).alias(f"_{s}") for s in ADVISED_S]
+    r = rungs.groupBy("request").agg(F.sum(n).alias("chunks"), F.sum(plan_bytes(d, F.col("chunk"), step) * many).alias("bytes"), F.sum(n * S.vcpu_for(F.col("codec"), F.col("height"))).alias("peak_vcpu"), *tries)
     events = F.col("chunks") * EVENTS_A_CHUNK
     long, large = events > HISTORY, F.col("bytes") > int(INPUT_BYTES * INPUT_SHARE)
     fails = F.when(long & large, "history and input").when(long, "history").when(large, "input")
@@ -297,7 +317,7 @@ def chunk_budget_sweep(rungs: DataFrame, budget: int = 2500, segment: float = 6.
     between down to a second; if none fits, the largest tried stands with its count. Rungs of equal speed are counted
     once, so a request is one row with as many numbers as it has codecs and heights, and searches in that row.
     """
-    r = rungs.groupBy("request", "duration", "speed").agg(F.count(F.lit(1)).alias("n"))
+    r = rungs.groupBy("request", "duration", "speed").agg(F.sum(_number(rungs)).alias("n"))
     r = r.groupBy("request", "duration").agg(F.collect_list(F.struct("speed", "n")).alias("rungs"))
     step = F.lit(float(grid_of(segment)))
 

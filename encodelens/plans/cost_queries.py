@@ -234,9 +234,14 @@ quotes as (select request, vendor, rungs, round((a + case when not has_audio the
 """
 
 
+def grouped(v):
+    """Requests with the sizes of their ladders, for figures that are summed over rungs."""
+    return ladders.for_requests(ladders.rung_groups(v.rungs), v.requests)
+
+
 @query("O72_saas_quote", RATED + JOINED + QUOTES + "select * from quotes")
 def _(v):
-    return ladders.saas_quote(ladders.resolve_rungs(v.rungs, v.requests), ladders.rates(v.spark))
+    return ladders.saas_quote(grouped(v), ladders.rates(v.spark))
 
 
 LEARNED = """
@@ -267,12 +272,12 @@ def learned(v):
     return fleet.speed_ewma(speed_samples(v), digits=6)
 
 
-def requested(v):
-    return ladders.with_speed(ladders.resolve_rungs(v.rungs, v.requests), learned(v), ladders.CLOUD_MACHINE)
+def requested(v, speeds=None):
+    return ladders.with_speed(grouped(v), speeds or learned(v), ladders.CLOUD_MACHINE)
 
 
-def requested_locally(v):
-    return ladders.with_local_speed(ladders.resolve_rungs(v.rungs, v.requests), learned(v))
+def requested_locally(v, speeds=None):
+    return ladders.with_local_speed(grouped(v), speeds or learned(v))
 
 
 _W = "with nothing as (select 1)"
@@ -323,7 +328,7 @@ batch as (select r.* replace (least(total, case when lim > 0 then lim * files en
 def _(v):
     batch = ladders.batch_source(v.lineitem.selectExpr(*[f"{x} as {n}" for n, x in _FILES.items()]))
     asked = v.requests.drop("duration", "src_width").join(batch.drop("fps"), "request")
-    rungs = ladders.with_speed(ladders.resolve_rungs(v.rungs, asked), learned(v), ladders.CLOUD_MACHINE)
+    rungs = ladders.with_speed(ladders.for_requests(ladders.rung_groups(v.rungs), asked), learned(v), ladders.CLOUD_MACHINE)
     return ladders.cloud_quote(rungs).join(asked.select("request", "files", F.round("duration", 4).alias("duration")), "request")
 
 
@@ -335,7 +340,7 @@ def _(v):
 @query("O87_predicted_wall_rank", QUOTE + """
 select request, codec, pos, height, round(duration / speed, 4) as wall_s, row_number() over (partition by request order by round(duration / speed, 6) desc, codec = 'hevc' desc, pos) as rank from sp""")
 def _(v):
-    return ladders.predicted_wall_rank(requested(v))
+    return ladders.predicted_wall_rank(ladders.with_speed(ladders.resolve_rungs(v.rungs, v.requests), learned(v), ladders.CLOUD_MACHINE))
 
 
 @query("O131_estimate_rows", RATED + JOINED + QUOTES + LEARNED + SPEED + CLOUD + LOCAL + """
@@ -345,8 +350,9 @@ select r.request, r.local, spot_usd, ondemand_usd, round(100 * idle, 4) as idle_
   commercial_usd, mediaconvert_usd, coconut_usd, bitmovin_usd, wall_s as local_wall_s, learned as local_wall_learned, l.rungs as local_wall_rungs
 from requests r left join cloud using (request) left join local l using (request) left join p using (request)""")
 def _(v):
-    quotes = ladders.saas_quote(ladders.resolve_rungs(v.rungs, v.requests), ladders.rates(v.spark))
-    return ladders.estimate_rows(v.requests, quotes, ladders.cloud_quote(requested(v)), ladders.local_makespan(requested_locally(v)))
+    quotes = ladders.saas_quote(grouped(v), ladders.rates(v.spark))
+    speeds = learned(v)
+    return ladders.estimate_rows(v.requests, quotes, ladders.cloud_quote(requested(v, speeds)), ladders.local_makespan(requested_locally(v, speeds)))
 
 
 PLAN = """

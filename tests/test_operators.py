@@ -474,3 +474,32 @@ def test_batch_source(spark):
     assert {r.request: (r.duration, r.src_width, r.fps, r.files) for r in got} == {
         "sum": (150.0, 1920, 30, 2), "cap": (60.0, 1920, 30, 3), "long": (25.0, 1920, 30, 2), "bad": (20.0, 1280, 60, 2), "blind": (20.0, 0, 60, 3),
     }
+
+
+def test_rung_groups_give_the_figures_of_their_rungs(spark):
+    """A request meets a row per size of its ladder, whatever the number of its rungs, and every summed figure stays."""
+    sizes = [("h264", 640, 360), ("hevc", 1280, 720), ("hevc", 1920, 1080), ("av1", 3840, 2160)]
+    rungs = spark.createDataFrame([("L", *sizes[i % 4], i, 100 + i) for i in range(400)], "ladder string, codec string, width int, height int, pos int, kbps int")
+    asked = [(1, "L", 1920, 700.0, 30, True, 60.0, True), (2, "L", 0, 95.5, 60, False, 20.0, False), (3, "L", 640, 5000.0, 24, False, 20.0, True)]
+    requests = spark.createDataFrame(asked, "request int, ladder string, src_width int, duration double, fps int, two_pass boolean, src_mbps double, has_audio boolean")
+    learned = spark.createDataFrame([("graviton", "hevc", 720, 2.5, 3), ("mac", "h264", 360, 0.7, 2)], "machine string, codec string, height int, speed double, n long")
+    one, many = ladders.resolve_rungs(rungs, requests), ladders.for_requests(ladders.rung_groups(rungs), requests)
+    assert many.count() == 3 + 4 + 1
+    figures = [
+        lambda r: ladders.saas_quote(r, ladders.rates(spark)), lambda r: ladders.cloud_quote(ladders.with_speed(r, learned, "graviton")), lambda r: ladders.local_makespan(ladders.with_local_speed(r, learned)),
+        lambda r: ladders.chunk_budget_sweep(ladders.with_speed(r, learned, "graviton"), budget=300), lambda r: ladders.plan_fit(r.withColumn("chunk", F.lit(12.0))),
+    ]
+    for f in figures:
+        a, b = [sorted(map(tuple, f(r).collect()), key=str) for r in (one, many)]
+        assert a and [[pytest.approx(x, abs=2e-4) if isinstance(x, float) else x for x in r] for r in a] == [list(r) for r in b]
+
+
+def test_quotes_meet_the_sizes_of_a_ladder(spark, data):
+    from encodelens.plans import cost_queries
+    from encodelens.plans.views import Views
+
+    v = Views(spark, data)
+    met = cost_queries.grouped(v)
+    sizes = v.rungs.select("ladder", "codec", "width", "height").distinct().groupBy("ladder").count()
+    assert met.groupBy("request").count().agg(F.max("count")).first()[0] <= sizes.agg(F.max("count")).first()[0]
+    assert met.agg(F.sum("n")).first()[0] == v.requests.join(v.rungs, "ladder").where("width <= src_width").count()
