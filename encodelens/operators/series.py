@@ -32,24 +32,41 @@ def autocorrelation(residuals: DataFrame, max_lag: int, value: str = "residual",
     arrays, and the sums meet per lag. So a frame is sent twice at most, whatever the lags, and a long series is shared by
     tasks. Missing frames count 0.
     """
+    d, den = _deviations(residuals, value)
+    return _correlated(_products(d, ["series"], max_lag, block), den, ["series"])
+
+
+def _deviations(residuals: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of a series with d, their distance from its mean, and per series den, the sum of its squares, and n.
+
+    Tables of a row a series grow with the input, so they meet others by shuffle and none is sent through the driver.
+    """
     mean = residuals.groupBy("series").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("n"))
-    d = residuals.join(mean, "series").select("series", "frame", (F.col(value) - F.col("_m")).alias("d"), "n")
-    den = d.groupBy("series").agg(F.sum(F.col("d") * F.col("d")).alias("den"), F.first("n").alias("n"))
+    d = residuals.join(mean.hint("merge"), "series").select("series", "frame", (F.col(value) - F.col("_m")).alias("d"), "n")
+    return d.drop("n"), d.groupBy("series").agg(F.sum(F.col("d") * F.col("d")).alias("den"), F.first("n").alias("n"))
+
+
+def _products(d: DataFrame, keys: list[str], max_lag: int, block: int) -> DataFrame:
+    """(keys, lag, s): the sums of products of deviations that are lag frames apart, of d (keys, frame, d)."""
     size = max(block, max_lag + 1)
     own = F.floor(F.col("frame") / size)
-    d = d.select("series", "frame", "d", F.explode(F.when(F.col("frame") - own * size < max_lag, F.array(own - 1, own)).otherwise(F.array(own))).alias("at"))
+    d = d.select(*keys, "frame", "d", F.explode(F.when(F.col("frame") - own * size < max_lag, F.array(own - 1, own)).otherwise(F.array(own))).alias("at"))
     # a frame stands for itself and, with 0, for those missing behind it
-    gap = F.lead("frame").over(W.partitionBy("series", "at").orderBy("frame")) - F.col("frame") - 1
+    gap = F.lead("frame").over(W.partitionBy(*keys, "at").orderBy("frame")) - F.col("frame") - 1
     zeros = F.array_repeat(F.lit(0.0), F.coalesce(gap, F.lit(0)).cast("int"))
     d = d.withColumn("x", F.concat(F.array("d"), zeros)).withColumn("mine", F.when(F.floor(F.col("frame") / size) == F.col("at"), F.least(F.size("x"), ((F.col("at") + 1) * size - F.col("frame")).cast("int"))).otherwise(0))
-    b = d.groupBy("series", "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda r: r["x"])).alias("x"), F.sum("mine").cast("int").alias("own")).where("own > 0")
+    b = d.groupBy(*keys, "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda r: r["x"])).alias("x"), F.sum("mine").cast("int").alias("own")).where("own > 0")
 
     def shifted(lag: Column) -> Column:
         products = F.zip_with(F.slice("x", 1, F.col("own")), F.slice("x", lag + 1, F.col("own")), lambda a, c: a * F.coalesce(c, F.lit(0.0)))
         return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + F.coalesce(p, F.lit(0.0)))
 
-    s = b.select("series", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max_lag)), shifted)).alias("lag", "s")).groupBy("series", "lag").agg(F.sum("s").alias("s"))
-    return s.join(den, "series").where("lag < n").select("series", "lag", F.round(F.when(F.col("den") > 0, F.col("s") / F.col("den")).otherwise(F.lit(0.0)), 6).alias("r"))
+    return b.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max_lag)), shifted)).alias("lag", "s")).groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+
+
+def _correlated(products: DataFrame, den: DataFrame, keys: list[str]) -> DataFrame:
+    r = F.round(F.when(F.col("den") > 0, F.col("s") / F.col("den")).otherwise(F.lit(0.0)), 6)
+    return products.join(den.hint("merge"), "series").where("lag < n").select(*keys, "lag", r.alias("r"))
 
 
 def fundamental_period(acf: DataFrame, min_lag: int = 2, tol: int = 2) -> DataFrame:
@@ -104,14 +121,21 @@ def pulse_diagnose(folded: DataFrame, buckets: int) -> DataFrame:
     return a.select("series", F.round("amplitude", 6).alias("amplitude"), F.round(idr - every, 6).alias("idr_delta"), F.round(late - after, 6).alias("recovery"), verdict.alias("verdict"))
 
 
-def permutation_significance(frames: DataFrame, max_lag: int, trials: int = 20, seed: int = 1, value: str = "score") -> DataFrame:
-    """Per series the percent of shuffled copies whose greatest autocorrelation from lag 2 on is under the observed."""
-    seen = autocorrelation(frames, max_lag, value).where("lag >= 2").groupBy("series").agg(F.max("r").alias("observed"))
-    t = frames.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    by = W.partitionBy("series", "trial").orderBy(F.xxhash64(F.lit(seed), "trial", "frame"))
-    t = t.withColumn("frame", F.row_number().over(by) - 1).withColumn("series", F.struct("series", "trial"))
-    r = autocorrelation(t, max_lag, value).where("lag >= 2").groupBy("series").agg(F.max("r").alias("r")).select("series.series", "r")
-    return r.join(seen, "series").groupBy("series").agg(F.round(100 * F.avg((F.col("r") < F.col("observed")).cast("double")), 2).alias("significance"), F.max("observed").alias("observed"))
+def permutation_significance(frames: DataFrame, max_lag: int, trials: int = 20, seed: int = 1, value: str = "score", block: int = 1024) -> DataFrame:
+    """Per series the percent of shuffled copies whose greatest autocorrelation from lag 2 on is under the observed.
+
+    Shuffling changes neither the mean nor the sum of squares, so a copy is the series' deviations in another order, and
+    the series itself is the copy of trial 0, in its own.
+    """
+    d, den = _deviations(frames, value)
+    keys = ["series", "trial"]
+    t = d.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    shuffled = t.where("trial > 0").withColumn("frame", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "trial", "frame"))) - 1)
+    both = t.where("trial = 0").select(*keys, "frame", "d").unionByName(shuffled.select(*keys, "frame", "d"))
+    r = _correlated(_products(both, keys, max_lag, block), den, keys).where("lag >= 2").groupBy(*keys).agg(F.max("r").alias("r"))
+    own = r.groupBy("series").agg(F.max(F.when(F.col("trial") == 0, F.col("r"))).alias("observed"), F.collect_list(F.when(F.col("trial") > 0, F.col("r"))).alias("others"))
+    under = F.aggregate("others", F.lit(0.0), lambda n, x: n + (x < F.col("observed")).cast("double"))
+    return own.where(F.col("observed").isNotNull() & (F.size("others") > 0)).select("series", F.round(100 * (under / F.size("others")), 2).alias("significance"), "observed")
 
 
 def series_summary(frames: DataFrame, gop: int) -> DataFrame:
