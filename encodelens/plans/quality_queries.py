@@ -130,12 +130,12 @@ def _(v):
 
 
 @query("O103_audit_tree", """
-with o as (select output, name, source, case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec, gone as burnin, mtime from outputs where contains(name, 'clip1')), s as (select distinct source from outputs where output % 20 < 15),
+with o as (select output, name, source, case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec, gone as burnin, mtime from outputs), s as (select distinct source from outputs where output % 20 < 15),
 r as (select o.*, case when burnin then 'burn-in' when codec = 'vp9' then 'unknown codec' when s.source is null then 'no source' end as why from o left join s using (source))
 select output, name, source, codec, burnin, mtime, case when why is null and row_number() over (partition by codec, why is null order by mtime desc, output desc) > 1 then 'older' else why end as reason from r""")
 def _(v):
     o = v.outputs.selectExpr("output", "name", "source", "case output % 4 when 0 then 'h264' when 1 then 'hevc' when 2 then 'av1' else 'vp9' end as codec", "gone as burnin", "mtime")
-    return curves.audit_tree(o, v.outputs.where("output % 20 < 15").select("source").distinct(), match="clip1", latest=True)
+    return curves.audit_tree(o, v.outputs.where("output % 20 < 15").select("source").distinct(), latest=True)
 
 
 @query("O133_vmaf_estimates_map", ESTIMATE + """

@@ -526,3 +526,10 @@ def test_trials_send_no_table_through_the_driver(spark):
         xs = scores[r.series]
         assert r.observed == pytest.approx(most(xs), abs=2e-6)
         assert r.significance == 100 * sum(most([xs[f] for f in at[r.series, t]]) < most(xs) for t in range(1, 6)) / 5
+
+
+def test_audit_covers_all_outputs(spark, data):
+    from encodelens.plans.catalog import QUERIES
+    from encodelens.plans.views import Views
+
+    assert QUERIES["O103_audit_tree"](spark, data).count() == Views(spark, data).outputs.count()
