@@ -121,6 +121,16 @@ def seed_speed(codec: Column, height: Column, two_pass: Column, preset: Column,
     return F.greatest(s, F.lit(0.001))
 
 
+def seed_weighted(x: Column, codec: Column, height: Column) -> Column:
+    """x over the seed speed of one pass at the medium preset and 30 frames a second.
+
+    Divided once, as what makes it up is whole but for the codec's share: a quotient by the speed itself is rounded three times.
+    """
+    base = F.coalesce(lookup(SEED, codec), F.lit(SEED["hevc"])) * (1080 * 1080)
+    height = F.when(height > 0, height).otherwise(1080).cast("double")
+    return F.when(height * height > 1000 * base, x * 1000.0).otherwise(x * height * height / base)
+
+
 def _reserved(codec: Column, height: Column, table: Sequence[tuple], at: int) -> Column:
     known = sorted({r[0] for r in table} - {""})
     name = F.when(codec.isin(*known), codec).otherwise(F.lit(""))

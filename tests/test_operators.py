@@ -533,3 +533,10 @@ def test_audit_covers_all_outputs(spark, data):
     from encodelens.plans.views import Views
 
     assert QUERIES["O103_audit_tree"](spark, data).count() == Views(spark, data).outputs.count()
+
+
+def test_seed_weights_are_rounded_once(spark):
+    """10.5 percent at h264 and 1080 lines over a speed of 1.5 is 7, and 540 lines weigh a quarter of that, both exactly."""
+    rows = spark.createDataFrame([("h264", 1080, 10.5), ("h264", 540, 10.5), ("av1", 20000, 10.5)], "codec string, height int, pct double")
+    got = [r[0] for r in rows.select(S.seed_weighted(F.col("pct"), F.col("codec"), F.col("height"))).collect()]
+    assert got == [7.0, 1.75, 10500.0]
