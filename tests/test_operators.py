@@ -540,3 +540,27 @@ def test_seed_weights_are_rounded_once(spark):
     rows = spark.createDataFrame([("h264", 1080, 10.5), ("h264", 540, 10.5), ("av1", 20000, 10.5)], "codec string, height int, pct double")
     got = [r[0] for r in rows.select(S.seed_weighted(F.col("pct"), F.col("codec"), F.col("height"))).collect()]
     assert got == [7.0, 1.75, 10500.0]
+
+
+def test_wall_ranks_of_tied_sizes(spark):
+    """Sizes that tie interleave by position, hevc goes before others that tie, and no pair of a request is shuffled."""
+    sizes = [("h264", 640, 360, 2.0), ("av1", 1280, 720, 2.0), ("hevc", 1280, 720, 2.0), ("h264", 1920, 1080, 0.5)]
+    rungs = spark.createDataFrame([("L", *sizes[i % 4][:3], i, 100) for i in range(80)], "ladder string, codec string, width int, height int, pos int, kbps int")
+    requests = spark.createDataFrame([(1, "L", 1920, 60.0), (2, "L", 1280, 90.0)], "request int, ladder string, src_width int, duration double")
+    speed = spark.createDataFrame([(c, h, s) for c, _, h, s in sizes], "codec string, height int, speed double")
+    groups = ladders.for_requests(ladders.rung_groups(rungs), requests).join(speed, ["codec", "height"])
+    got = sorted((r.request, r.rank, r.pos, r.wall_s) for r in ladders.predicted_wall_rank(groups, rungs).collect())
+    want = []
+    for request, width, duration in ((1, 1920, 60.0), (2, 1280, 90.0)):
+        one = sorted((-duration / sizes[i % 4][3], sizes[i % 4][0] != "hevc", i) for i in range(80) if sizes[i % 4][1] <= width)
+        want += [(request, n, i, -w) for n, (w, _, i) in enumerate(one, 1)]
+    assert got == want
+
+
+def test_all_pairs_are_made_by_many_tasks(spark):
+    rungs = spark.range(400).selectExpr("'L' as ladder", "'h264' as codec", "id as pos", "640 as width", "360 as height", "1 as kbps")
+    requests = spark.range(20).selectExpr("id as request", "'L' as ladder", "640 as src_width")
+    out = ladders.resolve_rungs(rungs, requests)
+    assert out.count() == 8000 and out.select("request", "pos").distinct().count() == 8000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" in plan and "BroadcastExchange" not in plan
