@@ -58,8 +58,7 @@ def _rented(jobs: DataFrame, instances: DataFrame, now: int) -> tuple[DataFrame,
     j = jobs.withColumn("stop", F.coalesce("stop_s", F.lit(now)))
     used = j.groupBy("exec", "instance").agg(F.min("start_s").alias("first_job"), F.max("stop").alias("last_job"), F.count(F.lit(1)).alias("jobs"), F.sum((F.col("stop") - F.col("start_s")) * F.col("vcpu")).alias("allocated_vcpu_s"))
     box = instances.select("instance", F.col("vcpu").alias("box_vcpu"), "launch", F.coalesce("ended", F.lit(now)).alias("end"))
-    used = used.join(box, "instance")
-    return used, box.join(used.select("instance").distinct(), "instance", "left_anti")
+    return used.join(box, "instance"), box.join(jobs.select("instance").distinct(), "instance", "left_anti")
 
 
 def _life() -> Column:
@@ -93,29 +92,32 @@ def machine_rental(jobs: DataFrame, instances: DataFrame, now: int, margin: int
 def rental_totals(jobs: DataFrame, instances: DataFrame, now: int, margin: int = 120, block_s: int = 900) -> DataFrame:
     """Per exec: boxes, boxes without jobs (unused), rented and allocated vCPU seconds; the sums of machine_rental.
 
-    What launched in a span is what launched up to its end less what launched before its start. Both ends of each span
-    run through time with the launches and read running sums, in blocks of block_s seconds into which the sums of
-    earlier blocks are carried, so that execs and boxes make no pairs and no block is the whole of time.
+    What launched in a span is what launched up to its end less what launched before its start. Launches and the ends of
+    spans become one row a second, whose running sums are taken in blocks of block_s seconds into which the sums of earlier
+    blocks are carried; spans then read the sums at their two seconds. So execs and boxes make no pairs, and no task holds
+    more seconds than a block has, however many spans end in it.
     """
     used, free = _rented(jobs, instances, now)
     rent = _life() * F.col("box_vcpu")
     figures = [F.count(F.lit(1)).alias("boxes"), F.sum(rent).alias("rent"), F.sum("allocated_vcpu_s").alias("allocated")]
-    own = used.groupBy("exec").agg(F.struct(*figures).alias("own"), *_span(margin))
-    # at one second, the start of a span comes before the launches, its end after them; a span without both ends holds none
-    real = F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False))
-    mark = lambda t, place, sign: F.struct(F.when(real, F.col(t)).otherwise(0).cast("long").alias("t"), F.lit(place).alias("place"), F.when(real, sign).otherwise(0).alias("sign"))
-    marks = own.select("exec", "own", F.inline(F.array(mark("lo", 0, -1), mark("hi", 2, 1))))
-    launches = free.where("launch is not null").select(F.col("launch").cast("long").alias("t"), F.lit(1).alias("place"), F.lit(1).cast("long").alias("n"), rent.cast("long").alias("rent"))
-    both = marks.unionByName(launches, allowMissingColumns=True).withColumn("block", F.floor(F.col("t") / block_s))
+    own = used.groupBy("exec").agg(*figures, *_span(margin)).withColumns({"lo": F.col("lo").cast("long"), "hi": F.col("hi").cast("long")})
+    real = F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False))  # a span without both ends holds no launch
+    ends = own.where(real).select(F.explode(F.array("lo", "hi")).alias("t"))
+    launches = free.where("launch is not null").select(F.col("launch").cast("long").alias("t"), F.lit(1).cast("long").alias("n"), rent.cast("long").alias("rent"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    seconds = ends.unionByName(launches, allowMissingColumns=True).groupBy("t").agg(zero(F.sum("n")).alias("n"), zero(F.sum("rent")).alias("rent")).withColumn("block", F.floor(F.col("t") / block_s))
     earlier = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block, however many launches
-    blocks = both.groupBy("block").agg(F.sum("n").alias("n"), F.sum("rent").alias("rent"))
+    blocks = seconds.groupBy("block").agg(F.sum("n").alias("n"), F.sum("rent").alias("rent"))
     blocks = blocks.select("block", zero(F.sum("n").over(earlier)).alias("n_before"), zero(F.sum("rent").over(earlier)).alias("rent_before"))
-    here = W.partitionBy("block").orderBy("t", "place").rangeBetween(W.unboundedPreceding, W.currentRow)
-    up_to = both.withColumns({"n": zero(F.sum("n").over(here)), "rent": zero(F.sum("rent").over(here))}).where("sign is not null").join(blocks, "block")
-    sums = [F.sum(F.col("sign") * (F.col(c) + F.col(f"{c}_before"))) for c in ("n", "rent")]
-    out = up_to.groupBy("exec").agg(F.max("own").alias("own"), sums[0].alias("unused"), sums[1].alias("more"))
-    return out.select("exec", (F.col("own.boxes") + F.col("unused")).alias("boxes"), "unused", (zero(F.col("own.rent")) + F.col("more")).alias("rented_vcpu_s"), F.col("own.allocated").alias("allocated_vcpu_s"))
+    here = W.partitionBy("block").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    up_to = seconds.withColumns({"n_to": F.sum("n").over(here), "rent_to": F.sum("rent").over(here)}).join(blocks, "block")
+    n_to, rent_to = F.col("n_to") + F.col("n_before"), F.col("rent_to") + F.col("rent_before")
+    # launches at the second of a span's start are within it, so its start reads what came before that second
+    start = up_to.select(F.col("t").alias("lo"), (n_to - F.col("n")).alias("n_lo"), (rent_to - F.col("rent")).alias("rent_lo"))
+    end = up_to.select(F.col("t").alias("hi"), n_to.alias("n_hi"), rent_to.alias("rent_hi"))
+    within = lambda c: F.when(real, zero(F.col(f"{c}_hi")) - zero(F.col(f"{c}_lo"))).otherwise(0)
+    out = own.join(start, "lo", "left").join(end, "hi", "left").withColumns({"unused": within("n"), "more": within("rent")})
+    return out.select("exec", (F.col("boxes") + F.col("unused")).alias("boxes"), "unused", (zero(F.col("rent")) + F.col("more")).alias("rented_vcpu_s"), F.col("allocated").alias("allocated_vcpu_s"))
 
 
 def rental_attribution(totals: DataFrame) -> DataFrame:
