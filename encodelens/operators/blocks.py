@@ -33,11 +33,25 @@ def cuts(rows: DataFrame, order: str, rows_a_block: int = ROWS_A_BLOCK) -> list:
 
 
 def block_of(order: str | Column, bounds: list) -> Column:
-    """The number of bounds that are not above `order`: equal values share a block, null ones have the first."""
+    """The number of bounds that are not above `order`: equal values share a block, null ones have the first.
+
+    The bounds, in ascending order, are searched by halving, so that a row does not meet each of them.
+    """
     c = F.col(order) if isinstance(order, str) else order
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.aggregate(F.lit(bounds), F.lit(0), lambda n, b: n + (b <= c).cast("int")), F.lit(0))
+    strides = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.lit(strides), F.lit(0), lambda n, s: F.when((n + s <= len(bounds)) & F.coalesce(F.get(F.lit(bounds), n + s - 1) <= c, F.lit(False)), n + s).otherwise(n))
+
+
+def dealt(rows: DataFrame, *by: str, rows_a_task: int = ROWS_A_BLOCK) -> DataFrame:
+    """rows by the hash of `by` in as many parts as hold about rows_a_task each; as they are, if one part does.
+
+    Such a number stands, where adaptive execution would put parts together by their packed bytes, which say little of
+    what a task then sorts and sums up.
+    """
+    parts = -(-rows.count() // rows_a_task)
+    return rows.repartition(parts, *by) if parts > 1 else rows
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
@@ -66,12 +80,16 @@ def fold_in_blocks(
     step(state, row) -> (state, row of schema or None). effect(rows of a block) -> a small summary, and
     through(state, summary) -> the state after the block, which must be what step would reach. finish(state) gives a last
     row for a key. The first column of `order` is a number that cuts keys into blocks; rows that are equal in it share
-    one. A key that holds any share of all rows is spread over as many tasks as it has blocks. A null key is a key.
+    one. A key that holds any share of all rows is spread over as many tasks as it has blocks; one of up to rows_a_block
+    rows is a block, whose start is known, so that only larger ones, of which there are few, are summed up. A null key is a key.
     """
-    bounds = cuts(rows, order[0], rows_a_block)
+    large = [k for (k,) in rows.groupBy(key).count().where(F.col("count") > rows_a_block).select(key).collect()]
+    known = [k for k in large if k is not None]
+    is_large = F.coalesce(F.col(key).isin(known), F.lit(None in large)) if large else F.lit(False)
+    bounds = cuts(rows.where(is_large), order[0], rows_a_block) if large else []
     kind = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
     cols = rows.columns
-    blocks = rows.select(F.col(key).alias("_key"), block_of(order[0], bounds).alias("_block"), F.lit(None).cast("binary").alias("_state"), F.lit(False).alias("_last"), F.lit(1).alias("_kind"), *cols)
+    blocks = rows.select(F.col(key).alias("_key"), F.when(is_large, block_of(order[0], bounds)).otherwise(0).alias("_block"), F.lit(None).cast("binary").alias("_state"), F.lit(False).alias("_last"), F.lit(1).alias("_kind"), *cols)
     if bounds:
 
         def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +112,8 @@ def fold_in_blocks(
 
         key_type = to_arrow_schema(rows.select(key).schema).field(0).type
         name = rows.schema[key].dataType.simpleString()
-        dealt = blocks.repartition("_key", "_block").sortWithinPartitions("_key", "_block", *order)
-        effects = dealt.mapInArrow(sum_up, f"k {name}, b int, s binary")
+        cut = blocks.where(is_large).repartition("_key", "_block").sortWithinPartitions("_key", "_block", *order)
+        effects = cut.mapInArrow(sum_up, f"k {name}, b int, s binary")
         starts = effects.repartition("k").sortWithinPartitions("k", "b").mapInArrow(compose, f"_key {name}, _block int, _state binary, _last boolean")
         # a block's start is a row before its rows, so that both meet by one shuffle and no join
         heads = starts.select("_key", "_block", "_state", "_last", F.lit(0).alias("_kind"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
@@ -104,7 +122,7 @@ def fold_in_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for _, some in _groups(batches, 2):
-                state, last = first, not bounds
+                state, last = first, True  # of a key that is cut, a head tells both
                 for r in some:
                     if r[4] == 0:
                         state, last = pickle.loads(r[2]), r[3]
