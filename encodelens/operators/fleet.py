@@ -92,6 +92,8 @@ def speed_ewma(samples: DataFrame, weight: float = 0.3, digits: int = 10, rows_a
     bounds = cuts(good, "seq", rows_a_block)
     key = ["machine", "codec", "height"]
     s = good.withColumn("_block", block_of("seq", bounds))
+    if bounds:  # a task for each block's number of rows, whatever their packed bytes
+        s = s.repartition(len(bounds) + 1, *key, "_block")
     part = W.partitionBy(*key, "_block")
     s = s.withColumn("_n", F.count(F.lit(1)).over(part)).withColumn("_i", F.row_number().over(part.orderBy("seq", "speed")))
     later = F.pow(F.lit(1 - weight), F.col("_n") - F.col("_i"))  # what is left of a sample at the end of its block
