@@ -194,12 +194,17 @@ def normalize_argv(argv: Column) -> Column:
     Values of path and per-chunk options, absolute paths and URLs read <PATH>; progress options are left out. An
     option that is itself such a value takes none: what is taken alternates along a row of these options.
     """
-    valued = F.transform(argv, lambda a: a.isin(*VALUED))
+    # as the one element of an array, the words and their marks are found once a row and not once a word
+    return F.get(F.transform(F.array(argv), lambda words: F.get(F.transform(F.array(F.transform(words, lambda a: a.isin(*VALUED))), lambda valued: _normalized(words, valued)), F.lit(0))), F.lit(0))
+
+
+def _normalized(argv: Column, valued: Column) -> Column:
+    """normalize_argv of words, of which `valued` tells which are options that take a value."""
 
     def taken(i: Column) -> Column:
         # how many such options stand in a row right before
         row = F.aggregate(F.slice(valued, 1, i), F.lit(0), lambda n, v: F.when(v, n + 1).otherwise(0))
-        return row % 2 == 1
+        return F.when(F.coalesce(F.get(valued, F.greatest(i - 1, F.lit(0))), F.lit(False)) & (i > 0), row % 2 == 1).otherwise(False)
 
     def place(a: Column) -> Column:
         return a.startswith("/") | a.startswith("s3://") | a.startswith("http://") | a.startswith("https://") | a.startswith("file:")

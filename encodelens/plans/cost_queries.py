@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from encodelens.functions import scalars as S
 from encodelens.operators import cost, fleet, ladders
+from encodelens.operators.blocks import dealt
 from encodelens.plans.registry import NOW, query
 
 JOBS_NOW = 1_700_060_000
@@ -490,7 +491,8 @@ select concat(codec, height) as rung, concat('-y -i <PATH> -c:v ', codec, ' -r 3
 def _(v):
     words = lambda text: [F.lit(x) for x in text.split()]
     argv = F.array(*words("-y -i"), F.concat(F.lit("in"), F.col("pos")), F.lit("-c:v"), F.col("codec"), *words("-r 30000/1001 -vf scale=1280:720/2 -b:v"), F.concat("kbps", F.lit("k")), F.lit("-ss"), F.col("pos").cast("string"), *words("-nostats -progress pipe:1 -stats_period"), F.col("pos").cast("string"), F.concat(F.lit("s3://out/"), F.col("pos")))
-    return v.rungs.select(F.concat("codec", "height").alias("rung"), S.normalize_argv(argv).alias("settings")).groupBy("rung", "settings").agg(F.count(F.lit(1)).alias("n"))
+    r = dealt(v.rungs, "pos", rows_a_task=1 << 15)  # a small file is one task's, its command lines are not
+    return r.select(F.concat("codec", "height").alias("rung"), S.normalize_argv(argv).alias("settings")).groupBy("rung", "settings").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("O95_dims_and_names", r"""
