@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from encodelens.functions.scalars import phase_key, split_command, stage_codec
@@ -132,20 +133,27 @@ def run_records(stages: DataFrame, outputs: DataFrame) -> DataFrame:
     A folder's record has the stages of its codec and those of none, and of a job with several files those of its own
     source alone. Stages per job are bounded by its plan.
     """
-    many = stages.groupBy("job").agg((F.count_distinct("file") > 1).alias("_many"))
-    s = outputs.join(many, "job").join(stages.withColumn("_codec", stage_codec("key")), "job")
-    s = s.where((F.col("_codec").isNull() | (F.col("_codec") == F.col("codec"))) & (~F.col("_many") | (F.col("file") == F.col("source"))))
     keys = ["job", "dir", "codec", "source"]
-    st = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "key", "status", "started", "ended", "cpu_s"))).alias("stages"))
-    ph = s.withColumn("phase", phase_key("key")).groupBy("dir", "phase").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"), (F.max("ended") - F.min("started")).alias("span_s"), F.first("_codec").alias("_codec"))
+    # whether a job has several files is told by its rows in order, so stages and outputs meet in one join, by job
+    many = F.min("file").over(W.partitionBy("job")) < F.max("file").over(W.partitionBy("job"))
+    s = stages.withColumn("_codec", stage_codec("key")).withColumn("_many", F.coalesce(many, F.lit(False))).join(outputs.select(*keys), "job")
+    s = s.where((F.col("_codec").isNull() | (F.col("_codec") == F.col("codec"))) & (~F.col("_many") | (F.col("file") == F.col("source"))))
+    one = F.struct("seq", "key", "status", "started", "ended", "cpu_s")
+    ph = s.withColumn("phase", phase_key("key")).groupBy(*keys, "phase").agg(F.collect_list(one).alias("s"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"), (F.max("ended") - F.min("started")).alias("span_s"), F.first("_codec").alias("_codec"))
     rung = F.when(F.col("_codec").isNotNull(), F.split_part("phase", F.lit(":"), F.lit(3)))
-    ph = ph.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct("first_seq", "phase", "n", "span_s"))).alias("phases"), F.array_sort(F.collect_set(rung)).alias("rungs"))
-    return st.join(ph, "dir").withColumn("schema_version", F.lit(1))
+    r = ph.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("stages"), F.array_sort(F.collect_list(F.struct("first_seq", "phase", "n", "span_s"))).alias("phases"), F.array_sort(F.collect_set(rung)).alias("rungs"))
+    return r.select("dir", "job", "codec", "source", "stages", "phases", "rungs", F.lit(1).alias("schema_version"))
 
 
-def with_costs(records: DataFrame, costs: DataFrame) -> DataFrame:
-    """Records with the cost of their folder; a cost of all zeros is null, as nothing was measured."""
-    return records.join(costs.select("dir", F.when(F.col("total") > 0, F.struct("spot", "egress", "total")).alias("cost")), "dir", "left")
+def with_costs(records: DataFrame, costs: DataFrame | Column) -> DataFrame:
+    """Records with the cost of their folder; a cost of all zeros is null, as nothing was measured.
+
+    costs: (dir, spot, egress, total), or the struct of the last three where a record tells it itself, which needs no join.
+    """
+    measured = lambda c: F.when(c["total"] > 0, c)
+    if isinstance(costs, Column):
+        return records.withColumn("cost", measured(costs))
+    return records.join(costs.select("dir", measured(F.struct("spot", "egress", "total")).alias("cost")), "dir", "left")
 
 
 def write_run_records(records: DataFrame, path: str) -> None:
