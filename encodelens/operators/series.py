@@ -80,16 +80,16 @@ def fundamental_period(acf: DataFrame, min_lag: int = 2, tol: int = 2) -> DataFr
     ends_left, ends_right = (F.col("lag") <= 1) | (F.col("before") > F.col("r")), F.col("after").isNull() | (F.col("after") > F.col("r"))
     a = a.withColumn("lo", F.last(F.when(ends_left, F.col("r")), True).over(by.rowsBetween(W.unboundedPreceding, -1)))
     a = a.withColumn("hi", F.first(F.when(ends_right, F.col("r")), True).over(by.rowsBetween(1, W.unboundedFollowing)))
-    p = a.where((F.col("lag") >= min_lag) & (F.col("r") > F.col("before")) & (F.col("r") >= F.col("after")) & (F.col("r") > 0))
-    p = p.withColumn("prominence", F.round(F.col("r") - F.greatest("lo", "hi"), 6))
-    best = p.groupBy("series").agg(F.max(F.struct("prominence", (-F.col("lag")).alias("neg"))).alias("b")).select("series", (-F.col("b.neg")).alias("best"), F.col("b.prominence").alias("prominence"))
-    c = p.select("series", "lag", "lags", F.col("prominence").alias("own")).join(best, "series")
-    k = F.bround(F.col("best") / F.col("lag"))
-    c = c.where((F.col("lag") < F.col("best")) & (F.col("own") >= 0.5 * F.col("prominence")) & (k >= 2) & (F.abs(F.col("best") - k * F.col("lag")) <= tol) & (2 * F.col("lag") < F.col("lags")))
-    second = p.select("series", F.col("lag").alias("lag2"))
-    h = c.select("series", "lag").join(second, "series").where(F.abs(F.col("lag2") - 2 * F.col("lag")) <= tol).groupBy("series").agg(F.min("lag").alias("sub"))
-    out = acf.select("series").distinct().join(best, "series", "left").join(h, "series", "left")
-    return out.select("series", F.coalesce("sub", "best").alias("period"), "prominence")
+    # the peaks of a series are few and go with each of its rows, so that one pass tells all of them apart
+    peak = (F.col("lag") >= min_lag) & (F.col("r") > F.col("before")) & (F.col("r") >= F.col("after")) & (F.col("r") > 0)
+    a = a.withColumn("own", F.when(peak, F.round(F.col("r") - F.greatest("lo", "hi"), 6))).withColumn("peak", F.coalesce(peak, F.lit(False)))
+    peaks = F.filter(F.collect_list(F.when(F.col("peak"), F.struct("lag", "own", "lags"))), lambda x: x.isNotNull())
+    g = a.groupBy("series").agg(peaks.alias("p"), F.max(F.when(F.col("peak"), F.struct(F.col("own").alias("prominence"), (-F.col("lag")).alias("neg")))).alias("b"))
+    best, top = -F.col("b.neg"), F.col("b.prominence")
+    k = lambda x: F.bround(best / x["lag"])
+    least = F.filter("p", lambda x: (x["lag"] < best) & (x["own"] >= 0.5 * top) & (k(x) >= 2) & (F.abs(best - k(x) * x["lag"]) <= tol) & (2 * x["lag"] < x["lags"]) & F.exists("p", lambda y: F.abs(y["lag"] - 2 * x["lag"]) <= tol))
+    sub = F.array_min(F.transform(least, lambda x: x["lag"]))
+    return g.select("series", F.coalesce(sub, best).alias("period"), top.alias("prominence"))
 
 
 def fold(frames: DataFrame, period: int) -> DataFrame:
