@@ -53,15 +53,14 @@ def active_time(stages: DataFrame, now: int | Column) -> DataFrame:
     length; abutting intervals merge. A job none of whose stages ran has been queued since its submission.
     """
     now = F.lit(now) if isinstance(now, int) else now
-    # one pass and one shuffle, by job: rows without a start come last and form no island, but keep their job
+    # one pass and one shuffle, by job: each interval adds what reaches past the greatest end before it, so that equal
+    # intervals may come in any order; rows without a start come last and add nothing, but keep their job
     end = F.when(F.col("started").isNotNull(), F.greatest(F.coalesce("ended", now), "started"))
     run = stages.select("job", "submitted", F.col("started").alias("s"), end.alias("e"))
     order = W.partitionBy("job").orderBy(F.col("s").asc_nulls_last(), "e")
-    fresh = F.col("s") > F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
-    run = run.withColumn("fresh", F.when(F.col("s").isNotNull(), F.coalesce(fresh, F.lit(True)).cast("int")))
-    run = run.withColumn("island", F.when(F.col("s").isNotNull(), F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))))
-    islands = run.groupBy("job", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("submitted").alias("submitted"))
-    jobs = islands.groupBy("job").agg(F.sum(F.col("e") - F.col("s")).alias("active_s"), F.min("s").alias("first"), F.max("e").alias("last"), F.min("submitted").alias("submitted"))
+    reached = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
+    added = F.when(F.col("s").isNotNull(), F.greatest(F.col("e") - F.greatest("s", reached), F.lit(0)))
+    jobs = run.withColumn("added", added).groupBy("job").agg(F.sum("added").alias("active_s"), F.min("s").alias("first"), F.max("e").alias("last"), F.min("submitted").alias("submitted"))
     span = F.coalesce(F.col("last") - F.col("first"), F.lit(0))
     active = F.coalesce("active_s", F.lit(0))
     queued = F.greatest(F.coalesce("first", now) - F.col("submitted"), F.lit(0))
