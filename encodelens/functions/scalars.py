@@ -42,6 +42,17 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded half away from zero where its product with 10 ** digits, a double, is cut; F.round cuts x's shortest decimals,
+    which may end in a 5 that the product does not reach."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def ordered_sum(x: Column) -> Column:
+    """The sum of a group's values from the least on, so that rows in any order give the same; null without values."""
+    return F.when(F.count(x) > 0, F.aggregate(F.array_sort(F.collect_list(x)), F.lit(0.0), lambda s, y: s + y))
+
+
 def stage_codec(key: str | Column) -> Column:
     """The first known codec among a key's colon-separated parts; null: shared."""
     parts = F.filter(F.split(key, ":"), lambda p: p.isin(*CODECS))
@@ -126,7 +137,8 @@ def seed_weighted(x: Column, codec: Column, height: Column) -> Column:
 
     Divided once, as what makes it up is whole but for the codec's share: a quotient by the speed itself is rounded three times.
     """
-    base = F.coalesce(lookup(SEED, codec), F.lit(SEED["hevc"])) * (1080 * 1080)
+    whole = {c: round(s * 1080 * 1080, 3) for c, s in SEED.items()}
+    base = F.coalesce(lookup(whole, codec), F.lit(whole["hevc"]))
     height = F.when(height > 0, height).otherwise(1080).cast("double")
     return F.when(height * height > 1000 * base, x * 1000.0).otherwise(x * height * height / base)
 

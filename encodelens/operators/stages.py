@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from encodelens.functions.scalars import basename, phase_key, seed_weighted, stage_codec
+from encodelens.functions.scalars import basename, ordered_sum, phase_key, rounded, seed_weighted, stage_codec
 from encodelens.operators.blocks import ROWS_A_BLOCK, fold_in_blocks
 
 # Ranks of stage states; interrupts may follow any state but a final one.
@@ -214,19 +214,19 @@ def width_regressions(folded: DataFrame, least: float = 0.05) -> DataFrame:
 def weighted_progress(stages: DataFrame, now: int, pipeline_share: float = 0.1) -> DataFrame:
     """Per job the percent done: variants weighted by the inverse of their seed speed, the pipeline with a tenth of all.
 
-    output_progress is the plain mean over variants. eta_s: the rest at the pace so far since the job's first start, 0 at
-    1 percent or less, from 99.5 on, and before any start.
+    output_progress is the plain mean over variants, which are few and summed in one order. eta_s: the rest at the pace so
+    far since the job's first start, 0 at 1 percent or less, from 99.5 on, and before any start.
     """
     pct = F.when(F.col("status") == "done", 100.0).when(F.col("status") == "failed", 0.0).otherwise(F.coalesce("percent", F.lit(0.0)))
     s = stages.withColumn("codec", stage_codec("key")).withColumn("pct", pct)
     v = s.where(F.col("codec").isNotNull()).groupBy("job", "codec", "height").agg(F.avg("pct").alias("pct"))
-    w = lambda x: F.sum(seed_weighted(x, F.col("codec"), F.col("height")))
-    v = v.groupBy("job").agg(w(F.col("pct")).alias("vp"), w(F.lit(1.0)).alias("vw"), F.avg("pct").alias("out"))
+    w = lambda x: ordered_sum(seed_weighted(x, F.col("codec"), F.col("height")))
+    v = v.groupBy("job").agg(w(F.col("pct")).alias("vp"), w(F.lit(1.0)).alias("vw"), (ordered_sum(F.col("pct")) / F.count("pct")).alias("out"))
     p = s.where(F.col("codec").isNull()).groupBy("job").agg(F.avg("pct").alias("pp"))
     since = s.groupBy("job").agg(F.min("started").alias("since"))
     out = v.join(p, "job", "full_outer").join(since, "job")
     total = F.when(F.col("vw").isNull(), F.col("pp")).when(F.col("pp").isNull(), F.col("vp") / F.col("vw")).otherwise((F.col("vp") + F.col("pp") * F.col("vw") * pipeline_share) / (F.col("vw") + F.col("vw") * pipeline_share))
-    return out.select("job", F.round(total, 6).alias("progress"), F.round("out", 6).alias("output_progress"), F.coalesce(F.when((total > 1) & (total < 99.5), (F.lit(now) - F.col("since")) * (100 - total) / total), F.lit(0.0)).alias("eta_s"))
+    return out.select("job", rounded(total, 6).alias("progress"), rounded(F.col("out"), 6).alias("output_progress"), F.coalesce(F.when((total > 1) & (total < 99.5), (F.lit(now) - F.col("since")) * (100 - total) / total), F.lit(0.0)).alias("eta_s"))
 
 
 def union_history(archived: DataFrame, current: DataFrame) -> DataFrame:
